@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, sharding
+from tidemark.llm import bpe, licenses, mixing, quality, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_bradley_terry_quality": quality.op1_bradley_terry_quality,
         "op2_source_mix": mixing.op2_source_mix,
+        "op3_byte_bpe": bpe.op3_byte_bpe,
         "op5_hash_tree_shards": sharding.op5_hash_tree_shards,
+        "op7_toxicity": toxicity.op7_toxicity,
+        "op8_license_templates": licenses.op8_license_templates,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mix": mixing.OP2_SQL}
+    return {"op2_source_mix": mixing.OP2_SQL, "op8_license_templates": licenses.OP8_SQL}
