@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, licenses, mixing, quality, sharding, toxicity
+from tidemark.llm import bpe, html, jpeg, licenses, mixing, quality, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,7 +14,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bradley_terry_quality": quality.op1_bradley_terry_quality,
         "op2_source_mix": mixing.op2_source_mix,
         "op3_byte_bpe": bpe.op3_byte_bpe,
+        "op4_template_extraction": html.op4_template_extraction,
         "op5_hash_tree_shards": sharding.op5_hash_tree_shards,
+        "op6_jpeg_media": jpeg.op6_jpeg_media,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_license_templates": licenses.op8_license_templates,
     }
