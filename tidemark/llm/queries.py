@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, html, jpeg, licenses, mixing, quality, sharding, toxicity, vectors
+from tidemark.llm import bpe, html, jpeg, licenses, mixing, ngrams, quality, sharding, toxicity, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_jpeg_media": jpeg.op6_jpeg_media,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_license_templates": licenses.op8_license_templates,
+        "op10_ngram_jaccard": ngrams.op10_ngram_jaccard,
         "op9_epsilon_grid_join": vectors.op9_epsilon_grid_join,
     }
 
