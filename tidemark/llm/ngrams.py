@@ -132,7 +132,8 @@ def common(found: DataFrame) -> np.ndarray:
     sample and a bound cannot lose a pair."""
     sampled = found.where("grams is not null").groupBy("c").agg(F.first("grams").alias("grams"))
     seen = sampled.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("k")).where(F.col("k") >= SEEN)
-    return np.sort(np.array([r["g"] for r in seen.orderBy(F.desc("k"), "g").limit(COMMON).collect()], dtype=np.int64).view(U64))
+    top = seen.orderBy(F.desc("k"), "g").limit(COMMON).select("g").toArrow()
+    return np.sort(top.column("g").to_numpy().astype(np.int64).view(U64))
 
 
 def postings(docs: DataFrame, text: str, last: np.ndarray) -> DataFrame:
@@ -174,10 +175,9 @@ def fragments(docs: DataFrame, text: str, needed: DataFrame) -> DataFrame:
     at = F.pmod(F.col("c"), F.lit(FILTER_BITS))
     words = needed.select(F.floor(at / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(c & 63L as int))").alias("b"))
     bits = np.zeros(FILTER_BITS // 64, U64)
-    for r in words.groupBy("w").agg(F.bit_or("b").alias("b")).collect():
-        bits[r["w"]] = r["b"] & 0xFFFFFFFFFFFFFFFF
-    flags = np.unpackbits(bits.view(np.uint8), bitorder="little")
-    packed = np.packbits(flags, bitorder="little")
+    set_words = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits[set_words.column("w").to_numpy()] = set_words.column("b").to_numpy().view(U64)
+    packed = bits.view(np.uint8)
 
     def run(batches):
         flag = np.unpackbits(packed, bitorder="little").astype(bool)
