@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.batches import chunks
-from tidemark.session import cut, table
+from tidemark.session import cut, table, written
 
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -257,9 +257,9 @@ def templates(found: DataFrame, least: int = 3, share: float = 0.02) -> DataFram
     return n.join(total, "_host").where(F.col("n") >= share * F.col("pages")).select("_host", "hash", "n")
 
 
-def extract(pages: DataFrame, salt: int = 16) -> DataFrame:
+def extract(pages: DataFrame, salt: int = 16, small: int = 100_000) -> DataFrame:
     """``pages`` (``page_id, url, html, ...``) with ``text`` (blocks joined by an empty line; empty if
-    none), ``n_chars`` and ``n_templates`` (subtrees of the page found to be templates).
+    none), ``n_chars`` and ``n_templates`` (template subtrees cut out of the page's main part).
 
     Frames named by tags, roles, classes or ids go; so do subtrees that recur across a host's
     pages with different main texts, where they are no running text of a marked article. Pages
@@ -269,12 +269,15 @@ def extract(pages: DataFrame, salt: int = 16) -> DataFrame:
     replaced, ``html`` is dropped, others are kept.
     """
     made = ["text", "n_chars", "n_templates"]
-    found = cut(dissected(pages.drop(*made)))
+    found = written(dissected(pages.drop(*made)))
     marked = templates(found).select("_host", "hash", F.explode(F.array(*[F.lit(i) for i in range(salt)])).alias("_deal"))
-    tree = found.select("_host", "_page", F.explode("_trees").alias("t")).select("_host", "_page", "t.place", "t.hash")
+    # only subtrees around blocks of the main part make a difference
+    owners = F.array_distinct(F.flatten(F.transform("_blocks", lambda b: b["owners"])))
+    inner = F.filter("_trees", lambda t: F.array_contains(owners, t["place"]))
+    tree = found.select("_host", "_page", F.explode(inner).alias("t")).select("_host", "_page", "t.place", "t.hash")
     tree = tree.distinct().withColumn("_deal", F.pmod("_page", F.lit(salt)).cast("int"))
-    drop = tree.join(marked, ["_host", "hash", "_deal"]).groupBy("_host", "_page").agg(F.collect_set("place").alias("_drop"))
-    joined = found.join(drop, ["_host", "_page"], "left")
+    drop = cut(tree.join(marked, ["_host", "hash", "_deal"]).groupBy("_host", "_page").agg(F.collect_set("place").alias("_drop")))
+    joined = found.join(F.broadcast(drop) if drop.count() <= small else drop, ["_host", "_page"], "left")
     dropped = F.coalesce("_drop", F.array().cast("array<int>"))
     kept = F.filter("_blocks", lambda b: ~F.arrays_overlap(b["owners"], dropped))
     joined = joined.withColumn("text", F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n"))
