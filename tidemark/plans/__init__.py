@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import measures, selection
+from tidemark.plans import leakage, measures, selection
 
-MODULES = [measures, selection]
+MODULES = [measures, selection, leakage]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
