@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,3 +33,13 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{base}/tidemark-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files and checkpoints that nothing refers to any more.
+
+    It does so only when the driver collects garbage, which a job of many small steps would
+    otherwise do too late.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
