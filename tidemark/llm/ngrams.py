@@ -30,7 +30,7 @@ from pyspark.sql import Window
 
 from tidemark.llm.batches import U64, Words, chunks, lower_table, mix64
 from tidemark.operators.components import connected_components
-from tidemark.session import cut, table
+from tidemark.session import cut, release, table
 
 #: Words of a shingle; similarity in hundredths.
 WIDTH, PERCENT = 5, 75
@@ -237,7 +237,7 @@ def sketch_pairs(found: DataFrame) -> DataFrame:
     # the low bits of the count's order are the class, so that a tie has one winner
     shared = cut(each.groupBy("b", "v").agg(F.count("*").alias("k")).where("k > 1"))
     each = cut(each.join(shared, ["b", "v"]))
-    weight = cut(each.groupBy("c").agg(F.sum("k").alias("w")))
+    weight = each.groupBy("c").agg(F.sum("k").alias("w"))
     each = cut(each.join(weight, "c"))
     top = cut(each.groupBy("b", "v").agg(F.max(F.struct("w", "c", "n")).alias("t")).select("b", "v", F.col("t.c").alias("tc"), F.col("t.n").alias("tn"), F.col("t.w").alias("tw")))
     met = each.join(top, ["b", "v"]).where("c <> tc").where(near_in_size(F.col("n"), F.col("tn")))
@@ -255,9 +255,8 @@ def candidate_pairs(lists: DataFrame, component: DataFrame) -> DataFrame:
     """Pairs across components that share at least the required number of prefix n-grams."""
     rows = cut(_with_component(lists, component, "c", "k"))
     mixed = rows.groupBy("g").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("g")
-    rows = cut(rows.join(mixed, "g", "left_semi"))
-    left_over = cut(rows.groupBy("c").agg(F.count("*").alias("m")))
-    rows = cut(rows.join(left_over, "c"))
+    rows = rows.join(mixed, "g", "left_semi")
+    rows = cut(rows.join(rows.groupBy("c").agg(F.count("*").alias("m")), "c"))
     a, b = (rows.select("g", *[F.col(x).alias(f"{x}{i}") for x in ("c", "n", "k", "m")]) for i in (1, 2))
     reach = required(F.col("n1"), F.col("n2")) <= F.least("m1", "m2")
     both = a.join(b, "g").where(F.col("c1") < F.col("c2")).where("k1 <> k2").where(near_in_size(F.col("n1"), F.col("n2"))).where(reach)
@@ -282,11 +281,14 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     stars = cut(sketch_pairs(found))
     links = cut(linked(stars, fragments(narrow, text, _ends(stars))).select("c1", "c2"))
     component = cut(connected_components(links, "c1", "c2"))
+    release(docs.sparkSession)
     # lists of n-grams that several classes have in their prefixes
     every = Window.partitionBy("g")
     lists = postings(narrow, text, common(found)).withColumn("_a", F.min("c").over(every)).withColumn("_b", F.max("c").over(every))
     lists = cut(lists.where("_a <> _b").select("g", "c", "n").distinct())
+    release(docs.sparkSession)
     pairs = cut(candidate_pairs(lists, component))
+    release(docs.sparkSession)
     if trace:
         trace("stars", stars)
         trace("links", links)
@@ -308,6 +310,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         if rest.head(1):
             joined = joined.unionByName(linked(rest, parts).select("c1", "c2"))
             component = cut(connected_components(cut(joined), "c1", "c2"))
+    release(docs.sparkSession)
     low = found.where("n > 0").groupBy("c").agg(F.min(key).alias("low"))
     low = cut(_with_component(low, component, "c", "k"))
     smallest = cut(low.groupBy("k").agg(F.min("low").alias("component_id")))
