@@ -10,6 +10,7 @@ from pyspark.sql import Window
 
 from tidemark.functions.scalars import jaccard
 from tidemark.operators.annotate import dot
+from tidemark.session import cut
 
 # Weights of the sources in the fused score, and sizes.
 WEIGHTS = {"tan": 0.50, "emb": 0.35, "aux": 0.15}
@@ -57,6 +58,9 @@ def topk(queries: DataFrame, pool: DataFrame, view: str, k: int, kind: str = "co
     q = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(nq))).withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(np_ - 1))))
     p = pool.withColumn("_p", F.pmod(F.xxhash64("memory_id"), F.lit(np_)).cast("int")).withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))))
     by = [view, "_q", "_p"]
+    # both sides are dealt into the same number of partitions here, which adaptive execution keeps
+    n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q, p = q.repartition(n, *by), p.repartition(n, *by)
     local = q.groupBy(*by).cogroup(p.groupBy(*by)).applyInPandas(run, "query_id long, memory_id long, sim double")
     w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "memory_id")
     return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -156,6 +160,7 @@ def support_features(pool: DataFrame, base: DataFrame, ensemble: bool = True, cl
     is bounded by ``POOL``.
     """
     q = ["query_id"]
+    pool = cut(pool)  # read six times
     top = pool.where("is_topk")
     w = Window.partitionBy("query_id")
     a = top.withColumn("_a", F.col("alpha") / F.greatest(F.sum("alpha").over(w), F.lit(1e-12)))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import leakage, measures, selection
+from tidemark.plans import evaluation, leakage, measures, retrieval, selection
 
-MODULES = [measures, selection, leakage]
+MODULES = [measures, selection, leakage, retrieval, evaluation]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
