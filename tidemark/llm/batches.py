@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,26 +15,19 @@ _P = 0x9E3779B97F4A7C15
 _P_INV = pow(_P, -1, 1 << 64)
 
 
-def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of the batches with about ``limit`` characters, and their texts (null: empty)."""
+def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK, rows: int = 256) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of the batches with at most ``rows`` rows and about ``limit`` characters, and their texts
+    (null: empty). Only one slice's texts are Python objects at a time."""
     for batch in batches:
-        texts = ["" if t is None else t for t in batch.column(column).to_pylist()]
-        first, held = 0, 0
-        for i, t in enumerate(texts):
-            held += len(t)
-            if held >= limit or i + 1 == len(texts):
-                yield batch.slice(first, i + 1 - first), texts[first : i + 1]
-                first, held = i + 1, 0
-
-
-def mapped(column: str, make: Callable[[list[str]], list[pa.Array]], names: list[str], keep: list[str], limit: int = CHUNK):
-    """A function for ``mapInArrow``: columns ``keep`` as they are, then what ``make`` returns."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in chunks(batches, column, limit):
-            yield pa.RecordBatch.from_arrays([part.column(k) for k in keep] + make(texts), names=keep + names)
-
-    return run
+        for place in range(0, batch.num_rows, rows):
+            part = batch.slice(place, rows)
+            texts = ["" if t is None else t for t in part.column(column).to_pylist()]
+            first, held = 0, 0
+            for i, t in enumerate(texts):
+                held += len(t)
+                if held >= limit or i + 1 == len(texts):
+                    yield part.slice(first, i + 1 - first), texts[first : i + 1]
+                    first, held = i + 1, 0
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -52,7 +45,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers["up"]) < n:
-        size = max(n, CHUNK + CHUNK // 4)
+        size = 1 << max(16, (n - 1).bit_length())
         for name, base in (("up", _P), ("down", _P_INV)):
             steps = np.full(size, base, dtype=U64)
             steps[0] = 1

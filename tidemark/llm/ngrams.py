@@ -41,6 +41,8 @@ SKETCHES = 8
 #: One class in so many is looked at for common n-grams; those seen at least so often are
 #: common, but at most so many of them (half a megabyte, the only broadcast) go last in the order.
 SAMPLE, SEEN, COMMON = 16, 4, 65_536
+#: Characters hashed at once, and classes a task remembers having sent.
+BATCH, REMEMBERED = 250_000, 1 << 17
 #: Bits of the filter that keeps unneeded classes from being sent.
 FILTER_BITS = 1 << 24
 
@@ -111,7 +113,7 @@ def classes(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """``keep`` with ``c, n``, sketches ``mins`` and, for a sample of classes, all ``grams``."""
 
     def run(batches):
-        for part, texts in chunks(batches, text):
+        for part, texts in chunks(batches, text, BATCH):
             sets = Sets(texts)
             n, mins, grams = [], [], []
             for i, c in enumerate(sets.key.tolist()):
@@ -141,13 +143,13 @@ def postings(docs: DataFrame, text: str, last: np.ndarray) -> DataFrame:
 
     def run(batches):
         had: set[int] = set()
-        for _, texts in chunks(batches, text):
+        for _, texts in chunks(batches, text, BATCH):
             sets = Sets(texts)
             out, which, size = [], [], []
             for i, c in enumerate(sets.key.tolist()):
                 if c == 0 or c in had:
                     continue
-                if len(had) < 1 << 20:
+                if len(had) < REMEMBERED:
                     had.add(c)
                 s = sets.grams(i)
                 if len(last):
@@ -183,7 +185,7 @@ def fragments(docs: DataFrame, text: str, needed: DataFrame) -> DataFrame:
         flag = np.unpackbits(packed, bitorder="little").astype(bool)
         cuts = np.array([(k << 64) // FRAGMENTS for k in range(1, FRAGMENTS)], dtype=U64)
         had: set[int] = set()
-        for _, texts in chunks(batches, text):
+        for _, texts in chunks(batches, text, BATCH):
             sets = Sets(texts)
             want = flag[(sets.key & U64(FILTER_BITS - 1)).astype(np.int64)] & (sets.key != 0)
             c, f, part = [], [], []
@@ -191,7 +193,7 @@ def fragments(docs: DataFrame, text: str, needed: DataFrame) -> DataFrame:
                 k = int(sets.ids()[i])
                 if k in had:
                     continue
-                if len(had) < 1 << 20:
+                if len(had) < REMEMBERED:
                     had.add(k)
                 for j, p in enumerate(np.split(s := sets.grams(i), np.searchsorted(s, cuts))):
                     c.append(k)
