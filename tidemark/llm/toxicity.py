@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
@@ -190,8 +189,9 @@ def _sketches(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def learn_lexicon(texts: DataFrame, max_terms: int = 2_000) -> Lexicon:
     """Words and stems that mark label 1, from ``(text, y)`` rows.
 
-    A term must be so much commoner in label 1 that no random term is expected to be, by the
-    likelihood ratio against the number of terms tried. At most ``max_terms`` are kept.
+    A term must be so much commoner in label 1 that hardly any random term is expected to be, by
+    the likelihood ratio against the number of terms tried, which grows with the texts (there are
+    fewer stems than words). At most ``max_terms`` are kept.
     """
 
     def run(batches):
@@ -209,7 +209,7 @@ def learn_lexicon(texts: DataFrame, max_terms: int = 2_000) -> Lexicon:
     seen = texts.mapInArrow(run, "term string, hot long, cold long").groupBy("term").agg(F.sum("hot").alias("hot"), F.sum("cold").alias("cold"))
     h, c = F.col("hot").cast("double"), F.col("cold").cast("double")
     gain = h * F.log(h / (h + c) / share) + F.when(c > 0, c * F.log(c / (h + c) / (1 - share))).otherwise(0.0)
-    tried = math.log(max(10, 200 * (n[0] + n[1])))
+    tried = F.log(F.when(F.col("term").endswith("*"), 10.0).otherwise(50.0) * (n[0] + n[1]))
     marked = seen.where(h > c * n[1] / n[0]).withColumn("gain", gain).where((F.col("gain") > tried) & (h / (h + c) > 0.5))
     top = [r.term for r in marked.orderBy(F.desc("gain"), "term").limit(max_terms).collect()]
     return Lexicon(sorted(t for t in top if t[-1] != "*"), sorted(t[:-1] for t in top if t[-1] == "*"))
