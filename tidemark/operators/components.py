@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import cut
+from tidemark.session import cut, release
 
 
 class ConvergenceError(RuntimeError):
@@ -41,6 +41,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         joined = _join(large, _low(large))
         small = joined.select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(joined.select("u", F.col("low").alias("v")))
         now = cut(small.where("u > v").distinct())
+        release(now.sparkSession)  # earlier rounds
         # done when every edge leads straight to a root: each node has one edge, and no root has any
         heads = now.groupBy("u").agg(F.count("*").alias("n"), F.lit(False).alias("root"))
         roots = now.groupBy(F.col("v").alias("u")).agg(F.lit(0).cast("long").alias("n"), F.lit(True).alias("root"))
