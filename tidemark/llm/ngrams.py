@@ -239,6 +239,7 @@ def sketch_pairs(found: DataFrame) -> DataFrame:
     # the low bits of the count's order are the class, so that a tie has one winner
     shared = cut(each.groupBy("b", "v").agg(F.count("*").alias("k")).where("k > 1"))
     each = cut(each.join(shared, ["b", "v"]))
+    release(found.sparkSession)
     weight = each.groupBy("c").agg(F.sum("k").alias("w"))
     each = cut(each.join(weight, "c"))
     top = cut(each.groupBy("b", "v").agg(F.max(F.struct("w", "c", "n")).alias("t")).select("b", "v", F.col("t.c").alias("tc"), F.col("t.n").alias("tn"), F.col("t.w").alias("tw")))
@@ -277,46 +278,48 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     take part in links and get their component's smallest key (null if it has none). Repeated
     rows give repeated results. Sets are compared as 64-bit hashes.
     """
-    found = cut(classes(docs, text, [key]))
+
+    def step(df: DataFrame) -> DataFrame:
+        out = cut(df)
+        release(df.sparkSession)  # what led here
+        return out
+
+    found = step(classes(docs, text, [key]))
     narrow = docs.select(text)
     # near copies to their most typical class
-    stars = cut(sketch_pairs(found))
-    links = cut(linked(stars, fragments(narrow, text, _ends(stars))).select("c1", "c2"))
-    component = cut(connected_components(links, "c1", "c2"))
-    release(docs.sparkSession)
+    stars = step(sketch_pairs(found))
+    links = step(linked(stars, fragments(narrow, text, _ends(stars))).select("c1", "c2"))
+    component = step(connected_components(links, "c1", "c2"))
     # lists of n-grams that several classes have in their prefixes
     every = Window.partitionBy("g")
     lists = postings(narrow, text, common(found)).withColumn("_a", F.min("c").over(every)).withColumn("_b", F.max("c").over(every))
-    lists = cut(lists.where("_a <> _b").select("g", "c", "n").distinct())
-    release(docs.sparkSession)
-    pairs = cut(candidate_pairs(lists, component))
-    release(docs.sparkSession)
+    lists = step(lists.where("_a <> _b").select("g", "c", "n").distinct())
+    pairs = step(candidate_pairs(lists, component))
     if trace:
         trace("stars", stars)
         trace("links", links)
         trace("lists", lists)
         trace("pairs", pairs)
     if pairs.head(1):
-        parts = cut(fragments(narrow, text, _ends(pairs)))
+        parts = step(fragments(narrow, text, _ends(pairs)))
         # each class with the one it shares most with; then what still lies across components
         ways = pairs.select("c1", "c2", "n1", "n2", "s", F.col("c1").alias("c")).unionByName(pairs.select("c1", "c2", "n1", "n2", "s", F.col("c2").alias("c")))
         best = ways.groupBy("c").agg(F.max(F.struct("s", "c1", "c2", "n1", "n2")).alias("p")).select("p.c1", "p.c2", "p.n1", "p.n2").distinct()
-        more = cut(linked(best, parts).select("c1", "c2"))
+        more = step(linked(best, parts).select("c1", "c2"))
         joined = links.unionByName(more)
-        component = cut(connected_components(joined, "c1", "c2"))
+        component = step(connected_components(joined, "c1", "c2"))
         rest = _with_component(_with_component(pairs, component, "c1", "k1"), component, "c2", "k2").where("k1 <> k2")
-        rest = cut(rest.select("c1", "c2", "n1", "n2").join(best.select("c1", "c2"), ["c1", "c2"], "left_anti"))
+        rest = step(rest.select("c1", "c2", "n1", "n2").join(best.select("c1", "c2"), ["c1", "c2"], "left_anti"))
         if trace:
             trace("more", more)
             trace("rest", rest)
         if rest.head(1):
             joined = joined.unionByName(linked(rest, parts).select("c1", "c2"))
-            component = cut(connected_components(cut(joined), "c1", "c2"))
-    release(docs.sparkSession)
+            component = step(connected_components(cut(joined), "c1", "c2"))
     low = found.where("n > 0").groupBy("c").agg(F.min(key).alias("low"))
-    low = cut(_with_component(low, component, "c", "k"))
-    smallest = cut(low.groupBy("k").agg(F.min("low").alias("component_id")))
-    by_class = cut(low.select("c", "k").join(smallest, "k").select("c", "component_id"))
+    low = step(_with_component(low, component, "c", "k"))
+    smallest = step(low.groupBy("k").agg(F.min("low").alias("component_id")))
+    by_class = step(low.select("c", "k").join(smallest, "k").select("c", "component_id"))
     wordy = found.where("n > 0").select(key, "n", "c").join(by_class, "c").select(key, F.col("n").alias("n_shingles"), "component_id")
     empty = found.where("n = 0").select(key, F.col("n").alias("n_shingles"), F.col(key).alias("component_id"))
     return wordy.unionByName(empty)
