@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import evaluation, leakage, measures, retrieval, selection
+from tidemark.plans import evaluation, leakage, measures, reports, retrieval, selection
 
-MODULES = [measures, selection, leakage, retrieval, evaluation]
+MODULES = [measures, selection, leakage, retrieval, evaluation, reports]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1 +1 @@
-
+"""The survey finds no streaming work to rebuild: sources are batch files, and no operator has windowed time."""
