@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tidemark.session import table
+from tidemark.session import cut, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Size classes to an octave: documents of a class differ by less than a tenth in size.
@@ -76,7 +76,8 @@ def mix(docs: DataFrame, seed: int = 7, text: str = "text", source: str = "sourc
     d = d.withColumn("size", words(F.col(text)))
     d = d.withColumn("_s", F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("~"))).withColumn("_h", h)
     d = d.withColumn("_k", klass).withColumn("_c", F.pmod(F.col("_h"), F.lit(CHUNKS)))
-    cells = d.groupBy(F.col(source).alias("source"), "_s", "_k", "_c").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    # materialised, as three branches read it and the texts should be scanned for it once
+    cells = cut(d.groupBy(F.col(source).alias("source"), "_s", "_k", "_c").agg(F.count("*").alias("n"), F.sum("size").alias("size")))
     targets = source_targets(cells, **shares)
     # rows before a size class, then rows before a hash range of it
     by_class = cells.groupBy("source", "_s", "_k").agg(F.sum("n").alias("kn"))
