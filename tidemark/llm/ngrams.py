@@ -169,7 +169,7 @@ def postings(docs: DataFrame, text: str, last: np.ndarray) -> DataFrame:
 
 
 def fragments(docs: DataFrame, text: str, needed: DataFrame) -> DataFrame:
-    """``(c, f, part)``: for the classes in ``needed``, the n-grams of each fragment, packed.
+    """``(c, parts)``: for the classes in ``needed``, the n-grams of each fragment, packed.
 
     A filter of fixed size keeps most other classes from being sent; a class that several
     documents have is kept once.
@@ -188,39 +188,39 @@ def fragments(docs: DataFrame, text: str, needed: DataFrame) -> DataFrame:
         for _, texts in chunks(batches, text, BATCH):
             sets = Sets(texts)
             want = flag[(sets.key & U64(FILTER_BITS - 1)).astype(np.int64)] & (sets.key != 0)
-            c, f, part = [], [], []
+            c, parts = [], []
             for i in np.flatnonzero(want).tolist():
                 k = int(sets.ids()[i])
                 if k in had:
                     continue
                 if len(had) < REMEMBERED:
                     had.add(k)
-                for j, p in enumerate(np.split(s := sets.grams(i), np.searchsorted(s, cuts))):
-                    c.append(k)
-                    f.append(j)
-                    part.append(p.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(f, pa.int32()), pa.array(part, pa.binary())], names=["c", "f", "part"])
+                s = sets.grams(i)
+                c.append(k)
+                parts.append([p.tobytes() for p in np.split(s, np.searchsorted(s, cuts))])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(parts, pa.list_(pa.binary()))], names=["c", "parts"])
 
-    sent = docs.select(text).mapInArrow(run, "c long, f int, part binary")
-    return sent.groupBy("c", "f").agg(F.first("part").alias("part"))
+    sent = docs.select(text).mapInArrow(run, "c long, parts array<binary>")
+    return sent.groupBy("c").agg(F.first("parts").alias("parts"))
 
 
 def linked(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """The pairs ``(c1, c2, n1, n2)`` that reach the similarity, by overlaps summed over fragments."""
+    """The pairs ``(c1, c2, n1, n2)`` that reach the similarity, by overlaps counted in each fragment and summed."""
+
+    def overlap(a: list[bytes], b: list[bytes]) -> list[int]:
+        return [len(np.intersect1d(np.frombuffer(x, U64), np.frombuffer(y, U64), assume_unique=True)) for x, y in zip(a, b)]
 
     def run(batches):
         for batch in batches:
-            inter = [
-                len(np.intersect1d(np.frombuffer(a, U64), np.frombuffer(b, U64), assume_unique=True))
-                for a, b in zip(batch.column("p1").to_pylist(), batch.column("p2").to_pylist())
-            ]
-            cols = [batch.column(k) for k in ("c1", "c2", "n1", "n2")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(inter, pa.int64())], names=["c1", "c2", "n1", "n2", "o"])
-
-    each = pairs.withColumn("f", F.explode(F.array(*[F.lit(k) for k in range(FRAGMENTS)])))
-    each = each.join(parts.toDF("c1", "f", "p1"), ["c1", "f"]).join(parts.toDF("c2", "f", "p2"), ["c2", "f"])
-    counted = each.select("c1", "c2", "n1", "n2", "p1", "p2").mapInArrow(run, "c1 long, c2 long, n1 long, n2 long, o long")
-    summed = counted.groupBy("c1", "c2", "n1", "n2").agg(F.sum("o").alias("o"))
+            for place in range(0, batch.num_rows, 256):
+                part = batch.slice(place, 256)
+                counts = [overlap(a, b) for a, b in zip(part.column("p1").to_pylist(), part.column("p2").to_pylist())]
+                cols = [part.column(k) for k in ("c1", "c2", "n1", "n2")]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.list_(pa.int64()))], names=["c1", "c2", "n1", "n2", "counts"])
+
+    each = pairs.join(parts.toDF("c1", "p1"), "c1").join(parts.toDF("c2", "p2"), "c2")
+    counted = each.select("c1", "c2", "n1", "n2", "p1", "p2").mapInArrow(run, "c1 long, c2 long, n1 long, n2 long, counts array<long>")
+    summed = counted.withColumn("o", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).drop("counts")
     return summed.where(F.col("o") * 100 >= (F.col("n1") + F.col("n2") - F.col("o")) * PERCENT)
 
 
