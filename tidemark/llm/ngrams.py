@@ -225,7 +225,7 @@ def linked(pairs: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("c1", "c2")).alias("c")).distinct()
+    return pairs.select(F.col("c1").alias("c")).distinct().unionByName(pairs.select(F.col("c2").alias("c")).distinct()).distinct()
 
 
 def sketch_pairs(found: DataFrame) -> DataFrame:
