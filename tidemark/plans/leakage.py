@@ -44,9 +44,15 @@ def c6(spark, sf):
     return purge.membership(keyed(spark, sf).select("doc_id", "prefix_key"), blacklist(spark, sf), "prefix_key", "listed").select("doc_id", "listed")
 
 
+def unlisted(spark, sf):
+    """Documents that neither equal a benchmark text nor share eight words in a row with one."""
+    listed = table(spark, sf, "benchmark").select(F.md5("text").alias("exact_key")).distinct()
+    return keyed(spark, sf).join(listed, "exact_key", "left_anti").join(passages(spark, sf), "doc_id", "left_anti")
+
+
 def split_documents(spark, sf):
     """Purged documents, each with its family and split."""
-    kept = purge.purge_status(keyed(spark, sf), blacklist(spark, sf)).where("status = 'kept'").select("doc_id", "lang", "source", "normal", "skeleton", "exact_key")
+    kept = unlisted(spark, sf).select("doc_id", "lang", "source", "normal", "skeleton", "exact_key")
     f = fam.key_families(kept, "doc_id", ["exact_key", "normal", "skeleton"], check=False)
     s = splits.assign_units(f.groupBy("family_id").agg(F.count("*").alias("n")), "family_id")
     return f.join(s, "family_id")
