@@ -4,6 +4,7 @@ import re
 
 from tests.conftest import SF
 from tidemark import plans
+from tidemark.llm import toxicity
 from tidemark.session import table
 
 
@@ -21,3 +22,16 @@ def test_splits_hold_exactly_what_shares_nothing_with_the_benchmark(spark):
     assert leaked
     got = {r.doc_id for r in plans.queries()["f3_split"](spark, sf).collect()}
     assert got == {r.doc_id for r in docs} - leaked
+
+
+def test_op7_fits_on_every_unlike_text(spark, monkeypatch):
+    # all texts share most words, so one smallest hash is the same for many of them
+    shared = " ".join(f"common{i}" for i in range(40))
+    rows = [(i, f"{shared} only{i}", i % 2) for i in range(60)] + [(100 + i, f"{shared.upper()}\n only0", i % 2) for i in range(6)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    seen = []
+    learn = toxicity.learn_lexicon
+    monkeypatch.setattr(toxicity, "learn_lexicon", lambda t: seen.extend(t.collect()) or learn(t))
+    toxicity.train(docs, labels, folds=5, held_out=9)
+    assert sorted((" ".join(r.text.lower().split()), r.y) for r in seen) == sorted({(" ".join(t.lower().split()), y) for _, t, y in rows})

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.batches import U64, Words, chunks, lower_table, mix64
+from tidemark.llm.batches import chunks
 from tidemark.llm.labelled import fold, logistic, sample, sigmoid
 from tidemark.session import table
 
@@ -175,15 +175,10 @@ def _terms(text: str) -> set[str]:
     return words | {f"{w[:k]}*" for w in words for k in STEMS if len(w) > k}
 
 
-def _sketches(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Two smallest-hash sketches of each text's longer words: near copies mostly share them."""
-    w = Words(texts, lower_table("space"))
-    h = np.where(w.end - w.start > 5, w.hash, U64((1 << 64) - 1))
-    out = []
-    for seed in (1, 2):
-        m = mix64(h ^ mix64(np.full(1, seed, U64)))
-        out.append(np.array([m[i:j].min() if j > i else k for k, (i, j) in enumerate(zip(w.first[:-1], w.first[1:]))], dtype=U64).view(np.int64))
-    return out[0], out[1]
+def distinct_texts(rows: DataFrame) -> DataFrame:
+    """``(text, y)`` rows, equal words and label once; unlike texts never stand for each other."""
+    words = F.md5(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")))
+    return rows.groupBy(words.alias("_words"), "y").agg(F.min("text").alias("text")).select("text", "y")
 
 
 def learn_lexicon(texts: DataFrame, max_terms: int = 2_000) -> Lexicon:
@@ -219,17 +214,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, folds: int
     """Lexicon and weights from at most about ``max_rows`` labelled documents outside the held-out fold."""
     chosen = sample(labels.where(fold(F.col("doc_id"), folds) != held_out), "toxic", max_rows)
 
-    def sketched(batches):
-        for part, texts in chunks(batches, "text"):
-            a, b = _sketches(texts)
-            yield pa.RecordBatch.from_arrays([part.column("text"), part.column("y"), pa.array(a), pa.array(b)], names=["text", "y", "a", "b"])
-
     joined = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "y")
-    # a text and its near copies count once
-    once = joined.mapInArrow(sketched, "text string, y int, a long, b long")
-    for key in ("a", "b"):
-        once = once.groupBy(key).agg(F.min(F.struct("text", "y", "a", "b")).alias("r")).select("r.*")
-    once = once.select("text", "y").persist()
+    once = distinct_texts(joined).persist()
     try:
         lexicon = learn_lexicon(once)
 
