@@ -137,17 +137,21 @@ def mains(root: Node) -> list[Node]:
 
 #: Blocks that are running text of an article and never a template there.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd tr td th tbody thead tfoot figcaption html body".split())
+#: Blocks that are the page itself.
+WHOLE = frozenset("html body".split())
 
 
 def dissect(page: str) -> tuple[list[tuple[str, list[int]]], list[tuple[int, int]]]:
     """Blocks of the main parts in page order, and hashes of subtrees that may be templates.
 
     A block comes with the numbers of the candidate subtrees around it. Candidates are block
-    elements other than running text, frames included: what stands around the article counts too.
+    elements, frames included: what stands around the article counts too. Only running text of a
+    marked article is none.
     """
     root = parse(page)
     tops = mains(root)
     inside = {id(t) for t in tops}
+    marked = tops[0] is not root
     out: list[tuple[str, list[int]]] = []
     trees: list[tuple[int, int]] = []
     buffer: list[str] = []
@@ -184,7 +188,7 @@ def dissect(page: str) -> tuple[list[tuple[str, list[int]]], list[tuple[int, int
             if taken:
                 flush()
                 todo.append(None)
-            if node.name not in PROSE and id(node) not in inside:
+            if id(node) not in inside and node.name not in (PROSE if marked and taken else WHOLE):
                 number = len(trees)
                 trees.append((number, xxhash.xxh64_intdigest(shape(node).encode("utf-8", "surrogatepass")) - (1 << 63)))
                 if taken:
@@ -244,17 +248,18 @@ def dissected(pages: DataFrame) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-def templates(found: DataFrame, least: int = 3, share: float = 0.02) -> DataFrame:
+def templates(found: DataFrame, least: int = 3, share: float = 0.02, enough: int = 50) -> DataFrame:
     """``(_host, hash, n)`` of subtrees around at least ``least`` different main texts of a host, and
-    a ``share`` of its pages.
+    a ``share`` of its different main texts or ``enough`` of them.
 
-    Pages with the same main text count once, so copies of an article make no template of it.
+    Pages with the same main text count once on both sides, so copies of an article neither make
+    a template of it nor hide one, and what recurs often enough goes however large the host is.
     Counts are combined before each shuffle: a large host is no large task.
     """
-    total = found.groupBy("_host").agg(F.count("*").alias("pages"))
+    total = found.groupBy("_host", "_main").agg(F.lit(1).alias("one")).groupBy("_host").agg(F.count("*").alias("mains"))
     each = found.select("_host", "_main", F.explode("_trees.hash").alias("hash")).groupBy("_host", "hash", "_main").agg(F.lit(1).alias("one"))
     n = each.groupBy("_host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return n.join(total, "_host").where(F.col("n") >= share * F.col("pages")).select("_host", "hash", "n")
+    return n.join(total, "_host").where(F.col("n") >= F.least(share * F.col("mains"), F.lit(enough))).select("_host", "hash", "n")
 
 
 def extract(pages: DataFrame, salt: int = 16, small: int = 100_000) -> DataFrame:
