@@ -1,26 +1,30 @@
 """N-gram Jaccard join by vertical partitioning, up to exact link components.
 
 Documents with the same words are one class. A class is a set of 64-bit n-gram hashes in one
-global order: first all n-grams but the commonest, by hash, then those, by hash. The order is cut
-into fragments; the overlap of two classes is counted fragment by fragment and summed.
+global order: rare n-grams first, by hash, then the commonest, by rising frequency. The order
+is cut into fragments; a row holds what one class has in one fragment, the overlaps of a pair are
+counted fragment by fragment and summed.
 
 Which pairs are counted is decided without losing a link:
 
-* A set of ``n`` n-grams has a prefix of ``n - ceil(t n) + 1``. Similar sets share n-grams of their
-  prefixes, at least ``required(n1, n2)`` of them.
+* Similar sets share n-grams of their prefixes of ``n - ceil(t n) + 1``, at least ``required(n1, n2)`` of
+  them; only rows of such n-grams are shuffled.
 * Only components are asked for, so a pair within a component that is already linked is not
-  looked at. Sketches (smallest hashes) first link groups of near copies to their most typical
-  member, by exact counts; what follows looks only at pairs across components.
-* An n-gram whose documents all lie in one component gives no pairs; nor do two documents of
-  which one has too few shared n-grams left to reach the required number.
-
-So groups of near copies cost about one comparison a member, and n-grams that many unlike
-documents share stand last in the order, outside their prefixes.
+  looked at. Every class is first compared with the most typical class that it meets, which
+  links groups of near copies; what follows looks only at pairs across components.
+* Two similar sets of ``n1`` and ``n2`` n-grams share ``o = overlap(n1, n2)``; the first shared one in
+  the global order stands at most ``n1 - o`` and ``n2 - o`` places from the start. So a place in a
+  set says which sizes its partner may have; an n-gram meets only sets of such sizes. N-grams of a
+  large group stand last in the order, so members too unlike its centre to link do not meet there.
+* Of each n-gram's largest component only meetings with others are made, never those within.
+
+So groups of near copies cost about one comparison a member.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,21 +38,21 @@ from tidemark.session import cut, release, table
 
 #: Words of a shingle; similarity in hundredths.
 WIDTH, PERCENT = 5, 75
-#: Ranges of the global order whose overlaps are counted apart.
-FRAGMENTS = 4
-#: Smallest-hash sketches of a class.
-SKETCHES = 8
+#: Ranges of the global order whose overlaps are counted apart, at least; and the n-grams that the
+#: largest set has in one of them, about.
+FRAGMENTS, PART = 4, 65_536
 #: One class in so many is looked at for common n-grams; those seen at least so often are
-#: common, but at most so many of them (half a megabyte, the only broadcast) go last in the order.
+#: common, but at most so many of them (one megabyte, the only broadcast) go last in the order.
 SAMPLE, SEEN, COMMON = 16, 4, 65_536
 #: Characters hashed at once, and classes a task remembers having sent.
 BATCH, REMEMBERED = 250_000, 1 << 17
 #: Bits of the filter that keeps unneeded classes from being sent.
 FILTER_BITS = 1 << 24
+#: Size buckets to a factor of e, in which partners are looked for.
+BUCKETS = 16
 
 _SPACE = lower_table("space")
 _STEP = mix64(np.arange(1, WIDTH + 1, dtype=U64)) | U64(1)
-_SEEDS = mix64(np.arange(101, 101 + SKETCHES, dtype=U64))
 _A, _B = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
 
 
@@ -90,15 +94,19 @@ class Sets:
         return s[np.concatenate([[True], s[1:] != s[:-1]])]
 
 
+def overlap(n1: Column, n2: Column) -> Column:
+    """What similar sets of these sizes share, at least."""
+    return F.ceil((n1 + n2) * PERCENT / (100 + PERCENT) - 1e-9)
+
+
 def required(n1: Column, n2: Column) -> Column:
     """How many n-grams similar sets of these sizes share within both prefixes, at least.
 
     With the overlap ``o`` they need, a set has at most ``n - o`` n-grams of its own, so the prefix
     that ends first holds at least its length less that many shared ones.
     """
-    o = F.ceil((n1 + n2) * PERCENT / (100 + PERCENT) - 1e-9)
     own = lambda n: 1 - F.ceil(n * PERCENT / 100 - 1e-9)  # noqa: E731  prefix less size
-    return F.greatest(F.lit(1), F.least(own(n1), own(n2)) + o)
+    return F.greatest(F.lit(1), F.least(own(n1), own(n2)) + overlap(n1, n2))
 
 
 def near_in_size(n1: Column, n2: Column) -> Column:
@@ -110,68 +118,85 @@ def prefix(n: int) -> int:
 
 
 def classes(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """``keep`` with ``c, n``, sketches ``mins`` and, for a sample of classes, all ``grams``."""
+    """``keep`` with ``c, n`` and, for a sample of classes, all ``grams``."""
 
     def run(batches):
         for part, texts in chunks(batches, text, BATCH):
             sets = Sets(texts)
-            n, mins, grams = [], [], []
+            n, grams = [], []
             for i, c in enumerate(sets.key.tolist()):
                 s = sets.grams(i)
                 n.append(len(s))
-                mins.append([int(x) for x in mix64(s[None, :] ^ _SEEDS[:, None]).min(1).view(np.int64)] if len(s) else [])
                 grams.append(s.view(np.int64) if len(s) and c % SAMPLE == 0 else None)
-            cols = [pa.array(sets.ids()), pa.array(n, pa.int64()), pa.array(mins, pa.list_(pa.int64())), pa.array(grams, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], *cols], names=[*keep, "c", "n", "mins", "grams"])
+            cols = [pa.array(sets.ids()), pa.array(n, pa.int64()), pa.array(grams, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], *cols], names=[*keep, "c", "n", "grams"])
 
     source = docs.select(*keep, text)
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.select(*keep).schema)
-    return source.mapInArrow(run, schema + "c long, n long, mins array<long>, grams array<long>")
+    return source.mapInArrow(run, schema + "c long, n long, grams array<long>")
+
+
+@dataclass(frozen=True)
+class Order:
+    """The global order: ``last`` are the common n-grams, sorted, ``rank`` their places among each other."""
 
+    last: np.ndarray
+    rank: np.ndarray
 
-def common(found: DataFrame) -> np.ndarray:
-    """The commonest n-grams of the sampled classes, sorted. They only shape the order, so a
-    sample and a bound cannot lose a pair."""
+    def sort(self, s: np.ndarray) -> tuple[np.ndarray, int]:
+        """Sorted n-grams in the global order, and how many of them are rare."""
+        if not len(self.last):
+            return s, len(s)
+        at = np.minimum(np.searchsorted(self.last, s), len(self.last) - 1)
+        late = self.last[at] == s
+        if not late.any():
+            return s, len(s)
+        return np.concatenate([s[~late], s[late][np.argsort(self.rank[at[late]])]]), int((~late).sum())
+
+
+def global_order(found: DataFrame) -> Order:
+    """The commonest n-grams of the sampled classes. They only shape the order, so a sample and a
+    bound cannot lose a pair."""
     sampled = found.where("grams is not null").groupBy("c").agg(F.first("grams").alias("grams"))
     seen = sampled.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("k")).where(F.col("k") >= SEEN)
     top = seen.orderBy(F.desc("k"), "g").limit(COMMON).select("g").toArrow()
-    return np.sort(top.column("g").to_numpy().astype(np.int64).view(U64))
+    g = top.column("g").to_numpy().astype(np.int64).view(U64)
+    place = np.argsort(g)
+    return Order(g[place], (len(g) - place).astype(np.int32))
 
 
-def postings(docs: DataFrame, text: str, last: np.ndarray) -> DataFrame:
-    """``(g, c, n)``: the prefix of every class in the global order. A task skips classes it had."""
+def postings(docs: DataFrame, text: str, order: Order) -> DataFrame:
+    """``(g, c, n, p)``: the prefix of every class in the global order, with the places from 0. A task
+    skips classes it had."""
 
     def run(batches):
         had: set[int] = set()
         for _, texts in chunks(batches, text, BATCH):
             sets = Sets(texts)
-            out, which, size = [], [], []
+            out, which, size, place = [], [], [], []
             for i, c in enumerate(sets.key.tolist()):
                 if c == 0 or c in had:
                     continue
                 if len(had) < REMEMBERED:
                     had.add(c)
-                s = sets.grams(i)
-                if len(last):
-                    at = np.minimum(np.searchsorted(last, s), len(last) - 1)
-                    late = last[at] == s
-                    if late.any():
-                        s = np.concatenate([s[~late], s[late]])
+                s, _ = order.sort(sets.grams(i))
                 p = prefix(len(s))
                 out.append(s[:p])
                 which.append(np.full(p, c, U64))
-                size.append(np.full(p, len(s), np.int64))
+                size.append(np.full(p, len(s), np.int32))
+                place.append(np.arange(p, dtype=np.int32))
             if out:
-                cols = [pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(which).view(np.int64)), pa.array(np.concatenate(size))]
-                yield pa.RecordBatch.from_arrays(cols, names=["g", "c", "n"])
+                cols = [pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(which).view(np.int64)), pa.array(np.concatenate(size)), pa.array(np.concatenate(place))]
+                yield pa.RecordBatch.from_arrays(cols, names=["g", "c", "n", "p"])
 
-    return docs.select(text).mapInArrow(run, "g long, c long, n long")
+    return docs.select(text).mapInArrow(run, "g long, c long, n int, p int")
 
 
-def fragments(docs: DataFrame, text: str, needed: DataFrame) -> DataFrame:
-    """``(c, parts)``: for the classes in ``needed``, the n-grams of each fragment, packed.
+def fragments(docs: DataFrame, text: str, needed: DataFrame, order: Order, number: int) -> DataFrame:
+    """``(c, f, grams)``: what each class in ``needed`` has in each fragment of the global order.
 
-    A filter of fixed size keeps most other classes from being sent; a class that several
+    The last fragment holds the common n-grams, the others equal ranges of the rare ones. A
+    filter of fixed size keeps most other classes from being sent; a class that several
     documents have is kept once.
     """
     at = F.pmod(F.col("c"), F.lit(FILTER_BITS))
@@ -179,72 +204,62 @@ def fragments(docs: DataFrame, text: str, needed: DataFrame) -> DataFrame:
     bits = np.zeros(FILTER_BITS // 64, U64)
     set_words = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     bits[set_words.column("w").to_numpy()] = set_words.column("b").to_numpy().view(U64)
-    packed = bits.view(np.uint8)
 
     def run(batches):
-        flag = np.unpackbits(packed, bitorder="little").astype(bool)
-        cuts = np.array([(k << 64) // FRAGMENTS for k in range(1, FRAGMENTS)], dtype=U64)
+        cuts = np.array([(k << 64) // (number - 1) for k in range(1, number - 1)], dtype=U64)
         had: set[int] = set()
         for _, texts in chunks(batches, text, BATCH):
             sets = Sets(texts)
-            want = flag[(sets.key & U64(FILTER_BITS - 1)).astype(np.int64)] & (sets.key != 0)
-            c, parts = [], []
-            for i in np.flatnonzero(want).tolist():
+            low = sets.key & U64(FILTER_BITS - 1)
+            want = (bits[(low >> U64(6)).astype(np.int64)] >> (low & U64(63))) & U64(1)
+            c, f, parts = [], [], []
+            for i in np.flatnonzero((want != 0) & (sets.key != 0)).tolist():
                 k = int(sets.ids()[i])
                 if k in had:
                     continue
                 if len(had) < REMEMBERED:
                     had.add(k)
-                s = sets.grams(i)
-                c.append(k)
-                parts.append([p.tobytes() for p in np.split(s, np.searchsorted(s, cuts))])
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(parts, pa.list_(pa.binary()))], names=["c", "parts"])
-
-    sent = docs.select(text).mapInArrow(run, "c long, parts array<binary>")
-    return sent.groupBy("c").agg(F.first("parts").alias("parts"))
+                s, rare = order.sort(sets.grams(i))
+                ends = [0, *np.searchsorted(s[:rare], cuts).tolist(), rare, len(s)]
+                for x in range(number):
+                    if ends[x + 1] > ends[x]:
+                        c.append(k)
+                        f.append(x)
+                        parts.append(s[ends[x] : ends[x + 1]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(f, pa.int32()), pa.array(parts, pa.list_(pa.int64()))], names=["c", "f", "grams"])
 
+    sent = docs.select(text).mapInArrow(run, "c long, f int, grams array<long>")
+    return sent.groupBy("c", "f").agg(F.first("grams").alias("grams"))
 
-def linked(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """The pairs ``(c1, c2, n1, n2)`` that reach the similarity, by overlaps counted in each fragment and summed."""
 
-    def overlap(a: list[bytes], b: list[bytes]) -> list[int]:
-        return [len(np.intersect1d(np.frombuffer(x, U64), np.frombuffer(y, U64), assume_unique=True)) for x, y in zip(a, b)]
+def linked(pairs: DataFrame, parts: DataFrame, number: int) -> DataFrame:
+    """The pairs ``(c1, c2)`` that reach the similarity, by overlaps counted in each fragment and summed.
 
-    def run(batches):
-        for batch in batches:
-            for place in range(0, batch.num_rows, 256):
-                part = batch.slice(place, 256)
-                counts = [overlap(a, b) for a, b in zip(part.column("p1").to_pylist(), part.column("p2").to_pylist())]
-                cols = [part.column(k) for k in ("c1", "c2", "n1", "n2")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.list_(pa.int64()))], names=["c1", "c2", "n1", "n2", "counts"])
-
-    each = pairs.join(parts.toDF("c1", "p1"), "c1").join(parts.toDF("c2", "p2"), "c2")
-    counted = each.select("c1", "c2", "n1", "n2", "p1", "p2").mapInArrow(run, "c1 long, c2 long, n1 long, n2 long, counts array<long>")
-    summed = counted.withColumn("o", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).drop("counts")
-    return summed.where(F.col("o") * 100 >= (F.col("n1") + F.col("n2") - F.col("o")) * PERCENT)
+    A row is one fragment of one pair. ``parts`` is materialised, so that adaptive execution can
+    split the rows of a class that many pairs have.
+    """
+    each = pairs.select("c1", "c2", "n1", "n2", F.explode(F.sequence(F.lit(0), F.lit(number - 1))).alias("f"))
+    each = each.join(parts.toDF("c1", "f", "g1"), ["c1", "f"]).join(parts.toDF("c2", "f", "g2"), ["c2", "f"])
+    counted = each.select("c1", "c2", "n1", "n2", F.size(F.array_intersect("g1", "g2")).alias("o"))
+    summed = counted.groupBy("c1", "c2", "n1", "n2").agg(F.sum("o").alias("o"))
+    return summed.where(F.col("o") * 100 >= (F.col("n1") + F.col("n2") - F.col("o")) * PERCENT).select("c1", "c2")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("c1").alias("c")).distinct().unionByName(pairs.select(F.col("c2").alias("c")).distinct()).distinct()
 
 
-def sketch_pairs(found: DataFrame) -> DataFrame:
-    """``(c1, c2, n1, n2)``: each class with the most typical class that shares sketches with it.
+def star_pairs(lists: DataFrame) -> DataFrame:
+    """``(c1, c2, n1, n2)``: each class with the most typical class that it meets. One pair a class.
 
-    The typical class of a sketch value is the one whose own values are the most widely shared;
-    of a class's typical ones the one with most values in common is taken. One pair a class.
+    A class is the more typical, the more classes have the n-grams of its prefix; each n-gram
+    has one most typical class, and of those that a class meets the one it meets most often is taken.
     """
-    one = found.where("n > 0").groupBy("c").agg(F.first("n").alias("n"), F.first("mins").alias("mins"))
-    each = cut(one.select("c", "n", F.posexplode("mins").alias("b", "v")))
-    # the low bits of the count's order are the class, so that a tie has one winner
-    shared = cut(each.groupBy("b", "v").agg(F.count("*").alias("k")).where("k > 1"))
-    each = cut(each.join(shared, ["b", "v"]))
-    release(found.sparkSession)
-    weight = each.groupBy("c").agg(F.sum("k").alias("w"))
-    each = cut(each.join(weight, "c"))
-    top = cut(each.groupBy("b", "v").agg(F.max(F.struct("w", "c", "n")).alias("t")).select("b", "v", F.col("t.c").alias("tc"), F.col("t.n").alias("tn"), F.col("t.w").alias("tw")))
-    met = each.join(top, ["b", "v"]).where("c <> tc").where(near_in_size(F.col("n"), F.col("tn")))
-    agree = met.groupBy("c", "n", "tc", "tn", "tw").agg(F.count("*").alias("k")).where("k > 1")
+    weight = cut(lists.groupBy("c").agg(F.sum("m").alias("w")))
+    each = cut(lists.select("g", "c", "n").join(weight, "c"))
+    top = cut(each.groupBy("g").agg(F.max(F.struct("w", "c", "n")).alias("t")).select("g", F.col("t.c").alias("tc"), F.col("t.n").alias("tn"), F.col("t.w").alias("tw")))
+    met = each.join(top, "g").where("c <> tc").where(near_in_size(F.col("n"), F.col("tn")))
+    agree = met.groupBy("c", "n", "tc", "tn", "tw").agg(F.count("*").alias("k"))
     best = agree.groupBy("c", "n").agg(F.max(F.struct("k", "tw", "tc", "tn")).alias("t"))
     return best.select(F.col("c").alias("c1"), F.col("t.tc").alias("c2"), F.col("n").alias("n1"), F.col("t.tn").alias("n2"))
 
@@ -255,16 +270,38 @@ def _with_component(df: DataFrame, component: DataFrame, column: str, name: str)
 
 
 def candidate_pairs(lists: DataFrame, component: DataFrame) -> DataFrame:
-    """Pairs across components that share at least the required number of prefix n-grams."""
-    rows = cut(_with_component(lists, component, "c", "k"))
-    mixed = rows.groupBy("g").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("g")
-    rows = rows.join(mixed, "g", "left_semi")
-    rows = cut(rows.join(rows.groupBy("c").agg(F.count("*").alias("m")), "c"))
-    a, b = (rows.select("g", *[F.col(x).alias(f"{x}{i}") for x in ("c", "n", "k", "m")]) for i in (1, 2))
-    reach = required(F.col("n1"), F.col("n2")) <= F.least("m1", "m2")
-    both = a.join(b, "g").where(F.col("c1") < F.col("c2")).where("k1 <> k2").where(near_in_size(F.col("n1"), F.col("n2"))).where(reach)
-    counted = both.groupBy("c1", "c2", "n1", "n2").agg(F.count("*").alias("s"))
-    return counted.where(F.col("s") >= required(F.col("n1"), F.col("n2")))
+    """``(c1, c2, n1, n2)``: pairs across components that meet at an n-gram of both their prefixes.
+
+    Each row of an n-gram outside its largest component looks for partners, in the size buckets that
+    its place allows; the largest component only answers.
+    """
+    total = 100 + PERCENT
+    rows = _with_component(lists, component, "c", "k")
+    by = rows.groupBy("g", "k").agg(F.count("*").alias("m"), F.min("n").alias("low"), F.max("n").alias("high"))
+    heads = by.groupBy("g").agg(F.max(F.struct("m", "k")).alias("t"), F.count("*").alias("parts"), F.min("low").alias("low"), F.max("high").alias("high"))
+    heads = cut(heads.where("parts > 1").select("g", F.col("t.k").alias("d"), "low", "high"))
+    met = cut(rows.join(heads, "g"))
+    bucket = lambda n: F.floor(F.log(n.cast("double")) * BUCKETS).cast("int")
+    n, p = F.col("n").cast("long"), F.col("p").cast("long")
+    least = F.greatest(F.col("low").cast("long"), F.ceil(n * PERCENT / 100 - 1e-9))
+    most = F.least(F.col("high").cast("long"), F.floor(n * 100 / PERCENT + 1e-9), F.floor((n * 100 - p * total) / PERCENT + 1e-9))
+    x = met.where("k <> d").select("g", "c", "n", "k", least.alias("least"), most.alias("most")).where("least <= most")
+    x = x.withColumn("z", F.explode(F.sequence(bucket(F.col("least")), bucket(F.col("most")))))
+    y = met.select("g", F.col("c").alias("yc"), F.col("n").alias("yn"), F.col("p").alias("yp"), F.col("k").alias("yk"), F.col("d").alias("yd"), bucket(F.col("n")).alias("z"))
+    fits = F.col("yn").between(F.col("least"), F.col("most")) & ((F.col("yn").cast("long") * 100 - F.col("yp").cast("long") * total) >= F.col("n").cast("long") * PERCENT)
+    both = x.join(y, ["g", "z"]).where("k <> yk").where((F.col("yk") == F.col("yd")) | (F.col("c") < F.col("yc"))).where(fits)
+    first = F.col("c") < F.col("yc")
+    ends = [F.when(first, F.col(a)).otherwise(F.col(b)).alias(f"{name}{i}") for name in ("c", "n") for i, (a, b) in enumerate([(name, f"y{name}"), (f"y{name}", name)], 1)]
+    return both.select(*ends).distinct()
+
+
+def narrowed(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The pairs whose prefixes share as many n-grams as similar sets of their sizes must.
+
+    ``held`` has ``c`` and the n-grams of its prefix that other classes have too.
+    """
+    both = pairs.join(held.toDF("c1", "h1"), "c1").join(held.toDF("c2", "h2"), "c2")
+    return both.where(F.size(F.array_intersect("h1", "h2")) >= required(F.col("n1"), F.col("n2"))).select("c1", "c2", "n1", "n2")
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", trace: Callable[[str, DataFrame], None] | None = None) -> DataFrame:
@@ -286,36 +323,29 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     found = step(classes(docs, text, [key]))
     narrow = docs.select(text)
+    number = max(FRAGMENTS, -(-(found.agg(F.max("n")).first()[0] or 0) // PART))
+    order = global_order(found)
+    # n-grams that several classes have in their prefixes
+    every = Window.partitionBy("g")
+    lists = postings(narrow, text, order).withColumn("_a", F.min("c").over(every)).withColumn("_b", F.max("c").over(every))
+    lists = step(lists.withColumn("m", F.count("*").over(every)).where("_a <> _b").select("g", "c", "n", "p", "m").distinct())
+    held = step(lists.groupBy("c").agg(F.collect_list("g").alias("held")))  # a prefix at most
     # near copies to their most typical class
-    stars = step(sketch_pairs(found))
-    links = step(linked(stars, fragments(narrow, text, _ends(stars))).select("c1", "c2"))
+    stars = step(narrowed(cut(star_pairs(lists)), held))
+    links = step(linked(stars, step(fragments(narrow, text, _ends(stars), order, number)), number))
     component = step(connected_components(links, "c1", "c2"))
-    # lists of n-grams that several classes have in their prefixes
-    every = Window.partitionBy("g")
-    lists = postings(narrow, text, common(found)).withColumn("_a", F.min("c").over(every)).withColumn("_b", F.max("c").over(every))
-    lists = step(lists.where("_a <> _b").select("g", "c", "n").distinct())
+    # whatever else may link across components
     pairs = step(candidate_pairs(lists, component))
+    kept = step(narrowed(pairs, held))
     if trace:
+        trace("lists", lists)
         trace("stars", stars)
         trace("links", links)
-        trace("lists", lists)
         trace("pairs", pairs)
-    if pairs.head(1):
-        parts = step(fragments(narrow, text, _ends(pairs)))
-        # each class with the one it shares most with; then what still lies across components
-        ways = pairs.select("c1", "c2", "n1", "n2", "s", F.col("c1").alias("c")).unionByName(pairs.select("c1", "c2", "n1", "n2", "s", F.col("c2").alias("c")))
-        best = ways.groupBy("c").agg(F.max(F.struct("s", "c1", "c2", "n1", "n2")).alias("p")).select("p.c1", "p.c2", "p.n1", "p.n2").distinct()
-        more = step(linked(best, parts).select("c1", "c2"))
-        joined = links.unionByName(more)
-        component = step(connected_components(joined, "c1", "c2"))
-        rest = _with_component(_with_component(pairs, component, "c1", "k1"), component, "c2", "k2").where("k1 <> k2")
-        rest = step(rest.select("c1", "c2", "n1", "n2").join(best.select("c1", "c2"), ["c1", "c2"], "left_anti"))
-        if trace:
-            trace("more", more)
-            trace("rest", rest)
-        if rest.head(1):
-            joined = joined.unionByName(linked(rest, parts).select("c1", "c2"))
-            component = step(connected_components(cut(joined), "c1", "c2"))
+        trace("kept", kept)
+    if kept.head(1):
+        more = linked(kept, step(fragments(narrow, text, _ends(kept), order, number)), number)
+        component = step(connected_components(step(links.unionByName(more)), "c1", "c2"))
     low = found.where("n > 0").groupBy("c").agg(F.min(key).alias("low"))
     low = step(_with_component(low, component, "c", "k"))
     smallest = step(low.groupBy("k").agg(F.min("low").alias("component_id")))
