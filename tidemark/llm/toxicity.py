@@ -110,7 +110,7 @@ class Lexicon:
 
     terms: list[str]
     stems: list[str]
-    keep: int = 1 << 20
+    keep: int = 1 << 17
     _seen: dict = field(default_factory=dict, repr=False)
     _made: tuple | None = field(default=None, repr=False)
 
