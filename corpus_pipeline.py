@@ -1,13 +1,17 @@
 """A corpus pipeline from five of the operators: filter, de-duplicate, mix, tokenise.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame. All but the last return the
-columns of ``documents``.
+columns of ``documents``, with whatever other columns the corpus has: those are set aside under
+names of their own while an operator runs, so none is overwritten. Null and empty texts are
+texts without words: clean, scored by the models as such, linked with nothing, and never drawn
+by the mix, whose sizes they do not change. An empty table gives an empty result at every stage.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,16 +20,27 @@ from tidemark.llm import bpe, mixing, ngrams, quality, toxicity
 from tidemark.session import table
 
 
+#: Columns that the operators read.
+READ = ("doc_id", "text", "source")
+
+
+def _aside(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work(docs)`` in the columns of ``docs``; columns that no operator reads are hidden from it."""
+    names = {c: f"corpus column {i}" for i, c in enumerate(docs.columns) if c not in READ}
+    hidden = docs.withColumnsRenamed(names)
+    return work(hidden).select(*hidden.columns).withColumnsRenamed({v: k for k, v in names.items()})
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier does not reject."""
+    """Documents that the toxicity classifier does not reject; repeated rows are judged alike."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.classify(docs, model).where("predicted = 0").select(*docs.columns)
+    return _aside(docs, lambda d: toxicity.classify(d, model).where("predicted = 0"))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality ranking puts above its cut."""
+    """Documents that the quality ranking puts above its cut; repeated rows are judged alike."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.classify(docs, model).where("predicted = 1").select(*docs.columns)
+    return _aside(docs, lambda d: quality.classify(d, model).where("predicted = 1"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,12 +55,12 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources' documents at their target weights, each row as often as it is drawn."""
-    return mixing.emit(mixing.mix(docs), docs.columns)
+    """The sources' documents at their target weights, each row as often as it is drawn (0, 1 or 2 times)."""
+    return _aside(docs, lambda d: mixing.emit(mixing.mix(d), d.columns))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded bytes."""
+    """``doc_id`` with token counts and digests of ids and decoded bytes, a row for each row of ``docs``."""
     return bpe.digests(docs, bpe.default_path())
 
 
