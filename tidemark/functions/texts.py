@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,20 +11,30 @@ from tidemark.functions.scalars import md5_number
 
 
 def normal_key(text: Column) -> Column:
-    """A hash of letters and digits alone, lower-cased: spellings of one item collapse."""
-    return F.md5(F.regexp_replace(F.lower(text), "[^a-z0-9]", ""))
+    """A hash of letters and digits alone, of any script, lower-cased: spellings of one item
+    collapse. Null where nothing is left, so that such texts are no family."""
+    return F.md5(F.nullif(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", ""), F.lit("")))
 
 
-def ascii_words(text: Column) -> Column:
-    """Lower-case runs of ASCII letters and digits."""
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0)
+def words(text: Column) -> Column:
+    """Lower-case runs of letters (with their marks) and digits of any script."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}\p{N}]+"), 0)
 
 
-def windows(words: Column, width: int) -> Column:
-    """All windows of ``width`` words, joined by a space; fewer words give none."""
+def _windows(words: Column, width: int, of: Callable[[list[Column]], Column]) -> Column:
     n = F.greatest(F.size(words) - width + 1, F.lit(0))
     shifted = F.arrays_zip(*[F.slice(words, k + 1, n).alias(f"w{k}") for k in range(width)])
-    return F.transform(shifted, lambda s: F.concat_ws(" ", *[s[f"w{k}"] for k in range(width)]))
+    return F.transform(shifted, lambda s: of([s[f"w{k}"] for k in range(width)]))
+
+
+def windows(words: Column, width: int) -> Column:
+    """All windows of ``width`` words, joined by a space; fewer words give none."""
+    return _windows(words, width, lambda w: F.concat_ws(" ", *w))
+
+
+def window_hashes(words: Column, width: int) -> Column:
+    """A 64-bit hash of each window of ``width`` words; fewer words give none."""
+    return _windows(words, width, lambda w: F.xxhash64(*w))
 
 
 def fingerprint(words: Column, width: int = 3, bits: int = 2048) -> Column:
@@ -30,6 +42,25 @@ def fingerprint(words: Column, width: int = 3, bits: int = 2048) -> Column:
     return F.array_sort(F.array_distinct(F.transform(windows(words, width), lambda w: F.pmod(md5_number(w), F.lit(bits)).cast("int"))))
 
 
+def descriptors(text: Column) -> list[Column]:
+    """Numeric descriptors of a text; ratios of an empty or null text are 0."""
+    t = F.coalesce(text, F.lit(""))
+    size = F.length(t)
+    share = lambda pattern: F.when(size > 0, F.regexp_count(t, F.lit(pattern)) / size).otherwise(0.0)
+    w = words(t)
+    return [
+        size.cast("long").alias("length"),
+        F.size(w).cast("long").alias("n_words"),
+        F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
+        F.size(F.split(t, "\n")).cast("long").alias("n_lines"),
+        F.when(F.size(w) > 0, F.aggregate(w, F.lit(0).cast("long"), lambda s, x: s + F.length(x)) / F.size(w)).otherwise(0.0).alias("word_length"),
+        share(r"\p{Lu}").alias("upper"),
+        share(r"\p{N}").alias("digits"),
+        share(r"[^\p{L}\p{M}\p{N}\s]").alias("marks"),
+        share(r"\s").alias("spaces"),
+    ]
+
+
 def core_text(docs: DataFrame, key: str, text: str, least_df: int = 3, least_length: int = 20) -> DataFrame:
     """``(key, core_key, n_removed)``: lines that stand in ``least_df`` texts or more are decoration.
 

@@ -66,31 +66,61 @@ def assert_no_percolation(assigned: DataFrame, most: float = 0.20, least_nodes:
         raise PercolationError(f"largest family: {sizes['top']} of {sizes['all']}")
 
 
-def similar_pairs(sets: DataFrame, least: float, node: str = "node", items: str = "items") -> DataFrame:
+def set_classes(sets: DataFrame, node: str = "node", items: str = "items") -> tuple[DataFrame, DataFrame]:
+    """Equal sets as one class: ``(rep, n, items)`` by class, and ``(rep, node)`` for all others.
+
+    A class is found by 128 bits of its sorted items; members meet their representative by that
+    key, so no list of members is ever built. Sets without items belong to no class.
+    """
+    keyed = sets.where(F.size(items) > 0).select(F.col(node).alias("node"), F.array_sort(F.array_distinct(F.col(items))).alias("items"))
+    keyed = keyed.withColumn("_a", F.xxhash64("items")).withColumn("_b", F.xxhash64("items", F.lit(1)))
+    low = cut(keyed.groupBy("_a", "_b").agg(F.min("node").alias("rep")))
+    members = cut(keyed.join(low, ["_a", "_b"]).select("rep", "node", F.when(F.col("rep") == F.col("node"), F.col("items")).alias("items")))
+    return members.where("items is not null").select("rep", F.size("items").alias("n"), "items"), members.where("rep <> node").select("rep", "node")
+
+
+def similar_pairs(sets: DataFrame, least: float = 0.75, node: str = "node", items: str = "items", common: int = 65_536, seen: int = 32) -> DataFrame:
     """C14: ``(a, b, similarity)``, a < b, of sets with Jaccard of at least ``least``.
 
-    Equal sets are one. Items stand rarest first; similar sets share one of their first
-    ``n - ceil(least n) + 1`` items and are near in size. Sets without items link with nothing.
+    Equal sets are one, each member paired with its representative. Items stand in one order:
+    rare ones by value, then the ``common`` commonest (of those in ``seen`` sets or more, a broadcast of
+    half a megabyte) by rising frequency. Of two similar sets the first shared item stands, in
+    both, early enough to leave room for the overlap that their sizes require, so only prefixes are
+    joined; what meets is verified exactly.
     """
-    one = cut(sets.where(F.size(items) > 0).withColumn("_s", F.array_sort(F.array_distinct(F.col(items)))).groupBy("_s").agg(F.min(node).alias("rep"), F.collect_list(node).alias("all")))
-    long = one.select("rep", F.size("_s").alias("n"), F.explode("_s").alias("item"))
-    rare = long.groupBy("item").agg(F.count("*").alias("df"))
-    ranked = long.join(rare, "item").withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("df", "item")))
-    head = cut(ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).where("df > 1").select("rep", "n", "item"))
-    a, b = head.toDF("a", "na", "item"), head.toDF("b", "nb", "item")
+    one, others = set_classes(sets, node, items)
+    long = one.select("rep", "n", F.explode("items").alias("item"))
+    often = long.groupBy("item").agg(F.count("*").alias("df")).where(F.col("df") >= seen).orderBy(F.desc("df"), "item").limit(common)
+    placed = long.join(F.broadcast(often), "item", "left").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "item"))).alias("o"))
+    reach = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1
+    head = placed.select("rep", "n", F.posexplode(F.slice("o", F.lit(1), reach.cast("int"))).alias("p", "x")).select("rep", "n", "p", "x.item")
+    head = cut(head.withColumn("_m", F.count("*").over(Window.partitionBy("item"))).where("_m > 1").drop("_m"))
+    a, b = (head.toDF(*[f"{x}{i}" for x in ("rep", "n", "p")], "item") for i in ("a", "b"))
+    o = F.ceil((F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9)
     near = (F.col("na") >= least * F.col("nb") - 1e-9) & (F.col("nb") >= least * F.col("na") - 1e-9)
-    pairs = a.join(b, "item").where("a < b").where(near).select("a", "b").distinct()
-    body = one.select(F.col("rep"), "_s")
+    early = (F.col("pa") + o <= F.col("na")) & (F.col("pb") + o <= F.col("nb"))
+    pairs = a.join(b, "item").where("repa < repb").where(near & early).select(F.col("repa").alias("a"), F.col("repb").alias("b")).distinct()
+    body = one.select("rep", "items")
     pairs = pairs.join(body.toDF("a", "sa"), "a").join(body.toDF("b", "sb"), "b")
     inter = F.size(F.array_intersect("sa", "sb"))
-    j = inter / (F.size("sa") + F.size("sb") - inter)
-    between = pairs.withColumn("similarity", j).where(F.col("similarity") >= least - 1e-12).select("a", "b", "similarity")
-    # equal sets: each member with the representative
-    same = one.select(F.col("rep").alias("a"), F.explode("all").alias("b"), F.lit(1.0).alias("similarity")).where("a <> b")
-    return between.unionByName(same)
+    between = pairs.select("a", "b", (inter / (F.size("sa") + F.size("sb") - inter)).alias("similarity")).where(F.col("similarity") >= least - 1e-12)
+    return between.unionByName(others.select(F.col("rep").alias("a"), F.col("node").alias("b"), F.lit(1.0).alias("similarity")))
 
 
-def similarity_families(keys: DataFrame, node: str, columns: list[str], sets: DataFrame, least: float = 0.70) -> DataFrame:
+def similarity_families(keys: DataFrame, node: str, columns: list[str], sets: DataFrame, least: float = 0.75) -> DataFrame:
     """Families over shared keys and set similarity."""
     near = similar_pairs(sets, least).select(F.col("b").alias("src"), F.col("a").alias("dst"))
     return families(keys, node, star_edges(keys, node, columns).select("src", "dst").unionByName(near))
+
+
+def joint_families(queries: DataFrame, pool: DataFrame, node: str, exact: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Families over queries and pool together, one node for each exact key; both sides with ``family_id``.
+
+    A key's node is its first row, queries before pool, then by id. A row without an exact key
+    is a node of its own. Family ids are the node ids ``q:<id>`` and ``p:<id>``.
+    """
+    rows = [side.withColumn("_n", F.concat(F.lit(f"{mark}:"), F.col(node).cast("string"))).withColumn("_x", F.coalesce(F.nullif(F.trim(exact), F.lit("")), F.concat(F.lit("~"), "_n"))).withColumn("_side", F.lit(i)) for i, (side, mark) in enumerate(((queries, "q"), (pool, "p")))]
+    both = rows[0].select("_side", "_x", "_n", node, *columns).unionByName(rows[1].select("_side", "_x", "_n", node, *columns))
+    first = cut(both.groupBy("_x").agg(F.min_by(F.struct("_n", *columns), F.struct("_side", node)).alias("f")).select("_x", "f.*"))
+    assigned = cut(families(first, "_n", star_edges(first, "_n", columns)).select("_x", "family_id"))
+    return tuple(side.join(assigned, "_x").drop("_x", "_n", "_side") for side in rows)

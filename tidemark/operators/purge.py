@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tidemark.functions.texts import window_hashes, words
+from tidemark.operators.ranking import cumulative
+from tidemark.session import cut
+
 KEYS = ["skeleton", "core", "normal", "family"]
 
 
@@ -27,6 +31,27 @@ def purge_status(pool: DataFrame, blacklist: DataFrame, exact: str = "exact_key"
     return marked.withColumn("status", F.when(F.col("_e"), "exact").when(F.col("_p"), "prefix").otherwise("kept")).drop("_e", "_p", f"_{exact}", f"_{prefix}")
 
 
+def shared_passages(pool: DataFrame, blacklist: DataFrame, key: str, text: str = "text", width: int = 8, small: int = 1_000_000) -> DataFrame:
+    """``(key, n_shared)``: how many distinct windows of ``width`` words a pool text shares with the
+    blacklist's texts; texts that share none have no row.
+
+    Windows are 64-bit hashes. Up to ``small`` distinct ones, counted first, are broadcast to the
+    scan of the pool, so only hits are shuffled; more are met in a shuffle join.
+    """
+    hashes = lambda df: F.explode(F.array_distinct(window_hashes(words(df[text]), width))).alias("_w")
+    held = cut(blacklist.select(hashes(blacklist)).distinct())
+    met = F.broadcast(held) if held.count() <= small else held
+    return pool.select(key, hashes(pool)).join(met, "_w", "left_semi").groupBy(key).agg(F.count("*").alias("n_shared"))
+
+
+def purge_texts(pool: DataFrame, blacklist: DataFrame, key: str, text: str = "text", width: int = 8) -> DataFrame:
+    """``pool`` with ``n_shared`` and ``status``: ``exact`` if the blacklist holds the whole text, ``passage`` if it
+    shares a window of ``width`` words, else ``kept``. Null texts match nothing."""
+    exact = blacklist.select(F.md5(text).alias("_x")).where("_x is not null").distinct().withColumn("_e", F.lit(True))
+    marked = pool.withColumn("_x", F.md5(text)).join(exact, "_x", "left").join(shared_passages(pool, blacklist, key, text, width), key, "left")
+    return marked.withColumn("n_shared", F.coalesce("n_shared", F.lit(0))).withColumn("status", F.when(F.col("_e"), "exact").when(F.col("n_shared") > 0, "passage").otherwise("kept")).drop("_x", "_e")
+
+
 def purge_report(status: DataFrame, universe: DataFrame, entity: str = "entity_id") -> DataFrame:
     """Kept and dropped rows and drop rate of every entity of the universe, those without rows too."""
     n = status.groupBy(entity).agg(F.count_if(F.col("status") == "kept").alias("kept"), F.count_if(F.col("status") != "kept").alias("dropped"))
@@ -35,6 +60,16 @@ def purge_report(status: DataFrame, universe: DataFrame, entity: str = "entity_i
     return out.withColumn("rate", F.when(total > 0, F.col("dropped") / total).otherwise(0.0))
 
 
+def purge_sizes(report: DataFrame) -> DataFrame:
+    """Over the entities of a report: their number, the smallest and upper median of kept rows,
+    and how many have none (upper median: the element at index ``floor(n / 2)`` of the sorted sizes)."""
+    per = report.groupBy("kept").agg(F.count("*").alias("_n"))
+    c = cumulative(per, "kept", ["_n"]).crossJoin(F.broadcast(per.agg(F.sum("_n").alias("_all"))))  # a row for each size
+    upper = c.agg(F.min(F.when(F.col("_n_upto") > F.floor(F.col("_all") / 2), F.col("kept"))).alias("upper_median"))
+    one = report.agg(F.count("*").alias("entities"), F.min("kept").alias("smallest"), F.count_if(F.col("kept") == 0).alias("zero"))
+    return one.crossJoin(F.broadcast(upper))
+
+
 def membership(rows: DataFrame, keys: DataFrame, key: str, flag: str) -> DataFrame:
     """Whether a row's key is among the keys; false for none."""
     known = keys.select(key).where(F.col(key).isNotNull()).distinct().withColumn(flag, F.lit(True))
@@ -80,6 +115,11 @@ def key_overlap(queries: DataFrame, pool: DataFrame, key: str) -> DataFrame:
     return membership(q, pool, key, "_in").agg(F.count("*").alias("n"), F.count_if("_in").alias("shared"), F.avg(F.col("_in").cast("double")).alias("rate"))
 
 
+def overlap_gate(queries: DataFrame, pool: DataFrame, key: str, most: float = 0.05) -> DataFrame:
+    """The share of the queries' distinct keys that the pool has, and whether it is at most ``most``."""
+    return key_overlap(queries, pool, key).withColumn("passed", F.coalesce(F.col("rate") <= most, F.lit(True)))
+
+
 def audit(rows: DataFrame, flags: dict[str, Column]) -> DataFrame:
     """How many rows have each flag, and the percentage, in one pass."""
     aggs = [F.count("*").alias("_n")] + [F.count_if(c).alias(k) for k, c in flags.items()]

@@ -11,6 +11,7 @@ from pyspark.sql import Window
 
 from tidemark.functions.scalars import md5_number
 from tidemark.operators.ranking import global_rank
+from tidemark.session import cut
 
 # Target shares.
 SHARES = {"test": 0.20, "train": 0.48, "inner": 0.16, "calib": 0.16}
@@ -46,35 +47,56 @@ def assert_units(rows: DataFrame, unit: str, key: str, most: float = 0.80, fatal
     return None
 
 
-def assign_units(sizes: DataFrame, unit: str, seed: int = 7, shares: dict[str, float] = SHARES, heavy: int = 10_000) -> DataFrame:
-    """``(unit, split)``. The ``heavy`` largest units go one by one to the split that lacks most, ties
-    to the greatest name; the others by a hash, in proportion to what is then lacking.
+def greedy_runs(sizes: list[tuple[int, int]], shares: dict[str, float] = SHARES) -> list[tuple[int, int, list[str]]]:
+    """the greedy law for ``(size, units)`` pairs, largest size first, as runs ``(size, start, cycle)``.
 
-    Only the heavy units, a bounded number, reach the driver.
+    Every unit goes to the split that lacks most, ties to the greatest name. Among units of
+    one size the splits that lack nearly the same take turns, so the unit with rank ``r`` of its size
+    goes to ``cycle[(r - start) % len(cycle)]`` of the last run with ``start <= r``.
+    """
+    total = sum(n * k for n, k in sizes)
+    need = {s: round(share * 10_000) * total for s, share in shares.items()}  # ten-thousandths, so sums are exact
+    runs = []
+    for size, units in sizes:
+        step, at = size * 10_000, 0
+        while at < units:
+            order = sorted(need, key=lambda s: (need[s], s), reverse=True)
+            top = need[order[0]]
+            cycle = [s for s in order if need[s] > top - step]
+            others = [need[s] for s in order if s not in cycle]
+            # whole turns during which no other split comes within one step of the first
+            turns = (units - at) // len(cycle)
+            if others:
+                turns = min(turns, max(0, (top - others[0]) // step - 1))
+            if turns == 0:
+                cycle, turns = cycle[:1], 1
+            runs.append((size, at, cycle))
+            for s in cycle:
+                need[s] -= turns * step
+            at += turns * len(cycle)
+    return runs
+
+
+def assign_units(sizes: DataFrame, unit: str, seed: int = 7, shares: dict[str, float] = SHARES) -> DataFrame:
+    """``(unit, split)``: units from the largest, equal ones in a seeded order, each to the split that
+    lacks most, ties to the greatest name.
+
+    One law for every number of units: the driver gets one row for each distinct size, not for
+    each unit, and returns the turns that the splits take among units of that size.
     """
-    spark = sizes.sparkSession
     order = F.md5(F.concat(F.lit(f"{seed}|"), F.col(unit).cast("string")))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    top = sizes.orderBy(F.desc("n"), order, unit).limit(heavy).collect()
-    need = {s: share * total for s, share in shares.items()}
-    chosen = []
-    for r in top:
-        split = max(need, key=lambda s: (need[s], s))
-        need[split] -= r["n"]
-        chosen.append((r[unit], split))
-    kind = sizes.schema[unit].dataType.simpleString()
-    first = spark.createDataFrame(chosen, f"`{unit}` {kind}, split string")
-    if len(top) < heavy:
-        return first
-    left = {s: max(0.0, v) for s, v in need.items()}
-    whole = sum(left.values()) or 1.0
-    u = md5_number(F.concat(F.lit(f"{seed}|"), F.col(unit).cast("string"))) / float(1 << 32)
-    split, upto = F.lit(None).cast("string"), 0.0
-    for s in sorted(left):
-        upto += left[s] / whole
-        split = F.coalesce(split, F.when(u < upto, F.lit(s)))
-    tail = sizes.join(first.select(unit), unit, "left_anti").select(unit, F.coalesce(split, F.lit(max(left))).alias("split"))
-    return first.unionByName(tail)
+    ranked = global_rank(sizes.select(unit, F.col("n").cast("long").alias("_n"), order.alias("_o")), [F.desc("_n"), F.col("_o"), F.col(unit)], "_r")
+    ranked = cut(ranked)
+    per = ranked.groupBy("_n").agg(F.count("*").alias("k"), F.min("_r").alias("first")).orderBy(F.desc("_n")).collect()
+    runs: dict[int, list] = {}
+    for size, start, cycle in greedy_runs([(r["_n"], r["k"]) for r in per], shares):
+        runs.setdefault(size, []).append((start, cycle))
+    rows = [(r["_n"], r["first"], runs.get(r["_n"], [])) for r in per]
+    table = sizes.sparkSession.createDataFrame(rows, "_n long, first long, runs array<struct<start:long,cycle:array<string>>>")
+    r = F.col("_r") - F.col("first")
+    run = F.element_at(F.filter("runs", lambda x: x["start"] <= r), -1)
+    split = F.element_at(run["cycle"], (F.pmod(r - run["start"], F.size(run["cycle"])) + 1).cast("int"))
+    return ranked.join(table, "_n").select(unit, split.alias("split"))
 
 
 def fingerprint(assigned: DataFrame, key: str, split: str = "split") -> DataFrame:
@@ -96,6 +118,11 @@ def summary(rows: DataFrame, unit: str, entity: str) -> DataFrame:
     return rows.groupBy("split").agg(F.count("*").alias("n"), F.countDistinct(unit).alias("units"), F.countDistinct(entity).alias("entities"))
 
 
+def counts(rows: DataFrame, unit: str, key: str = "doc_id") -> DataFrame:
+    """rows, units, and the smallest and largest id of each split."""
+    return rows.groupBy("split").agg(F.count("*").alias("n"), F.countDistinct(unit).alias("units"), F.min(key).alias("first_id"), F.max(key).alias("last_id"))
+
+
 def out_of_fold(rows: DataFrame, folds: DataFrame, group: str, n: int, fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """Every row scored by the model that was fitted without its fold."""
     with_fold = rows.join(folds, group)
