@@ -9,8 +9,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of an Arrow batch between Spark and Python, where the session has not set another number than
+#: Spark's own: rows that hold whole texts are large, and each worker holds some batches at a time.
+ARROW_ROWS = 1_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Gives the session's Python stages batches of ``ARROW_ROWS`` rows, unless it asks for another number."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables; only Spark's reader touches the path."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
