@@ -159,6 +159,30 @@ def test_op4_templates_and_edges(spark):
     assert html.extract(pages.where("false")).count() == 0
 
 
+def test_op4_forms_alone_find_the_frame(spark):
+    """Menus with other words on each page recur by form; a deep long page and clashing columns are rows like any other."""
+    page = "<body><div id='m{0}'><ul><li><a>w{0} x</a></li><li>y{0}</li></ul></div><div><p>{1}</p><p>and {0}</p></div><div>bottom {0}</div></body>"
+    rows = [(i, "http://h/", page.format(i, f"a long text of the page number {i} with many words in it " * 3), 1, 2) for i in range(6)]
+    rows.append((6, "http://h/", "<div>" * 3000 + "deep " * 200_000, 1, 2))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, _host long, _trees long")
+    got = {r.page_id: r for r in html.extract(pages, names=False).collect()}
+    assert [got[i].text for i in range(6)] == [" ".join((f"a long text of the page number {i} with many words in it " * 3).split()) + f"\n\nand {i}" for i in range(6)]
+    assert all(got[i].n_recurring >= 2 and (got[i]._host, got[i]._trees) == (1, 2) for i in range(6))
+    assert got[6].n_chars == 5 * 200_000 - 1
+
+
+def test_op4_recurrence_on_the_table(spark):
+    """Without any list of names recurrence finds the same text on most of the pages, the rest being
+    passages that a host repeats; and both ways of meeting the templates agree."""
+    pages = table(spark, SF.replace("0.001", "0.01"), "pages")
+    named = html.extract(pages).select("page_id", "url", "text", "n_recurring")
+    large = named.groupBy(html.host(F.col("url")).alias("h")).agg(F.count("*").alias("n"), F.count_if(F.col("n_recurring") > 0).alias("k")).where("n >= 8")
+    assert large.count() > 5 and large.where("k < n").count() == 0
+    alone = html.extract(pages, names=False).select("page_id", F.col("text").alias("t"))
+    assert named.join(alone, "page_id").where("text = t").count() >= 0.5 * named.count()
+    assert html.extract(pages, small=0).select(*named.columns).exceptAll(named).count() == 0
+
+
 def test_op5_edges(spark, docs, empty):
     got = sharding.shard(docs, sharding.layout(8), sharding.layout(9)).collect()
     assert len(got) == len(ROWS)

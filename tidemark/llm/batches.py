@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Characters of text handled at once; a longer text is handled alone.
-CHUNK = 1_000_000
+CHUNK = 250_000
 
 U64 = np.uint64
 _P = 0x9E3779B97F4A7C15
@@ -30,6 +31,18 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK, r
                     first, held = i + 1, 0
 
 
+def aside(df: DataFrame, read: Iterable[str], made: Iterable[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work`` on ``df`` with all columns that it does not read under names of their own, then with the old
+    names again. Columns named as those it makes are dropped first, unless it reads them; so no
+    other column can clash with a name that ``work`` uses inside."""
+    read, made = set(read), set(made)
+    df = df.drop(*[c for c in df.columns if c in made - read])
+    names = {c: f"column {i} aside" for i, c in enumerate(df.columns) if c not in read}
+    hidden = df.withColumnsRenamed(names)
+    out = work(hidden)
+    return out.select(*[c for c in out.columns if c in made or c in hidden.columns]).withColumnsRenamed({v: k for k, v in names.items()})
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that scatters them."""
     h = h ^ (h >> U64(33))

@@ -1,4 +1,12 @@
-"""HTML extraction: blocks outside the page's frame, without subtrees that a host repeats."""
+"""HTML extraction: the blocks of a page without the subtrees that its host repeats.
+
+Subtrees are hashed in two ways: with their texts, and by their form alone (tags, classes and ids
+without digits, roles, repeated siblings once, and the path from the page's root). A form that stands around many different main texts
+of a host, and is on average a small part of the page outside its bulk, is the site's frame,
+whatever its texts; a subtree that recurs with its texts is a template wherever it stands,
+except in the running text of a marked article. Lists of tag, role and class names are the prior
+for hosts with too few pages and for frames that occur on few of them.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.batches import chunks
+from tidemark.llm.batches import aside, chunks
 from tidemark.session import cut, table, written
 
 # Element classes of HTML.
@@ -57,7 +65,12 @@ class Node:
     parent: "Node | None"
     frame: bool = False
     main: bool = False
+    label: str = ""
     parts: list = field(default_factory=list)
+    size: int = 0
+    path: int = 0
+    form: int = 0
+    exact: int = 0
 
 
 def parse(page: str) -> Node:
@@ -91,7 +104,7 @@ def parse(page: str) -> Node:
             if up.name == "p":
                 at = up.parent
         node = Node(name, at)
-        node.frame, node.main = _marks(name, m[3], at)
+        node.frame, node.main, node.label = _marks(name, m[3], at)
         at.parts.append(node)
         if name in VOID or m[3].endswith("/"):
             continue
@@ -104,10 +117,11 @@ def parse(page: str) -> Node:
     return root
 
 
-def _marks(name: str, attributes: str, parent: Node) -> tuple[bool, bool]:
-    """Whether an element belongs to the frame of a page, and whether it is its main part."""
+def _marks(name: str, attributes: str, parent: Node) -> tuple[bool, bool, str]:
+    """Whether an element belongs to the frame of a page by its names, whether it is its main part, and
+    its tag with class, id and role, for its form."""
     frame = name in FRAME or name in RAW or (name == "header" and parent.name not in ("article", "main", "section"))
-    main = name in ("article", "main")
+    main, label = name in ("article", "main"), name
     if attributes.strip():
         a = {k.lower(): x or y or z for k, x, y, z in ATTRIBUTE.findall(attributes)}
         role = a.get("role", "").lower()
@@ -115,7 +129,8 @@ def _marks(name: str, attributes: str, parent: Node) -> tuple[bool, bool]:
         hidden = "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", ""))
         main = main or role == "main"
         frame = frame or role in ROLES or bool(hidden) or (bool(names & FRAME_NAMES) and name not in ("html", "body", "article", "main"))
-    return frame, main
+        label = f"{name}.{' '.join(sorted(names))}@{role}"
+    return frame, main, label
 
 
 def mains(root: Node) -> list[Node]:
@@ -141,19 +156,73 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd tr td th tbody th
 WHOLE = frozenset("html body".split())
 
 
-def dissect(page: str) -> tuple[list[tuple[str, list[int]]], list[tuple[int, int]]]:
-    """Blocks of the main parts in page order, and hashes of subtrees that may be templates.
-
-    A block comes with the numbers of the candidate subtrees around it. Candidates are block
-    elements, frames included: what stands around the article counts too. Only running text of a
-    marked article is none.
+def measure(root: Node, names: bool) -> None:
+    """Gives every element the size of its text (frames by name and raw elements count nothing), the
+    hash of its form, and that of its tags and texts."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        node.path = xxhash.xxh64_intdigest(f"{node.parent.path if node.parent else 0:x}>{node.label}".encode("utf-8", "surrogatepass"))
+        todo.extend(p for p in node.parts if isinstance(p, Node))
+    for node in reversed(order):  # children first
+        size, forms, exact = 0, [], [node.name]
+        for p in node.parts:
+            if isinstance(p, Node):
+                size += p.size
+                form = f"{p.form:x}"
+                exact.append(f"<{p.exact:x}>")
+            elif words := p.split():
+                size += sum(map(len, words))
+                form = "t"
+                exact.append(" ".join(words))
+            else:
+                continue
+            if not forms or forms[-1] != form:
+                forms.append(form)
+        node.form = xxhash.xxh64_intdigest(f"{node.label}({','.join(forms)})".encode("utf-8", "surrogatepass"))
+        node.exact = xxhash.xxh64_intdigest(" ".join(exact).encode("utf-8", "surrogatepass"))
+        node.size = 0 if node.name in RAW or (names and node.frame) else size
+
+
+def bulk(root: Node) -> Node:
+    """The deepest element that holds at least half of the page's text."""
+    at = root
+    while True:
+        inner = max((p for p in at.parts if isinstance(p, Node)), key=lambda p: p.size, default=None)
+        if inner is None or inner.size * 2 < max(root.size, 1) or inner.name in PROSE - WHOLE:
+            return at
+        at = inner
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 63)
+
+
+def dissect(page: str, names: bool = True) -> tuple[list[tuple[str, list[int]]], list[tuple[int, int, float, bool]]]:
+    """Blocks of the main parts in page order, and the subtrees that may be templates.
+
+    A block comes with the numbers of the candidate subtrees around it. A candidate is
+    ``(number, hash, share, inside)``: its share of the page's text and whether it lies in its bulk. Candidates are
+    block elements, frames included: by text (share 0, never inside), unless they are running text of
+    a marked article; and by form, unless they are running text at all. Without ``names`` the
+    lists of names mark nothing: only recurrence can tell the frame.
     """
     root = parse(page)
-    tops = mains(root)
+    measure(root, names)
+    tops = mains(root) if names else [root]
     inside = {id(t) for t in tops}
     marked = tops[0] is not root
+    core = inside if marked else {id(bulk(root))}
+    around = set()
+    for t in tops if marked else [bulk(root)]:
+        up = t
+        while up is not None:
+            around.add(id(up))
+            up = up.parent
+    total = max(root.size, 1)
     out: list[tuple[str, list[int]]] = []
-    trees: list[tuple[int, int]] = []
+    trees: list[tuple[int, int, float, bool]] = []
     buffer: list[str] = []
     owners: list[int] = []
 
@@ -164,8 +233,9 @@ def dissect(page: str) -> tuple[list[tuple[str, list[int]]], list[tuple[int, int
             if text:
                 out.append((text, owners.copy()))
 
-    # (node, whether its text is taken); None closes a block, an int closes a candidate
-    todo: list = [(root, False)]
+    # (node, whether its text is taken, whether it is in the bulk); None closes a block, an int closes a candidate
+    todo: list = [(root, False, False)]
+    number = 0
     while todo:
         p = todo.pop()
         if p is None:
@@ -175,7 +245,7 @@ def dissect(page: str) -> tuple[list[tuple[str, list[int]]], list[tuple[int, int
             flush()
             owners.pop()
             continue
-        node, taken = p
+        node, taken, held = p
         if isinstance(node, str):
             buffer.append(node)
             continue
@@ -183,112 +253,121 @@ def dissect(page: str) -> tuple[list[tuple[str, list[int]]], list[tuple[int, int
             if taken:
                 buffer.append(" ")
             continue
-        taken = id(node) in inside or (taken and not node.frame)
+        frame = node.frame if names else node.name in RAW
+        taken = id(node) in inside or (taken and not frame)
+        held = held or id(node) in core
         if node.name in BLOCK:
             if taken:
                 flush()
                 todo.append(None)
+            hashes = []
             if id(node) not in inside and node.name not in (PROSE if marked and taken else WHOLE):
-                number = len(trees)
-                trees.append((number, xxhash.xxh64_intdigest(shape(node).encode("utf-8", "surrogatepass")) - (1 << 63)))
+                hashes.append((number, _signed(node.exact), 0.0, False))
+            if id(node) not in inside and node.name not in PROSE:
+                hashes.append((number, _signed(xxhash.xxh64_intdigest(f"{node.path:x}{node.form:x}".encode())), node.size / total, held or id(node) in around))
+            if hashes:
+                trees.extend(hashes)
                 if taken:
                     owners.append(number)
                     todo.append(number)
+                number += 1
         for part in reversed(node.parts):
             if taken or isinstance(part, Node):
-                todo.append((part, taken))
+                todo.append((part, taken, held))
     flush()
     return out, trees
 
 
-def shape(node: Node) -> str:
-    """A subtree as text: tags and texts, white space folded."""
-    todo, out = [node], []
-    while todo:
-        p = todo.pop()
-        if isinstance(p, str):
-            out.append(p)
-        else:
-            out.append(f"<{p.name}>")
-            todo.extend(reversed(p.parts))
-    return " ".join("".join(out).split())
-
-
 def host(url):
     """The host of an address, lower-cased; empty if there is none."""
     return F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")))
 
 
 BLOCKS = pa.list_(pa.struct([("text", pa.string()), ("owners", pa.list_(pa.int32()))]))
-TREES = pa.list_(pa.struct([("place", pa.int32()), ("hash", pa.int64())]))
+TREES = pa.list_(pa.struct([("place", pa.int32()), ("hash", pa.int64()), ("share", pa.float32()), ("inside", pa.bool_())]))
 
 
-def dissected(pages: DataFrame) -> DataFrame:
+def dissected(pages: DataFrame, names: bool = True) -> DataFrame:
     """``pages`` without ``html``, with ``_host``, ``_page`` (hash of the html), ``_main`` (hash of its
     text), ``_blocks`` and ``_trees``."""
     source = pages.withColumn("_host", host(F.col("url")))
-    names = [c for c in source.columns if c != "html"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*names).schema)
-    schema += ", _page long, _main long, _blocks array<struct<text:string,owners:array<int>>>, _trees array<struct<place:int,hash:long>>"
-    out_names = [*names, "_page", "_main", "_blocks", "_trees"]
+    kept = [c for c in source.columns if c != "html"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*kept).schema)
+    schema += ", _page long, _main long, _blocks array<struct<text:string,owners:array<int>>>, _trees array<struct<place:int,hash:long,share:float,inside:boolean>>"
+    out_names = [*kept, "_page", "_main", "_blocks", "_trees"]
 
     def digest(t: str) -> int:
-        return xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63)
+        return _signed(xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")))
 
     def run(batches):
         for part, texts in chunks(batches, "html"):
-            found = [dissect(t) for t in texts]
-            cols = [part.column(c) for c in names]
+            found = [dissect(t, names) for t in texts]
+            cols = [part.column(c) for c in kept]
             cols.append(pa.array([digest(t) for t in texts], pa.int64()))
             cols.append(pa.array([digest("\n".join(b for b, _ in blocks)) for blocks, _ in found], pa.int64()))
             cols.append(pa.array([[{"text": b, "owners": o} for b, o in blocks] for blocks, _ in found], BLOCKS))
-            cols.append(pa.array([[{"place": k, "hash": h} for k, h in trees] for _, trees in found], TREES))
+            cols.append(pa.array([[{"place": k, "hash": h, "share": x, "inside": i} for k, h, x, i in trees] for _, trees in found], TREES))
             yield pa.RecordBatch.from_arrays(cols, names=out_names)
 
     return source.mapInArrow(run, schema)
 
 
-def templates(found: DataFrame, least: int = 3, share: float = 0.02, enough: int = 50) -> DataFrame:
+def templates(found: DataFrame, least: int = 3, share: float = 0.02, enough: int = 50, small: float = 0.2) -> DataFrame:
     """``(_host, hash, n)`` of subtrees around at least ``least`` different main texts of a host, and
-    a ``share`` of its different main texts or ``enough`` of them.
+    a ``share`` of its different main texts or ``enough`` of them; forms also only if they are on average
+    at most ``small`` of the page and more often outside its bulk than inside.
 
     Pages with the same main text count once on both sides, so copies of an article neither make
     a template of it nor hide one, and what recurs often enough goes however large the host is.
     Counts are combined before each shuffle: a large host is no large task.
     """
     total = found.groupBy("_host", "_main").agg(F.lit(1).alias("one")).groupBy("_host").agg(F.count("*").alias("mains"))
-    each = found.select("_host", "_main", F.explode("_trees.hash").alias("hash")).groupBy("_host", "hash", "_main").agg(F.lit(1).alias("one"))
-    n = each.groupBy("_host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    each = found.select("_host", "_main", F.explode("_trees").alias("t")).select("_host", "_main", "t.hash", "t.share", F.col("t.inside").cast("int").alias("inside"))
+    each = each.groupBy("_host", "hash", "_main").agg(F.max("share").alias("part"), F.max("inside").alias("inside"))
+    n = each.groupBy("_host", "hash").agg(F.count("*").alias("n"), F.avg("part").alias("part"), F.avg("inside").alias("inside"))
+    n = n.where((F.col("n") >= least) & (F.col("part") <= small) & (F.col("inside") < 0.5))
     return n.join(total, "_host").where(F.col("n") >= F.least(share * F.col("mains"), F.lit(enough))).select("_host", "hash", "n")
 
 
-def extract(pages: DataFrame, salt: int = 16, small: int = 100_000) -> DataFrame:
+def extract(pages: DataFrame, names: bool = True, salt: int = 16, small: int = 100_000) -> DataFrame:
     """``pages`` (``page_id, url, html, ...``) with ``text`` (blocks joined by an empty line; empty if
-    none), ``n_chars`` and ``n_templates`` (template subtrees cut out of the page's main part).
-
-    Frames named by tags, roles, classes or ids go; so do subtrees that recur across a host's
-    pages with different main texts, where they are no running text of a marked article. Pages
-    are parsed once; recurring subtrees meet their pages in a join on (host, hash) that is dealt
-    out by page, so that a large host does not meet in one task. A null html counts as empty, a
-    null url as a host of its own; ids may repeat or be null. Columns of those three names are
-    replaced, ``html`` is dropped, others are kept.
+    none), ``n_chars``, ``n_templates`` (recurring subtrees cut out of the page's main part) and
+    ``n_recurring`` (all recurring subtrees of the page, most of them the frame around it).
+
+    Subtrees that recur across a host's pages with different main texts go, and so do frames named
+    by tags, roles, classes or ids (not without ``names``). Pages are parsed once. The
+    templates of each host meet its pages in a broadcast while they are at most ``small`` in all,
+    by count; beyond that in a join on (host, hash) that is dealt out by page, so that a large
+    host does not meet in one task: both give the same result. A null html counts as empty, a null
+    url as a host of its own; ids may repeat or be null; an empty table gives an empty result; a
+    very long page is one row like any other. Columns of those names are replaced, ``html`` is
+    dropped, others are kept, whatever their names.
     """
-    made = ["text", "n_chars", "n_templates"]
-    found = written(dissected(pages.drop(*made)))
-    marked = templates(found).select("_host", "hash", F.explode(F.array(*[F.lit(i) for i in range(salt)])).alias("_deal"))
-    # only subtrees around blocks of the main part make a difference
-    owners = F.array_distinct(F.flatten(F.transform("_blocks", lambda b: b["owners"])))
-    inner = F.filter("_trees", lambda t: F.array_contains(owners, t["place"]))
-    tree = found.select("_host", "_page", F.explode(inner).alias("t")).select("_host", "_page", "t.place", "t.hash")
-    tree = tree.distinct().withColumn("_deal", F.pmod("_page", F.lit(salt)).cast("int"))
-    drop = cut(tree.join(marked, ["_host", "hash", "_deal"]).groupBy("_host", "_page").agg(F.collect_set("place").alias("_drop")))
-    joined = found.join(F.broadcast(drop) if drop.count() <= small else drop, ["_host", "_page"], "left")
+    made = ["text", "n_chars", "n_templates", "n_recurring"]
+    return aside(pages, ("url", "html"), made, lambda p: _extract(p, names, salt, small)).select(*[c for c in pages.columns if c not in made and c != "html"], *made)
+
+
+def _extract(pages: DataFrame, names: bool, salt: int, small: int) -> DataFrame:
+    found = written(dissected(pages, names))
+    marked = cut(templates(found))
+    if marked.count() <= small:
+        by_host = marked.groupBy("_host").agg(F.collect_set("hash").alias("_hashes"))
+        joined = found.join(F.broadcast(by_host), "_host", "left")
+        hit = F.filter("_trees", lambda t: F.coalesce(F.array_contains("_hashes", t["hash"]), F.lit(False)))
+        joined = joined.withColumn("_drop", F.array_distinct(F.transform(hit, lambda t: t["place"])))
+    else:
+        dealt = marked.select("_host", "hash", F.explode(F.array(*[F.lit(i) for i in range(salt)])).alias("_deal"))
+        tree = found.select("_host", "_page", F.explode("_trees").alias("t")).select("_host", "_page", "t.place", "t.hash")
+        tree = tree.distinct().withColumn("_deal", F.pmod("_page", F.lit(salt)).cast("int"))
+        drop = cut(tree.join(dealt, ["_host", "hash", "_deal"]).groupBy("_host", "_page").agg(F.collect_set("place").alias("_drop")))
+        joined = found.join(drop, ["_host", "_page"], "left")
     dropped = F.coalesce("_drop", F.array().cast("array<int>"))
     kept = F.filter("_blocks", lambda b: ~F.arrays_overlap(b["owners"], dropped))
     joined = joined.withColumn("text", F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n"))
-    joined = joined.withColumn("n_chars", F.length("text").cast("long")).withColumn("n_templates", F.size(dropped).cast("long"))
-    return joined.select(*[c for c in pages.columns if c not in made and c != "html"], *made)
+    cut_out = F.array_intersect(F.array_distinct(F.flatten(F.transform("_blocks", lambda b: b["owners"]))), dropped)
+    joined = joined.withColumn("n_templates", F.size(cut_out).cast("long")).withColumn("n_recurring", F.size(dropped).cast("long"))
+    return joined.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op4_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "n_templates")
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "n_templates", "n_recurring")
