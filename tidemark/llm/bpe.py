@@ -26,7 +26,9 @@ STATES, SYMBOLS = 8, 9
 #: Characters in a lane of the scan.
 LANE = 512
 #: Cached slices in a worker.
-CACHE = 1 << 20
+CACHE = 1 << 18
+#: Characters encoded at once.
+SLICE = 250_000
 
 # The code points with the White_Space property.
 WHITE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -212,25 +214,29 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", slices: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", slices: bool = False, decoded: bool = False) -> DataFrame:
     """``docs`` with ``ids`` (packed little-endian unsigned 32-bit) and ``n_tokens``.
 
     With ``slices``, also ``slice_starts`` (packed the same way): the character at which each
-    pre-token begins. A null text counts as empty and has no ids. Columns of those names are
-    replaced, others kept. The vocabulary file must be at ``path`` on every machine.
+    pre-token begins. With ``decoded``, also ``decoded``: the bytes that the ids stand for, decoded
+    in the same pass. A null or empty text has no ids; repeated rows have the same; an empty
+    table gives an empty result. Columns of those names are replaced, others kept. The
+    vocabulary file must be at ``path`` on every machine; without one each worker looks up the public file.
     """
-    made = {"ids": "binary", "n_tokens": "bigint"} | ({"slice_starts": "binary"} if slices else {})
+    made = {"ids": "binary", "n_tokens": "bigint"} | ({"slice_starts": "binary"} if slices else {}) | ({"decoded": "binary"} if decoded else {})
     source = docs.drop(*[c for c in made if c != text])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema) + "".join(f", {n} {t}" for n, t in made.items())
     names = source.columns + list(made)
 
     def run(batches):
-        words = vocabulary(path)
-        for part, texts in chunks(batches, text):
+        words = vocabulary(path or default_path())
+        for part, texts in chunks(batches, text, SLICE):
             ids, places = words.encode(texts)
             cols = [pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64())]
             if slices:
                 cols.append(pa.array([p.astype("<u4").tobytes() for p in places], pa.binary()))
+            if decoded:
+                cols.append(pa.array([words.decode(i) for i in ids], pa.binary()))
             yield pa.RecordBatch.from_arrays(list(part.columns) + cols, names=names)
 
     return source.mapInArrow(run, schema)
@@ -243,7 +249,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     names = [*source.columns, "decoded"]
 
     def run(batches):
-        words = vocabulary(path)
+        words = vocabulary(path or default_path())
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
@@ -253,9 +259,9 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every document."""
-    both = decode(encode(docs.select("doc_id", "text"), path).select("doc_id", "n_tokens", "ids"), path)
+def digests(docs: DataFrame, path: str = "") -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every document; both passes in one worker."""
+    both = encode(docs.select("doc_id", "text"), path, decoded=True)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -266,4 +272,4 @@ def default_path() -> str:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents"), default_path())
+    return digests(table(spark, sf_dir, "documents"))
