@@ -210,3 +210,8 @@ def jaccard(a: Column, b: Column) -> Column:
     inter = F.size(F.array_intersect(a, b))
     union = F.size(a) + F.size(b) - inter
     return F.when(union > 0, inter / union).otherwise(0.0)
+
+
+def rank_target(y: Column, y_query: Column) -> Column:
+    """How good a neighbour is for ranking: less the distance of the labels."""
+    return -F.abs(y - y_query)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tidemark.functions.scalars import jaccard
-from tidemark.operators.annotate import dot
+from tidemark.operators.annotate import cosine, dot
 from tidemark.session import cut
 
 # Weights of the sources in the fused score, and sizes.
@@ -27,13 +28,19 @@ def sufficiency(pool: DataFrame, views: DataFrame, view: str, least: int = 200)
     return views.select(view).distinct().join(n, view, "left").withColumn("size", F.coalesce("size", F.lit(0))).withColumn("insufficient", F.col("size") < least)
 
 
+def usable_pool(pool: DataFrame, sizes: DataFrame, view: str) -> DataFrame:
+    """The pool without the rows of insufficient views, whose queries so get an empty pool."""
+    return pool.join(sizes.where("insufficient").select(view), view, "left_anti").select(*pool.columns)
+
+
 def topk(queries: DataFrame, pool: DataFrame, view: str, k: int, kind: str = "cosine", q_block: int = 2_000, p_block: int = 8_000) -> DataFrame:
-    """``(query_id, memory_id, sim, rank)``, exact, ties to the smaller memory id.
+    """``(query_id, memory_id, sim, rank)``, exact, ties to the smaller memory id. A row is no neighbour of itself.
 
-    ``queries``: ``query_id, vector, view``; ``pool``: ``memory_id, vector, view``. ``kind`` is cosine, or
-    Jaccard for 0/1 vectors. A view is cut into blocks by a hash of the ids; a pair of blocks is
-    one matrix product that keeps k candidates a query; these are merged by a window. No task
-    gets a whole view: the number of blocks follows its measured size.
+    ``queries``: ``query_id, vector, view``; ``pool``: ``memory_id, vector, view``. ``kind`` is cosine, Jaccard
+    for 0/1 vectors, or hamming (less the distance over the bits) for packed codes. A view is
+    cut into blocks by a hash of the ids; a pair of blocks is one matrix product that keeps k
+    candidates a query; these are merged by a window. No task gets a whole view: the number of
+    blocks follows its measured size.
     """
     sizes = [r["n"] for r in (queries.groupBy(view).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first(), pool.groupBy(view).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first())]
     nq, np_ = (max(1, -(-(n or 0) // b)) for n, b in zip(sizes, (q_block, p_block)))
@@ -42,18 +49,24 @@ def topk(queries: DataFrame, pool: DataFrame, view: str, k: int, kind: str = "co
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "memory_id": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float64")})
         right = right.sort_values("memory_id")
-        a, b = (np.array(x["vector"].tolist(), dtype=np.float64) for x in (left, right))
-        if kind == "cosine":
-            a, b = (x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12) for x in (a, b))
-            s = a @ b.T
+        if kind == "hamming":
+            a, b = (np.unpackbits(np.frombuffer(b"".join(x["vector"]), np.uint8).reshape(len(x), -1), axis=1).astype(np.float32) * 2 - 1 for x in (left, right))
+            s = (a @ b.T).astype(np.float64) / 2 / a.shape[1] - 0.5
         else:
-            inter = a @ b.T
-            union = a.sum(1)[:, None] + b.sum(1)[None, :] - inter
-            s = np.where(union > 0, inter / np.maximum(union, 1), 0.0)
+            a, b = (np.array(x["vector"].tolist(), dtype=np.float64) for x in (left, right))
+            if kind == "cosine":
+                a, b = (x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12) for x in (a, b))
+                s = a @ b.T
+            else:
+                inter = a @ b.T
+                union = a.sum(1)[:, None] + b.sum(1)[None, :] - inter
+                s = np.where(union > 0, inter / np.maximum(union, 1), 0.0)
         s = np.round(s, 12)
+        s[left["query_id"].to_numpy()[:, None] == right["memory_id"].to_numpy()[None, :]] = -np.inf
         best = np.argsort(-s, axis=1, kind="stable")[:, :k]
         rows = np.repeat(np.arange(len(left)), best.shape[1])
-        return pd.DataFrame({"query_id": left["query_id"].to_numpy()[rows], "memory_id": right["memory_id"].to_numpy()[best.ravel()], "sim": s[rows, best.ravel()]})
+        out = pd.DataFrame({"query_id": left["query_id"].to_numpy()[rows], "memory_id": right["memory_id"].to_numpy()[best.ravel()], "sim": s[rows, best.ravel()]})
+        return out[np.isfinite(out["sim"])]
 
     q = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(nq))).withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(np_ - 1))))
     p = pool.withColumn("_p", F.pmod(F.xxhash64("memory_id"), F.lit(np_)).cast("int")).withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))))
@@ -66,28 +79,38 @@ def topk(queries: DataFrame, pool: DataFrame, view: str, k: int, kind: str = "co
     return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def plane_code(vector: Column, planes: np.ndarray) -> Column:
-    """One bit for each random hyperplane, as a long."""
-    code = F.lit(0).cast("long")
-    for i, plane in enumerate(planes):
-        side = dot(vector, F.array(*[F.lit(float(x)) for x in plane])) >= 0
-        code = code.bitwiseOR(F.when(side, F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
-    return code
+def plane_codes(rows: DataFrame, vector: str, planes: np.ndarray) -> DataFrame:
+    """Adds ``code``: the packed signs of a vector's products with random hyperplanes (a row of ``planes`` each)."""
+    names = [*rows.columns, "code"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", code binary"
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                x = np.array(b.column(vector).to_pylist(), dtype=float)
+                codes = np.packbits(x @ planes.T >= 0, axis=1)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in codes], pa.binary())], names=names)
 
+    return rows.mapInArrow(run, schema)
 
-def lsh_candidates(queries: DataFrame, pool: DataFrame, view: str, k: int, bands: int = 8, width: int = 8) -> DataFrame:
-    """Pool rows that share a band of the code with a query of their view, the ``4 k`` nearest in
-    Hamming distance. Bands are join keys, so a view is not paired as a whole."""
 
-    def banded(df: DataFrame) -> DataFrame:
-        band = F.array(*[F.struct(F.lit(b).alias("b"), F.shiftrightunsigned("code", b * width).bitwiseAND(F.lit((1 << width) - 1)).alias("v")) for b in range(bands)])
-        return df.withColumn("_x", F.explode(band)).select("*", "_x.b", "_x.v").drop("_x")
+def lsh_topk(queries: DataFrame, pool: DataFrame, view: str, k: int, kind: str = "jaccard", planes: int = 512, oversample: int = 4, seed: int = 7) -> DataFrame:
+    """``(query_id, memory_id, sim, rank)``: the ``oversample * k`` nearest codes in Hamming distance, ranked again
+    by the exact similarity down to ``k``.
 
-    a = banded(queries.select("query_id", view, F.col("code").alias("code")))
-    b = banded(pool.select("memory_id", view, F.col("code").alias("code")))
-    met = a.withColumnRenamed("code", "qc").join(b.withColumnRenamed("code", "pc"), [view, "b", "v"]).groupBy("query_id", "memory_id").agg(F.min(F.bit_count(F.col("qc").bitwiseXOR(F.col("pc")))).alias("hamming"))
-    w = Window.partitionBy("query_id").orderBy("hamming", "memory_id")
-    return met.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 4 * k).drop("_r")
+    Codes are ``planes / 8`` bytes a row, so the blocks that are compared are a fraction of the
+    vectors. Recall falls with fewer planes; it is measured in the tests against ``topk``.
+    """
+    size = pool.select(F.max(F.size("vector"))).first()[0] or 1
+    p = np.random.default_rng(seed).standard_normal((planes, size))
+    q, m = cut(plane_codes(queries, "vector", p)), cut(plane_codes(pool, "vector", p))
+    near = topk(q.select("query_id", view, F.col("code").alias("vector")), m.select("memory_id", view, F.col("code").alias("vector")), view, oversample * k, "hamming")
+    both = near.select("query_id", "memory_id").join(q.select("query_id", F.col("vector").alias("_q")), "query_id").join(m.select("memory_id", F.col("vector").alias("_m")), "memory_id")
+    inter, total = dot(F.col("_q"), F.col("_m")), lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+    union = total(F.col("_q")) + total(F.col("_m")) - inter
+    sim = F.when(union > 0, inter / union).otherwise(0.0) if kind == "jaccard" else cosine(F.col("_q"), F.col("_m"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "memory_id")
+    return both.select("query_id", "memory_id", F.round(sim, 12).alias("sim")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def fuse(candidates: DataFrame, k: int = POOL) -> DataFrame:
@@ -112,6 +135,16 @@ def rank_scalars(pool: DataFrame, score: str = "stage1") -> DataFrame:
     return pool.withColumn("rank_norm", F.when(n > 1, place / (n - 1)).otherwise(0.0)).withColumn("score_z", F.when(n > 1, z).otherwise(0.0))
 
 
+def candidate_meta(pool: DataFrame, train: DataFrame, flag: str = "flag", records: str = "n_records", y: str = "y") -> DataFrame:
+    """``pool`` with ``is_censored``, ``log_records``, ``y_std`` (by the training rows' mean and sample deviation, at
+    least 1e-6; 0 without a label) and ``has_label``."""
+    one = train.agg(F.avg(y).alias("_mu"), F.greatest(F.coalesce(F.stddev_samp(y), F.lit(0.0)), F.lit(1e-6)).alias("_sd"))
+    out = pool.crossJoin(F.broadcast(one))  # one row
+    out = out.withColumn("is_censored", (F.coalesce(F.col(flag), F.lit("none")) != "none").cast("int")).withColumn("log_records", F.log1p(F.coalesce(F.col(records), F.lit(0)).cast("double")))
+    out = out.withColumn("has_label", F.col(y).isNotNull().cast("int"))
+    return out.withColumn("y_std", F.coalesce((F.col(y) - F.col("_mu")) / F.col("_sd"), F.lit(0.0))).drop("_mu", "_sd")
+
+
 def attention(rows: DataFrame, score: str, tau: float, by: str = "query_id") -> DataFrame:
     """Softmax of scores within a query, as ``alpha``."""
     w = Window.partitionBy(by)
@@ -142,6 +175,11 @@ def pairwise_loss(rows: DataFrame, score: str, target: str, margin: float = 0.0,
     return pairs.groupBy(by).agg(F.avg(F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))).alias("loss"), F.count("*").alias("pairs"))
 
 
+class FeatureOrderError(ValueError):
+    """Feature columns are missing or stand in another order."""
+
+
+# The support features in their contractual order.
 FEATURES = [
     "alpha_entropy", "alpha_ess", "score_margin_norm", "tanimoto_max", "tanimoto_mean", "tanimoto_std", "tanimoto_top1_top2_gap",
     "emb_sim_max", "emb_sim_mean", "emb_sim_std", "rank_zscore_q50", "rank_zscore_q75", "rank_zscore_q90",
@@ -151,6 +189,14 @@ FEATURES = [
 ]
 
 
+def feature_matrix(rows: DataFrame, key: str = "query_id") -> DataFrame:
+    """H2: ``(key, features)``, an array in the contractual order. Columns in another order are an error."""
+    found = [c for c in rows.columns if c in FEATURES]
+    if found != FEATURES:
+        raise FeatureOrderError(next((f"{a} for {b}" for a, b in zip(found, FEATURES) if a != b), f"{len(found)} of {len(FEATURES)} features"))
+    return rows.select(key, F.array(*[F.col(c).cast("double") for c in FEATURES]).alias("features"))
+
+
 def support_features(pool: DataFrame, base: DataFrame, ensemble: bool = True, cliff_sim: float = 0.60, cliff_gap: float = 1.0, high: float = 0.70) -> DataFrame:
     """H1: the 28 support features of each query, and the names of those that are ``blocked``.
 

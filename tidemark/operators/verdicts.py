@@ -32,11 +32,11 @@ def stage_gate(summary: DataFrame, overlap: Column, most: float = 0.60) -> DataF
 
 
 def view_report(sizes: DataFrame) -> DataFrame:
-    """Upper median, smallest, largest and insufficient views of ``size, insufficient`` rows."""
+    """Upper median, smallest, largest, number and list of insufficient views, of ``view, size, insufficient`` rows."""
     per = sizes.groupBy("size").agg(F.count("*").alias("_n"))
     c = cumulative(per, "size", ["_n"]).crossJoin(F.broadcast(per.agg(F.sum("_n").alias("_all"))))
     upper = c.agg(F.min(F.when(F.col("_n_upto") > F.floor(F.col("_all") / 2), F.col("size"))).alias("median"))
-    return sizes.agg(F.min("size").alias("smallest"), F.max("size").alias("largest"), F.count_if("insufficient").alias("insufficient"), F.count("*").alias("views")).crossJoin(upper)
+    return sizes.agg(F.min("size").alias("smallest"), F.max("size").alias("largest"), F.count_if("insufficient").alias("insufficient"), F.collect_list(F.when(F.col("insufficient"), F.col("view"))).alias("insufficient_views"), F.count("*").alias("views")).crossJoin(upper)
 
 
 def low_support_effect(rows: DataFrame, low: float = 0.35, least_rows: int = 5, entity: str = "entity_id") -> DataFrame:

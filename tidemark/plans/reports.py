@@ -21,7 +21,7 @@ def d20(spark, sf):
 
 
 def d22(spark, sf):
-    return V.view_report(retrieval.g7(spark, sf))
+    return V.view_report(retrieval.g7(spark, sf)).withColumn("insufficient_views", F.array_join(F.array_sort(F.transform("insufficient_views", lambda v: v.cast("string"))), ","))
 
 
 def g11(spark, sf):
@@ -33,10 +33,10 @@ def g11(spark, sf):
 
 
 def k13(spark, sf):
-    q = retrieval.rows(spark, sf).where("id % 5 = 0").select(F.col("id").alias("query_id"), F.lit(4.5).alias("base"), "y")
+    q = retrieval.rows(spark, sf).where("id % 50 = 0").select(F.col("id").alias("query_id"), F.lit(4.5).alias("base"), "y")
     r = R.knn_residual(q.drop("y"), retrieval.neighbours(spark, sf)).join(q.select("query_id", "y"), "query_id").join(retrieval.g6(spark, sf), "query_id")
-    r = r.withColumn("loss_base", F.pow(F.col("y") - F.col("base"), 2)).withColumn("loss_knn", F.pow(F.col("y") - F.col("base") - F.col("residual"), 2)).withColumn("entity_id", F.col("y").cast("int"))
-    return V.low_support_effect(r, 0.6).select("entity_id", "n", F.round("effect", 4).alias("effect"))
+    r = r.withColumn("loss_base", F.pow(F.col("y") - F.col("base"), 2)).withColumn("loss_knn", F.pow(F.col("y") - F.col("base") - F.col("residual"), 2)).withColumn("entity_id", (F.col("y") % 2).cast("int"))
+    return V.low_support_effect(r, 0.6, 3).select("entity_id", "n", F.round("effect", 4).alias("effect"))
 
 
 def k19(spark, sf):
@@ -75,14 +75,12 @@ ORACLE = {
     "d19_top1_distribution": _G6
     + " select count(*) as n, round(median(top1), 4) as median, round(avg(top1), 4) as mean, round(avg((top1 < 0.5::double)::int), 4) as low_share, round(max(case when i = floor(0.1::double * (n - 1)) then top1 end), 4) as p10, round(max(case when i = floor(0.9::double * (n - 1)) then top1 end), 4) as p90 from i",
     "d20_stage_gate": _G6 + " select 'top1_too_high' as violation from (select median(top1) as m from t) where m > 0.4::double",
-    "d22_view_report": "with s as (select v as view, count(vec_id) as size from range(4) t(v) left join (select vec_id from embeddings where vec_id % 5 <> 0) on vec_id % 2 = v group by 1) select min(size) as smallest, max(size) as largest, count(*) filter (size < 150) as insufficient, count(*) as views, (list_sort(list(size)))[count(*) // 2 + 1] as median from s",
-    "g11_rerank": _E
-    + """, c as (select query_id, memory_id, round(0.5::double * round(tan, 9) + 0.35::double * round(emb, 9), 12) as s, round(0.7::double * round(emb, 9) + 0.3::double * round(tan, 9), 9) as z from r where rt <= 48 or re <= 48),
-      y as (select *, row_number() over (partition by query_id order by s desc, memory_id) as pr from c), x as (select *, row_number() over (partition by query_id order by z desc, memory_id) as rank from y where pr <= 64)
-      select query_id, memory_id, round(z, 6) as rescore, rank from x where rank <= 16""",
+    "d22_view_report": "with s as (select v as view, count(vec_id) as size from range(12) t(v) left join embeddings on label = v group by 1) select min(size) as smallest, max(size) as largest, count(*) filter (size < 50) as insufficient, count(*) as views, (list_sort(list(size)))[count(*) // 2 + 1] as median, array_to_string(list_sort(list(view::varchar) filter (size < 50)), ',') as insufficient_views from s",
+    "g11_rerank": retrieval._POOL
+    + """, x as (select *, round(0.7::double * b + 0.3::double * t, 9) as zz from k0), y as (select *, row_number() over (partition by query_id order by zz desc, memory_id) as rank from x) select query_id, memory_id, round(zz, 6) as rescore, rank from y where rank <= 16""",
     "k13_low_support_effect": _E
     + """, f as (select a.query_id, sum(alpha * a.y) as m from al a group by 1), u as (select f.query_id, f.m, e.y, round(r.tan, 6) as top1 from f join e on e.id = f.query_id join r on r.query_id = f.query_id and r.rt = 1)
-      select y::int as entity_id, count(*) as n, round(avg(pow(y - 4.5::double, 2) - pow(y - m, 2)), 4) as effect from u where top1 < 0.6::double group by 1 having count(*) >= 5""",
+      select y::int % 2 as entity_id, count(*) as n, round(avg(pow(y - 4.5::double, 2) - pow(y - m, 2)), 4) as effect from u where top1 < 0.6::double group by 1 having count(*) >= 3""",
     "k19_method_table": _P
     + """, v as (select loss_base, loss_retr, unnest([{'m': 'mean', 'g': 0::double}, {'m': 'gate', 'g': gate}, {'m': 'naive', 'g': 1::double}, {'m': 'oracle', 'g': (loss_retr < loss_base)::int::double}]) as x from p), z as (select *, x.g >= 0.5::double as t, loss_retr > loss_base + 0.01::double as h from v)
       select x.m as method, count(*) as n, round(avg(t::int), 5) as coverage, round(avg((t and h)::int), 5) as harm_rate, round(avg(case when t then h::int end), 5) as harm_rate_accepted, round(avg(case when t then loss_retr else loss_base end), 5) as loss from z group by 1""",
