@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, mixing, ngrams, quality, toxicity
-from tidemark.session import table
+from tidemark.session import bounded_batches, table
 
 
 #: Columns that the operators read.
@@ -48,6 +48,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of repeated rows one stays. Documents without an id stay: no decision can name them.
     """
+    bounded_batches(spark)
     found = ngrams.jaccard_components(docs)
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
     rows = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
@@ -56,12 +57,14 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sources' documents at their target weights, each row as often as it is drawn (0, 1 or 2 times)."""
+    bounded_batches(spark)
     return _aside(docs, lambda d: mixing.emit(mixing.mix(d), d.columns))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id`` with token counts and digests of ids and decoded bytes, a row for each row of ``docs``."""
-    return bpe.digests(docs, bpe.default_path())
+    bounded_batches(spark)
+    return bpe.digests(docs)
 
 
 STAGES = [
