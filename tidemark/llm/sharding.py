@@ -6,86 +6,89 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tidemark.llm.batches import aside
 from tidemark.session import table
 
-#: Hash ranges each shard is cut into for the slots.
-CELLS = 256
+#: Rows that one hash range of a shard holds, about; and ranges to a shard, at least.
+RANGE, CELLS = 50_000, 256
 
 Tree = dict[str, dict[str, dict[int, float]]]
 
 
-def layout(shards: int, racks: int = 2, per_rack: int = 2) -> Tree:
-    """A tree of ``shards`` equal shards: ``per_rack`` to a rack, ``racks`` to a region."""
+def layout(shards: int, racks: int = 2, per_rack: int = 2, base: int = 8) -> Tree:
+    """A tree of equal shards as a cluster gets it: the first ``base`` stand in racks and regions,
+    ``per_rack`` to a rack, ``racks`` to a region; every shard that is added later is a region of its own, and so is
+    each shard of a cluster smaller than that. So one more shard never changes another subtree."""
     tree: Tree = {}
     for s in range(shards):
-        rack = s // per_rack
-        tree.setdefault(f"region{rack // racks}", {}).setdefault(f"rack{rack}", {})[s] = 1.0
+        rack, region = s // per_rack, s // per_rack // racks
+        if shards < base or s >= base:
+            tree[f"region of shard {s}"] = {f"rack of shard {s}": {s: 1.0}}
+        else:
+            tree.setdefault(f"region {region}", {}).setdefault(f"rack {rack}", {})[s] = 1.0
     return tree
 
 
-def _leaf(key: Column, shard: int, weight: float) -> Column:
-    """The shard's draw: an exponential variable with the shard's weight as its rate."""
-    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(f"shard {shard}")), 11)
+def _draw(key: Column, node: str, weight: float) -> Column:
+    """A node's draw for a key: an exponential variable with the node's weight as its rate."""
+    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(node)), 11)
     return -F.log((bits.cast("double") + 0.5) / float(1 << 53)) / weight
 
 
 def assign(key: Column, tree: Tree) -> Column:
-    """The shard of a key, found by going down region, rack and shard.
+    """The shard of a key, found by going down region, rack and shard: at each level every child makes
+    one draw, scaled by its summed weight, and the least is followed; other branches draw nothing.
 
-    A node's draw is the smallest draw below it. The smallest of exponential variables is
-    exponential with the sum of their rates, so this is a weighted draw by the node's summed
-    weight; and it changes only if a weight below the node changes. When a weight grows, keys
-    move only into that shard, along its own path; when it shrinks, only out of it.
-    Shards without weight get nothing. A null key is a key like any other.
+    A node's draw depends on its own name and weight alone. So a change of weights moves keys only
+    into or out of the subtrees whose weight changes (and within them), and a new region takes
+    keys only into itself. Nodes without weight get nothing. A null key is a key like any other.
     """
     k = F.coalesce(key.cast("string"), F.lit("~"))
-    regions = {r: {c: {s: w for s, w in shards.items() if w > 0} for c, shards in racks.items()} for r, racks in tree.items()}
 
-    def low(draws: list[Column]) -> Column:
-        return F.least(*draws) if len(draws) > 1 else draws[0]
-
-    def pick(options: list[tuple[Column, Column]]) -> Column:
-        best = low([d for d, _ in options])
-        out = options[-1][1]
-        for d, value in reversed(options[:-1]):
-            out = F.when(d == best, value).otherwise(out)
+    def weight(node) -> float:
+        return sum(map(weight, node.values())) if isinstance(node, dict) else max(0.0, float(node))
+
+    def down(children: dict, path: str) -> Column:
+        live = [(name, child, weight(child)) for name, child in children.items() if weight(child) > 0]
+        goal = [down(child, f"{path}/{name}") if isinstance(child, dict) else F.lit(name) for name, child, _ in live]
+        if len(live) == 1:
+            return goal[0]
+        draws = [_draw(k, f"{path}/{name}", w) for name, _, w in live]
+        out = goal[-1]
+        for d, g in reversed(list(zip(draws[:-1], goal))):
+            out = F.when(d == F.least(*draws), g).otherwise(out)
         return out
 
-    top = []
-    for racks in regions.values():
-        level = []
-        for shards in racks.values():
-            if shards:
-                draws = [(_leaf(k, s, w), F.lit(s)) for s, w in shards.items()]
-                level.append((low([d for d, _ in draws]), pick(draws)))
-        if level:
-            top.append((low([d for d, _ in level]), pick(level)))
-    if not top:
+    if weight(tree) <= 0:
         raise ValueError("the tree has no shard with weight")
-    return pick(top)
+    return down(tree, "")
 
 
 def shard(docs: DataFrame, tree: Tree, grown: Tree | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``size, text_crc32, law, shard, slot, grown_shard``.
 
-    ``slot`` counts a shard's rows from 0 without gaps: rows are numbered within one of
-    ``CELLS`` hash ranges of their shard and the ranges' counts are added up, so no task gets a
-    whole shard. Equal rows may swap slots. A null text counts as empty; columns of the same
-    names as the made ones are replaced.
+    ``slot`` counts a shard's rows from 0 without gaps: rows are numbered within one hash range of
+    their shard and the ranges' counts are added up, with as many ranges as the counted rows ask
+    for, so no task gets a whole shard. Equal rows may swap slots. A null text counts as empty; an
+    empty table gives an empty result; a very long text is one row; columns of the same names as
+    the made ones are replaced, all others kept, whatever their names.
     """
     made = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    kept = [c for c in docs.columns if c not in made or c in (text, key)]
+    return aside(docs, (text, key), made, lambda d: _shard(d, tree, grown, key, text)).select(*kept, *[c for c in made if c not in kept])
+
+
+def _shard(docs: DataFrame, tree: Tree, grown: Tree | None, key: str, text: str) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
-    d = docs.drop(*[c for c in made if c not in (text, key)])
-    d = d.withColumn("size", (F.octet_length(body) + 1).cast("long")).withColumn("text_crc32", F.crc32(body.cast("binary")).cast("long"))
+    d = docs.withColumn("size", (F.octet_length(body) + 1).cast("long")).withColumn("text_crc32", F.crc32(body.cast("binary")).cast("long"))
     d = d.withColumn("law", F.lit("key")).withColumn("shard", assign(F.col(key), tree).cast("int"))
     d = d.withColumn("grown_shard", (assign(F.col(key), grown) if grown else F.lit(None)).cast("int"))
-    kept = [c for c in docs.columns if c not in made or c in (text, key)]
-    return _numbered(d, key).select(*kept, *[c for c in made if c not in kept])
+    return _numbered(d, key, max(CELLS, docs.count() // RANGE))
 
 
-def _numbered(d: DataFrame, key: str) -> DataFrame:
+def _numbered(d: DataFrame, key: str, cells: int) -> DataFrame:
     """Adds ``slot`` to rows that have ``shard``, ``text_crc32`` and ``size``."""
-    d = d.withColumn("_c", F.pmod(F.xxhash64(F.col(key), F.col("text_crc32")), F.lit(CELLS)))
+    d = d.withColumn("_c", F.pmod(F.xxhash64(F.col(key), F.col("text_crc32")), F.lit(cells)))
     over = Window.partitionBy("shard").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
     before = d.groupBy("shard", "_c").agg(F.count("*").alias("n")).select("shard", "_c", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("before"))
     within = Window.partitionBy("shard", "_c").orderBy(F.col(key).asc_nulls_last(), "text_crc32", "size")
