@@ -207,6 +207,40 @@ def test_op5_moves_only_into_what_grows(spark):
     assert abs(share - 0.75) < 0.02
 
 
+def descend(key, tree):
+    """Brute force: the least of the draws at each level, by the hash function's definition."""
+    import xxhash
+
+    weigh = lambda n: sum(map(weigh, n.values())) if isinstance(n, dict) else n
+    node, path = tree, ""
+    while isinstance(node, dict):
+        live = [n for n in node if weigh(node[n]) > 0]
+
+        def draw(n):
+            bits = xxhash.xxh64_intdigest(f"{path}/{n}".encode(), xxhash.xxh64_intdigest(key.encode(), 42)) >> 11
+            return -np.log((bits + 0.5) / 2.0**53) / weigh(node[n])
+
+        best = min(live, key=draw)
+        node, path = node[best], f"{path}/{best}"
+    return best
+
+
+def test_op5_against_brute_force(spark):
+    docs = table(spark, SF, "documents")
+    tree = {"x": {"a": {0: 1.0, 1: 2.5}, "b": {2: 1.0}}, "y": {"c": {3: 0.0, 4: 4.0}}}
+    got = sharding.shard(docs, sharding.layout(8), tree).collect()
+    assert all(r.shard == descend(str(r.doc_id), sharding.layout(8)) and r.grown_shard == descend(str(r.doc_id), tree) for r in got)
+
+
+def test_op5_changes_stay_in_their_subtrees(spark):
+    """A heavier shard draws keys into its own region, rack and shard; the other region only loses keys to it."""
+    old = {"x": {"a": {0: 1.0, 1: 1.0}, "b": {2: 1.0, 3: 1.0}}, "y": {"c": {4: 1.0, 5: 1.0}}}
+    new = {"x": {"a": {0: 1.0, 1: 3.0}, "b": {2: 1.0, 3: 1.0}}, "y": old["y"]}
+    moved = spark.range(20_000).select(sharding.assign(F.col("id"), old).alias("a"), sharding.assign(F.col("id"), new).alias("b")).where("a <> b")
+    assert moved.where("b in (4, 5)").count() == 0 and moved.where("a in (2, 3) and b in (2, 3)").count() == 0
+    assert moved.where("b = 1").count() > 0
+
+
 def test_op6_round_trip(spark, docs, empty):
     out = jpeg.measure(jpeg.store(docs.select("doc_id", "text"))).collect()
     for r in out:
@@ -332,6 +366,30 @@ def test_op9_against_all_pairs(spark):
     assert vectors.near_duplicates(df.where("false")).count() == 0
 
 
+def test_op9_other_lengths_and_doubles(spark):
+    """Vectors of every length link among themselves; a pair that only double precision tells apart stays apart."""
+    x = [1.0, 0.0]
+    edge = lambda c: [c, float(np.sqrt(1 - c * c))]
+    rows = [(1, x, 5), (2, edge(0.9 - 1e-12), 5), (3, edge(0.9 + 1e-12), 5), (4, [2.0, 0.0, 0.0], 5), (5, [7.0, 0.0, 0.0], 5), (6, [1.0], 5), (7, x, 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, _v int")
+    got = {r.vec_id: (r.n_links, r.component_id, r._v) for r in vectors.near_duplicates(df).collect()}
+    assert got[4] == (1, 4, 5) and got[5] == (1, 4, 5) and got[6] == (0, 6, 5)
+    assert got[1] == (2, 1, 5) and got[7] == (2, 1, 5) and got[3][1] == 1 and got[2][:2] == (1, 1)
+
+
+def test_op9_skips_provably_distant_intervals(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "INTERVAL", 64)
+    monkeypatch.setattr(vectors, "TILE", 2)
+    rng = np.random.default_rng(1)
+    x = np.concatenate([c + rng.normal(scale=0.02, size=(200, 8)) for c in np.eye(8)])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    seen = {}
+    got = vectors.near_duplicates(df, trace=lambda name, d: seen.setdefault(name, d.collect())).collect()
+    assert {r.component_id for r in got} == set(range(0, 1600, 200)) and all(r.n_links == 199 for r in got)
+    every = 13 * 14 // 2  # tiles of 128 vectors
+    assert len(seen["tiles"]) < every / 2 and seen["intervals"][0].skipped > 0
+
+
 def test_op9_blocks(spark, monkeypatch):
     monkeypatch.setattr(vectors, "INTERVAL", 64)
     test_op9_against_all_pairs(spark)

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mix": mixing.OP2_SQL, "op8_license_templates": licenses.OP8_SQL}
+    return {"op2_source_mix": mixing.OP2_SQL, "op8_license_templates": licenses.OP8_SQL, "op9_epsilon_grid_join": vectors.OP9_SQL}

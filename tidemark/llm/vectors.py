@@ -1,8 +1,17 @@
-"""Embedding near-duplicates by an epsilon grid order join, exact in double precision."""
+"""Embedding near-duplicates by an epsilon grid order join, exact in double precision.
+
+Vectors of one length are sorted by grid cells on leading principal dimensions and cut into
+intervals of the sequence. Pairs of intervals are made from the whole sequence down, and a pair
+whose boxes are provably farther apart than epsilon is not divided further. What is left is
+compared in tiles, several intervals a side, so that an interval is sent once for a tile, not for a
+pair. Within a tile intervals are skipped by their boxes again, and single pairs by the bound
+``cos <= p.q + r_p r_q`` of their projections and residual norms, before exact products.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -10,13 +19,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tidemark.llm.batches import aside
 from tidemark.operators.components import connected_components
 from tidemark.session import cut, table
 
-#: Principal dimensions of the grid and of the intervals' boxes.
-DIMENSIONS = 8
-#: Vectors in a leaf interval of the sequence, and rows compared at once within a task.
-INTERVAL, STRIP = 4096, 512
+#: Principal dimensions of the grid, of the intervals' boxes and of the bound on single pairs.
+DIMENSIONS = 16
+#: Vectors in a leaf interval of the sequence, rows compared at once, and intervals to a side of a tile.
+INTERVAL, STRIP, TILE = 1024, 512, 16
 #: Intervals an interval is divided into at each step of the recursion.
 FAN = 4
 
@@ -64,7 +74,7 @@ def sequence(reps: DataFrame, directions: np.ndarray, epsilon: float) -> DataFra
     Vectors are sorted by grid cells on the principal dimensions, ties by their projection and id.
     The range-partitioned rows are materialised, so that counts by partition add up to places.
     """
-    k = directions.shape[1]
+    k, kind = directions.shape[1], reps.schema["vector"].dataType.simpleString()
 
     def project(batches):
         for batch in batches:
@@ -73,7 +83,7 @@ def sequence(reps: DataFrame, directions: np.ndarray, epsilon: float) -> DataFra
             cols = [pa.array(list(cells), pa.list_(pa.int32())), pa.array(list(p), pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=["rep", "n", "vector", "cells", "projected"])
 
-    schema = "rep long, n long, vector array<float>, cells array<int>, projected array<double>"
+    schema = f"rep long, n long, vector {kind}, cells array<int>, projected array<double>"
     placed = reps.select("rep", "n", "vector").mapInArrow(project, schema)
     n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = placed.repartitionByRange(n, "cells", "projected", "rep").sortWithinPartitions("cells", "projected", "rep")
@@ -111,64 +121,101 @@ def interval_pairs(boxes: DataFrame, intervals: int, epsilon: float) -> DataFram
     return pairs
 
 
-def compare(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, same: bool, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weighted link counts of the rows of ``a`` and ``b``, and a component label of each of them all.
+def units(packed: bytes, rows: int, kind: str) -> np.ndarray:
+    x = np.frombuffer(packed, kind).astype(np.float64).reshape(rows, -1)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
-    Strips of ``a`` are compared with all of ``b``; labels are row numbers, ``b`` after ``a``.
-    ``same`` says that both are one interval.
-    """
-    links_a, links_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-    shift = 0 if same else len(a)
-    label = np.arange(shift + len(b))
-    for s in range(0, len(a), STRIP):
-        near = a[s : s + STRIP] @ b.T >= least
-        if same:
-            near[np.arange(len(near)), s + np.arange(len(near))] = False
-        rows = np.flatnonzero(near.any(1))
-        if not len(rows):
-            continue
-        links_a[s : s + STRIP] += near @ nb
-        if not same:
-            links_b += na[s : s + STRIP] @ near
-        for r in rows.tolist():
-            met = np.unique(np.append(label[shift + np.flatnonzero(near[r])], label[s + r]))
-            if len(met) > 1:
-                label[np.isin(label, met[1:])] = met[0]
-    return links_a, links_b, label
-
-
-def join_intervals(blocks: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """``(rep, links, root)``: for each pair of intervals, its vectors with links, counted, and one
-    vector of their component within the pair. The rows are as many as vectors, not as links."""
 
-    def run(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                same = r["i"] == r["j"]
-                sides = []
-                for k in ("i",) if same else ("i", "j"):
-                    x = np.frombuffer(r[f"vectors_{k}"], np.float32).astype(np.float64).reshape(len(r[f"reps_{k}"]), -1)
-                    x = x / np.abs(x).max(1, keepdims=True)
-                    sides.append((x / np.sqrt((x * x).sum(1, keepdims=True)), np.array(r[f"reps_{k}"]), np.array(r[f"counts_{k}"])))
-                (a, ra, na), (b, rb, nb) = sides[0], sides[-1]
-                la, lb, label = compare(a, b, na, nb, same, least)
-                reps, links = (ra, la) if same else (np.concatenate([ra, rb]), np.concatenate([la, lb]))
-                has = np.flatnonzero(links)
-                yield pa.RecordBatch.from_arrays([pa.array(reps[has]), pa.array(links[has]), pa.array(reps[label[has]])], names=["rep", "links", "root"])
-
-    left = blocks.toDF("i", "reps_i", "counts_i", "vectors_i")
-    right = blocks.toDF("j", "reps_j", "counts_j", "vectors_j")
-    return pairs.join(left, "i").join(right, "j").select("i", "j", "reps_i", "counts_i", "vectors_i", "reps_j", "counts_j", "vectors_j").mapInArrow(run, "rep long, links long, root long")
-
-
-def pack(placed: DataFrame) -> DataFrame:
-    """Blocks ``(interval, reps, counts, vectors)``: the vectors of an interval as packed floats."""
+def bounded(x: np.ndarray, directions: np.ndarray) -> np.ndarray:
+    """Projections and residual norms: the product of two such rows is at least the vectors' cosine."""
+    p = x @ directions
+    return np.column_stack([p, np.sqrt(np.maximum(0.0, 1.0 - (p * p).sum(1)))]).astype(np.float32)
+
+
+def near_pairs(x: np.ndarray, y: np.ndarray, bx: np.ndarray, by: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the pairs whose cosine is at least ``least``, exact in double precision."""
+    i, j = np.nonzero(bx @ by.T >= np.float32(least - 1e-5))  # single precision errs by far less
+    if len(i) * 4 > len(x) * len(y):  # the bound says little here
+        return np.nonzero(x @ y.T >= least)
+    keep = [np.einsum("ij,ij->i", x[i[s : s + 65_536]], y[j[s : s + 65_536]]) >= least for s in range(0, len(i), 65_536)]
+    keep = np.concatenate(keep) if keep else np.zeros(0, bool)
+    return i[keep], j[keep]
+
+
+class Tile:
+    """Link counts and components of the vectors of one tile."""
+
+    def __init__(self, counts: np.ndarray):
+        self.counts, self.links, self.root = counts, np.zeros(len(counts), np.int64), list(range(len(counts)))
+
+    def find(self, i: int) -> int:
+        while self.root[i] != i:
+            self.root[i] = self.root[self.root[i]]
+            i = self.root[i]
+        return i
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        np.add.at(self.links, i, self.counts[j])
+        np.add.at(self.links, j, self.counts[i])
+        for a, b in zip(i.tolist(), j.tolist()):
+            a, b = self.find(a), self.find(b)
+            if a != b:
+                self.root[max(a, b)] = min(a, b)
+
+
+def join_tiles(blocks: DataFrame, tiles: DataFrame, directions: np.ndarray, least: float, kind: str, tile: int) -> DataFrame:
+    """``(rep, links, root, tried, skipped)``: for each tile, its vectors with links, counted, and one
+    vector of their component within the tile; and a row of its own (null ``rep``) with the numbers of
+    interval pairs. The rows are as many as vectors, not as links."""
+    epsilon = math.sqrt(max(0.0, 2 - 2 * least)) * (1 + 1e-9)
+
+    def run(part: pa.Table) -> pa.Table:
+        i, j = part.column("i")[0].as_py(), part.column("j")[0].as_py()
+        rows = sorted(part.select(["interval", "reps", "counts", "vectors"]).to_pylist(), key=lambda r: r["interval"])
+        x = [units(r["vectors"], len(r["reps"]), kind) for r in rows]
+        b = [bounded(v, directions) for v in x]
+        at = np.concatenate([[0], np.cumsum([len(v) for v in x])])
+        reps = np.concatenate([np.array(r["reps"], np.int64) for r in rows])
+        box = [(v.min(0), v.max(0)) for v in b]
+        found = Tile(np.concatenate([np.array(r["counts"], np.int64) for r in rows]))
+        tried = skipped = 0
+        for m, r in enumerate(rows):
+            for n in range(m, len(rows)):
+                if (r["interval"] // tile, rows[n]["interval"] // tile) != (i, j):
+                    continue
+                tried += 1
+                gap = np.maximum(0.0, np.maximum(box[m][0] - box[n][1], box[n][0] - box[m][1]).astype(np.float64))
+                if (gap * gap).sum() > epsilon * epsilon + 1e-5:
+                    skipped += 1
+                    continue
+                for s in range(0, len(x[m]), STRIP):
+                    p, q = near_pairs(x[m][s : s + STRIP], x[n], b[m][s : s + STRIP], b[n], least)
+                    p += s
+                    if m == n:
+                        p, q = p[p < q], q[p < q]
+                    found.add(at[m] + p, at[n] + q)
+        has = np.flatnonzero(found.links)
+        roots = np.array([found.find(int(k)) for k in has], dtype=np.int64)
+        none = lambda v: pa.array([*([None] * len(has)), v], pa.int64())
+        cols = [pa.array([*reps[has].tolist(), None], pa.int64()), pa.array([*found.links[has].tolist(), None], pa.int64()), pa.array([*reps[roots].tolist(), None], pa.int64()), none(tried), none(skipped)]
+        return pa.table(cols, names=["rep", "links", "root", "tried", "skipped"])
+
+    side = blocks.withColumn("t", F.floor(F.col("interval") / tile).cast("long"))
+    left = tiles.join(side, F.col("i") == F.col("t"))
+    right = tiles.where("i <> j").join(side, F.col("j") == F.col("t"))
+    sent = left.unionByName(right).select("i", "j", "interval", "reps", "counts", "vectors")  # 2 * tile intervals at most in a group
+    return sent.groupBy("i", "j").applyInArrow(run, "rep long, links long, root long, tried long, skipped long")
+
+
+def pack(placed: DataFrame, kind: str) -> DataFrame:
+    """Blocks ``(interval, reps, counts, vectors)``: the vectors of an interval, packed."""
 
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
                 members = sorted(r["members"], key=lambda m: m["rep"])
-                packed = np.array([m["vector"] for m in members], np.float32).tobytes()
+                packed = np.array([m["vector"] for m in members], kind).tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r["interval"]], pa.int64()), pa.array([[m["rep"] for m in members]], pa.list_(pa.int64())), pa.array([[m["n"] for m in members]], pa.list_(pa.int64())), pa.array([packed], pa.binary())],
                     names=["interval", "reps", "counts", "vectors"],
@@ -178,42 +225,81 @@ def pack(placed: DataFrame) -> DataFrame:
     return grouped.mapInArrow(run, "interval long, reps array<long>, counts array<long>, vectors binary")
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.9, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+def linked(reps: DataFrame, size: int, least: float, trace: Callable[[str, DataFrame], None] | None = None) -> DataFrame:
+    """``(rep, links, root)`` for the vectors ``(rep, n, vector)`` of one length: see ``join_tiles``."""
+    kind = "f4" if reps.schema["vector"].dataType.simpleString() == "array<float>" else "f8"
+    directions = principal(reps, size, DIMENSIONS)
+    epsilon = math.sqrt(max(0.0, 2 - 2 * least))
+    placed = sequence(reps, directions, epsilon).withColumn("interval", F.floor(F.col("place") / INTERVAL).cast("long"))
+    tiles = -(-reps.count() // (INTERVAL * TILE))
+    corners = placed.select(F.floor(F.col("interval") / TILE).cast("long").alias("interval"), F.posexplode("projected").alias("d", "x")).groupBy("interval", "d").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    boxes = cut(corners.groupBy("interval").agg(F.sort_array(F.collect_list(F.struct("d", "low", "high"))).alias("b")).select("interval", "b.low", "b.high"))
+    pairs = interval_pairs(boxes, tiles, epsilon)
+    found = cut(join_tiles(cut(pack(placed, kind)), pairs, directions, least, kind, TILE))
+    if trace:
+        trace("tiles", pairs)
+        trace("intervals", found.where("rep is null").agg(F.sum("tried").alias("tried"), F.sum("skipped").alias("skipped")))
+    return found.where("rep is not null").select("rep", "links", "root")
+
+
+def near_duplicates(vectors: DataFrame, least: float = 0.9, key: str = "vec_id", column: str = "embedding", trace: Callable[[str, DataFrame], None] | None = None) -> DataFrame:
     """``vectors`` without their components, with ``n_links``, ``component_id`` and ``kept``.
 
-    Two vectors link if their cosine is at least ``least``. Equal vectors are joined once, by their
-    count, so a vector that fills a third of the table is one row of the join. Null, zero and
-    non-finite vectors, vectors with a null key, and vectors whose length is not the commonest
-    one, link with nothing: their component is their own key. Repeated rows count as copies.
-    An empty table gives an empty result; columns named as the made ones are replaced.
+    Two vectors of one length link if their cosine is at least ``least``; each length is joined by
+    itself. Equal vectors are joined once, by their count, so a vector that fills a third of the table
+    is one row of the join. Single and double precision components are taken as they are. Null,
+    empty, zero and non-finite vectors and vectors with a null key link with nothing: their
+    component is their own key. Repeated rows count as copies. An empty table gives an empty
+    result; columns named as the made ones are replaced, all others kept, whatever their names.
     """
     made = ["n_links", "component_id", "kept"]
-    v = vectors.drop(*made).withColumn("_v", F.col(column).cast("array<float>"))
-    v = v.withColumn("_ok", F.col(key).isNotNull() & usable(F.col("_v")))
-    v = v.withColumn("_a", F.xxhash64("_v")).withColumn("_b", F.xxhash64("_v", F.lit(1)))
-    sizes = v.where("_ok").groupBy(F.size("_v").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").limit(1).collect()
     keep = [c for c in vectors.columns if c not in made and c != column]
-    if not sizes:
-        return v.select(*keep, F.lit(0).cast("long").alias("n_links"), F.col(key).alias("component_id"), F.col(key).isNotNull().alias("kept"))
-    size = sizes[0]["size"]
-    v = v.withColumn("_ok", F.col("_ok") & (F.size("_v") == size))
+    return aside(vectors, (key, column), made, lambda v: _near_duplicates(v, least, key, column, trace)).select(*keep, *made)
+
+
+def _near_duplicates(v: DataFrame, least: float, key: str, column: str, trace: Callable[[str, DataFrame], None] | None) -> DataFrame:
+    keep = [c for c in v.columns if c != column]
+    if v.schema[column].dataType.simpleString() not in ("array<float>", "array<double>"):
+        v = v.withColumn(column, F.col(column).cast("array<double>"))
+    v = v.withColumnRenamed(column, "_v").withColumn("_ok", F.col(key).isNotNull() & usable(F.col("_v")))
+    v = v.withColumn("_a", F.xxhash64("_v")).withColumn("_b", F.xxhash64("_v", F.lit(1)))
     groups = v.where("_ok").groupBy("_a", "_b").agg(F.min(key).alias("rep"), F.count("*").alias("n"), F.min("_v").alias("vector"))
-    reps = cut(groups.select("_a", "_b", F.col("rep").cast("long"), "n", "vector"))
-    epsilon = math.sqrt(max(0.0, 2 - 2 * least))
-    placed = sequence(reps, principal(reps, size, DIMENSIONS), epsilon).withColumn("interval", F.floor(F.col("place") / INTERVAL).cast("long"))
-    intervals = -(-reps.count() // INTERVAL)
-    corners = placed.select("interval", F.posexplode("projected").alias("d", "x")).groupBy("interval", "d").agg(F.min("x").alias("low"), F.max("x").alias("high"))
-    boxes = cut(corners.groupBy("interval").agg(F.sort_array(F.collect_list(F.struct("d", "low", "high"))).alias("b")).select("interval", "b.low", "b.high"))
-    found = cut(join_intervals(cut(pack(placed)), interval_pairs(boxes, intervals, epsilon), least))
-    links = found.groupBy("rep").agg(F.sum("links").alias("far"))
-    component = connected_components(found.select("rep", "root"), "rep", "root")
-    by_rep = reps.select("_a", "_b", "rep", "n").join(links, "rep", "left").join(component.withColumnRenamed("node", "rep"), "rep", "left")
-    by_rep = by_rep.select("_a", "_b", (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    known = v.where("_ok").join(by_rep, ["_a", "_b"])
+    reps = cut(groups.select("_a", "_b", F.col("rep").cast("long"), "n", "vector", F.size("vector").alias("size")))
+    found = None
+    for r in sorted(reps.groupBy("size").count().where("count > 1").collect()):  # a row for each length
+        links = linked(reps.where(F.col("size") == r["size"]).select("rep", "n", "vector"), r["size"], least, trace)
+        found = links if found is None else found.unionByName(links)
     rest = v.where(~F.col("_ok")).withColumn("n_links", F.lit(0).cast("long")).withColumn("component_id", F.col(key).cast("long"))
+    own = reps.select("_a", "_b", "rep", "n")
+    if found is None:
+        by_rep = own.select("_a", "_b", (F.col("n") - 1).alias("n_links"), F.col("rep").alias("component_id"))
+    else:
+        links = found.groupBy("rep").agg(F.sum("links").alias("far"))
+        component = connected_components(found, "rep", "root")
+        by_rep = own.join(links, "rep", "left").join(component.withColumnRenamed("node", "rep"), "rep", "left")
+        by_rep = by_rep.select("_a", "_b", (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    known = v.where("_ok").join(by_rep, ["_a", "_b"])
     both = known.select(*keep, "n_links", "component_id").unionByName(rest.select(*keep, "n_links", "component_id"))
     return both.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))
 
 
 def op9_epsilon_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).select("vec_id", "n_links", "component_id", "kept")
+
+
+#: Cosines of all pairs, then the smallest id each vector reaches.
+OP9_SQL = """
+with recursive v as (
+  select vec_id, list_transform(embedding, lambda x: x::double) as e,
+    embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 as ok
+  from embeddings
+), l as (
+  select a.vec_id as a, b.vec_id as b from (select * from v where ok) a join (select * from v where ok) b
+    on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.9::double
+), w as (
+  select vec_id as node, vec_id as low from v union select l.b, w.low from w join l on l.a = w.node where w.low < l.b
+), c as (
+  select node, min(low) as component_id from w group by 1
+)
+select v.vec_id, (select count(*) from l where l.a = v.vec_id) as n_links, component_id, v.vec_id = component_id as kept from v join c on c.node = v.vec_id
+"""
