@@ -215,3 +215,22 @@ def jaccard(a: Column, b: Column) -> Column:
 def rank_target(y: Column, y_query: Column) -> Column:
     """How good a neighbour is for ranking: less the distance of the labels."""
     return -F.abs(y - y_query)
+
+
+def reduced_loss(loss: Column, weight: Column | None = None, reduction: str = "mean") -> Column:
+    """B14, as an aggregate: the weighted sum, or that over the number of rows (not over the weights); ``none`` is the row's own."""
+    each = loss if weight is None else loss * weight
+    if reduction == "none":
+        return each
+    if reduction not in ("mean", "sum"):
+        raise ValueError(reduction)
+    return F.sum(each) if reduction == "sum" else F.sum(each) / F.count("*")
+
+
+def composed_loss(task: Column, rank: Column, gate: Column, base: Column, retrieved: Column, calibration: Column, rank_weight: float = 0.1, utility_weight: float = 0.1, calibration_weight: float = 0.1, harm_weight: float = 0.5, eps: float = 0.01) -> list[Column]:
+    """B23, as aggregates: the terms, their weighted sum ``total``, and what is monitored besides: the share of rows
+    that retrieval helps, and the mean change. ``task`` and ``rank`` are losses of a row (null rank: not ranked)."""
+    u = utility_label(base, retrieved, eps)
+    terms = {"task": F.avg(task), "rank": F.coalesce(F.avg(rank), F.lit(0.0)), "utility": F.avg(gate_loss(gate, u)), "harm": F.avg(harm_loss(gate, base - retrieved)), "calibration": calibration}
+    total = terms["task"] + rank_weight * terms["rank"] + utility_weight * (terms["utility"] + harm_weight * terms["harm"]) + calibration_weight * terms["calibration"]
+    return [*[c.alias(n) for n, c in terms.items()], total.alias("total"), F.avg(u).alias("utility_positive_rate"), F.avg(base - retrieved).alias("marginal_mean")]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import clip_zscore
 from tidemark.operators.splits import group_folds, out_of_fold
+from tidemark.operators.ranking import order_statistics
 from tidemark.operators.stats import auroc
 
 
@@ -27,6 +28,24 @@ def mean_predictor(train: DataFrame, entity: str, y: str) -> DataFrame:
     return train.groupBy(entity).agg(F.avg(y).alias("_mean")).unionByName(train.agg(F.lit(None).cast("string").alias(entity), F.avg(y).alias("_mean")))
 
 
+def median_predictor(train: DataFrame, entity: str, y: str) -> DataFrame:
+    """J1 with medians: ``(entity, _mean)`` and that of all rows under a null entity, by ordered value counts."""
+    rows = train.where(F.col(entity).isNotNull()).select(F.col(entity).cast("string").alias(entity), y)
+    each = order_statistics(rows, [entity], y, {"_mean": ("linear", 0.5)}).select(entity, "_mean")
+    every = order_statistics(train.select(F.lit(None).cast("string").alias(entity), y), [entity], y, {"_mean": ("linear", 0.5)}).select(entity, "_mean")
+    return each.unionByName(every)
+
+
+def mandatory_baselines(rows: DataFrame, splits: DataFrame, key: str, entity: str, y: str, features: list[str], trees: int = 500, seed: int = 7) -> DataFrame:
+    """``(entity_id, y, method, pred)`` on the test rows, of the entity mean and of a random forest, both fitted on
+    all rows that are not test. The split column is joined by key, never taken from the rows."""
+    joined = rows.drop("split").join(splits.select(key, "split"), key)
+    train, test = joined.where("split <> 'test'"), joined.where("split = 'test'")
+    mean = apply_mean(test, mean_predictor(train, entity, y), entity).select(F.col(entity).alias("entity_id"), y, F.lit("mean").alias("method"), F.col("mean_pred").alias("pred"))
+    grown = forest(train, test, features, y, trees, seed).select(F.col(entity).alias("entity_id"), y, F.lit("forest").alias("method"), F.col("forest_pred").alias("pred"))
+    return mean.unionByName(grown)
+
+
 def apply_mean(rows: DataFrame, fitted: DataFrame, entity: str) -> DataFrame:
     """``rows`` with ``mean_pred``; unseen entities get the mean of all."""
     every = fitted.where(F.col(entity).isNull()).select(F.col("_mean").alias("_all"))

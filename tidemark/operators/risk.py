@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tidemark.operators import bootstrap as B
 from tidemark.operators.ranking import global_rank
 
 GRID = [round(i * 0.01, 2) for i in range(1, 101)]
@@ -132,20 +133,8 @@ def coverage_curve(rows: DataFrame, key: str, gate: str, base: str, retrieved: s
     if not draws:
         return out
 
-    def run(batches):
-        n_, s_ = np.zeros((draws, steps)), np.zeros((draws, steps))
-        for b in batches:
-            for k, c, d in zip(b.column("k").to_pylist(), b.column("c").to_pylist(), b.column("d").to_pylist()):
-                x = np.random.default_rng([seed, int(k) & 0xFFFFFFFFFFFFFFFF]).poisson(1.0, draws)
-                n_[:, c - 1] += x
-                s_[:, c - 1] += x * d
-        r, c = np.nonzero(n_)
-        yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(c + 1, pa.int64()), pa.array(n_[r, c]), pa.array(s_[r, c])], names=["b", "c", "n", "s"])
-
-    sums = ranked.select("k", "c", "d").mapInArrow(run, "b long, c long, n double, s double").groupBy("b", "c").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    wb = Window.partitionBy("b").orderBy("c").rowsBetween(Window.unboundedPreceding, 0)
-    means = sums.withColumn("m", F.sum("s").over(wb) / F.sum("n").over(wb))
-    bound = means.groupBy("c").agg(F.percentile("m", F.lit(level)).alias("_u")).select((F.col("c") / steps).alias("coverage"), "_u")
+    sums = B.replicate_sums(ranked, F.col("k"), F.col("c"), F.col("d"), draws, seed)
+    bound = B.nested_upper(sums, steps, level).select((F.col("c") / steps).alias("coverage"), F.col("upper").alias("_u"))
     out = out.join(bound, "coverage", "left")
     return out.withColumn("upper", F.when(F.col("n") >= least, F.col("_u")).otherwise(float("inf"))).drop("_u")
 
@@ -153,3 +142,11 @@ def coverage_curve(rows: DataFrame, key: str, gate: str, base: str, retrieved: s
 def safe_coverage(curve: DataFrame) -> DataFrame:
     """The largest coverage whose upper bound is at most 0, else 0."""
     return curve.agg(F.coalesce(F.max(F.when(F.col("upper") <= 0, F.col("coverage"))), F.lit(0.0)).alias("safe_coverage"))
+
+
+def gate_variants(gate: str, base: str, retrieved: str, top1: str) -> dict[str, tuple[Column, Column]]:
+    """The values and thresholds of the gate variants: never (the mean baseline), the gate, always, the oracle
+    (less the change of loss, accepted above 0), and the best similarity."""
+    half, gain = F.lit(0.5), F.col(base) - F.col(retrieved)
+    above = F.when(gain > 0, gain).otherwise(-1.0)
+    return {"mean": (F.lit(0.0), half), "gate": (F.col(gate), half), "naive": (F.lit(1.0), half), "oracle": (above, F.lit(0.0)), "tanimoto": (F.col(top1), half)}

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
+from tidemark.operators.ranking import join_groups, order_statistics
 
 class UnknownPolicyError(ValueError):
     """A size policy other than ``exclude`` and ``downgrade``."""
@@ -71,13 +71,15 @@ def scale_audit(facts: DataFrame, cuts: list[int], entity: str = "entity_id", it
     return at.groupBy("least").agg(F.countDistinct(entity).alias("entities"), F.count("*").alias("pairs"), F.countDistinct(item).alias("items"))
 
 
-def overlap(facts: DataFrame, least_items: int, least_share: float, entity: str = "entity_id", item: str = "item") -> DataFrame:
-    """Pairs of entities by shared items over the smaller one's items. Only pairs that share an item are made."""
-    pairs = facts.select(entity, item).distinct()
+def overlap(facts: DataFrame, least_items: int, least_share: float, entity: str = "entity_id", item: str = "item", name: str | None = None) -> DataFrame:
+    """Pairs of entities by shared items over the smaller one's items. Only pairs that share an item are made;
+    with ``name``, only those of entities that have the same non-blank name."""
+    keys = [entity, item] + ([name] if name else [])
+    pairs = facts.select(*keys).distinct()
     size = pairs.groupBy(entity).agg(F.count("*").alias("n")).where(F.col("n") >= least_items)
     held = pairs.join(size, entity)
-    a, b = (held.select(F.col(entity).alias(x), F.col("n").alias(f"n_{x}"), item) for x in ("a", "b"))
-    shared = a.join(b, item).where("a < b").groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
+    a, b = (held.select(F.col(entity).alias(x), F.col("n").alias(f"n_{x}"), item, *([F.nullif(F.trim(name), F.lit("")).alias("_name")] if name else [])) for x in ("a", "b"))
+    shared = a.join(b, [item] + (["_name"] if name else [])).where("a < b").groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
     return shared.withColumn("overlap", F.col("shared") / F.least("n_a", "n_b")).where(F.col("overlap") >= least_share).withColumn("overlap", F.round("overlap", 4))
 
 
@@ -85,14 +87,10 @@ def describe(df: DataFrame, side: str, columns: list[str]) -> DataFrame:
     """For each side and numeric column: n, mean, median, deviation, lower-index deciles.
 
     The deciles are elements of the sample: of n sorted values, those at index ``floor(q (n - 1))``.
+    Value counts of all columns are ordered together, dealt by range.
     """
     long = df.select(side, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("_x")).select(side, "_x.*").where("v is not null")
-    per_value = long.groupBy(side, "column", "v").agg(F.count("*").alias("k"))
-    # distinct values of a column are ordered, rows are not
-    w = Window.partitionBy(side, "column").orderBy("v")
-    ranked = per_value.withColumn("hi", F.sum("k").over(w)).withColumn("n", F.sum("k").over(Window.partitionBy(side, "column")))
-    at = {q: F.floor(F.lit(q) * (F.col("n") - 1)) for q in (0.1, 0.9)}
-    picks = [F.min(F.when(F.col("hi") > i, F.col("v"))).alias(f"p{int(q * 100)}") for q, i in at.items()]
-    deciles = ranked.groupBy(side, "column").agg(*picks)
-    stats = long.groupBy(side, "column").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.percentile("v", F.lit(0.5)).alias("median"), F.stddev_pop("v").alias("std"))
-    return stats.join(deciles, [side, "column"])
+    by = [side, "column"]
+    picks = order_statistics(long, by, "v", {"median": ("linear", 0.5), "p10": ("lower", 0.1), "p90": ("lower", 0.9)})
+    stats = long.groupBy(*by).agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    return join_groups(picks, stats, by).select(*by, "n", "mean", "median", "std", "p10", "p90")

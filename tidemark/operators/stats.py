@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tidemark.operators.ranking import cumulative
+from tidemark.operators import bootstrap as B
+from tidemark.operators.ranking import cumulative, cumulative_by
 
 
 class MissingBaselineError(ValueError):
@@ -57,81 +59,115 @@ def transfer_rates(base: str = "loss_base", retrieved: str = "loss_retr", gate:
     return [rate(worse).alias("negative_transfer"), rate(harmed).alias("harm_rate"), rate(taken).alias("coverage"), F.avg(F.when(taken, harmed.cast("double"))).alias("harm_rate_accepted")]
 
 
-def _weights(ids: list, first: int, count: int, seed: int) -> np.ndarray:
-    """Poisson(1) weights by row and replicate, drawn from the row's id, so the layout does not matter."""
-    return np.array([np.random.default_rng([seed, first, int(i) & 0xFFFFFFFFFFFFFFFF]).poisson(1.0, count) for i in ids])
-
-
-def bootstrap_mean(df: DataFrame, key: str, value: str, draws: int = 1_000, seed: int = 7, level: float = 0.95, by: str | None = None) -> DataFrame:
-    """K7: mean and percentile interval. A task sends one sum and weight a replicate, not rows."""
-
-    def run(batches):
-        sums: dict = {}
-        for batch in batches:
-            g = batch.column("g").to_pylist()
-            w = _weights(batch.column("k").to_pylist(), 0, draws, seed)
-            v = np.asarray(batch.column("v"), dtype=float)
-            for name in set(g):
-                at = np.array([x == name for x in g])
-                s = sums.setdefault(name, np.zeros((2, draws)))
-                s += [w[at].sum(0), v[at] @ w[at]]
-        for name, s in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([name] * draws, pa.string()), pa.array(range(draws), pa.int32()), pa.array(s[0]), pa.array(s[1])], names=["g", "b", "n", "s"])
-
-    rows = df.select(F.coalesce(F.col(by).cast("string"), F.lit("")).alias("g") if by else F.lit("").alias("g"), F.col(key).cast("long").alias("k"), F.col(value).cast("double").alias("v")).where("v is not null")
-    each = rows.mapInArrow(run, "g string, b int, n double, s double").groupBy("g", "b").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0.0))).alias("m"))
-    tail = (1 - level) / 2
-    ci = each.groupBy("g").agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
-    return rows.groupBy("g").agg(F.count("*").alias("n"), F.avg("v").alias("mean")).join(ci, "g").withColumnRenamed("g", by or "group")
+def bootstrap_mean(df: DataFrame, key: str, value: str, draws: int = 10_000, seed: int = 7, level: float = 0.95, by: str | None = None) -> DataFrame:
+    """K7: mean and percentile interval of ``value``, for each ``by``."""
+    g = F.coalesce(F.col(by).cast("string"), F.lit("")) if by else F.lit("")
+    ci = B.interval(B.replicate_sums(df, F.col(key), F.lit(0), F.col(value), draws, seed, g), level)
+    rows = df.where(F.col(value).isNotNull()).groupBy(g.alias("g")).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+    return rows.join(ci, "g").withColumnRenamed("g", by or "group")
 
 
 def bootstrap_auroc_difference(df: DataFrame, a: str, b: str, label: str, bins: int = 200, draws: int = 1_000, seed: int = 7) -> DataFrame:
     """K8: difference of two scores' AUROC over paired resamples; ``passed`` if the lower end is above 0.
 
-    Rows are first counted in cells of both scores' quantile bins and the label, a number that
-    does not grow with the rows; a cell of n rows gets a Poisson(n) weight in each replicate.
+    The point estimate is exact (K5). For the interval rows are counted in cells of both scores'
+    quantile bins and the label, a number that does not grow with the rows; tasks give a cell of n rows
+    a Poisson(n) weight in each replicate and send sums by score, bin and label. Ties within a bin
+    count half, which moves a replicate's AUROC by at most half of the share of pairs in one bin.
+    One-class replicates are left out.
     """
     cuts = {c: sorted(set(df.approxQuantile(c, [i / bins for i in range(1, bins)], 0.001))) for c in (a, b)}
     place = lambda c: F.size(F.filter(F.array(*[F.lit(x) for x in cuts[c]]), lambda x: x <= F.col(c)))
-    cells = df.groupBy(place(a).alias("a"), place(b).alias("b"), (F.col(label) == 1).cast("int").alias("y")).agg(F.count("*").alias("n")).toPandas().sort_values(["a", "b", "y"])
+    cells = df.groupBy(place(a).alias("a"), place(b).alias("b"), (F.col(label) == 1).cast("int").alias("y")).agg(F.count("*").alias("n"))
 
-    def area(score: np.ndarray, w: np.ndarray) -> np.ndarray:
-        size = int(score.max(initial=0)) + 1
-        pos, neg = (np.stack([np.bincount(score, weights=x * (y == k), minlength=size) for x in w]) for k in (1, 0))
-        below = np.cumsum(neg, axis=1) - neg / 2
+    def sums(batches):
+        held: dict = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                w = np.random.default_rng([seed, r["a"], r["b"], r["y"]]).poisson(r["n"], draws)
+                for score in ("a", "b"):
+                    held.setdefault((score, r[score], r["y"]), np.zeros(draws))[:] += w
+        for (score, at, y), w in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([score]), pa.array([at], pa.int32()), pa.array([y], pa.int32()), pa.array([w], pa.list_(pa.float64()))], names=["score", "bin", "y", "w"])
+
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"score": part["score"].iloc[:1], "bin": part["bin"].iloc[:1], "y": part["y"].iloc[:1], "w": [np.sum(part["w"].to_list(), axis=0)]})
+
+    schema = "score string, bin int, y int, w array<double>"
+    found = cells.mapInArrow(sums, schema).groupBy("score", "bin", "y").applyInPandas(add, schema).collect()  # 4 * bins rows at most
+    areas = []
+    for score in ("a", "b"):
+        pos, neg = (np.zeros((len(cuts[a if score == "a" else b]) + 1, draws)) for _ in range(2))
+        for r in found:
+            if r["score"] == score:
+                (pos if r["y"] else neg)[r["bin"]] = r["w"]
         with np.errstate(invalid="ignore", divide="ignore"):
-            return (pos * below).sum(1) / (pos.sum(1) * neg.sum(1))
-
-    y, n = cells["y"].to_numpy(), cells["n"].to_numpy()
-    w = np.vstack([n, np.random.default_rng(seed).poisson(n, (draws, len(n)))]).astype(float)
-    d = area(cells["a"].to_numpy(), w) - area(cells["b"].to_numpy(), w)
-    kept = d[1:][np.isfinite(d[1:])]
+            areas.append((pos * (np.cumsum(neg, 0) - neg / 2)).sum(0) / (pos.sum(0) * neg.sum(0)))
+    d = areas[0] - areas[1]
+    kept = d[np.isfinite(d)]
     low, high = (float(x) for x in np.quantile(kept, [0.025, 0.975])) if len(kept) else (None, None)
-    point = float(d[0]) if np.isfinite(d[0]) else None
+    exact = [auroc(df, c, label).first()["auroc"] for c in (a, b)]
+    point = None if None in exact else exact[0] - exact[1]
     return df.sparkSession.createDataFrame([(point, low, high, len(kept), low is not None and low > 0)], "difference double, low double, high double, replicates long, passed boolean")
 
 
+def spearman_by(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
+    """K4 within groups: ``(by, spearman)``; average ranks from ordered value counts, so no group meets in one task."""
+    out = df
+    for i, c in enumerate((a, b)):
+        n = df.groupBy(*by, c).agg(F.count("*").alias("_n"))
+        ranked = cumulative_by(n, by, c, ["_n"]).select(*by, F.col(c).alias(f"_v{i}"), (F.col("_n_upto") - (F.col("_n") - 1) / 2).alias(f"_r{i}"))
+        out = out.join(ranked.withColumnRenamed(f"_v{i}", c), [*by, c])
+    spread = F.nullif(F.stddev_pop("_r0") * F.stddev_pop("_r1"), F.lit(0.0))  # null without spread
+    return out.groupBy(*by).agg((F.covar_pop("_r0", "_r1") / spread).alias("spearman"))
+
+
 def baseline_table(predictions: DataFrame, required: list[str] = ("mean",)) -> DataFrame:
-    """Errors by method and entity, and a ``__macro__`` row: rmse averaged over entities, r2 pooled."""
+    """Errors and rank correlation by method and entity, and a ``__macro__`` row: rmse averaged over
+    entities, r2 and spearman pooled."""
     known = {r[0] for r in predictions.select("method").distinct().collect()}
     if missing := set(required) - known:
         raise MissingBaselineError(str(sorted(missing)))
-    each = predictions.groupBy("method", "entity_id").agg(F.count("*").alias("n"), *errors())
-    macro = each.groupBy("method").agg(F.avg("rmse").alias("rmse")).join(predictions.groupBy("method").agg(F.count("*").alias("n"), errors()[1]), "method").withColumn("entity_id", F.lit("__macro__"))
-    table = each.unionByName(macro.select("method", "entity_id", "n", "rmse", "r2"))
+    keys = ["method", "entity_id"]
+    each = predictions.groupBy(*keys).agg(F.count("*").alias("n"), *errors()).join(spearman_by(predictions, keys, "y", "pred"), keys)
+    pooled = predictions.groupBy("method").agg(F.count("*").alias("n"), errors()[1]).join(spearman_by(predictions, ["method"], "y", "pred"), "method")
+    macro = each.groupBy("method").agg(F.avg("rmse").alias("rmse")).join(pooled, "method").withColumn("entity_id", F.lit("__macro__"))
+    table = each.unionByName(macro.select("method", "entity_id", "n", "rmse", "r2", "spearman"))
     mean = table.where("method = 'mean'").select("entity_id", F.col("rmse").alias("_m"))
     return table.join(mean, "entity_id").withColumn("delta_vs_mean", F.col("rmse") - F.col("_m")).drop("_m")
 
 
+def lose_counts(table: DataFrame) -> DataFrame:
+    """For each method, on how many entities it is worse than the mean baseline."""
+    return table.where("entity_id <> '__macro__'").groupBy("method").agg(F.count_if(F.col("delta_vs_mean") > 0).alias("lost"), F.count("*").alias("entities"))
+
+
+def risk_coverage_area(curve: DataFrame, x: str = "coverage", y: str = "risk") -> DataFrame:
+    """The area under a risk-coverage curve by trapezoids; the curve has a row for each coverage (100 at most)."""
+    w = Window.orderBy(x)
+    step = (F.col(x) - F.lag(x).over(w)) * (F.col(y) + F.lag(y).over(w)) / 2
+    return curve.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(step.alias("_a")).agg(F.coalesce(F.sum("_a"), F.lit(0.0)).alias("area"))
+
+
 def ks(df: DataFrame, side: str, value: str, by: str) -> DataFrame:
-    """The largest distance of two samples' distribution functions, for each group.
+    """The largest distance of two samples' distribution functions, for each group.
 
-    Right-continuous: rows of one value count together. Groups are features, a fixed number.
+    Right-continuous: rows of one value count together. Value counts are ordered over all groups
+    at once, dealt by range, so no group meets in one task.
     """
     n = df.groupBy(by, value).agg(F.count_if(F.col(side) == 0).alias("a"), F.count_if(F.col(side) != 0).alias("b"))
-    w, g = Window.partitionBy(by).orderBy(value), Window.partitionBy(by)
-    c = n.withColumn("fa", F.sum("a").over(w) / F.sum("a").over(g)).withColumn("fb", F.sum("b").over(w) / F.sum("b").over(g))
-    return c.groupBy(by).agg(F.max(F.abs(F.col("fa") - F.col("fb"))).alias("ks"))
+    c = cumulative_by(n, [by], value, ["a", "b"])
+    total = n.groupBy(by).agg(F.sum("a").alias("_na"), F.sum("b").alias("_nb"))
+    c = c.join(total, by)
+    return c.groupBy(by).agg(F.max(F.abs(F.col("a_upto") / F.col("_na") - F.col("b_upto") / F.col("_nb"))).alias("ks"))
+
+
+def shift_report(found: DataFrame, df: DataFrame, by: str, side: str, most: float = 0.15) -> DataFrame:
+    """One row over the features' ``ks``: the largest finite one, how many exceed ``most``, whether any
+    does, and the ratio of the two sides' rows."""
+    one = found.agg(F.max(F.when(~F.isnan("ks"), F.col("ks"))).alias("max_ks"), F.count_if(F.col("ks") > most).alias("n_shifted"))
+    rows = df.agg((F.count_if(F.col(side) != 0) / F.nullif(F.count_if(F.col(side) == 0), F.lit(0))).alias("size_ratio"))
+    return one.crossJoin(F.broadcast(rows)).withColumn("shifted", F.coalesce(F.col("max_ks") > most, F.lit(False)))
 
 
 def route_diagnostic(rows: DataFrame, task: str, gate: str) -> DataFrame:

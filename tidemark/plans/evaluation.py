@@ -9,6 +9,7 @@ from tidemark.operators import learn as L
 from tidemark.operators import ranking
 from tidemark.operators import risk as K
 from tidemark.operators import stats as T
+from tidemark.operators import verdicts as V
 from tidemark.session import table
 
 
@@ -39,7 +40,7 @@ def k1(spark, sf):
 
 
 def k3(spark, sf):
-    o = table(spark, sf, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_quantity")
+    o = table(spark, sf, "lineitem").select("l_orderkey", "l_quantity")
     return T.average_ranks(o, "l_quantity", "rank").groupBy("l_quantity").agg(F.count("*").alias("n"), F.max("rank").alias("rank"))
 
 
@@ -57,7 +58,7 @@ def k6(spark, sf):
 
 
 def k7(spark, sf):
-    return T.bootstrap_mean(predictions(spark, sf).withColumn("d", F.col("loss_retr") - F.col("loss_base")), "id", "d", 200, by="entity_id")
+    return T.bootstrap_mean(predictions(spark, sf).withColumn("d", F.col("loss_retr") - F.col("loss_base")), "id", "d", by="entity_id")
 
 
 def k8(spark, sf):
@@ -69,7 +70,69 @@ def k9(spark, sf):
 
 
 def k11(spark, sf):
-    return T.baseline_table(methods(spark, sf)).select("method", "entity_id", "n", *[(F.round(c, 4) + 0.0).alias(c) for c in ("rmse", "r2", "delta_vs_mean")])  # no negative zero
+    return T.baseline_table(methods(spark, sf)).select("method", "entity_id", "n", *[(F.round(c, 4) + 0.0).alias(c) for c in ("rmse", "r2", "spearman", "delta_vs_mean")])  # no negative zero
+
+
+def k11_lost(spark, sf):
+    return T.lose_counts(T.baseline_table(methods(spark, sf)))
+
+
+def k10(spark, sf):
+    """Over the coverages that accept any row."""
+    c = curve(spark, sf).where("n_accepted > 0")
+    return T.risk_coverage_area(c).select(F.round("area", 6).alias("area"))
+
+
+def k14(spark, sf):
+    p = predictions(spark, sf)
+    auc = lambda rows: T.auroc(rows, "gate", "label").first()["auroc"]
+    cliffs = p.where("abs(y - pred) > 100")
+    return V.h2_verdict(T.bootstrap_auroc_difference(p, "gate", "other", "label"), auc(p.where("split = 'calib'")), auc(p.where("split = 'test'")), auc(cliffs), 1).select("criterion", "passed")
+
+
+def j11(spark, sf):
+    """Baselines on test orders, fitted on all others; the split comes from a table of its own."""
+    p = predictions(spark, sf)
+    return L.mandatory_baselines(p, p.select("id", "split"), "id", "entity_id", "y", ["gate", "loss_base"])
+
+
+def j10(spark, sf):
+    p = predictions(spark, sf)
+    own = p.where("split = 'test'").select("entity_id", "y", F.lit("model").alias("method"), (F.col("loss_base") * 500).alias("pred"))
+    rival = p.where("split = 'test'").select("entity_id", "y", F.lit("rival").alias("method"), (F.col("y") + F.col("gate") * 10).alias("pred"))
+    m = L.mean_predictor(p.where("split <> 'test'"), "entity_id", "y")
+    mean = L.apply_mean(p.where("split = 'test'"), m, "entity_id").select("entity_id", "y", F.lit("mean").alias("method"), F.col("mean_pred").alias("pred"))
+    worst = p.where("split = 'test'").select("entity_id", "y", F.lit("constant").alias("method"), "pred")
+    table = T.baseline_table(own.unionByName(rival).unionByName(mean).unionByName(worst))
+    return V.select_backbones(table).select("method", F.round("rmse", 4).alias("rmse"), "beats_mean", "near_forest", "role")
+
+
+def b14(spark, sf):
+    p = losses(spark, sf).where("flag = 'none'")
+    loss = S.tobit_loss(F.col("mu"), F.col("log_var"), F.col("y"), F.col("flag"))
+    return p.groupBy("split").agg(*[F.round(S.reduced_loss(loss, F.col("gate"), r), 4).alias(r) for r in ("mean", "sum")])
+
+
+def b23(spark, sf):
+    p = losses(spark, sf)
+    cal = S.calibration_loss(F.col("mu"), F.col("log_var"), F.col("y"))
+    rank = F.when(F.col("id") % 3 == 0, F.abs(F.col("gate") - F.col("other")))
+    terms = S.composed_loss(S.squared_loss(F.col("mu"), F.col("y"), F.lit("none")), rank, F.col("gate"), F.col("loss_base"), F.col("loss_retr"), cal)
+    names = ["task", "rank", "utility", "harm", "calibration", "total", "utility_positive_rate", "marginal_mean"]
+    return p.groupBy("split").agg(*terms).select("split", *[F.round(n, 5).alias(n) for n in names])
+
+
+def k17(spark, sf):
+    p = predictions(spark, sf)
+    long = p.select(F.col("id") % 2, F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.round(F.col(n), 3).alias("v")) for n in ("gate", "loss_base", "loss_retr")])).alias("x")).toDF("side", "x").select("side", "x.*")
+    r = T.shift_report(T.ks(long, "side", "v", "feature"), p.select((F.col("id") % 2).alias("side")), "feature", "side")
+    return r.select(F.round("max_ks", 6).alias("max_ks"), "n_shifted", F.round("size_ratio", 6).alias("size_ratio"), "shifted")
+
+
+def j1_median(spark, sf):
+    p = predictions(spark, sf)
+    fitted = L.median_predictor(p.where("split <> 'test' and entity_id <> '5-LOW'"), "entity_id", "y")
+    return L.apply_mean(p.where("split = 'test'"), fitted, "entity_id").groupBy("entity_id").agg(F.round(F.max("mean_pred"), 5).alias("median_pred"))
 
 
 def k16(spark, sf):
@@ -117,7 +180,7 @@ def l9(spark, sf):
 
 
 def l10(spark, sf):
-    return K.safe_coverage(K.coverage_curve(predictions(spark, sf), "id", "gate", "loss_base", "loss_retr", draws=100))
+    return K.safe_coverage(K.coverage_curve(predictions(spark, sf), "id", "gate", "loss_base", "loss_retr", draws=10_000))
 
 
 def rank(spark, sf):
@@ -191,12 +254,12 @@ def j3(spark, sf):
 
 def j4(spark, sf):
     p = predictions(spark, sf)
-    return L.forest(p.where("split = 'train'"), p.where("split = 'test'"), ["gate", "loss_base"], "loss_retr", trees=10).select("id", "forest_pred")
+    return L.forest(p.where("split = 'train'"), p.where("split = 'test'"), ["gate", "loss_base"], "loss_retr").select("id", "forest_pred")
 
 
 def j5(spark, sf):
     p = predictions(spark, sf).where("split in ('train', 'inner')").withColumn("u", S.utility_label(F.col("loss_base"), F.col("loss_retr")))
-    best, coefficients = L.gate_crossfit(p, ["gate", "loss_base"], "u", "entity_id", [1e-3, 1e-1], folds=3)
+    best, coefficients = L.gate_crossfit(p, ["gate", "loss_base"], "u", "entity_id", [1e-4, 1e-3, 1e-2, 1e-1, 1.0])
     return coefficients.withColumn("l2", F.lit(best))
 
 
@@ -212,8 +275,8 @@ def j8(spark, sf):
 
 QUERIES = {
     "b11_gate_score": b11, "b12_clip_zscore": b12, "b13_tobit": b13, "b13_tobit_uncensored": b13_rows, "b17_utility_losses": b17, "b20_calibration_loss": b20, "b21_routed_prediction": b21,
-    "j1_mean_predictor": j1, "j2_whitening": j2, "j3_ridge": j3, "j4_forest": j4, "j5_logistic_gate": j5, "j7_ensemble": j7, "j8_standardizer": j8,
-    "k1_k2_errors": k1, "k3_average_rank": k3, "k4_spearman": k4, "k5_auroc": k5, "k6_cohens_d": k6, "k7_bootstrap_ci": k7, "k8_auroc_diff": k8, "k9_transfer_rates": k9, "k11_baseline_table": k11,
+    "j1_mean_predictor": j1, "j1_median_predictor": j1_median, "j10_select_backbones": j10, "j11_mandatory_baselines": j11, "b14_reduced_loss": b14, "b23_composed_loss": b23, "j2_whitening": j2, "j3_ridge": j3, "j4_forest": j4, "j5_logistic_gate": j5, "j7_ensemble": j7, "j8_standardizer": j8,
+    "k1_k2_errors": k1, "k3_average_rank": k3, "k4_spearman": k4, "k5_auroc": k5, "k6_cohens_d": k6, "k7_bootstrap_ci": k7, "k8_auroc_diff": k8, "k9_transfer_rates": k9, "k10_risk_coverage_area": k10, "k11_baseline_table": k11, "k11_lose_counts": k11_lost, "k14_h2_verdict": k14, "k17_shift_report": k17,
     "k16_ks": k16, "k18_route_diagnostic": k18, "l1_risk_curve": l1, "l4_pvalues": l4, "l5_learn_then_test": l5, "l5_fixed_sequence": l5_fixed, "l7_test_validation": l7, "l8_power": l8,
     "l9_risk_coverage": l9, "l10_safe_coverage": l10, "n3_global_rank": rank,
 }
@@ -227,6 +290,13 @@ _CURVE = ", c as (select {by} place, lam, count(*) filter (gate >= lam) as n_acc
 _PV = """, pv as (select r.*, case when n_accepted <= 0 or risk >= 0.1::double then 1 else exp(-2 * n_accepted * pow(0.1::double - risk, 2)) end as p_hoeffding,
     case when n_accepted <= 0 or n_harmed >= 0.1::double * n_accepted then 1 else least(1, exp(1::double) * list_sum(list_transform(range(n_harmed + 1), lambda k: exp(lgamma(n_accepted + 1.0::double) - lgamma(k + 1.0::double) - lgamma(n_accepted - k + 1.0::double) + k * ln(0.1::double) + (n_accepted - k) * ln(0.9::double))))) end as p_bentkus from r)"""
 
+_K11 = """, f as (select entity_id, avg(y) as m from p where split <> 'test' group by 1), z as (select entity_id, y, 'model' as method, pred from p union all select entity_id, y, 'mean', m from p join f using (entity_id)),
+  q as (select *, avg(y) over (partition by method, entity_id) as me, avg(y) over (partition by method) as ma, rank() over (partition by method, entity_id order by y) + (count(*) over (partition by method, entity_id, y) - 1) / 2::double as ry, rank() over (partition by method, entity_id order by pred) + (count(*) over (partition by method, entity_id, pred) - 1) / 2::double as rp,
+    rank() over (partition by method order by y) + (count(*) over (partition by method, y) - 1) / 2::double as rya, rank() over (partition by method order by pred) + (count(*) over (partition by method, pred) - 1) / 2::double as rpa from z),
+  e as (select method, entity_id, count(*) as n, sqrt(avg(pow(y - pred, 2))) as rmse, 1 - sum(pow(y - pred, 2)) / sum(pow(y - me, 2)) as r2, case when stddev_pop(rp) > 0 and stddev_pop(ry) > 0 then corr(ry, rp) end as spearman from q group by 1, 2),
+  t as (select * from e union all select e.method, '__macro__', max(x.n), avg(rmse), max(x.r2), max(x.s) from e join (select method, count(*) as n, 1 - sum(pow(y - pred, 2)) / sum(pow(y - ma, 2)) as r2, case when stddev_pop(rpa) > 0 then corr(rya, rpa) end as s from q group by 1) x on x.method = e.method group by e.method),
+  kt as (select t.*, t.rmse - b.rmse as delta from t join t b on b.entity_id = t.entity_id and b.method = 'mean')"""
+
 ORACLE = {
     "b11_gate_score": _P + ", z as (select id, 1 / (1 + exp(-(0.1::double + 2 * gate - loss_base))) as g from p) select id, round(case when g >= 0.6::double then g else 0 end, 6) as g from z",
     "b12_clip_zscore": _P + ", m as (select avg(y) as ym, stddev_samp(y) as ys, avg(pred) as pm, stddev_samp(pred) as ps from p) select id, round(greatest(-5, least(5, (y - ym) / ys)), 4) as y, round(greatest(-5, least(5, (pred - pm) / ps)), 4) as pred from p, m",
@@ -246,18 +316,34 @@ ORACLE = {
     + """, t as (select unnest([{'name': 'y', 'v': y}, {'name': 'pred', 'v': pred}, {'name': 'still', 'v': 1::double}]) as x from p where split = 'train'), s as (select x.name as name, avg(x.v) as m, stddev_samp(x.v) as s from t group by 1)
       select name, round(m, 5) as mean, round(case when s <= 1e-6 then 1 else s end, 5) as std, s <= 1e-6 as dead from s""",
     "k1_k2_errors": _P + ", m as (select *, avg(y) over (partition by entity_id) as my from p) select entity_id, count(*) as n, round(sqrt(avg(pow(y - pred, 2))), 5) as rmse, round(1 - sum(pow(y - pred, 2)) / sum(pow(y - my, 2)), 5) as r2 from m group by 1",
-    "k3_average_rank": "with r as (select l_quantity, rank() over (order by l_quantity) as r from lineitem where l_linenumber = 1) select l_quantity, count(*) as n, min(r) + (count(*) - 1) / 2::double as rank from r group by 1",
+    "k3_average_rank": "with r as (select l_quantity, rank() over (order by l_quantity) as r from lineitem) select l_quantity, count(*) as n, min(r) + (count(*) - 1) / 2::double as rank from r group by 1",
     "k4_spearman": _P + ", r as (select rank() over (order by round(y, 0)) + (count(*) over (partition by round(y, 0)) - 1) / 2::double as a, rank() over (order by gate) + (count(*) over (partition by gate) - 1) / 2::double as b from p) select count(*) as n, round(corr(a, b), 6) as spearman from r",
     "k5_auroc": _P + ", r as (select label, rank() over (order by gate) + (count(*) over (partition by gate) - 1) / 2::double as r from p) select sum(label)::bigint as pos, sum(1 - label)::bigint as neg, round((sum(r * label) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * sum(1 - label))::double, 6) as auroc from r",
     "k6_cohens_d": _P + " select entity_id, round(avg(loss_retr - loss_base) / stddev_samp(loss_retr - loss_base), 5) as cohens_d from p group by 1",
     "k9_transfer_rates": _P
     + """ select split, round(avg((loss_retr > loss_base)::int), 6) as negative_transfer, round(avg((loss_retr > loss_base + 0.01::double)::int), 6) as harm_rate, round(avg((gate >= 0.5::double)::int), 6) as coverage,
       round(avg(case when gate >= 0.5::double then (loss_retr > loss_base + 0.01::double)::int end), 6) as harm_rate_accepted from p group by 1""",
-    "k11_baseline_table": _P
-    + """, f as (select entity_id, avg(y) as m from p where split <> 'test' group by 1), z as (select entity_id, y, 'model' as method, pred from p union all select entity_id, y, 'mean', m from p join f using (entity_id)),
-      q as (select *, avg(y) over (partition by method, entity_id) as me, avg(y) over (partition by method) as ma from z), e as (select method, entity_id, count(*) as n, sqrt(avg(pow(y - pred, 2))) as rmse, 1 - sum(pow(y - pred, 2)) / sum(pow(y - me, 2)) as r2 from q group by 1, 2),
-      t as (select * from e union all select e.method, '__macro__', max(x.n), avg(rmse), max(x.r2) from e join (select method, count(*) as n, 1 - sum(pow(y - pred, 2)) / sum(pow(y - ma, 2)) as r2 from q group by 1) x on x.method = e.method group by e.method)
-      select t.method, t.entity_id, t.n, round(t.rmse, 4) + 0 as rmse, round(t.r2, 4) + 0 as r2, round(t.rmse - b.rmse, 4) + 0 as delta_vs_mean from t join t b on b.entity_id = t.entity_id and b.method = 'mean'""",
+    "k11_baseline_table": _P + _K11 + " select method, entity_id, n, round(rmse, 4) + 0 as rmse, round(r2, 4) + 0 as r2, round(spearman, 4) + 0 as spearman, round(delta, 4) + 0 as delta_vs_mean from kt",
+    "k11_lose_counts": _P + _K11 + " select method, count(*) filter (delta > 0) as lost, count(*) as entities from kt where entity_id <> '__macro__' group by 1",
+    "k10_risk_coverage_area": _P + _CURVE.format(by="", split="calib") + ", z as (select coverage as c, risk as r, lag(coverage) over w as pc, lag(risk) over w as pr from r where n_accepted > 0 window w as (order by coverage, place)) select round(coalesce(sum((c - pc) * (r + pr) / 2), 0), 6) as area from z",
+    "j1_median_predictor": _P
+    + """, t as (select * from p where split <> 'test' and entity_id <> '5-LOW'), m as (select entity_id, median(y) as m from t group by 1) select entity_id, round(coalesce(max(m), (select median(y) from t)), 5) as median_pred from p left join m using (entity_id) where split = 'test' group by 1""",
+    "j10_select_backbones": _P
+    + """, tm as (select entity_id, avg(y) as m from p where split <> 'test' group by 1), te as (select * from p where split = 'test'), z as (select entity_id, y, 'model' as method, loss_base * 500 as pred from te union all select entity_id, y, 'rival', y + gate * 10 from te union all select entity_id, y, 'mean', m from te join tm using (entity_id) union all select entity_id, y, 'constant', pred from te),
+      e as (select method, entity_id, sqrt(avg(pow(y - pred, 2))) as rmse from z group by 1, 2), a as (select method, avg(rmse) as rmse from e group by 1), oo as (select method, rmse, rmse < (select rmse from a where method = 'mean') as b from a where method <> 'mean'),
+      r as (select *, row_number() over (partition by b order by rmse, method) as i from oo) select method, round(rmse, 4) as rmse, b as beats_mean, true as near_forest, case when b and i = 1 then 'A' when b and i = 2 then 'runner_up' when b then 'eligible' else 'rejected' end as role from r
+      union all select 'plan_c', null, false, false, 'plan_c' where not exists (select 1 from r where b)""",
+    "b14_reduced_loss": _P + ", l as (select split, gate * 0.5::double * (pow(y / 100 - pred / 100, 2) / exp(gate * 4 - 2) + gate * 4 - 2) as l from p where id % 3 = 0) select split, round(sum(l) / count(*), 4) as mean, round(sum(l), 4) as sum from l group by 1",
+    "b23_composed_loss": _P
+    + """, u as (select *, (loss_retr < loss_base - 0.01::double)::int as u, greatest(1e-6::double, least(1 - 1e-6::double, gate)) as g, abs((y / 100 - pred / 100) / exp(0.5::double * (gate * 4 - 2))) as z from p),
+      t as (select split, avg(pow(pred / 100 - y / 100, 2)) as task, avg(case when id % 3 = 0 then abs(gate - other) end) as rank, avg(-(u * ln(g) + (1 - u) * ln(1 - g))) as utility, avg(gate * greatest(0, loss_retr - loss_base)) as harm, ("""
+    + " + ".join(f"abs(avg(1 / (1 + exp(-10 * ({q!r}::double - z)))) - {level!r}::double)" for level, q in S.levels())
+    + """) / 10 as calibration, avg(u) as up, avg(loss_base - loss_retr) as mm from u group by 1)
+      select split, round(task, 5) as task, round(rank, 5) as rank, round(utility, 5) as utility, round(harm, 5) as harm, round(calibration, 5) as calibration, round(task + 0.1::double * rank + 0.1::double * (utility + 0.5::double * harm) + 0.1::double * calibration, 5) as total, round(up, 5) as utility_positive_rate, round(mm, 5) as marginal_mean from t""",
+    "k17_shift_report": _P
+    + """, l as (select id % 2 as side, unnest([{'f': 'gate', 'v': round(gate, 3)}, {'f': 'loss_base', 'v': round(loss_base, 3)}, {'f': 'loss_retr', 'v': round(loss_retr, 3)}]) as x from p), n as (select x.f as f, x.v as v, count(*) filter (side = 0) as a, count(*) filter (side <> 0) as b from l group by all),
+      c as (select f, abs(sum(a) over w / sum(a) over (partition by f)::double - sum(b) over w / sum(b) over (partition by f)::double) as d from n window w as (partition by f order by v)), k as (select f, max(d) as ks from c group by 1)
+      select round(max(ks), 6) as max_ks, count(*) filter (ks > 0.15::double) as n_shifted, round((select count(*) filter (id % 2 <> 0) / count(*) filter (id % 2 = 0)::double from p), 6) as size_ratio, max(ks) > 0.15::double as shifted from k""",
     "k16_ks": _P
     + """, l as (select id % 2 as side, unnest([{'f': 'gate', 'v': round(gate, 3)}, {'f': 'loss_base', 'v': round(loss_base, 3)}, {'f': 'loss_retr', 'v': round(loss_retr, 3)}]) as x from p), n as (select x.f as f, x.v as v, count(*) filter (side = 0) as a, count(*) filter (side <> 0) as b from l group by all),
       c as (select f, abs(sum(a) over w / sum(a) over (partition by f)::double - sum(b) over w / sum(b) over (partition by f)::double) as d from n window w as (partition by f order by v)) select f as feature, round(max(d), 6) as ks, max(d) > 0.15::double as shifted from c group by 1""",

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 
 from tidemark.operators import retrieve as R
 from tidemark.operators import risk as K
+from tidemark.operators import stats as B
 from tidemark.operators import verdicts as V
 from tidemark.plans import evaluation, retrieval
 
@@ -41,13 +42,36 @@ def k13(spark, sf):
 
 def k19(spark, sf):
     p = evaluation.predictions(spark, sf)
-    gates = {"mean": F.lit(0.0), "gate": F.col("gate"), "naive": F.lit(1.0), "oracle": (F.col("loss_retr") < F.col("loss_base")).cast("double")}
-    return V.method_table(p, gates).select("method", "n", *[F.round(c, 5).alias(c) for c in ("coverage", "harm_rate", "harm_rate_accepted", "loss")])
+    gates = K.gate_variants("gate", "loss_base", "loss_retr", "other")
+    return V.method_table(p, gates, known=["mean"]).select("method", "n", *[F.round(c, 5).alias(c) for c in ("coverage", "harm_rate", "harm_rate_accepted", "loss")])
 
 
 def l12(spark, sf):
     p = evaluation.predictions(spark, sf).where("split = 'test'")
-    return V.entity_safe_coverage(p, "id", "entity_id", "gate", "loss_base", "loss_retr", draws=50, steps=20)
+    return V.entity_safe_coverage(p, "id", "entity_id", "gate", "loss_base", "loss_retr")
+
+
+def k12(spark, sf):
+    """H1 over the entities' mean changes of loss where support is low."""
+    effects = evaluation.predictions(spark, sf).where("gate < 0.5").groupBy("entity_id").agg(F.avg(F.col("loss_base") - F.col("loss_retr")).alias("effect"))
+    low = B.bootstrap_mean(effects.withColumn("k", F.crc32(F.col("entity_id").cast("binary"))), "k", "effect").first()["low"]
+    return V.h1_verdict(effects, F.lit(low)).select("criterion", "passed")
+
+
+def k15(spark, sf):
+    p = evaluation.predictions(spark, sf)
+    test = p.where("split = 'test'")
+    safe = K.safe_coverage(K.coverage_curve(test, "id", "gate", "loss_base", "loss_retr", draws=10_000))
+    return V.h3_verdict(safe, V.entity_safe_coverage(test, "id", "entity_id", "gate", "loss_base", "loss_retr"), K.validate(test, 0.62)).select("criterion", F.round("value", 6).alias("value"), "passed")
+
+
+def k20(spark, sf):
+    """The measures of the method table for each ablation and each protocol."""
+    p = evaluation.predictions(spark, sf)
+    gates = {"whole": F.col("gate"), "without_support": F.col("gate") * 0.8, "without_conflict": F.least(F.col("gate") * 1.2, F.lit(1.0))}
+    ablation = V.method_table(p, gates, required=()).select(F.lit("ablation").alias("kind"), F.col("method").alias("name"), "n", "coverage", "harm_rate", "loss")
+    protocol = V.method_table(p, {"gate": F.col("gate")}, required=(), by="task").select(F.lit("protocol").alias("kind"), F.col("task").alias("name"), "n", "coverage", "harm_rate", "loss")
+    return ablation.unionByName(protocol).select("kind", "name", "n", *[F.round(c, 5).alias(c) for c in ("coverage", "harm_rate", "loss")])
 
 
 def l13(spark, sf):
@@ -57,7 +81,7 @@ def l13(spark, sf):
     return out[0].unionByName(out[1])
 
 
-QUERIES = {"d19_top1_distribution": d19, "d20_stage_gate": d20, "d22_view_report": d22, "g11_rerank": g11, "k13_low_support_effect": k13, "k19_method_table": k19, "l12_entity_safe_coverage": l12, "l13_fallback_certificate": l13}
+QUERIES = {"d19_top1_distribution": d19, "d20_stage_gate": d20, "d22_view_report": d22, "g11_rerank": g11, "k13_low_support_effect": k13, "k19_method_table": k19, "k12_h1_verdict": k12, "k15_h3_verdict": k15, "k20_ablations": k20, "l12_entity_safe_coverage": l12, "l13_fallback_certificate": l13}
 
 _E, _P, _CURVE = retrieval._E, evaluation._P, evaluation._CURVE
 _G6 = _E + ", t as (select query_id, round(tan, 6) as top1 from r where rt = 1), i as (select top1, row_number() over (order by top1) - 1 as i, count(*) over () as n from t)"
@@ -82,7 +106,10 @@ ORACLE = {
     + """, f as (select a.query_id, sum(alpha * a.y) as m from al a group by 1), u as (select f.query_id, f.m, e.y, round(r.tan, 6) as top1 from f join e on e.id = f.query_id join r on r.query_id = f.query_id and r.rt = 1)
       select y::int % 2 as entity_id, count(*) as n, round(avg(pow(y - 4.5::double, 2) - pow(y - m, 2)), 4) as effect from u where top1 < 0.6::double group by 1 having count(*) >= 3""",
     "k19_method_table": _P
-    + """, v as (select loss_base, loss_retr, unnest([{'m': 'mean', 'g': 0::double}, {'m': 'gate', 'g': gate}, {'m': 'naive', 'g': 1::double}, {'m': 'oracle', 'g': (loss_retr < loss_base)::int::double}]) as x from p), z as (select *, x.g >= 0.5::double as t, loss_retr > loss_base + 0.01::double as h from v)
+    + """, v as (select loss_base, loss_retr, unnest([{'m': 'mean', 't': false}, {'m': 'gate', 't': gate >= 0.5::double}, {'m': 'naive', 't': true}, {'m': 'oracle', 't': loss_base - loss_retr > 0}, {'m': 'tanimoto', 't': other >= 0.5::double}]) as x from p), z as (select *, x.t as t, loss_retr > loss_base + 0.01::double as h from v)
       select x.m as method, count(*) as n, round(avg(t::int), 5) as coverage, round(avg((t and h)::int), 5) as harm_rate, round(avg(case when t then h::int end), 5) as harm_rate_accepted, round(avg(case when t then loss_retr else loss_base end), 5) as loss from z group by 1""",
+    "k20_ablations": _P
+    + """, v as (select 'ablation' as kind, unnest([{'m': 'whole', 'g': gate}, {'m': 'without_support', 'g': gate * 0.8::double}, {'m': 'without_conflict', 'g': least(gate * 1.2::double, 1)}]) as x, loss_base, loss_retr from p union all select 'protocol', {'m': task, 'g': gate}, loss_base, loss_retr from p),
+      z as (select kind, x.m as name, x.g >= 0.5::double as t, loss_retr > loss_base + 0.01::double as h, loss_base, loss_retr from v) select kind, name, count(*) as n, round(avg(t::int), 5) as coverage, round(avg((t and h)::int), 5) as harm_rate, round(avg(case when t then loss_retr else loss_base end), 5) as loss from z group by 1, 2""",
     "l13_fallback_certificate": f"select * from ({_certificate(0.05)}) union all select * from ({_certificate(0.2)})",
 }

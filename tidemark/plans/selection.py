@@ -45,7 +45,7 @@ def selected(spark, sf):
 
 def a2(spark, sf):
     o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice")
-    return scans.dimension(o.where("o_custkey % 7 <> 0"), "o_custkey", ["o_orderstatus"], "o_orderkey")
+    return scans.dimension(o, "o_custkey", ["o_orderstatus"], "o_orderkey")
 
 
 def a5(spark, sf):
@@ -87,13 +87,19 @@ def c1(spark, sf):
 
 
 def c12(spark, sf):
-    return X.overlap(facts(spark, sf).where("item % 10 = 0"), 20, 0.15)
+    return X.overlap(facts(spark, sf), 50, 0.15)
 
 
 def c12_top(spark, sf):
     return c12(spark, sf).orderBy(F.desc("overlap"), F.desc("shared"), "a", "b").limit(20)
 
 
+def c12_same(spark, sf):
+    """Pairs of suppliers of one nation: the entities' names are the nations'."""
+    s = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("entity_id"), F.col("n_name").alias("name"))
+    return X.overlap(facts(spark, sf).join(s, "entity_id"), 50, 0.15, name="name")
+
+
 def c13(spark, sf):
     l = table(spark, sf, "lineitem").where("l_quantity > 45 and l_discount > 0").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
     o = table(spark, sf, "orders").where("o_orderstatus <> 'P'").select("o_orderkey", "o_custkey")
@@ -151,13 +157,37 @@ def e3(spark, sf):
     from tidemark.operators.families import key_families
 
     c = table(spark, sf, "customer")
-    keys = c.select(F.col("c_custkey").alias("node"), S.normalize_name(F.substring("c_name", 1, 17)).alias("name"), F.when(F.col("c_custkey") % 3 == 0, F.round("c_acctbal", 0).cast("int").cast("string")).alias("accession"))
+    keys = c.select(F.col("c_custkey").alias("node"), S.normalize_name(F.col("c_name")).alias("name"), F.when(F.col("c_custkey") % 3 == 0, F.round("c_acctbal", 0).cast("int").cast("string")).alias("accession"))
     return key_families(keys, "node", ["name", "accession"]).select("node", "family_id")
 
 
+def a6(spark, sf):
+    """Distinct keys of at least 14 characters: order clerks' keys, some of them blank or short."""
+    k = F.col("o_orderkey")
+    keys = table(spark, sf, "orders").select(F.when(k % 5 == 0, F.lit(" ")).when(k % 7 == 0, F.lit("short")).otherwise(F.concat(F.lit(" key "), F.col("o_orderpriority"), F.lit(" "), F.col("o_custkey").cast("string"))).alias("raw"))
+    return scans.key_list(keys, "raw")
+
+
+def a7(spark, sf):
+    """Flags and a number of each customer's last order."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf, "orders").select(
+        F.col("o_custkey").cast("string").alias("key"), F.when(k % 3 == 0, " True ").when(k % 3 == 1, "no").alias("glyco"), F.when(k % 4 == 0, "TRUE").alias("sugar"),
+        F.when(k % 6 == 0, "n/a").otherwise(F.col("o_totalprice").cast("string")).alias("likeness"), k,
+    )
+    return scans.annotated_keys(rows, "key", ["glyco", "sugar"], "likeness", "o_orderkey").select("exact_key", "flag", F.round("likeness", 4).alias("likeness"))
+
+
+def b10(spark, sf):
+    """The name of each brand's first part by key, and its first word."""
+    p = table(spark, sf, "part").select(F.col("p_brand").alias("key"), F.when(F.col("p_partkey") % 4 != 0, F.col("p_name")).alias("name"), "p_partkey")
+    return scans.first_names(p, "key", "name", "p_partkey")
+
+
 QUERIES = {
+    "a6_key_list": a6, "a7_annotated_keys": a7, "b10_first_name": b10,
     "a2_last_wins": a2, "a5_filtered_facts": a5, "a9_chain_coalesce": a9, "a10_mapping_list": a10, "a13_table_counts": a13, "a15_missing_vectors": a15,
-    "c1_dim_lookup": c1, "c12_entity_overlap": c12, "c12_top_overlaps": c12_top, "c13_star_extract": c13,
+    "c1_dim_lookup": c1, "c12_entity_overlap": c12, "c12_same_name": c12_same, "c12_top_overlaps": c12_top, "c13_star_extract": c13,
     "d6_entity_profile": d6, "d7_rule_selection": d7, "d8_elimination_counts": d8, "d9_showcase": d9, "d10_selected_totals": d10, "d11_group_leader": d11,
     "d13_size_gate": d13, "d14_scale_audit": d14, "d17_domain_shift": d17, "e3_entity_groups": e3,
 }
@@ -176,12 +206,15 @@ _S = (
     case when leader <> entity_id then 'R5_redundant' end, case when round(std, 9) < 0.77::double then 'R6_low_variance' end, case when s_acctbal < 0 then 'R7_no_sequence' end], lambda x: x is not null) as reasons from p join g using (group_id)),
   sel as (select *, case when len(reasons) > 0 then 'tier_x' when n_items >= 520 then 'tier1' else 'tier2' end as tier from s)"""
 )
-_O = _F + """, d as (select distinct entity_id, item from f where item % 10 = 0), n as (select entity_id, count(*) as n from d group by 1 having count(*) >= 20), h as (select * from d join n using (entity_id)),
+_O = _F + """, d as (select distinct entity_id, item from f), n as (select entity_id, count(*) as n from d group by 1 having count(*) >= 50), h as (select * from d join n using (entity_id)),
   o as (select a.entity_id as a, b.entity_id as b, a.n as n_a, b.n as n_b, count(*) as shared from h a join h b on a.item = b.item and a.entity_id < b.entity_id group by all),
   r as (select a, b, n_a, n_b, shared, round(shared / least(n_a, n_b)::double, 4) as overlap from o where shared / least(n_a, n_b)::double >= 0.15::double)"""
 
 ORACLE = {
-    "a2_last_wins": "select o_custkey, arg_max(o_orderkey, o_orderkey) as o_orderkey, arg_max(o_orderstatus, o_orderkey) as o_orderstatus, arg_max(o_totalprice, o_orderkey) as o_totalprice from orders where o_custkey % 7 <> 0 group by 1",
+    "a6_key_list": "with r as (select trim(case when o_orderkey % 5 = 0 then ' ' when o_orderkey % 7 = 0 then 'short' else ' key ' || o_orderpriority || ' ' || o_custkey end) as exact_key from orders) select distinct exact_key from r where length(exact_key) >= 14",
+    "a7_annotated_keys": "select o_custkey::varchar as exact_key, arg_max(o_orderkey % 3 = 0 or o_orderkey % 4 = 0, o_orderkey) as flag, round(arg_max({'v': case when o_orderkey % 6 <> 0 then o_totalprice end}, o_orderkey).v, 4) as likeness from orders group by 1",
+    "b10_first_name": "with r as (select p_brand as key, p_name as name, row_number() over (partition by p_brand order by p_partkey) as i from part where p_partkey % 4 <> 0) select key, name, split_part(trim(name), ' ', 1) as genus from r where i = 1",
+    "a2_last_wins": "select o_custkey, arg_max(o_orderkey, o_orderkey) as o_orderkey, arg_max(o_orderstatus, o_orderkey) as o_orderstatus, arg_max(o_totalprice, o_orderkey) as o_totalprice from orders group by 1",
     "a5_filtered_facts": "select user_id as entity_id, count(*) as n, round(sum(value), 4) as total from events where event_type = 'purchase' and user_id in (select n_nationkey from nation) group by 1",
     "a9_chain_coalesce": "select p_partkey, coalesce(case when p_partkey % 3 <> 0 and p_partkey % 7 = 0 then p_type end, case when p_partkey % 5 <> 0 and p_partkey % 2 = 0 then p_brand end, p_name) as accession from part",
     "a10_mapping_list": "select c_nationkey, array_to_string(list_sort(list(distinct c_mktsegment)), '|') as segments from customer group by 1",
@@ -189,6 +222,7 @@ ORACLE = {
     "a15_missing_vectors": "select distinct doc_id as key from documents where doc_id not in (select vec_id from embeddings)",
     "c1_dim_lookup": _F + " select p_brand, count(*) as n, count(distinct entity_id) as entities, round(avg(value), 6) as mean from f join part on item = p_partkey group by 1",
     "c12_entity_overlap": _O + " select * from r",
+    "c12_same_name": _O + " select r.* from r join supplier x on x.s_suppkey = r.a join supplier y on y.s_suppkey = r.b where x.s_nationkey = y.s_nationkey",
     "c12_top_overlaps": _O + " select * from r order by overlap desc, shared desc, a, b limit 20",
     "c13_star_extract": """select l_orderkey, l_linenumber, l_quantity, c_name, p_brand, s_name, n_name, r_name from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey
       join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey join nation on c_nationkey = n_nationkey left join (select * from region where r_name <> 'ASIA') on n_regionkey = r_regionkey
@@ -211,7 +245,7 @@ ORACLE = {
       r as (select *, row_number() over (partition by l_returnflag, "column" order by v) - 1 as i, count(*) over (partition by l_returnflag, "column") as n from v)
       select l_returnflag, "column", count(*) as n, round(avg(v), 4) as mean, round(median(v), 4) as median, round(stddev_pop(v), 4) as std,
         round(max(case when i = floor(0.1::double * (n - 1)) then v end), 4) as p10, round(max(case when i = floor(0.9::double * (n - 1)) then v end), 4) as p90 from r group by 1, 2""",
-    "e3_entity_groups": r"""with recursive k as (select c_custkey as node, 'n' || lower(trim(regexp_replace(regexp_replace(left(c_name, 17), '[^a-zA-Z0-9\s\-]', ' ', 'g'), '\s+', ' ', 'g'))) as key from customer
+    "e3_entity_groups": r"""with recursive k as (select c_custkey as node, 'n' || lower(trim(regexp_replace(regexp_replace(c_name, '[^a-zA-Z0-9\s\-]', ' ', 'g'), '\s+', ' ', 'g'))) as key from customer
         union all select c_custkey, 'a' || round(c_acctbal, 0)::int from customer where c_custkey % 3 = 0),
       e as (select distinct a.node as a, b.node as b from k a join k b using (key)),
       w as (select node as node, node as low from (select distinct node from k) union select e.b, w.low from w join e on e.a = w.node where w.low < e.b)

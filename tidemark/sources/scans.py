@@ -58,6 +58,13 @@ def annotated_keys(df: DataFrame, key: str, flags: list[str], number: str, order
     return last_wins(rows, "exact_key", order)
 
 
+def first_names(df: DataFrame, key: str, name: str, order: str) -> DataFrame:
+    """Each key's first non-blank name by ``order`` (the rows' place in their file), and its first word."""
+    rows = df.where(F.col(key).isNotNull() & (F.trim(name) != ""))
+    first = rows.groupBy(key).agg(F.min_by(name, order).alias("name"))
+    return first.select(key, "name", F.split(F.trim("name"), r"\s+")[0].alias("genus"))
+
+
 def chain_columns(columns: list[str], pattern: str) -> list[str]:
     """Columns that match, by the number in their first group; none is an error."""
     found = [(int(m[1]), c) for c in columns if (m := re.fullmatch(pattern, c))]
