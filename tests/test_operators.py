@@ -1,12 +1,14 @@
 """Small cases with known answers."""
 
+import hashlib
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tidemark.functions import scalars as S
-from tidemark.operators import families, learn, measure, purge, ranking, retrieve, risk, selection, splits
+from tidemark.functions import texts
+from tidemark.operators import bootstrap, families, learn, measure, purge, ranking, retrieve, risk, selection, splits, stats, verdicts
 from tidemark.operators.components import connected_components
 from tidemark.sources import scans
 
@@ -89,14 +91,242 @@ def test_splits(spark):
     got = splits.assign_units(sizes, "u").groupBy("split").agg(F.count("*").alias("n")).collect()
     share = {r.split: r.n / 100 for r in got}
     assert all(abs(share[s] - x) <= 0.05 for s, x in splits.SHARES.items())
-    tail = splits.assign_units(sizes, "u", heavy=10)
-    assert tail.count() == 100 and tail.where("split is null").count() == 0
     with pytest.raises(splits.MissingUnitError):
         splits.assert_units(spark.createDataFrame([(1, None)], "id int, u string"), "u", "id")
     with pytest.raises(splits.DegenerateSplitError):
         splits.assert_units(spark.range(10).withColumn("u", F.lit("x")), "u", "id")
 
 
+def greedy(sizes, shares=splits.SHARES):
+    need = {s: round(x * 10_000) * sum(sizes) for s, x in shares.items()}
+    out = []
+    for n in sizes:
+        s = max(need, key=lambda k: (need[k], k))
+        need[s] -= n * 10_000
+        out.append(s)
+    return out
+
+
+def test_greedy_runs_are_the_greedy_law():
+    rng = np.random.default_rng(3)
+    for shape in ([1] * 1000, [700] + [1] * 300, [50, 50, 50, 7, 7, 7, 7] + [2] * 91, []):
+        sizes = sorted(shape, reverse=True)
+        counted = [(n, sizes.count(n)) for n in sorted(set(sizes), reverse=True)]
+        got = []
+        runs = splits.greedy_runs(counted)
+        for n, k in counted:
+            mine = [(start, cycle) for size, start, cycle in runs if size == n]
+            for r in range(k):
+                start, cycle = [x for x in mine if x[0] <= r][-1]
+                got.append(cycle[(r - start) % len(cycle)])
+        assert got == greedy(sizes)
+    for _ in range(40):
+        sizes = sorted(rng.integers(1, 30, size=rng.integers(1, 200)).tolist(), reverse=True)
+        counted = [(n, sizes.count(n)) for n in sorted(set(sizes), reverse=True)]
+        runs = splits.greedy_runs(counted)
+        got = [[x for x in [(s, c) for z, s, c in runs if z == n] if x[0] <= r][-1] for n, k in counted for r in range(k)]
+        places = [r for _, k in counted for r in range(k)]
+        assert [c[(r - s) % len(c)] for (s, c), r in zip(got, places)] == greedy(sizes)
+
+
+def test_units_of_equal_size_are_dealt_in_a_seeded_order(spark):
+    sizes = spark.createDataFrame([(f"u{i}", 1 + i % 3) for i in range(90)], "u string, n long")
+    rows = sorted(sizes.collect(), key=lambda r: (-r.n, hashlib.md5(f"7|{r.u}".encode()).hexdigest(), r.u))
+    want = dict(zip([r.u for r in rows], greedy([r.n for r in rows])))
+    assert {r.u: r.split for r in splits.assign_units(sizes, "u").collect()} == want
+    assert splits.assign_units(sizes.where("false"), "u").count() == 0
+
+
+def test_keys_of_all_scripts(spark):
+    rows = [(1, "日本語"), (2, "русский текст"), (3, "Русский  ТЕКСТ!"), (4, "..."), (5, ""), (6, None), (7, "中文"), (8, "été"), (9, "ete")]
+    keys = {r.id: r.k for r in spark.createDataFrame(rows, "id int, t string").select("id", texts.normal_key(F.col("t")).alias("k")).collect()}
+    assert keys[2] == keys[3] and len({keys[i] for i in (1, 2, 7, 8, 9)}) == 5 and keys[4] is keys[5] is keys[6] is None
+    assert one(spark, texts.words(F.lit("Éa b_c-Привет 日本 9"))) == ["éa", "b", "c", "привет", "日本", "9"]
+    frame = spark.createDataFrame(rows, "id int, t string").withColumn("k", texts.normal_key(F.col("t")))
+    assert families.key_families(frame, "id", ["k"]).groupBy("family_id").count().where("count > 1").count() == 1
+
+
+def test_purge_of_passages(spark):
+    words = [f"w{i}" for i in range(40)]
+    pool = spark.createDataFrame([(1, " ".join(words)), (2, "x " + " ".join(words[5:13]) + " y"), (3, " ".join(words[5:12])), (4, None), (5, "")], "id int, text string")
+    bad = spark.createDataFrame([(" ".join(words),), (None,)], "text string")
+    got = {r.id: (r.status, r.n_shared) for r in purge.purge_texts(pool, bad, "id").collect()}
+    assert got == {1: ("exact", 33), 2: ("passage", 1), 3: ("kept", 0), 4: ("kept", 0), 5: ("kept", 0)}
+    assert purge.shared_passages(pool, bad, "id", small=0).count() == 2
+
+
+def test_joint_families(spark):
+    q = spark.createDataFrame([(1, "A", "c1"), (2, "B", None), (3, None, "c3")], "id int, x string, core string")
+    p = spark.createDataFrame([(1, "A", "c9"), (2, "C", "c1"), (3, "D", "c9"), (4, "", "c3")], q.schema)
+    a, b = families.joint_families(q, p, "id", "x", ["core"])
+    fa, fb = ({r.id: r.family_id for r in d.collect()} for d in (a, b))
+    # the key A is the query's row: its core is c1, so pool row 1 follows it and c9 of that row counts for nothing
+    assert fa[1] == fb[1] == fb[2] and fb[3] not in (fa[1], fa[2]) and fa[3] == fb[4] and len({fa[1], fa[2], fa[3], fb[3]}) == 4
+
+
+def test_order_statistics(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, float(v)) for g in ("a", "b", None) for v in rng.integers(0, 9, size=int(rng.integers(1, 40)))] + [("c", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    at = {"m": ("linear", 0.5), "q": ("linear", 0.9), "low": ("lower", 0.1), "up": ("upper", 0.5)}
+    got = {r.g: r for r in ranking.order_statistics(df, ["g"], "v", at).collect()}
+    assert set(got) == {"a", "b", None}
+    for g, r in got.items():
+        v = sorted(x for k, x in rows if k == g and x is not None)
+        assert (r.n, r.low, r.up) == (len(v), v[int(0.1 * (len(v) - 1))], v[len(v) // 2])
+        assert abs(r.m - np.median(v)) < 1e-9 and abs(r.q - np.quantile(v, 0.9)) < 1e-9
+
+
+def test_bootstrap_against_brute_force(spark):
+    w = bootstrap.weights(np.arange(4000), 200)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.06
+    rng = np.random.default_rng(6)
+    rows = [(int(i), "xy"[i % 2], float(v)) for i, v in enumerate(rng.normal(size=300))] + [(999, "x", None)]
+    df = spark.createDataFrame(rows, "id long, g string, v double").repartition(7)
+    got = {r.g: r for r in stats.bootstrap_mean(df, "id", "v", 500, by="g").collect()}
+    for g, r in got.items():
+        ids, v = (np.array(x) for x in zip(*[(i, x) for i, k, x in rows if k == g and x is not None]))
+        m = (v @ bootstrap.weights(ids, 500)) / bootstrap.weights(ids, 500).sum(0)
+        assert r.n == len(v) and np.allclose([r["mean"], r.low, r.high], [v.mean(), *np.quantile(m, [0.025, 0.975])])
+
+
+def test_entity_safe_coverage_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, "ab"[i % 2], float(rng.random()), 0.5, float(0.5 + rng.normal(-0.05 if i % 2 else 0.2, 0.2))) for i in range(160)] + [(500, "few", 0.5, 0.5, 0.1)]
+    df = spark.createDataFrame(rows, "id long, e string, g double, b double, r double")
+    got = {r.e: r.safe_coverage for r in verdicts.entity_safe_coverage(df, "id", "e", "g", "b", "r", draws=100, steps=10).collect()}
+    for e in ("a", "b", "few"):
+        mine = sorted((r for r in rows if r[1] == e), key=lambda r: (-r[2], r[0]))
+        best = 0.0
+        for c in range(1, 11):
+            part = [r for k, r in enumerate(mine, 1) if max(1, int(np.ceil(k * 10 / len(mine) - 1e-9))) <= c]
+            if not part:
+                continue
+            w = bootstrap.weights(np.array([r[0] for r in part]), 100).astype(float)
+            n = w.sum(0)
+            m = (np.array([r[4] - r[3] for r in part]) @ w)[n > 0] / n[n > 0]
+            if np.quantile(m, 0.95) <= 0 and c * len(mine) / 10 >= 20:
+                best = c / 10
+        assert got[e] == best
+    assert got["few"] == 0.0
+
+
+def test_auroc_difference(spark):
+    rng = np.random.default_rng(9)
+    y = rng.integers(0, 2, size=600)
+    df = spark.createDataFrame([(float(k + rng.normal(scale=0.7)), float(rng.random()), int(k)) for k in y], "a double, b double, y int")
+    r = stats.bootstrap_auroc_difference(df, "a", "b", "y").first()
+    exact = stats.auroc(df, "a", "y").first()["auroc"] - stats.auroc(df, "b", "y").first()["auroc"]
+    assert abs(r.difference - exact) < 1e-12 and r.low < exact < r.high and r.passed and r.replicates == 1000
+    none = stats.bootstrap_auroc_difference(df.where("y = 1"), "a", "b", "y").first()
+    assert none.difference is None and none.replicates == 0 and not none.passed
+
+
+def test_verdicts(spark):
+    d = spark.createDataFrame([(0.1, 0.02)], "difference double, low double")
+    got = {r.criterion: r.passed for r in verdicts.h2_verdict(d, 0.8, 0.75, 0.7, 3).collect()}
+    assert got == {"auroc_gain": True, "cliff_auroc": True, "auroc_gap": True, "sign_flips": False}
+    assert {r.passed for r in verdicts.h2_verdict(d.withColumn("low", F.lit(float("nan"))), float("nan"), 0.75, float("nan"), 0).collect()} == {False, True}
+    table = spark.createDataFrame([("mean", 1.0), ("forest", 0.8), ("x", 0.83), ("y", 0.9), ("z", 0.7)], "method string, rmse double").withColumn("entity_id", F.lit("__macro__"))
+    assert {r.method: r.role for r in verdicts.select_backbones(table).collect()} == {"z": "A", "x": "runner_up", "y": "rejected"}
+    assert {r.role for r in verdicts.select_backbones(table.where("method in ('mean', 'forest', 'y')")).collect()} == {"rejected", "plan_c"}
+    safe = spark.createDataFrame([(0.5,)], "safe_coverage double")
+    test = spark.createDataFrame([(None,)], "risk double")
+    assert {r.criterion: r.passed for r in verdicts.h3_verdict(safe, safe, test).collect()} == {"safe_coverage": True, "entities_positive": True, "test_risk": False}
+
+
+def test_lsh_recall(spark):
+    """At least 0.9 of the exact neighbours, by both similarities."""
+    from tidemark.plans import retrieval
+
+    sf = "/root/testdata/sf0.1"
+    for vector, kind in (("bits", "jaccard"), ("vector", "cosine")):
+        q, p = retrieval.sides(spark, sf, vector)
+        exact = {(r.query_id, r.memory_id) for r in retrieve.topk(q, p, "view", 16, kind).collect()}
+        found = {(r.query_id, r.memory_id) for r in retrieve.lsh_topk(q, p, "view", 16, kind).collect()}
+        assert len(exact) == 640 and len(exact & found) >= 0.9 * len(exact)
+
+
+def candidates(spark, rows):
+    base = {"query_id": 1, "score": 0.5, "s_tan": 0.5, "s_emb": 0.5, "match_conf": 0.5, "alpha": None, "y": 5.0, "family_id": "f", "assay_compatible": 1, "items": [1, 2], "is_topk": False}
+    schema = "query_id long, memory_id long, score double, s_tan double, s_emb double, match_conf double, alpha double, y double, family_id string, assay_compatible int, items array<int>, is_topk boolean"
+    names = [f.split()[0] for f in schema.split(", ")]
+    return spark.createDataFrame([tuple(({**base, "memory_id": i} | r)[n] for n in names) for i, r in enumerate(rows)], schema)
+
+
+def features(spark, rows, **more):
+    base = spark.createDataFrame([(1, 0.3, 0.4)], "query_id long, base_ensemble_variance double, base_aleatoric_sigma double")
+    return retrieve.support_features(candidates(spark, rows), base, **more).first()
+
+
+def test_support_features(spark):
+    top = [{"is_topk": True, "alpha": 1 / 16, "score": 0.9 - i / 100, "y": 6.0, "family_id": f"f{i % 4}"} for i in range(16)]
+    wide = [{"score": 0.3 - i / 1000, "y": float(i % 9)} for i in range(60)]
+    f = features(spark, top + wide)
+    assert abs(f.alpha_ess - 16) < 1e-6 and abs(f.alpha_entropy - math.log(16)) < 1e-6 and f.unique_scaffold_ratio == 0.25
+    assert f.neighbor_label_variance > 1 and f.neighbor_label_range > 3 and f.var_ratio_k_over_k0 < 0.05
+    y = np.array([6.0] * 16 + [float(i % 9) for i in range(60)])
+    assert abs(f.neighbor_label_mad - np.median(np.abs(y - np.median(y)))) < 1e-9 and f.base_ensemble_variance == 0.3 and f.blocked == []
+    one_point = features(spark, [{**r, "alpha": 1.0 if i == 0 else 0.0} for i, r in enumerate(top)])
+    assert abs(one_point.alpha_ess - 1) < 1e-6
+    dropped = features(spark, [{**r, "s_tan": 0.1} for r in top] + [{"s_tan": 0.9}] * 50)
+    assert dropped.dropped_high_tanimoto_cnt == 50
+    scaled = features(spark, [{**r, "score": 3 * r["score"] + 7} for r in top + wide])
+    assert all(abs(scaled[n] - f[n]) < 1e-6 for n in ("rank_zscore_q50", "rank_zscore_q75", "rank_zscore_q90"))
+    s = np.array([r["score"] for r in top + wide])
+    assert abs(f.rank_zscore_q75 - (np.quantile(s, 0.75) - s.mean()) / s.std()) < 1e-9
+    off = features(spark, top, ensemble=False)
+    assert off.base_ensemble_variance == 0 and off.blocked == ["base_ensemble_variance"]
+    cliff = features(spark, [{"is_topk": True, "alpha": 0.5, "y": 1.0}, {"is_topk": True, "alpha": 0.5, "y": 4.0}])
+    assert cliff.activity_cliff_score == 3.0 and cliff.pairwise_tanimoto_mean == 1.0
+
+
+def test_feature_matrix_order(spark):
+    row = spark.createDataFrame([(1, *range(28))], ["query_id", *retrieve.FEATURES])
+    assert retrieve.feature_matrix(row).first().features == [float(i) for i in range(28)]
+    with pytest.raises(retrieve.FeatureOrderError):
+        retrieve.feature_matrix(row.select("query_id", *retrieve.FEATURES[::-1]))
+    with pytest.raises(retrieve.FeatureOrderError):
+        retrieve.feature_matrix(row.drop("alpha_ess"))
+
+
+def test_compatible_views(spark):
+    c = spark.createDataFrame([(1, 1), (None, None)], "q int, m int")
+    retrieve.assert_compatible(c, "q", "m")
+    with pytest.raises(retrieve.IncompatibleViewError):
+        retrieve.assert_compatible(c.union(spark.createDataFrame([(1, None)], c.schema)), "q", "m")
+
+
+def test_fasta_and_cache(spark, tmp_path):
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "P1_x.fasta").write_text(">h\nAC\nGT \n")
+    (tmp_path / "f" / "P2.fasta").write_text(">only a header\n")
+    assert [(r.key, r.sequence) for r in scans.read_fasta(spark, str(tmp_path / "f")).collect()] == [("P1", "ACGT")]
+    cache = str(tmp_path / "cache")
+    spark.createDataFrame([("a", 1)], "key string, v int").write.parquet(cache)
+    wanted = spark.createDataFrame([("a",), ("b",), (None,)], "key string")
+    got = scans.extend_cache(wanted, cache, "key", lambda missing: missing.withColumn("v", F.lit(2)))
+    assert {(r.key, r.v) for r in got.collect()} == {("a", 1), ("b", 2), (None, None)}
+
+
+def test_baselines_join_their_split(spark):
+    rows = spark.createDataFrame([(i, "e", float(i % 5), float(i % 5), "train") for i in range(60)], "id long, e string, y double, x double, split string")
+    held = spark.range(60).select("id", F.when(F.col("id") < 20, "test").otherwise("train").alias("split"))
+    got = learn.mandatory_baselines(rows, held, "id", "e", "y", ["x"], trees=20).collect()
+    assert len(got) == 40 and {r.method for r in got} == {"mean", "forest"}
+    assert {round(r.pred, 6) for r in got if r.method == "mean"} == {2.0}
+    assert max(abs(r.pred - r.y) for r in got if r.method == "forest") < 0.5
+
+
+def test_fixed_sequence_stops_at_the_first_failure(spark):
+    p = spark.createDataFrame([(0.1, 1, 50, 0.01), (0.2, 2, 40, 0.2), (0.3, 3, 30, 0.01)], "lam double, place int, n_accepted long, p double")
+    r = risk.learn_then_test(p, True, procedure="fixed_sequence").first()
+    assert (r["lam"], r["passed"]) == (0.1, 1)
+    back = spark.createDataFrame([(0.1, 3), (0.2, 2), (0.3, 1)], "lam double, order int")
+    r = risk.learn_then_test(p.join(back, "lam"), True, procedure="fixed_sequence", order="order").first()
+    assert (r["lam"], r["passed"]) == (0.3, 1)
+
+
 def test_size_gate(spark):
     e = spark.createDataFrame([(1, "tier1", []), (2, "tier2", []), (3, "tier1", [])], "entity_id int, tier string, reasons array<string>")
     n = spark.createDataFrame([(1, 5), (2, 5), (3, 500)], "entity_id int, n int")

@@ -79,8 +79,8 @@ def topk(queries: DataFrame, pool: DataFrame, view: str, k: int, kind: str = "co
     return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def plane_codes(rows: DataFrame, vector: str, planes: np.ndarray) -> DataFrame:
-    """Adds ``code``: the packed signs of a vector's products with random hyperplanes (a row of ``planes`` each)."""
+def plane_codes(rows: DataFrame, vector: str, planes: np.ndarray, centre: float = 0.0) -> DataFrame:
+    """Adds ``code``: the packed signs of a vector's products, less ``centre``, with random hyperplanes (a row of ``planes`` each)."""
     names = [*rows.columns, "code"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", code binary"
 
@@ -88,13 +88,13 @@ def plane_codes(rows: DataFrame, vector: str, planes: np.ndarray) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 x = np.array(b.column(vector).to_pylist(), dtype=float)
-                codes = np.packbits(x @ planes.T >= 0, axis=1)
+                codes = np.packbits((x - centre) @ planes.T >= 0, axis=1)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in codes], pa.binary())], names=names)
 
     return rows.mapInArrow(run, schema)
 
 
-def lsh_topk(queries: DataFrame, pool: DataFrame, view: str, k: int, kind: str = "jaccard", planes: int = 512, oversample: int = 4, seed: int = 7) -> DataFrame:
+def lsh_topk(queries: DataFrame, pool: DataFrame, view: str, k: int, kind: str = "jaccard", planes: int = 1024, oversample: int = 8, seed: int = 7) -> DataFrame:
     """``(query_id, memory_id, sim, rank)``: the ``oversample * k`` nearest codes in Hamming distance, ranked again
     by the exact similarity down to ``k``.
 
@@ -103,7 +103,8 @@ def lsh_topk(queries: DataFrame, pool: DataFrame, view: str, k: int, kind: str =
     """
     size = pool.select(F.max(F.size("vector"))).first()[0] or 1
     p = np.random.default_rng(seed).standard_normal((planes, size))
-    q, m = cut(plane_codes(queries, "vector", p)), cut(plane_codes(pool, "vector", p))
+    centre = 0.5 if kind == "jaccard" else 0.0  # planes through the middle of the cube of 0/1 vectors
+    q, m = cut(plane_codes(queries, "vector", p, centre)), cut(plane_codes(pool, "vector", p, centre))
     near = topk(q.select("query_id", view, F.col("code").alias("vector")), m.select("memory_id", view, F.col("code").alias("vector")), view, oversample * k, "hamming")
     both = near.select("query_id", "memory_id").join(q.select("query_id", F.col("vector").alias("_q")), "query_id").join(m.select("memory_id", F.col("vector").alias("_m")), "memory_id")
     inter, total = dot(F.col("_q"), F.col("_m")), lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)

@@ -90,7 +90,7 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value")
     lines = F.filter(F.split("value", r"\r?\n"), lambda x: ~x.startswith(">"))
     key = F.split(F.regexp_replace("name", r"\.[^.]*$", ""), "_")[0]
-    return raw.select(key.alias("key"), F.array_join(F.transform(lines, F.trim), "").alias("sequence")).where("sequence <> ''")
+    return raw.select(key.alias("key"), F.array_join(F.transform(lines, lambda x: F.trim(x)), "").alias("sequence")).where("sequence <> ''")
 
 
 def table_counts(tables: dict[str, Callable[[], DataFrame]]) -> DataFrame:
