@@ -340,6 +340,62 @@ def test_op8_templates(spark, docs, empty):
     assert licenses.scan(empty).count() == 0
 
 
+MIT = """The MIT License (MIT)
+
+Copyright (c) 2021 Jane Q. Public and the Example Authors
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
+def written(markup, free="Some Holder Ltd", optional=True):
+    """A text of a template: each variable's last alternative, free regions filled, optional parts in or out."""
+    text = markup if optional else re.sub("<<opt>>[^<]*(<<free [0-9]+>>)?[^<]*<<end>>", "", markup)
+    text = re.sub("<<free [0-9]+>>", free, re.sub("<<var [^>]*?([^|>]+)>>", r"\1", text))
+    return re.sub("<<opt>>|<<end>>", "", text)
+
+
+def test_op8_whole_texts():
+    labels = lambda t: licenses.scan_text(t)[5].split(",")
+    assert "mit-text" in labels(MIT) and "mit-text" in labels(f"before {MIT} after".replace("2021 Jane Q. Public and the Example Authors", "nobody"))
+    assert "mit-text" not in labels(MIT.replace("NO EVENT", "EVENT")) and "mit-text" not in labels(MIT[: MIT.rindex(" IN THE SOFTWARE")])
+    for label, texts in licenses.TEMPLATES.items():
+        for m in texts:
+            for optional in (True, False):
+                words = written(m, optional=optional).split()
+                assert label in labels(" ".join(words)), label
+                gone = len(words) // 2 + 3
+                if label.endswith(("-text", "-header", "-later")):
+                    assert label not in labels(" ".join(words[:gone] + words[gone + 1 :])), label
+    too_long = written(licenses.TEMPLATES["bsd-3-text"][0], free="a " * 13)
+    assert "bsd-3-text" not in labels(too_long) and "bsd-2-text" not in labels(written(licenses.TEMPLATES["bsd-3-text"][0]))
+
+
+def test_op8_automata_against_regular_expressions():
+    """Random texts near the templates: the automaton finds a match where the expression does."""
+    rng = np.random.default_rng(11)
+    for label, texts in licenses.TEMPLATES.items():
+        for m in texts:
+            automaton, expression = licenses.Automaton(m), re.compile(licenses.pattern(m))
+            for _ in range(20):
+                words = written(m, free="x " * int(rng.integers(0, 25)), optional=bool(rng.integers(2))).split()
+                for _ in range(int(rng.integers(0, 2))):
+                    at = int(rng.integers(len(words)))
+                    words[at : at + 1] = [] if rng.random() < 0.5 else [words[at], "x"]
+                found = any(automaton.accepts([w.encode() for w in words], i) >= 0 for i in range(len(words)))
+                assert found == bool(expression.search("".join(f" {w} " for w in words))), (label, words)
+
+
 def test_op9_against_all_pairs(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(12, 16))

@@ -19,7 +19,8 @@ PHRASES = {
 }
 
 # Templates in markup, one list of templates to a label. <<opt>> ... <<end>> may be
-# absent; <<var a|b c>> stands for any one of its alternatives; all other words are mandatory.
+# absent; <<var a|b c>> stands for any one of its alternatives; <<free n>> for up to n words of any kind,
+# such as a holder's name; all other words are mandatory. First short notices, then whole texts.
 TEMPLATES = {
     "mit-notice": [
         "<<var released|licensed|distributed|available>> under the <<opt>>terms of the<<end>> mit license",
@@ -43,6 +44,69 @@ TEMPLATES = {
         "redistribution and use in source and binary forms with or without modification are permitted"
         " provided that the following conditions are met",
     ],
+    "mit-text": [
+        "<<opt>>copyright <<free 20>><<end>> permission is hereby granted free of charge to any person obtaining a copy of this software"
+        " and associated documentation files the software to deal in the software without restriction including without limitation the"
+        " rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom"
+        " the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice"
+        " <<opt>>including the next paragraph<<end>> shall be included in all copies or substantial portions of the software the software"
+        " is provided as is without warranty of any kind express or implied including but not limited to the warranties of"
+        " merchantability fitness for a particular purpose and <<var noninfringement|non infringement>> in no event shall the authors or"
+        " copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise"
+        " arising from out of or in connection with the software or the use or other dealings in the software",
+    ],
+    "isc-text": [
+        "<<opt>>copyright <<free 20>><<end>> permission to use copy modify and <<opt>>or<<end>> distribute this software for any purpose"
+        " with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"
+        " the software is provided as is and the author disclaims all warranties with regard to this software including all implied"
+        " warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or"
+        " consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract"
+        " negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    ],
+    "bsd-2-text": [
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following"
+        " conditions are met <<opt>>1<<end>> redistributions of source code must retain the above copyright notice this list of"
+        " conditions and the following disclaimer <<opt>>2<<end>> redistributions in binary form must reproduce the above copyright"
+        " notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the"
+        " distribution this software is provided by <<free 12>> as is and any express or implied warranties including but not limited"
+        " to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<free 12>>"
+        " be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to"
+        " procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any"
+        " theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of"
+        " the use of this software even if advised of the possibility of such damage",
+    ],
+    "bsd-3-text": [
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following"
+        " conditions are met <<opt>>1<<end>> redistributions of source code must retain the above copyright notice this list of"
+        " conditions and the following disclaimer <<opt>>2<<end>> redistributions in binary form must reproduce the above copyright"
+        " notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the"
+        " distribution <<opt>>3<<end>> neither the name of <<free 12>> nor the names of its contributors may be used to endorse or"
+        " promote products derived from this software without specific prior written permission this software is provided by <<free 12>>"
+        " as is and any express or implied warranties including but not limited to the implied warranties of merchantability and"
+        " fitness for a particular purpose are disclaimed in no event shall <<free 12>> be liable for any direct indirect incidental"
+        " special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of"
+        " use data or profits or business interruption however caused and on any theory of liability whether in contract strict"
+        " liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the"
+        " possibility of such damage",
+    ],
+    "apache-2-header": [
+        "licensed under the apache license version 2 0 the license you may not use this <<var file|work|software>> except in compliance"
+        " with the license you may obtain a copy of the license at <<var http|https>> www apache org licenses license 2 0 unless required"
+        " by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without"
+        " warranties or conditions of any kind either express or implied see the license for the specific language governing"
+        " permissions and limitations under the license",
+    ],
+    "mpl-2-header": [
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with"
+        " this file you can obtain one at <<var http|https>> mozilla org mpl 2 0",
+    ],
+    "gpl-or-later": [
+        "<<var this program|this file|this library>> is free software you can redistribute it and or modify it under the terms"
+        " of the gnu general public license as published by the free software foundation either version <<var 2|3>> of the license or at"
+        " your option any later version <<var this program|this file|this library>> is distributed in the hope that it will be useful but"
+        " without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu"
+        " general public license for more details",
+    ],
 }
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -54,12 +118,14 @@ class Automaton:
     def __init__(self, markup: str):
         self.step: list[dict[bytes, list[int]]] = []
         self.skip: list[list[int]] = []
+        self.any: list[list[int]] = []
         self.first = self._state()
         self.last = self._sequence(re.findall(r"<<[^>]*>>|[^\s<>]+", markup), self.first)
 
     def _state(self) -> int:
         self.step.append({})
         self.skip.append([])
+        self.any.append([])
         return len(self.step) - 1
 
     def _words(self, words: list[str], at: int) -> int:
@@ -76,6 +142,15 @@ class Automaton:
                 opened.append(at)
             elif item == "<<end>>":
                 self.skip[opened.pop()].append(at)
+            elif item.startswith("<<free "):
+                chain = [at]
+                for _ in range(int(item[7:-2])):
+                    to = self._state()
+                    self.any[chain[-1]].append(to)
+                    chain.append(to)
+                for state in chain[:-1]:  # fewer words will do
+                    self.skip[state].append(chain[-1])
+                at = chain[-1]
             elif item.startswith("<<var "):
                 to = self._state()
                 for option in item[6:-2].split("|"):
@@ -103,7 +178,7 @@ class Automaton:
         """The end of the longest match that begins at word ``at``, or -1."""
         now, end = self._closed({self.first}), -1
         for i in range(at, len(words)):
-            now = self._closed({t for s in now for t in self.step[s].get(words[i], ())})
+            now = self._closed({t for s in now for t in (*self.step[s].get(words[i], ()), *self.any[s])})
             if not now:
                 break
             if self.last in now:
@@ -154,7 +229,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     counts all places of base phrases, ``first_word``/``last_word`` are the smallest and largest (null
     without any). ``labels`` holds base and template labels; ``score`` is 0 without labels, then
     1 - 2^-labels. A null or empty text has no words and no labels (empty strings). Columns of
-    these names are replaced, others kept.
+    these names are replaced, others kept; repeated rows have repeated results; an empty table
+    gives an empty one.
     """
     made = MADE | {"spans": "array<struct<label:string,first:bigint,end:bigint>>"}
     source = docs.drop(*[c for c in made if c != text])
@@ -174,6 +250,23 @@ def op8_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *MADE)
 
 
+def pattern(markup: str) -> str:
+    """A template as a regular expression over a text of words that each stand between two spaces."""
+    out = []
+    for item in re.findall(r"<<[^>]*>>|[^\s<>]+", markup):
+        if item == "<<opt>>":
+            out.append("(?:")
+        elif item == "<<end>>":
+            out.append(")?")
+        elif item.startswith("<<free "):
+            out.append(f"(?: [^ ]+ ){{0,{item[7:-2]}}}")
+        elif item.startswith("<<var "):
+            out.append("(?:" + "|".join("".join(f" {w} " for w in o.split()) for o in item[6:-2].split("|")) + ")")
+        else:
+            out.append(f" {item} ")
+    return "".join(out)
+
+
 OP8_SQL = r"""
 with w as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
@@ -193,7 +286,8 @@ with w as (
       case when regexp_matches(t, ' (released|licensed|distributed)  under  the (?: terms  of  the )? apache  license  version  2 ') then 'apache-2-notice' end,
       case when regexp_matches(t, ' (released|licensed|distributed)  under  the (?: terms  of  the )? gnu  general  public  license (?: as  published  by  the  free  software  foundation )?(?: either )? version  3 ') then 'gpl-3' end,
       case when regexp_matches(t, ' (released|licensed|distributed)  under (?: (?:a|the) )?(?: cc  by  nc | creative  commons  attribution  noncommercial )(?: license )? 4  0 ') then 'cc-by-nc-4' end,
-      case when regexp_matches(t, ' redistribution  and  use  in  source  and  binary  forms  with  or  without  modification  are  permitted  provided  that  the  following  conditions  are  met ') then 'bsd' end
+      case when regexp_matches(t, ' redistribution  and  use  in  source  and  binary  forms  with  or  without  modification  are  permitted  provided  that  the  following  conditions  are  met ') then 'bsd' end,
+      {texts}
     ], lambda x: x is not null) as more
   from p
 )
@@ -201,4 +295,4 @@ select doc_id, n_words, len(places)::bigint as n_base, list_min(places)::bigint
   array_to_string(list_sort(base), ',') as base_labels, array_to_string(list_sort(list_concat(base, more)), ',') as labels,
   1::double - pow(0.5::double, len(base) + len(more)) as score
 from l
-"""
+""".replace("{texts}", ",\n      ".join(f"case when regexp_matches(t, '{pattern(m)}') then '{label}' end" for label, (m, *_) in TEMPLATES.items() if label.endswith(("-text", "-header", "-later"))))
