@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tidemark.llm.batches import aside
 from tidemark.session import cut, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Size classes to an octave: documents of a class differ by less than a tenth in size.
 CLASSES = 8
-#: Hash ranges a size class is cut into, so that no window holds a whole source.
-CHUNKS = 64
+#: Bits of the hash by which a size class is cut into ranges, at least, and rows that a range of a class that
+#: holds all rows would have, about: so no window holds a whole source, however large.
+CHUNK_BITS, CHUNK_ROWS = 6, 50_000
 #: The random offset is a multiple of this, so that whole rates add up exactly.
 STEPS = 1024
 
@@ -57,25 +59,31 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
 def mix(docs: DataFrame, seed: int = 7, text: str = "text", source: str = "source", key: str = "doc_id", **shares) -> DataFrame:
     """Every row of ``docs`` with ``size``, ``source_size``, ``target``, ``copies`` and ``taken``.
 
-    Within a source the rows stand in order of size class and then of a hash of their id; a
+    Within a source the rows stand in order of size class and then of a hash of their id and text; a
     running count times the source's rate (target over size, at most 2) is the prefix sum of
     expected copies; with one random offset a source, a row is emitted once for each whole
     number its interval crosses. The order makes the sample follow the source's size
     distribution, so the words taken come near the target.
 
-    The prefix sum has three levels (size class, hash range, row), each a window over a bounded
-    or small group, so a source that holds most rows is still dealt out. Rows are shuffled once.
-    A null text has size 0; null sources are one source; equal rows share their copies in
-    any order; an empty table gives an empty result. Columns of ``docs`` are kept; those
-    with a name this operator makes are replaced.
+    The prefix sum has three levels (size class, hash range, row); ranges are as many as the
+    counted rows ask for, so a source that holds most rows is still dealt out, and only equal rows
+    are never told apart. Rows are shuffled once. A null text has size 0; null sources are one source;
+    equal rows share their copies in any order; an empty table gives an empty result; a very long
+    text is one row. Columns of ``docs`` are kept, whatever their names; those with a name that
+    this operator makes are replaced.
     """
     made = ["size", "source_size", "target", "copies", "taken"]
-    d = docs.drop(*[c for c in made if c not in (text, source, key)])
-    h = draw(F.col(key), F.lit(seed))
+    kept = [c for c in docs.columns if c not in made or c in (text, source, key)]
+    return aside(docs, (text, source, key), made, lambda d: _mix(d, seed, text, source, key, **shares)).select(*kept, *[c for c in made if c not in kept])
+
+
+def _mix(d: DataFrame, seed: int, text: str, source: str, key: str, **shares) -> DataFrame:
+    bits = max(CHUNK_BITS, (d.count() // CHUNK_ROWS).bit_length())
+    h = draw(F.col(key), F.md5(F.col(text)), F.lit(seed))
     klass = F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")) * CLASSES)).otherwise(-1).cast("long")
     d = d.withColumn("size", words(F.col(text)))
     d = d.withColumn("_s", F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("~"))).withColumn("_h", h)
-    d = d.withColumn("_k", klass).withColumn("_c", F.pmod(F.col("_h"), F.lit(CHUNKS)))
+    d = d.withColumn("_k", klass).withColumn("_c", F.shiftright("_h", 60 - bits))
     # materialised, as three branches read it and the texts should be scanned for it once
     cells = cut(d.groupBy(F.col(source).alias("source"), "_s", "_k", "_c").agg(F.count("*").alias("n"), F.sum("size").alias("size")))
     targets = source_targets(cells, **shares)
@@ -94,9 +102,7 @@ def mix(docs: DataFrame, seed: int = 7, text: str = "text", source: str = "sourc
     rank = F.col("before") + F.col("_r")
     crossed = F.floor(rate * rank + at) - F.floor(rate * (rank - 1) + at)
     d = d.withColumn("copies", F.least(F.lit(2), F.greatest(F.lit(0), crossed)).cast("long"))
-    d = d.withColumn("taken", F.col("copies") * F.col("size"))
-    kept = [c for c in docs.columns if c not in made or c in (text, source, key)]
-    return d.select(*kept, *[c for c in made if c not in kept])
+    return d.withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:
@@ -113,7 +119,7 @@ OP2_SQL = r"""
 with d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
     coalesce('=' || source, '~') as s,
-    ('0x' || substr(md5(coalesce(doc_id::varchar, '~') || ':7'), 1, 15))::bigint as h
+    ('0x' || substr(md5(coalesce(doc_id::varchar, '~') || ':' || coalesce(md5(text), '~') || ':7'), 1, 15))::bigint as h
   from documents
 ), t0 as (
   select s, source, sum(size)::bigint as source_size from d group by all
@@ -128,7 +134,7 @@ with d as (
 ), t4 as (
   select s, source_size, least(cap, coalesce((select min_by(level, fills) from t3 where level <= fills) * w, cap)) as target from t3
 ), r as (
-  select d.*, row_number() over (partition by s order by case when size > 0 then floor(log2(size::double) * 8) else -1 end, h % 64, h, doc_id nulls last, size) as k from d
+  select d.*, row_number() over (partition by s order by case when size > 0 then floor(log2(size::double) * 8) else -1 end, h, doc_id nulls last, size) as k from d
 ), c as (
   select doc_id, size, source_size, target, case when source_size > 0 then target / source_size else 0::double end as rate, k,
     (('0x' || substr(md5(s || ':7'), 1, 15))::bigint % 1024) / 1024::double as u from r join t4 using (s)
