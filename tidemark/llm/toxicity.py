@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
@@ -23,8 +24,6 @@ OPENING, CLOSING = "\"“«„‘‹", "\"”»“’›"
 STEMS = (4, 5, 6)
 #: Kinds of a word: none, a term, a word with a stem, one or two edits from a term.
 NONE, TERM, STEM, ONE, TWO = range(5)
-#: Counts of each kind outside quotation, then all hits inside, each up to its largest value.
-MOST = (3, 3, 2, 2, 2)
 
 
 def edits(term: str) -> int:
@@ -144,7 +143,7 @@ def quoted(text: str, start: int, end: int) -> bool:
 
 
 def counts(text: str, lexicon: Lexicon) -> tuple[int, ...]:
-    """Hits by kind outside quotation, and hits inside, each cut at ``MOST``."""
+    """Hits by kind outside quotation, and hits inside."""
     low = text.lower()
     kind = lexicon.kind
     hit = {w for w in set(WORD.findall(low)) if kind(w)}
@@ -153,12 +152,12 @@ def counts(text: str, lexicon: Lexicon) -> tuple[int, ...]:
         for m in WORD.finditer(low):
             if m[0] in hit:
                 n[4 if quoted(low, m.start(), m.end()) else kind(m[0]) - 1] += 1
-    return tuple(map(min, n, MOST))
+    return tuple(n)
 
 
 def row(n: tuple[int, ...]) -> list[float]:
-    """An intercept, counts, and whether there is a hit of each kind."""
-    return [1.0, *map(float, n), *[float(k > 0) for k in n]]
+    """An intercept, logarithms of counts (each further hit says less), and whether there is a hit of each kind."""
+    return [1.0, *[math.log1p(k) for k in n], *[float(k > 0) for k in n]]
 
 
 @dataclass(frozen=True)
@@ -181,12 +180,12 @@ def distinct_texts(rows: DataFrame) -> DataFrame:
     return rows.groupBy(words.alias("_words"), "y").agg(F.min("text").alias("text")).select("text", "y")
 
 
-def learn_lexicon(texts: DataFrame, max_terms: int = 2_000) -> Lexicon:
+def learn_lexicon(texts: DataFrame) -> Lexicon:
     """Words and stems that mark label 1, from ``(text, y)`` rows.
 
     A term must be so much commoner in label 1 that hardly any random term is expected to be, by
     the likelihood ratio against the number of terms tried, which grows with the texts (there are
-    fewer stems than words). At most ``max_terms`` are kept.
+    fewer stems than words). All that pass are kept: the texts are a bounded sample.
     """
 
     def run(batches):
@@ -206,7 +205,7 @@ def learn_lexicon(texts: DataFrame, max_terms: int = 2_000) -> Lexicon:
     gain = h * F.log(h / (h + c) / share) + F.when(c > 0, c * F.log(c / (h + c) / (1 - share))).otherwise(0.0)
     tried = F.log(F.when(F.col("term").endswith("*"), 10.0).otherwise(50.0) * (n[0] + n[1]))
     marked = seen.where(h > c * n[1] / n[0]).withColumn("gain", gain).where((F.col("gain") > tried) & (h / (h + c) > 0.5))
-    top = [r.term for r in marked.orderBy(F.desc("gain"), "term").limit(max_terms).collect()]
+    top = [r.term for r in marked.select("term").collect()]
     return Lexicon(sorted(t for t in top if t[-1] != "*"), sorted(t[:-1] for t in top if t[-1] == "*"))
 
 
