@@ -396,6 +396,37 @@ def test_op8_automata_against_regular_expressions():
                 assert found == bool(expression.search("".join(f" {w} " for w in words))), (label, words)
 
 
+def test_very_long_texts_in_parts(monkeypatch):
+    """Parts add up to what the whole gives: words, n-grams, features, hits, ids and images."""
+    rng = np.random.default_rng(12)
+    vocabulary = ["word", "Word", "it's", "naïve", "日本", "42", "--", "idiot", "x" * 40, "the", "the\n", "\t\t", " "]
+    text = " ".join(rng.choice(vocabulary, size=60_000)) + " end"
+    short = "a b c d e f g"
+    lexicon = toxicity.Lexicon(["idiot"], [])
+    v = bpe.Vocabulary(bpe.default_path())
+    payload = jpeg.payload(text)
+
+    def everything():
+        s = ngrams.Sets([short, text, ""])
+        ids, places = v.encode([short, text, ""])
+        return s.key.tolist(), [s.grams(i).tolist() for i in range(3)], quality.features([short, text, ""]).tolist(), toxicity.counts(text, lexicon), ids, [p.tolist() for p in places]
+
+    whole = everything()
+    from tidemark.llm import batches
+
+    for module in (ngrams, quality, toxicity):
+        monkeypatch.setattr(module, "pieces", lambda t: batches.pieces(t, 5_000))
+    assert "".join(batches.pieces(text, 5_000)) == text and len(batches.pieces(text, 5_000)) > 40
+    assert batches.pieces("x" * 20_000, 5_000) == ["x" * 20_000] and batches.pieces("", 5) == [""]
+    monkeypatch.setattr(bpe, "LONG", 5_000)
+    assert everything() == whole and whole[3][0] > 1000
+    at_once = jpeg.encode([payload])
+    monkeypatch.setattr(jpeg, "ROWS", 100)
+    parts = jpeg.encode([payload, jpeg.payload("")])
+    assert parts[0] != at_once[0]
+    assert [b"".join(x.tobytes() for x in t) for t in jpeg.thumbnails(parts)] == [payload, bytes(64)]
+
+
 def test_op9_against_all_pairs(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(12, 16))

@@ -44,3 +44,36 @@ def test_run_tokenises_what_the_stages_leave(spark, docs):
     assert sorted((r.doc_id, r.decoded_sha256) for r in got.collect()) == want
     v = bpe.vocabulary(bpe.default_path())
     assert all(v.decode(i) == t.encode() for t in ["", "x y"] for i in v.encode([t])[0])
+
+
+ODD = [
+    (1, "plain words of a clean text stand here in a row", "en", "a", 10),
+    (2, None, "en", "a", 0),
+    (3, "", None, None, 0),
+    (4, " \n", "en", "b", 2),
+    (5, "the same words again and again in this text", "en", "b", 43),
+    (5, "the same words again and again in this text", "en", "b", 43),
+    (6, "long " * 40_000, "en", "b", 200_000),
+    (None, "a text without an id", "en", "a", 20),
+]
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_on_odd_rows_and_clashing_names(spark, name, stage):
+    """Nulls anywhere, empty and long texts, repeated rows and columns named as operators' own pass every stage unchanged."""
+    made = ["score", "hits", "predicted", "size", "target", "taken", "copies", "source_size", "_h", "_c", "_s", "n_tokens", "component_id"]
+    rows = [(*r, *[f"{c} {i}" for c in made]) for i, r in enumerate(ODD)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in made)
+    docs = spark.createDataFrame(rows, schema)
+    out = stage(spark, docs, SF)
+    assert stage(spark, docs.where("false"), SF).count() == 0
+    if name == "byte_bpe":
+        assert out.count() == len(ODD)
+        return
+    assert out.schema.simpleString() == docs.schema.simpleString()
+    got, want = [tuple(r) for r in out.collect()], set(rows)
+    assert set(got) <= want
+    if name in ("toxicity", "quality"):
+        assert all(r in got for r in rows if r[0] in (1, 5) or (name == "toxicity"))
+    if name == "ngram_jaccard":
+        assert sorted(r[0] or 0 for r in got) == [0, 1, 2, 3, 4, 5, 6]

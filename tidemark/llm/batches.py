@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -93,6 +94,22 @@ class Words:
             self.hash = mix64((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(U64))
 
 
+_BREAK = re.compile(r"[\x20\x09-\x0D]")
+
+
+def pieces(text: str, limit: int = 4 * CHUNK) -> list[str]:
+    """A text in parts of about ``limit`` characters that add up to it, cut after ASCII white space, so
+    that no word is divided. A short text is one part."""
+    out, at = [], 0
+    while len(text) - at > limit:
+        m = _BREAK.search(text, at + limit)
+        if m is None:
+            break
+        out.append(text[at : m.end()])
+        at = m.end()
+    return [*out, text[at:]]
+
+
 def lower_table(words: str) -> np.ndarray:
     """A byte table that lower-cases A-Z and maps what stands outside words to 0.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -27,8 +28,9 @@ STATES, SYMBOLS = 8, 9
 LANE = 512
 #: Cached slices in a worker.
 CACHE = 1 << 18
-#: Characters encoded at once.
-SLICE = 250_000
+#: Characters encoded at once; longer texts go in parts of so many.
+SLICE, LONG = 250_000, 1_000_000
+_BETWEEN = re.compile("[A-Za-z](?= [A-Za-z])")
 
 # The code points with the White_Space property.
 WHITE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -183,7 +185,20 @@ class Vocabulary(dict):
         return ids
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[np.ndarray]]:
-        """Packed ids of each text, and the places where its slices begin."""
+        """Packed ids of each text, and the places where its slices begin. A very long text goes part by
+        part, cut where a slice begins whatever stands around: before a space between letters."""
+        if all(len(t) <= LONG for t in texts):
+            return self._encode(texts)
+        whole = []
+        for t in texts:
+            parts = [0]
+            while len(t) - parts[-1] > LONG and (m := _BETWEEN.search(t, parts[-1] + LONG)):
+                parts.append(m.end())
+            each = [self._encode([t[a:b]]) for a, b in zip(parts, [*parts[1:], len(t)])]
+            whole.append((b"".join(ids for (ids,), _ in each), np.concatenate([p + a for a, (_, (p,)) in zip(parts, each)])))
+        return [ids for ids, _ in whole], [p for _, p in whole]
+
+    def _encode(self, texts: list[str]) -> tuple[list[bytes], list[np.ndarray]]:
         if len(self) > CACHE:
             self.clear()
         joined = "\n".join(texts) + "\n"

@@ -111,7 +111,11 @@ def _intervals(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode(payloads: list[bytes]) -> list[bytes]:
-    """Each payload (a positive multiple of ``ROW`` bytes) as one or more JPEG images end to end."""
+    """Each payload (a positive multiple of ``ROW`` bytes) as one or more JPEG images end to end. Payloads of
+    more than one image are encoded image by image."""
+    span = ROWS * ROW
+    if any(len(p) > span for p in payloads):
+        return [b"".join(encode([p[a : a + span]])[0] for a in range(0, len(p), span)) for p in payloads]
     joined = np.frombuffer(b"".join(payloads), np.uint8)
     data, ends = _intervals(joined)
     data = data.tobytes()
@@ -307,6 +311,19 @@ def decode_scans(scans: list[tuple[Scan, bytes]]) -> list[np.ndarray]:
     return out
 
 
+def _together(members: list[tuple], most: int = 1 << 19):
+    """Images that are decoded at once: as many as have about ``most`` blocks."""
+    part, blocks = [], 0
+    for m in members:
+        part.append(m)
+        blocks += m[2].height * m[2].width // 64
+        if blocks >= most:
+            yield part
+            part, blocks = [], 0
+    if part:
+        yield part
+
+
 def thumbnails(files: list[bytes]) -> list[list[np.ndarray]]:
     """The DC-only luminance thumbnails of the images in each file, one sample per 8x8 block."""
     found: list[list[np.ndarray]] = [[] for _ in files]
@@ -319,11 +336,12 @@ def thumbnails(files: list[bytes]) -> list[list[np.ndarray]]:
             key = (tuple(scan.components), scan.quantum, tuple(sorted((k, id(t)) for k, t in scan.tables.items())))
             groups.setdefault(key, []).append((f, len(found[f]), scan, data))
             found[f].append(np.empty(0))
-    for (_, quantum, _), members in groups.items():
-        for (f, k, scan, _), grid in zip(members, decode_scans([(s, d) for _, _, s, d in members])):
-            # an orthonormal 8x8 transform: the mean of a block is its DC coefficient over 8
-            grid = np.clip((grid * quantum + 4) // 8 + 128, 0, 255).astype(np.uint8)
-            found[f][k] = grid[: -(-scan.height // 8), : -(-scan.width // 8)]
+    for (_, quantum, _), every in groups.items():
+        for members in _together(every):
+            for (f, k, scan, _), grid in zip(members, decode_scans([(s, d) for _, _, s, d in members])):
+                # an orthonormal 8x8 transform: the mean of a block is its DC coefficient over 8
+                grid = np.clip((grid * quantum + 4) // 8 + 128, 0, 255).astype(np.uint8)
+                found[f][k] = grid[: -(-scan.height // 8), : -(-scan.width // 8)]
     return found
 
 
@@ -361,11 +379,12 @@ def store(docs: DataFrame, text: str = "text") -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-def measure(stored: DataFrame, media: str = "media") -> DataFrame:
+def measure(stored: DataFrame, media: str = "media", strict: bool = False) -> DataFrame:
     """``stored`` with ``width``, ``height``, ``thumbnail`` (samples of all images row by row) and ``feature``.
 
     ``feature`` is ``width x height : average hash`` of each image, joined by ``;``. Bytes that are no
-    baseline JPEG (and null) give nulls.
+    baseline JPEG (and null) give nulls, or an error if ``strict``. Repeated rows have repeated results, an
+    empty table an empty one; columns of these names are replaced, others kept.
     """
     made = {"width": "int", "height": "int", "thumbnail": "binary", "feature": "string"}
     source = stored.drop(*[c for c in made if c != media])
@@ -377,6 +396,8 @@ def measure(stored: DataFrame, media: str = "media") -> DataFrame:
         try:
             return [(t[0].shape[1] * 8, sum(x.shape[0] for x in t) * 8, b"".join(x.tobytes() for x in t), ";".join(f"{x.shape[1] * 8}x{x.shape[0] * 8}:{average_hash(x)}" for x in t)) for t in thumbnails(files)]
         except (JpegError, KeyError, IndexError, struct.error, ValueError):
+            if strict:
+                raise
             if len(files) == 1:
                 return [(None, None, None, None)]
             return [r for f in files for r in one([f])]
@@ -393,7 +414,7 @@ def measure(stored: DataFrame, media: str = "media") -> DataFrame:
 
 def op6_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = store(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "media")
-    read = measure(stored)
+    read = measure(stored, strict=True)
     tail = F.expr("substring(thumbnail, length(thumbnail) - 63, 64)")
     return read.select(
         "doc_id",

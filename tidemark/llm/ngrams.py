@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tidemark.llm.batches import U64, Words, chunks, lower_table, mix64
+from tidemark.llm.batches import U64, Words, chunks, lower_table, mix64, pieces
 from tidemark.operators.components import connected_components
 from tidemark.session import cut, release, table
 
@@ -63,21 +63,26 @@ class Sets:
     """
 
     def __init__(self, texts: list[str]):
-        w = Words(texts, _SPACE)
-        self.first, self.count = w.first, w.count
-        h = w.hash
+        parts = [pieces(t) for t in texts]
+        if all(len(p) == 1 for p in parts):
+            w = Words(texts, _SPACE)
+            h, self.count = w.hash, w.count
+        else:  # a very long text goes part by part, of which only the words' hashes stay
+            each = [[Words([x], _SPACE).hash for x in p] for p in parts]
+            self.count = np.array([sum(map(len, e)) for e in each], dtype=np.int64)
+            h = np.concatenate([x for e in each for x in e])
+        self.first = np.concatenate([[0], np.cumsum(self.count)])
         n = len(h)
-        place = np.arange(n) - np.repeat(w.first[:-1], w.count)
-        power = np.cumprod(np.full(int(w.count.max(initial=0)) + 1, _A, dtype=U64), dtype=U64)
+        place = np.arange(n) - np.repeat(self.first[:-1], self.count)
+        power = np.cumprod(np.full(int(self.count.max(initial=0)) + 1, _A, dtype=U64), dtype=U64)
         total = np.zeros(n + 1, U64)
         np.cumsum(h * power[place], dtype=U64, out=total[1:])
-        self.key = mix64(total[w.first[1:]] - total[w.first[:-1]] + w.count.astype(U64) * U64(_B))
-        self.key[w.count == 0] = 0
+        self.key = mix64(total[self.first[1:]] - total[self.first[:-1]] + self.count.astype(U64) * U64(_B))
+        self.key[self.count == 0] = 0
         g = np.zeros(n, U64)
         for k in range(min(WIDTH, n)):
             g[: n - k] += h[k:] * _STEP[k]
         self.gram = mix64(g)
-        self.hash = h
 
     def ids(self) -> np.ndarray:
         return self.key.view(np.int64)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.batches import Words, chunks, lower_table
+from tidemark.llm.batches import Words, chunks, lower_table, pieces
 from tidemark.llm.labelled import fold, logistic, sample, sigmoid
 from tidemark.session import table
 
@@ -26,39 +26,66 @@ _SPACE = lower_table("space")
 _SPACE[65:91] -= 32  # case is kept: only the places of words matter here
 
 
-def features(texts: list[str]) -> np.ndarray:
-    """A row of numbers for each whole text; an empty text gives zeros."""
+def _totals(texts: list[str]) -> tuple[np.ndarray, Words]:
+    """For each text: bytes of each class, bytes, words, words without letters, bytes of words, words
+    equal to the one before, and bytes of the longest word."""
     w = Words(texts, _SPACE)
-    n = len(texts)
     kind = _CLASS[np.frombuffer(w.raw, np.uint8)]
-    count = {k: np.add.reduceat(kind == k, w.offset[:-1], dtype=np.int64) for k in range(1, 7)}
-    size = np.maximum(np.diff(w.offset) - 1, 1)
-    words = np.maximum(w.count, 1)
+    count = [np.add.reduceat(kind == k, w.offset[:-1], dtype=np.int64) for k in range(1, 7)]
     letters = np.concatenate([[0], np.cumsum((kind == 1) | (kind == 4) | (kind == 6))])
     bare = np.concatenate([[0], np.cumsum(letters[w.end] == letters[w.start])])
     length = np.concatenate([[0], np.cumsum(w.end - w.start)])
     same = np.concatenate([[0, 0], np.cumsum(w.hash[1:] == w.hash[:-1])]) if len(w.hash) else np.zeros(1, np.int64)
     a, b = w.first[:-1], w.first[1:]
-    distinct = np.array([len(np.unique(w.hash[i:j])) for i, j in zip(a.tolist(), b.tolist())])
     repeats = np.where(b - a > 1, same[b] - same[np.minimum(a + 1, b)], 0)
     top = np.array([(w.end[i:j] - w.start[i:j]).max() if j > i else 0 for i, j in zip(a.tolist(), b.tolist())])
+    return np.column_stack([*count, np.diff(w.offset) - 1, w.count, bare[b] - bare[a], length[b] - length[a], repeats, top]), w
+
+
+def _long_totals(parts: list[str]) -> tuple[np.ndarray, int]:
+    """The totals of one text given in parts, and its number of distinct words."""
+    whole, seen, last = np.zeros(12, np.int64), [], None
+    for p in parts:
+        (one,), w = _totals([p])
+        top = max(whole[11], one[11])
+        whole += one
+        whole[11] = top
+        if len(w.hash):
+            whole[10] += int(last == w.hash[0])
+            last = w.hash[-1]
+            seen.append(np.unique(w.hash))
+    return whole, len(np.unique(np.concatenate(seen))) if seen else 0
+
+
+def features(texts: list[str]) -> np.ndarray:
+    """A row of numbers for each whole text; an empty text gives zeros. A very long text goes part by
+    part, of which only totals and distinct words stay."""
+    parts = [pieces(t) for t in texts]
+    if all(len(p) == 1 for p in parts):
+        t, w = _totals(texts)
+        distinct = np.array([len(np.unique(w.hash[i:j])) for i, j in zip(w.first[:-1].tolist(), w.first[1:].tolist())])
+    else:
+        each = [_long_totals(p) for p in parts]
+        t, distinct = np.array([x for x, _ in each]), np.array([n for _, n in each])
+    upper, digit, symbol, foreign, lines, lower, size, count, bare, length, repeats, top = t.T
+    size, words = np.maximum(size, 1), np.maximum(count, 1)
     x = np.column_stack(
         [
-            count[1] / np.maximum(count[1] + count[6] + count[4] / 2, 1),
-            count[2] / size,
-            count[3] / size,
-            count[4] / size,
-            (bare[b] - bare[a]) / words,
+            upper / np.maximum(upper + lower + foreign / 2, 1),
+            digit / size,
+            symbol / size,
+            foreign / size,
+            bare / words,
             repeats / words,
             np.log1p(distinct) / np.log1p(words),
-            (length[b] - length[a]) / words / 10,
-            np.log1p(w.count) / 10,
-            np.minimum(count[5] / words, 1),
+            length / words / 10,
+            np.log1p(count) / 10,
+            np.minimum(lines / words, 1),
             np.log1p(top) / 5,
         ]
     )
-    x[w.count == 0] = 0.0
-    return x.reshape(n, len(FEATURES))
+    x[count == 0] = 0.0
+    return x.reshape(len(texts), len(FEATURES))
 
 
 @dataclass(frozen=True)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.batches import chunks
+from tidemark.llm.batches import chunks, pieces
 from tidemark.llm.labelled import fold, logistic, sample, sigmoid
 from tidemark.session import table
 
@@ -146,12 +146,15 @@ def counts(text: str, lexicon: Lexicon) -> tuple[int, ...]:
     """Hits by kind outside quotation, and hits inside."""
     low = text.lower()
     kind = lexicon.kind
-    hit = {w for w in set(WORD.findall(low)) if kind(w)}
     n = [0] * 5
-    if hit:
-        for m in WORD.finditer(low):
-            if m[0] in hit:
-                n[4 if quoted(low, m.start(), m.end()) else kind(m[0]) - 1] += 1
+    at = 0
+    for part in pieces(low):  # so that the words of a very long text are not all held
+        hit = {w for w in set(WORD.findall(part)) if kind(w)}
+        if hit:
+            for m in WORD.finditer(low, at, at + len(part)):
+                if m[0] in hit:
+                    n[4 if quoted(low, m.start(), m.end()) else kind(m[0]) - 1] += 1
+        at += len(part)
     return tuple(n)
 
 
