@@ -27,25 +27,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and forget its lineage.
+class SharedFolderError(RuntimeError):
+    """A cluster names no folder that all its machines see."""
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a session
-    without it (a local test) gets a temporary one.
-    """
+
+def _shared(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``, or the one set before; a local session without either
+    gets a temporary one, a cluster an error, as its machines would each write to their own disks."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if base:
+        return base
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise SharedFolderError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and forget its lineage."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        sc.setCheckpointDir(_shared(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted when the application ends."""
+    base = _shared(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(base)
+    path = f"{base}/tidemark-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a parquet table in the shared checkpoint folder: for wide rows, which compress well."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    path = f"{base}/tidemark-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def release(spark: SparkSession) -> None:
