@@ -315,14 +315,17 @@ def dissected(pages: DataFrame, names: bool = True) -> DataFrame:
 def templates(found: DataFrame, least: int = 3, share: float = 0.02, enough: int = 50, small: float = 0.2) -> DataFrame:
     """``(_host, hash, n)`` of subtrees around at least ``least`` different main texts of a host, and
     a ``share`` of its different main texts or ``enough`` of them; forms also only if they are on average
-    at most ``small`` of the page and more often outside its bulk than inside.
+    at most ``small`` of the page and more often outside its bulk than inside. Trees without these two fields
+    are hashed by their texts alone.
 
     Pages with the same main text count once on both sides, so copies of an article neither make
     a template of it nor hide one, and what recurs often enough goes however large the host is.
     Counts are combined before each shuffle: a large host is no large task.
     """
     total = found.groupBy("_host", "_main").agg(F.lit(1).alias("one")).groupBy("_host").agg(F.count("*").alias("mains"))
-    each = found.select("_host", "_main", F.explode("_trees").alias("t")).select("_host", "_main", "t.hash", "t.share", F.col("t.inside").cast("int").alias("inside"))
+    fields = found.schema["_trees"].dataType.elementType.fieldNames()
+    form = [F.col("t.share"), F.col("t.inside").cast("int").alias("inside")] if "share" in fields else [F.lit(0.0).alias("share"), F.lit(0).alias("inside")]
+    each = found.select("_host", "_main", F.explode("_trees").alias("t")).select("_host", "_main", "t.hash", *form)
     each = each.groupBy("_host", "hash", "_main").agg(F.max("share").alias("part"), F.max("inside").alias("inside"))
     n = each.groupBy("_host", "hash").agg(F.count("*").alias("n"), F.avg("part").alias("part"), F.avg("inside").alias("inside"))
     n = n.where((F.col("n") >= least) & (F.col("part") <= small) & (F.col("inside") < 0.5))
