@@ -9,15 +9,13 @@ by the mix, whose sizes they do not change. An empty table gives an empty result
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, mixing, ngrams, quality, toxicity
-from tidemark.session import bounded_batches, table
+from tidemark.session import bounded_batches, table, written
 
 
 #: Columns that the operators read.
@@ -82,9 +80,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each but the last written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    for name, stage in STAGES[:-1]:
-        path = f"{base}/corpus_pipeline-{uuid.uuid4().hex}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
