@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import md5_number
 
 
+_WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
+#: The same on texts without code points from U+0300 on, where no marks are: much faster.
+_PLAIN, _HIGH = re.compile(r"[^\W_]+"), re.compile("[\u0300-\U0010ffff]")
+
+
 def normal_key(text: Column) -> Column:
     """A hash of letters and digits alone, of any script, lower-cased: spellings of one item
     collapse. Null where nothing is left, so that such texts are no family."""
@@ -32,9 +42,44 @@ def windows(words: Column, width: int) -> Column:
     return _windows(words, width, lambda w: F.concat_ws(" ", *w))
 
 
-def window_hashes(words: Column, width: int) -> Column:
-    """A 64-bit hash of each window of ``width`` words; fewer words give none."""
-    return _windows(words, width, lambda w: F.xxhash64(*w))
+def hash_windows(texts: list[str | None], width: int, seen: dict[str, int]) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its windows of ``width`` words (as ``words`` defines
+    them; fewer words and null give none). ``seen`` keeps hashes of words from call to call."""
+    out = []
+    for t in texts:
+        h = []
+        low = (t or "").lower()
+        for w in (_WORD if _HIGH.search(low) else _PLAIN).findall(low):
+            x = seen.get(w)
+            if x is None:
+                if len(seen) > 1 << 18:
+                    seen.clear()
+                x = seen[w] = xxhash.xxh64_intdigest(w)
+            h.append(x)
+        h = np.array(h, dtype=np.uint64)
+        g = np.zeros(max(0, len(h) - width + 1), np.uint64)
+        for k in range(width if len(g) else 0):
+            g = (g ^ h[k : k + len(g)]) * np.uint64(0x9E3779B97F4A7C15)
+            g ^= g >> np.uint64(29)
+        out.append(np.unique(g).view(np.int64))
+    return out
+
+
+def with_windows(df: DataFrame, text: str, width: int, name: str = "items") -> DataFrame:
+    """``df`` without ``text``, with the distinct hashed windows of its words, by ``hash_windows`` in Arrow batches
+    (some ten times as fast as array functions, which Spark interprets element by element)."""
+    kept = [c for c in df.columns if c != text]
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*kept).schema) + f"`{name}` array<long>"
+
+    def run(batches):
+        seen: dict[str, int] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                items = hash_windows(part.column(text).to_pylist(), width, seen)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(items, pa.list_(pa.int64()))], names=[*kept, name])
+
+    return df.select(*kept, text).mapInArrow(run, schema)
 
 
 def fingerprint(words: Column, width: int = 3, bits: int = 2048) -> Column:

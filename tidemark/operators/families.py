@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -79,21 +83,43 @@ def set_classes(sets: DataFrame, node: str = "node", items: str = "items") -> tu
     return members.where("items is not null").select("rep", F.size("items").alias("n"), "items"), members.where("rep <> node").select("rep", "node")
 
 
-def similar_pairs(sets: DataFrame, least: float = 0.75, node: str = "node", items: str = "items", common: int = 65_536, seen: int = 32) -> DataFrame:
+def similar_pairs(sets: DataFrame, least: float = 0.75, node: str = "node", items: str = "items", common: int = 65_536, seen: int = 4, sample: int = 8) -> DataFrame:
     """C14: ``(a, b, similarity)``, a < b, of sets with Jaccard of at least ``least``.
 
-    Equal sets are one, each member paired with its representative. Items stand in one order:
-    rare ones by value, then the ``common`` commonest (of those in ``seen`` sets or more, a broadcast of
-    half a megabyte) by rising frequency. Of two similar sets the first shared item stands, in
-    both, early enough to leave room for the overlap that their sizes require, so only prefixes are
-    joined; what meets is verified exactly.
+    Equal sets are one, each member paired with its representative. Items (longs or integers) stand in
+    one order: rare ones by value, then the ``common`` commonest (of those in ``seen`` sets or more of a
+    ``sample``-th of the sets, half a megabyte for the tasks) by rising frequency; the order changes no result.
+    Of two similar sets the first shared item stands, in both, early enough to leave room for the
+    overlap that their sizes require, so only prefixes are joined; what meets is verified exactly.
     """
     one, others = set_classes(sets, node, items)
-    long = one.select("rep", "n", F.explode("items").alias("item"))
-    often = long.groupBy("item").agg(F.count("*").alias("df")).where(F.col("df") >= seen).orderBy(F.desc("df"), "item").limit(common)
-    placed = long.join(F.broadcast(often), "item", "left").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "item"))).alias("o"))
-    reach = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1
-    head = placed.select("rep", "n", F.posexplode(F.slice("o", F.lit(1), reach.cast("int"))).alias("p", "x")).select("rep", "n", "p", "x.item")
+    part = one.where(F.pmod(F.xxhash64("rep"), F.lit(sample)) == 0).select(F.explode("items").alias("item"))
+    often = part.groupBy("item").agg(F.count("*").alias("df")).where(F.col("df") >= seen).orderBy(F.desc("df"), "item").limit(common).toPandas()
+    last = often["item"].to_numpy(np.int64)
+    order = np.argsort(last)
+    last, rank = last[order], len(last) - order
+
+    def prefixes(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                rep, item, place, size, whose = batch.slice(at, 256).column("rep"), [], [], [], []
+                for i, s in enumerate(batch.slice(at, 256).column("items").to_pylist()):
+                    s = np.array(s, np.int64)
+                    late = np.zeros(len(s), np.int64)
+                    if len(last):
+                        k = np.minimum(np.searchsorted(last, s), len(last) - 1)
+                        late = np.where(last[k] == s, rank[k], 0)
+                    reach = len(s) - math.ceil(len(s) * least - 1e-9) + 1
+                    item.append(s[np.lexsort((s, late))][:reach])
+                    place.append(np.arange(reach, dtype=np.int32))
+                    size.append(np.full(reach, len(s), np.int32))
+                    whose.append(np.full(reach, i))
+                if item:
+                    cols = [rep.take(pa.array(np.concatenate(whose))), pa.array(np.concatenate(size)), pa.array(np.concatenate(place)), pa.array(np.concatenate(item))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["rep", "n", "p", "item"])
+
+    kind = one.schema["rep"].dataType.simpleString()
+    head = one.select("rep", F.col("items").cast("array<long>").alias("items")).mapInArrow(prefixes, f"rep {kind}, n int, p int, item long")
     head = cut(head.withColumn("_m", F.count("*").over(Window.partitionBy("item"))).where("_m > 1").drop("_m"))
     a, b = (head.toDF(*[f"{x}{i}" for x in ("rep", "n", "p")], "item") for i in ("a", "b"))
     o = F.ceil((F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tidemark.functions.texts import window_hashes, words
+from tidemark.functions.texts import hash_windows, with_windows
 from tidemark.operators.ranking import cumulative
 from tidemark.session import cut
 
@@ -35,13 +37,26 @@ def shared_passages(pool: DataFrame, blacklist: DataFrame, key: str, text: str =
     """``(key, n_shared)``: how many distinct windows of ``width`` words a pool text shares with the
     blacklist's texts; texts that share none have no row.
 
-    Windows are 64-bit hashes. Up to ``small`` distinct ones, counted first, are broadcast to the
-    scan of the pool, so only hits are shuffled; more are met in a shuffle join.
+    Windows are 64-bit hashes. Up to ``small`` distinct ones, counted first, go to the tasks that scan
+    the pool (8 bytes each), so that only hits leave them; more are met in a shuffle join.
     """
-    hashes = lambda df: F.explode(F.array_distinct(window_hashes(words(df[text]), width))).alias("_w")
-    held = cut(blacklist.select(hashes(blacklist)).distinct())
-    met = F.broadcast(held) if held.count() <= small else held
-    return pool.select(key, hashes(pool)).join(met, "_w", "left_semi").groupBy(key).agg(F.count("*").alias("n_shared"))
+    held = cut(with_windows(blacklist.select(text), text, width, "_w").select(F.explode("_w").alias("_w")).distinct())
+    if held.count() > small:
+        each = with_windows(pool.select(key, text), text, width, "_w").select(key, F.explode("_w").alias("_w"))
+        return each.join(held, "_w", "left_semi").groupBy(key).agg(F.count("*").alias("n_shared"))
+    listed = np.sort(held.toPandas()["_w"].to_numpy(np.int64))
+
+    def run(batches):
+        seen: dict[str, int] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                n = np.array([int(np.isin(w, listed).sum()) for w in hash_windows(part.column(text).to_pylist(), width, seen)])
+                hit = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(hit)), pa.array(n[hit])], names=[key, "n"])
+
+    kind = pool.schema[key].dataType.simpleString()
+    return pool.select(key, text).mapInArrow(run, f"`{key}` {kind}, n long").groupBy(key).agg(F.sum("n").alias("n_shared"))
 
 
 def purge_texts(pool: DataFrame, blacklist: DataFrame, key: str, text: str = "text", width: int = 8) -> DataFrame:

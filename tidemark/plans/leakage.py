@@ -82,8 +82,7 @@ def d15(spark, sf):
 
 
 def d16(spark, sf):
-    w = T.window_hashes(T.words(F.col("text")), 8)
-    b = table(spark, sf, "benchmark").select("item_id", F.md5("text").alias("exact_key"), F.explode_outer(w).alias("w"))
+    b = T.with_windows(table(spark, sf, "benchmark").select("item_id", F.md5("text").alias("exact_key"), "text"), "text", 8, "w").withColumn("w", F.explode_outer("w"))
     return b.agg(F.countDistinct("item_id").alias("n"), F.countDistinct("exact_key").alias("exact"), F.countDistinct("w").alias("passages"))
 
 
@@ -116,7 +115,7 @@ def d24(spark, sf):
 
 def sets(spark, sf):
     """Documents as sets of hashed windows of five words."""
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("node"), T.window_hashes(T.words(F.col("text")), 5).alias("items"))
+    return T.with_windows(table(spark, sf, "documents").select(F.col("doc_id").alias("node"), "text"), "text", 5)
 
 
 def c14(spark, sf):
