@@ -27,7 +27,7 @@ STATES, SYMBOLS = 8, 9
 #: Characters in a lane of the scan.
 LANE = 512
 #: Cached slices in a worker.
-CACHE = 1 << 18
+CACHE = 1 << 20
 #: Characters encoded at once; longer texts go in parts of so many.
 SLICE, LONG = 250_000, 1_000_000
 _BETWEEN = re.compile("[A-Za-z](?= [A-Za-z])")
