@@ -8,9 +8,12 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Characters of text handled at once; a longer text is handled alone.
 CHUNK = 250_000
+#: Bytes hashed at once.
+BLOCK = 1 << 20
 
 U64 = np.uint64
 _P = 0x9E3779B97F4A7C15
@@ -88,10 +91,28 @@ class Words:
         self.first = np.searchsorted(self.start, self.offset)
         self.count = np.diff(self.first)
         if hashed:
-            up, down = _power(len(self.byte) + 1)
-            total = np.zeros(len(self.byte) + 1, dtype=U64)
-            np.cumsum(_values[self.byte] * up[: len(self.byte)], dtype=U64, out=total[1:])
-            self.hash = mix64((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(U64))
+            self.hash = self._hashes()
+
+    def _hashes(self) -> np.ndarray:
+        """Sums of powers over each word's bytes, block by block, so that a text of any length needs the
+        memory of one block besides what each word needs."""
+        up, down = _power(BLOCK)
+        totals = np.empty((2, len(self.start)), U64)
+        back = np.empty(len(self.start), U64)
+        run = U64(0)
+        for at in range(0, max(1, len(self.byte)), BLOCK):
+            part = self.byte[at : at + BLOCK]
+            lead, lag = U64(pow(_P, at, 1 << 64)), U64(pow(_P_INV, at, 1 << 64))
+            total = np.zeros(len(part) + 1, U64)
+            np.cumsum(_values[part] * up[: len(part)], dtype=U64, out=total[1:])
+            total = run + total * lead
+            for places, out in ((self.start, totals[0]), (self.end, totals[1])):
+                a, b = np.searchsorted(places, [at, at + len(part)])
+                out[a:b] = total[places[a:b] - at]
+                if places is self.start:
+                    back[a:b] = down[places[a:b] - at] * lag
+            run = total[-1]
+        return mix64((totals[1] - totals[0]) * back + (self.end - self.start).astype(U64))
 
 
 _BREAK = re.compile(r"[\x20\x09-\x0D]")
@@ -127,3 +148,28 @@ def lower_table(words: str) -> np.ndarray:
         t[91:97] = 0
         t[123:128] = 0
     return t
+
+
+def plain_table() -> np.ndarray:
+    """``lower_table("space")`` with letters as they are."""
+    t = lower_table("space")
+    t[65:91] = np.arange(65, 91)
+    return t
+
+
+def bitmap(keys: DataFrame, column: str, rows: int, least: int = 20, most: int = 27) -> np.ndarray:
+    """A filter of the hashes in ``column``, as packed bits: 2^``least`` to 2^``most`` of them (16 MB), by the number of
+    ``rows``. Beyond that it lets more through, so what follows must not depend on it."""
+    size = min(most, max(least, (8 * max(1, rows)).bit_length()))
+    at = F.shiftrightunsigned(F.col(column), 64 - size)
+    placed = keys.select(at.alias("p")).select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("b"))
+    found = placed.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = np.zeros(1 << max(0, size - 6), U64)
+    bits[found.column("w").to_numpy()] = found.column("b").to_numpy().view(U64)
+    return bits
+
+
+def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the filter may hold these hashes."""
+    at = hashes >> U64(64 - (6 + len(bits).bit_length() - 1))
+    return (bits[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) != 0
