@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, html, jpeg, licenses, mixing, ngrams, quality, sharding, substrings, toxicity, vectors
+from tidemark.llm import alignment, bpe, html, jpeg, licenses, mixing, ngrams, quality, sharding, substrings, toxicity, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_templates": licenses.op8_license_templates,
         "op10_ngram_jaccard": ngrams.op10_ngram_jaccard,
         "op11_super_kmer_dedup": substrings.op11_super_kmer_dedup,
+        "op13_token_alignment": alignment.op13_token_alignment,
         "op9_epsilon_grid_join": vectors.op9_epsilon_grid_join,
     }
 
