@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import alignment, bpe, html, jpeg, licenses, mixing, ngrams, quality, sharding, substrings, toxicity, vectors
+from tidemark.llm import alignment, bpe, html, jpeg, lexical, licenses, mixing, ngrams, quality, sharding, substrings, toxicity, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,10 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_templates": licenses.op8_license_templates,
         "op10_ngram_jaccard": ngrams.op10_ngram_jaccard,
         "op11_super_kmer_dedup": substrings.op11_super_kmer_dedup,
+        "op12_bit_sliced_search": lexical.op12_bit_sliced_search,
         "op13_token_alignment": alignment.op13_token_alignment,
         "op9_epsilon_grid_join": vectors.op9_epsilon_grid_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mix": mixing.OP2_SQL, "op8_license_templates": licenses.OP8_SQL, "op9_epsilon_grid_join": vectors.OP9_SQL}
+    return {"op2_source_mix": mixing.OP2_SQL, "op8_license_templates": licenses.OP8_SQL, "op12_bit_sliced_search": lexical.OP12_SQL, "op9_epsilon_grid_join": vectors.OP9_SQL}
