@@ -12,6 +12,7 @@ ORACLE = plans.oracle_sql()
 CHECKS = {
     "b13_tobit": lambda r: sorted(x.flag for x in r) == ["left", "none", "right"] and all(x.squared == 0 for x in r if x.flag != "none"),
     "g3_lsh_recall": lambda r: len({x.query_id for x in r}) * 16 == len(r) and all(x.query_id % 50 == 0 and x.query_id != x.memory_id for x in r),
+    "g3_cell_index": lambda r: len({x.query_id for x in r}) * 16 == len(r) and all(x.query_id % 50 == 0 and x.query_id != x.memory_id for x in r),
     "j2_whitening": lambda r: all(len(x.whitened) == 8 for x in r),
     "j3_ridge": lambda r: [x.name for x in r] == ["intercept", "gate", "loss_base"] and abs(r[2].value - 1) < 0.2,
     "j4_forest": lambda r: all(0 < x.forest_pred < 1.5 for x in r),

@@ -42,8 +42,19 @@ def topk(queries: DataFrame, pool: DataFrame, view: str, k: int, kind: str = "co
     candidates a query; these are merged by a window. No task gets a whole view: the number of
     blocks follows its measured size.
     """
-    sizes = [r["n"] for r in (queries.groupBy(view).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first(), pool.groupBy(view).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first())]
-    nq, np_ = (max(1, -(-(n or 0) // b)) for n, b in zip(sizes, (q_block, p_block)))
+    return best_k(block_topk(queries, pool, [view], k, kind, q_block, p_block), k)
+
+
+def best_k(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "memory_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def block_topk(queries: DataFrame, pool: DataFrame, by: list[str], k: int, kind: str = "cosine", q_block: int = 2_000, p_block: int = 8_000) -> DataFrame:
+    """``(query_id, memory_id, sim)``: each query's ``k`` best of every block of the pool that shares its ``by``.
+
+    Each group of ``by`` is cut into as many blocks as its own counted rows ask for.
+    """
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -68,15 +79,18 @@ def topk(queries: DataFrame, pool: DataFrame, view: str, k: int, kind: str = "co
         out = pd.DataFrame({"query_id": left["query_id"].to_numpy()[rows], "memory_id": right["memory_id"].to_numpy()[best.ravel()], "sim": s[rows, best.ravel()]})
         return out[np.isfinite(out["sim"])]
 
-    q = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(nq))).withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(np_ - 1))))
-    p = pool.withColumn("_p", F.pmod(F.xxhash64("memory_id"), F.lit(np_)).cast("int")).withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))))
-    by = [view, "_q", "_p"]
+    own = [F.col(c).alias(c) for c in by]  # columns of their own, as both sides may come from one table
+    blocks = lambda df, size, name: df.select(*own).groupBy(*by).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    grid = cut(blocks(queries, q_block, "_nq").join(blocks(pool, p_block, "_np"), by))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    grid = grid.select(*own, "_nq", "_np")
+    q = queries.join(grid, by).withColumn("_q", F.pmod(F.xxhash64("query_id"), F.col("_nq")).cast("int")).withColumn("_p", every("_np"))
+    p = pool.join(grid, by).withColumn("_p", F.pmod(F.xxhash64("memory_id"), F.col("_np")).cast("int")).withColumn("_q", every("_nq"))
+    key = [*by, "_q", "_p"]
     # both sides are dealt into the same number of partitions here, which adaptive execution keeps
     n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    q, p = q.repartition(n, *by), p.repartition(n, *by)
-    local = q.groupBy(*by).cogroup(p.groupBy(*by)).applyInPandas(run, "query_id long, memory_id long, sim double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "memory_id")
-    return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    q, p = (x.select(*own, "_q", "_p", F.col(i).alias(i), F.col("vector").alias("vector")).repartition(n, *key) for x, i in ((q, "query_id"), (p, "memory_id")))
+    return q.groupBy(*key).cogroup(p.groupBy(*key)).applyInPandas(run, "query_id long, memory_id long, sim double")
 
 
 def plane_codes(rows: DataFrame, vector: str, planes: np.ndarray, centre: float = 0.0) -> DataFrame:
@@ -98,8 +112,9 @@ def lsh_topk(queries: DataFrame, pool: DataFrame, view: str, k: int, kind: str =
     """``(query_id, memory_id, sim, rank)``: the ``oversample * k`` nearest codes in Hamming distance, ranked again
     by the exact similarity down to ``k``.
 
-    Codes are ``planes / 8`` bytes a row, so the blocks that are compared are a fraction of the
-    vectors. Recall falls with fewer planes; it is measured in the tests against ``topk``.
+    A scan of all codes, ``planes / 8`` bytes each: less than the vectors only if these are longer than ``planes / 64``
+    doubles. ``cells.cell_topk`` looks at part of the pool instead. Recall falls with fewer planes; it is
+    measured in the tests against ``topk``.
     """
     size = pool.select(F.max(F.size("vector"))).first()[0] or 1
     p = np.random.default_rng(seed).standard_normal((planes, size))

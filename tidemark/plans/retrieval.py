@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import jaccard, rank_target
-from tidemark.operators import annotate
+from tidemark.operators import annotate, cells
 from tidemark.operators import retrieve as R
 from tidemark.session import cut, table
 
@@ -48,6 +48,11 @@ def g3(spark, sf):
     return R.lsh_topk(*sides(spark, sf, "bits"), "view", TOP).select("query_id", "memory_id", F.round("sim", 6).alias("sim"), "rank")
 
 
+def g3_cells(spark, sf):
+    q, p = sides(spark, sf, "bits")
+    return cells.cell_topk(q, cells.build_index(p, "view", TOP, "jaccard"), TOP).select("query_id", "memory_id", F.round("sim", 6).alias("sim"), "rank")
+
+
 def pool(spark, sf):
     """The union of both sources, all similarities recomputed, fused."""
     a, b = tanimoto(spark, sf).select("query_id", "memory_id"), cosine(spark, sf).select("query_id", "memory_id")
@@ -130,7 +135,7 @@ def h1(spark, sf):
 
 
 QUERIES = {
-    "g2_tanimoto_topk": g2, "g3_lsh_recall": g3, "g4_cosine_topk": g4, "g5_fused_pool": g5, "g6_top1": g6, "g7_view_sufficiency": g7, "g7_usable_pool": g7_pool, "g10_rank_scalars": g10, "g10_candidate_meta": g10_meta,
+    "g2_tanimoto_topk": g2, "g3_lsh_recall": g3, "g3_cell_index": g3_cells, "g4_cosine_topk": g4, "g5_fused_pool": g5, "g6_top1": g6, "g7_view_sufficiency": g7, "g7_usable_pool": g7_pool, "g10_rank_scalars": g10, "g10_candidate_meta": g10_meta,
     "g12_attention_pool": g12, "g13_knn_residual": g13, "g14_listwise_loss": g14, "g15_pairwise_loss": g15, "h1_support_features": h1,
 }
 
