@@ -42,3 +42,50 @@ def test_blocks_follow_each_groups_own_size(spark):
     queries, pool = _clustered(spark, 400, 5)
     a = {tuple(r) for r in retrieve.topk(queries, pool, "view", 5).collect()}
     assert a == {tuple(r) for r in retrieve.topk(queries, pool, "view", 5, q_block=2, p_block=30).collect()}
+
+
+def _sets(seed, n):
+    """Sets with groups of near copies, equal ones and empty ones."""
+    r = np.random.default_rng(seed)
+    centres = [set(np.random.default_rng(k).integers(0, 400, 30).tolist()) for k in range(6)]
+    out = []
+    for i in range(n):
+        s = set(centres[i % 6]) if i % 3 else set(r.integers(0, 400, int(r.integers(0, 30))).tolist())
+        for _ in range(int(r.integers(0, 5))):
+            s.discard(int(r.choice(list(s)))) if len(s) > 1 and r.random() < 0.5 else s.add(int(r.integers(0, 400)))
+        out.append((i, sorted(s)))
+    return out
+
+
+def test_similar_across_and_components_against_all_pairs(spark):
+    from tidemark.operators.components import connected_components
+    from tidemark.operators.families import set_components, similar_across
+
+    left, right = _sets(1, 120), [(1000 + i, s) for i, s in _sets(2, 150)] + [(5000, _sets(1, 5)[4][1])]
+    schema = "node long, items array<long>"
+    a, b = (spark.createDataFrame(x, schema).repartition(3) for x in (left, right))
+    alike = lambda x, y: bool(x and y) and len(set(x) & set(y)) >= 0.75 * len(set(x) | set(y))
+    got = {(r.a, r.b): r.similarity for r in similar_across(a, b).collect()}
+    want = {(i, j): len(set(x) & set(y)) / len(set(x) | set(y)) for i, x in left for j, y in right if alike(x, y)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got) and len(got) > 100
+    assert similar_across(a.where("false"), b).count() == 0
+    both = left + right
+    label = {i: i for i, _ in both}
+    changed = True
+    while changed:
+        changed = False
+        for i, x in both:
+            low = min([label[i]] + [label[j] for j, y in both if alike(x, y)])
+            changed |= low != label[i]
+            label[i] = low
+    edges = set_components(a.union(b), seen=2)
+    found = {r.node: r.component for r in connected_components(edges).collect()}
+    assert all(found.get(i, i) == label[i] for i, _ in both)
+
+
+def test_set_components_of_many_near_copies_make_few_pairs(spark):
+    from tidemark.operators.families import set_components
+
+    rows = [(i, [*range(i % 40), *range(41, 60), *range(100, 300), 1000 + i]) for i in range(400)]
+    edges = set_components(spark.createDataFrame(rows, "node long, items array<long>"))
+    assert edges.count() <= 2 * len(rows)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from tidemark.operators.components import connected_components
 from tidemark.session import cut
@@ -83,70 +84,157 @@ def set_classes(sets: DataFrame, node: str = "node", items: str = "items") -> tu
     return members.where("items is not null").select("rep", F.size("items").alias("n"), "items"), members.where("rep <> node").select("rep", "node")
 
 
-def similar_pairs(sets: DataFrame, least: float = 0.75, node: str = "node", items: str = "items", common: int = 65_536, seen: int = 4, sample: int = 8) -> DataFrame:
-    """C14: ``(a, b, similarity)``, a < b, of sets with Jaccard of at least ``least``.
+@dataclass(frozen=True)
+class ItemOrder:
+    """One order of items for all sides of a join: rare ones by value, then ``last`` (sorted) by ``rank``. It changes no result."""
 
-    Equal sets are one, each member paired with its representative. Items (longs or integers) stand in
-    one order: rare ones by value, then the ``common`` commonest (of those in ``seen`` sets or more of a
-    ``sample``-th of the sets, half a megabyte for the tasks) by rising frequency; the order changes no result.
-    Of two similar sets the first shared item stands, in both, early enough to leave room for the
-    overlap that their sizes require, so only prefixes are joined; what meets is verified exactly.
-    """
-    one, others = set_classes(sets, node, items)
-    part = one.where(F.pmod(F.xxhash64("rep"), F.lit(sample)) == 0).select(F.explode("items").alias("item"))
-    often = part.groupBy("item").agg(F.count("*").alias("df")).where(F.col("df") >= seen).orderBy(F.desc("df"), "item").limit(common).toPandas()
+    last: np.ndarray
+    rank: np.ndarray
+
+    def prefix(self, items: list[int], least: float) -> np.ndarray:
+        """The first items of a set, of which a similar set shares at least one."""
+        s = np.array(items, np.int64)
+        late = np.zeros(len(s), np.int64)
+        if len(self.last):
+            k = np.minimum(np.searchsorted(self.last, s), len(self.last) - 1)
+            late = np.where(self.last[k] == s, self.rank[k], 0)
+        return s[np.lexsort((s, late))][: len(s) - math.ceil(len(s) * least - 1e-9) + 1]
+
+
+def item_order(classes: list[DataFrame], common: int = 65_536, seen: int = 4, sample: int = 8) -> ItemOrder:
+    """The ``common`` commonest items (of those in ``seen`` sets or more of a ``sample``-th of the sets, half a megabyte for the
+    tasks) go last, by rising frequency."""
+    parts = [c.where(F.pmod(F.xxhash64("rep"), F.lit(sample)) == 0).select(F.explode("items").alias("item")) for c in classes]
+    often = reduce(DataFrame.unionByName, parts).groupBy("item").agg(F.count("*").alias("df")).where(F.col("df") >= seen).orderBy(F.desc("df"), "item").limit(common).toPandas()
     last = often["item"].to_numpy(np.int64)
     order = np.argsort(last)
-    last, rank = last[order], len(last) - order
+    return ItemOrder(last[order], len(last) - order)
 
-    def prefixes(batches):
+
+def prefixes(classes: DataFrame, order: ItemOrder, least: float) -> DataFrame:
+    """``(rep, n, p, item)``: the prefix of each set in the order, with the set's size and the items' places from 0."""
+    kind = classes.schema["rep"].dataType.simpleString()
+
+    def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                rep, item, place, size, whose = batch.slice(at, 256).column("rep"), [], [], [], []
-                for i, s in enumerate(batch.slice(at, 256).column("items").to_pylist()):
-                    s = np.array(s, np.int64)
-                    late = np.zeros(len(s), np.int64)
-                    if len(last):
-                        k = np.minimum(np.searchsorted(last, s), len(last) - 1)
-                        late = np.where(last[k] == s, rank[k], 0)
-                    reach = len(s) - math.ceil(len(s) * least - 1e-9) + 1
-                    item.append(s[np.lexsort((s, late))][:reach])
-                    place.append(np.arange(reach, dtype=np.int32))
-                    size.append(np.full(reach, len(s), np.int32))
-                    whose.append(np.full(reach, i))
-                if item:
-                    cols = [rep.take(pa.array(np.concatenate(whose))), pa.array(np.concatenate(size)), pa.array(np.concatenate(place)), pa.array(np.concatenate(item))]
-                    yield pa.RecordBatch.from_arrays(cols, names=["rep", "n", "p", "item"])
-
-    kind = one.schema["rep"].dataType.simpleString()
-    head = one.select("rep", F.col("items").cast("array<long>").alias("items")).mapInArrow(prefixes, f"rep {kind}, n int, p int, item long")
-    head = cut(head.withColumn("_m", F.count("*").over(Window.partitionBy("item"))).where("_m > 1").drop("_m"))
-    a, b = (head.toDF(*[f"{x}{i}" for x in ("rep", "n", "p")], "item") for i in ("a", "b"))
+                part = batch.slice(at, 256)
+                sets = part.column("items").to_pylist()
+                item = [order.prefix(s, least) for s in sets]
+                reach = np.array([len(x) for x in item])
+                whose = pa.array(np.repeat(np.arange(len(sets)), reach))
+                place = np.concatenate([np.arange(r, dtype=np.int32) for r in reach.tolist()])
+                size = np.repeat(np.array([len(s) for s in sets], np.int32), reach)
+                yield pa.RecordBatch.from_arrays([part.column("rep").take(whose), pa.array(size), pa.array(place), pa.array(np.concatenate(item))], names=["rep", "n", "p", "item"])
+
+    return classes.select("rep", F.col("items").cast("array<long>").alias("items")).mapInArrow(run, f"rep {kind}, n int, p int, item long")
+
+
+def _fits(least: float) -> Column:
+    """Sizes and places that leave room for the overlap that similar sets of these sizes need, on both sides."""
     o = F.ceil((F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9)
     near = (F.col("na") >= least * F.col("nb") - 1e-9) & (F.col("nb") >= least * F.col("na") - 1e-9)
-    early = (F.col("pa") + o <= F.col("na")) & (F.col("pb") + o <= F.col("nb"))
-    pairs = a.join(b, "item").where("repa < repb").where(near & early).select(F.col("repa").alias("a"), F.col("repb").alias("b")).distinct()
-    body = one.select("rep", "items")
-    pairs = pairs.join(body.toDF("a", "sa"), "a").join(body.toDF("b", "sb"), "b")
+    return near & (F.col("pa") + o <= F.col("na")) & (F.col("pb") + o <= F.col("nb"))
+
+
+def _sides(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return tuple(x.toDF(*[f"{c}{i}" if c != "item" else c for c in x.columns]) for x, i in ((a, "a"), (b, "b")))
+
+
+def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets are similar, with their ``similarity``."""
+    both = pairs.join(left.select("rep", "items").toDF("a", "sa"), "a").join(right.select("rep", "items").toDF("b", "sb"), "b")
     inter = F.size(F.array_intersect("sa", "sb"))
-    between = pairs.select("a", "b", (inter / (F.size("sa") + F.size("sb") - inter)).alias("similarity")).where(F.col("similarity") >= least - 1e-12)
-    return between.unionByName(others.select(F.col("rep").alias("a"), F.col("node").alias("b"), F.lit(1.0).alias("similarity")))
+    return both.select("a", "b", (inter / (F.size("sa") + F.size("sb") - inter)).alias("similarity")).where(F.col("similarity") >= least - 1e-12)
+
+
+def similar_pairs(sets: DataFrame, least: float = 0.75, node: str = "node", items: str = "items", common: int = 65_536, seen: int = 4, sample: int = 8) -> DataFrame:
+    """C14: ``(a, b, similarity)``, a < b, of sets with Jaccard of at least ``least``.
+
+    Equal sets are one, each member paired with its representative. Items (longs or integers) stand in one ``item_order``.
+    Of two similar sets the first shared item stands, in both, early enough to leave room for the
+    overlap that their sizes require, so only prefixes are joined; what meets is verified exactly.
+    """
+    one, others = set_classes(sets, node, items)
+    head = _shared(prefixes(one, item_order([one], common, seen, sample), least))
+    a, b = _sides(head, head)
+    pairs = a.join(b, "item").where("repa < repb").where(_fits(least)).select(F.col("repa").alias("a"), F.col("repb").alias("b")).distinct()
+    return _verified(pairs, one, one, least).unionByName(others.select(F.col("rep").alias("a"), F.col("node").alias("b"), F.lit(1.0).alias("similarity")))
+
+
+def _shared(head: DataFrame) -> DataFrame:
+    """Prefix rows whose item other sets have, too. Counts are combined before the shuffle, and both sides of the join are written, so
+    that adaptive execution can split a hot item."""
+    head = cut(head)
+    return cut(head.join(cut(head.groupBy("item").agg(F.count("*").alias("_m")).where("_m > 1").select("item")), "item").select("rep", "n", "p", "item"))
+
+
+def similar_across(left: DataFrame, right: DataFrame, least: float = 0.75, node: str = "node", items: str = "items") -> DataFrame:
+    """C15 with a floor: ``(a, b, similarity)`` for every set ``a`` of ``left`` and ``b`` of ``right`` with Jaccard of at least ``least``.
+
+    Both tables stand in one order of items, so two similar sets share an item of both their prefixes; only items that both
+    tables have in prefixes are joined, and sizes and places bound what can meet on either side. Equal sets of a table are
+    one until pairs are written out, and sets that are equal across the tables meet by themselves, without a prefix.
+    Sets without items meet nothing.
+    """
+    (one, more), (two, others) = set_classes(left, node, items), set_classes(right, node, items)
+    order = item_order([one, two])
+    heads = [cut(prefixes(x, order, least)) for x in (one, two)]
+    shared = cut(heads[0].select("item").distinct().join(heads[1].select("item").distinct(), "item", "left_semi"))
+    a, b = _sides(*[cut(h.join(shared.select(F.col("item").alias("_i")), F.col("item") == F.col("_i")).select("rep", "n", "p", "item")) for h in heads])
+    pairs = a.join(b, "item").where(_fits(least)).select(F.col("repa").alias("a"), F.col("repb").alias("b")).distinct()
+    same = one.select(F.col("rep").alias("a"), "items").join(two.select(F.col("rep").alias("b"), "items"), "items").select("a", "b")
+    found = cut(_verified(cut(pairs.join(same, ["a", "b"], "left_anti")), one, two, least).unionByName(same.select("a", "b", F.lit(1.0).alias("similarity"))))
+    members = lambda classes, rest, name: classes.select(F.col("rep"), F.col("rep").alias(name)).unionByName(rest.select("rep", F.col("node").alias(name)))
+    out = found.toDF("_a", "_b", "similarity").join(members(one, more, "a").withColumnRenamed("rep", "_a"), "_a").join(members(two, others, "b").withColumnRenamed("rep", "_b"), "_b")
+    return out.select("a", "b", "similarity")
+
+
+def set_components(sets: DataFrame, least: float = 0.75, node: str = "node", items: str = "items", seen: int = 4) -> DataFrame:
+    """Edges ``(src, dst)`` whose components are those of all similar pairs of sets (Jaccard of at least ``least``).
+
+    Not all pairs are looked at: each set is compared with the one of those it meets that shares most of its prefix with others, which links a
+    group of near copies to its centre; what follows joins only sets of unlike components, and of an
+    item's largest component only meetings with others. So a group of near copies costs about one comparison a
+    member, and no link between components is lost.
+    """
+    one, others = set_classes(sets, node, items)
+    head = _shared(prefixes(one, item_order([one], seen=seen), least))
+    weight = cut(head.join(head.groupBy("item").agg(F.count("*").alias("m")), "item").groupBy("rep").agg(F.sum("m").alias("w")))
+    each = cut(head.join(weight, "rep"))
+    centre = cut(each.groupBy("item").agg(F.max(F.struct("w", "rep", "n", "p")).alias("t")).select("item", F.col("t.w").alias("w"), F.col("t.rep").alias("repb"), F.col("t.n").alias("nb"), F.col("t.p").alias("pb")))
+    met = each.select("item", F.col("rep").alias("repa"), F.col("n").alias("na"), F.col("p").alias("pa")).join(centre, "item").where("repa <> repb").where(_fits(least))
+    best = met.groupBy("repa", "repb", "w").agg(F.count("*").alias("k")).groupBy("repa").agg(F.max(F.struct("k", "w", "repb")).alias("t"))
+    links = cut(_verified(best.select(F.col("repa").alias("a"), F.col("t.repb").alias("b")), one, one, least).select("a", "b"))
+    found = cut(connected_components(links, "a", "b"))
+    rows = head.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
+    by = rows.groupBy("item", "c").agg(F.count("*").alias("m")).groupBy("item").agg(F.max(F.struct("m", "c")).alias("t"), F.count("*").alias("parts"))
+    open_ = cut(rows.join(by.where("parts > 1").select("item", F.col("t.c").alias("d")), "item"))
+    a, b = _sides(open_.where("c <> d"), open_)
+    # pairs outside the largest component are made once, those with it from the other side
+    pairs = a.join(b, "item").where("ca <> cb and (cb = db or repa < repb)").where(_fits(least)).select(F.col("repa").alias("a"), F.col("repb").alias("b")).distinct()
+    more = _verified(cut(pairs), one, one, least).select("a", "b")
+    return links.unionByName(more).unionByName(others.select(F.col("rep").alias("a"), F.col("node").alias("b"))).toDF("dst", "src").select("src", "dst")
 
 
 def similarity_families(keys: DataFrame, node: str, columns: list[str], sets: DataFrame, least: float = 0.75) -> DataFrame:
     """Families over shared keys and set similarity."""
-    near = similar_pairs(sets, least).select(F.col("b").alias("src"), F.col("a").alias("dst"))
-    return families(keys, node, star_edges(keys, node, columns).select("src", "dst").unionByName(near))
+    return families(keys, node, star_edges(keys, node, columns).select("src", "dst").unionByName(set_components(sets, least)))
 
 
-def joint_families(queries: DataFrame, pool: DataFrame, node: str, exact: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+def joint_families(queries: DataFrame, pool: DataFrame, node: str, exact: str, columns: list[str], items: str | None = None, least: float = 0.75) -> tuple[DataFrame, DataFrame]:
     """Families over queries and pool together, one node for each exact key; both sides with ``family_id``.
 
     A key's node is its first row, queries before pool, then by id. A row without an exact key
-    is a node of its own. Family ids are the node ids ``q:<id>`` and ``p:<id>``.
+    is a node of its own. Nodes are linked by equal keys in ``columns`` and, with ``items`` (an array column), by sets of Jaccard ``least`` or
+    more, within a table as across the two. Family ids are the node ids ``q:<id>`` and ``p:<id>``.
     """
     rows = [side.withColumn("_n", F.concat(F.lit(f"{mark}:"), F.col(node).cast("string"))).withColumn("_x", F.coalesce(F.nullif(F.trim(exact), F.lit("")), F.concat(F.lit("~"), "_n"))).withColumn("_side", F.lit(i)) for i, (side, mark) in enumerate(((queries, "q"), (pool, "p")))]
-    both = rows[0].select("_side", "_x", "_n", node, *columns).unionByName(rows[1].select("_side", "_x", "_n", node, *columns))
-    first = cut(both.groupBy("_x").agg(F.min_by(F.struct("_n", *columns), F.struct("_side", node)).alias("f")).select("_x", "f.*"))
-    assigned = cut(families(first, "_n", star_edges(first, "_n", columns)).select("_x", "family_id"))
-    return tuple(side.join(assigned, "_x").drop("_x", "_n", "_side") for side in rows)
+    held = [*columns, *([items] if items else [])]
+    both = rows[0].select("_side", "_x", "_n", node, *held).unionByName(rows[1].select("_side", "_x", "_n", node, *held))
+    first = cut(both.groupBy("_x").agg(F.min_by(F.struct("_n", *held), F.struct("_side", node)).alias("f")).select("_x", "f.*"))
+    edges = star_edges(first, "_n", columns).select("src", "dst")
+    if items:
+        edges = edges.unionByName(set_components(first.select(F.col("_n").alias("node"), F.col(items).alias("items")), least))
+    assigned = cut(families(first, "_n", edges).select("_x", "family_id"))
+    return tuple(side.join(assigned, "_x").drop("_x", "_n", "_side", *([items] if items else [])) for side in rows)

@@ -132,6 +132,19 @@ def e6(spark, sf):
     return q.select("doc_id", "family_id").unionByName(p.select("doc_id", "family_id"))
 
 
+def e6_similar(spark, sf):
+    """E6 over key and similarity edges."""
+    d = keyed(spark, sf).select("doc_id", "exact_key", "normal").join(sets(spark, sf).withColumnRenamed("node", "doc_id"), "doc_id")
+    q, p = fam.joint_families(d.where("doc_id % 5 = 0"), d.where("doc_id % 5 <> 0"), "doc_id", "exact_key", ["normal"], items="items")
+    return q.select("doc_id", "family_id").unionByName(p.select("doc_id", "family_id"))
+
+
+def c15(spark, sf):
+    """C15 with a floor: ids divisible by 50 against all rows."""
+    s = sets(spark, sf)
+    return fam.similar_across(s.where("node % 50 = 0"), s).where("a <> b").select(F.col("a").alias("query_id"), F.col("b").alias("memory_id"), F.round("similarity", 6).alias("similarity"))
+
+
 def f1(spark, sf):
     d, null = keyed(spark, sf), F.lit(None)
     out = None
@@ -207,7 +220,7 @@ def i7(spark, sf):
 QUERIES = {
     "c5_purge": c5, "c5_purge_passages": passages, "c6_membership": c6, "c7_visible_pool": c7, "c8_leak_drop": c8, "c9_zero_overlap": c9, "c14_jaccard_join": c14,
     "d12_purge_report": d12, "d12_purge_sizes": d12_sizes, "d15_pool_audit": d15, "d16_blacklist_summary": d16, "d18_key_overlap": d18, "d21_overlap_gate": d21, "d23_split_summary": d23, "d24_family_sizes": d24,
-    "e1_key_families": e1, "e2_similarity_families": e2, "e4_rule_merges": e4, "e5_largest_family": e5, "e6_joint_families": e6,
+    "e1_key_families": e1, "e2_similarity_families": e2, "e4_rule_merges": e4, "e5_largest_family": e5, "e6_joint_families": e6, "e6_joint_similarity": e6_similar, "c15_similarity_floor": c15,
     "f1_units": f1, "f3_split": f3, "f4_split_counts": f4, "f5_fingerprint": f5, "f6_group_folds": f6,
     "i1_annotate_distinct": i1, "i2_normal_key": i2, "i3_core_key": i3, "i4_set_fingerprint": i4, "i5_descriptors": i5, "i6_mean_pool": i6, "i7_variant_stability": i7,
 }
@@ -289,6 +302,18 @@ ORACLE = {
       kk as (select f.node as node, 'n' || f.normal as v from fi where f.normal is not null union all select f.node, 's' || f.skeleton from fi where f.skeleton is not null), m as (select min(node) over (partition by v) as low0, node from kk),
       e as (select distinct low0 as a, node as b from m where low0 <> node union select distinct node, low0 from m where low0 <> node), w as (select f.node as node, f.node as low from fi union select e.b, w.low from w join e on e.a = w.node where w.low < e.b),
       g as (select node, min(low) as family_id from w group by 1) select doc_id, family_id from d join fi on fi.x = coalesce(exact_key, '~' || doc_id) join g on g.node = fi.f.node""",
+    "e6_joint_similarity": r"""with recursive d as (select doc_id, case when doc_id % 5 = 0 then 'q:' else 'p:' end || doc_id as name, md5(text) as x, md5(nullif(regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g'), '')) as normal, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') as w from documents),
+      n as (select coalesce(x, '~' || name) as x, arg_min({'n': name, 'k': normal, 'w': w}, (doc_id % 5 <> 0, doc_id)) as f from d group by 1),
+      s as (select f.n as node, list_sort(list_distinct(list_transform(range(greatest(len(f.w) - 4, 0)), lambda i: array_to_string(f.w[i+1:i+5], ' ')))) as s from n),
+      rep as (select node, len(s) as n, min(node) over (partition by s) as rep, s from s where len(s) > 0), g as (select node, n, unnest(s) as g from rep where rep = node),
+      c as (select a.node as a, b.node as b, count(*) / (a.n + b.n - count(*))::double as j from g a join g b on a.g = b.g and a.node < b.node group by a.node, b.node, a.n, b.n),
+      m as (select min(f.n) over (partition by f.k) as low, f.n as node from n where f.k is not null),
+      e0 as (select a, b from c where j >= 0.75::double - 1e-12 union select rep, node from rep where rep <> node union select low, node from m where low <> node), e as (select a, b from e0 union select b, a from e0),
+      t as (select f.n as node, f.n as low from n union select e.b, t.low from t join e on e.a = t.node where t.low < e.b), z as (select node, min(low) as family_id from t group by 1)
+      select doc_id, family_id from d join n on n.x = coalesce(d.x, '~' || name) join z on z.node = n.f.n""",
+    "c15_similarity_floor": _SET.replace("with recursive w", "with w") + """, q as (select doc_id, n, unnest(s) as g from rep where doc_id % 50 = 0), al as (select doc_id, n, unnest(s) as g from rep)
+      select q.doc_id as query_id, al.doc_id as memory_id, round(count(*) / (q.n + al.n - count(*))::double, 6) as similarity from q join al on q.g = al.g and q.doc_id <> al.doc_id group by q.doc_id, al.doc_id, q.n, al.n
+      having count(*) / (q.n + al.n - count(*))::double >= 0.75::double - 1e-12""",
     "f1_units": """select 'T' as protocol, case when doc_id % 2 = 0 then lang else source end as unit, count(*) as n from documents group by 2 union all select 'X', lang, count(*) from documents group by 2
       union all select 'A', 'year_' || coalesce(case when o_orderkey % 10 <> 0 then year(o_orderdate)::varchar end, 'unknown'), count(*) from orders group by 2""",
     "f3_split": _SPLIT + " select doc_id, family_id, split from sp",
