@@ -197,14 +197,51 @@ def test_op5_edges(spark, docs, empty):
 
 def test_op5_moves_only_into_what_grows(spark):
     ids = spark.range(20_000)
-    for n in (3, 8, 11):
-        moved = ids.select(sharding.assign(F.col("id"), sharding.layout(n)).alias("a"), sharding.assign(F.col("id"), sharding.layout(n + 1)).alias("b"))
-        assert moved.where(f"a <> b and b <> {n}").count() == 0
-        share = moved.where(f"b = {n}").count() / 20_000
-        assert abs(share - 1 / (n + 1)) < 0.02
+    found = ids.select(*[sharding.place(F.col("id"), sharding.layout(n)).cast("int").alias(f"n{n}") for n in range(1, 42)]).toPandas().to_numpy()
+    for n in range(1, 41):
+        old, new = found[:, n - 1], found[:, n]
+        assert set(new[old != new]) == {n} and abs((new == n).mean() - 1 / (n + 1)) < 0.02
+    for n in (20, 41):  # regions, racks and shards all share alike
+        assert np.abs(np.bincount(found[:, n - 1], minlength=n) / 20_000 - 1 / n).max() < 0.01
     tree = {"r": {"c": {0: 1.0, 1: 3.0}, "d": {2: 0.0}}}
-    share = ids.where(sharding.assign(F.col("id"), tree) == 1).count() / 20_000
-    assert abs(share - 0.75) < 0.02
+    for law in (sharding.assign, sharding.place):
+        assert abs(ids.where(law(F.col("id"), tree) == 1).count() / 20_000 - 0.75) < 0.02
+
+
+def test_op5_levels_below_the_root_decide():
+    """At 20 and 100 shards a root has 5 and 25 children, and a key's shard hangs on draws of all three levels."""
+    for n, regions in ((20, 5), (100, 25)):
+        tree = sharding.layout(n)
+        assert len(tree) == regions and all(len(r) == 2 and all(len(k) == 2 for k in r.values()) for r in tree.values())
+        used = [grown(str(k), tree, trace=True)[1] for k in range(3000)]
+        assert all(sum(len(own) for own in u) < n // 2 for u in used) and {len(u) for u in used} == {3}
+        assert sum(bool(u[1]) for u in used) > 1000 and sum(bool(u[2]) for u in used) > 1000
+
+
+def grown(key, tree, trace=False):
+    """``place`` step by step: from the last child on, the draw against the share; ``entry`` is where the parent took the key."""
+    import xxhash
+
+    weigh = lambda n: sum(map(weigh, n.values())) if isinstance(n, dict) else n
+    node, path, before, entry, used = tree, "", 0.0, None, []
+    while isinstance(node, dict):
+        spans, at = [], before
+        for name in node:
+            if weigh(node[name]) > 0:
+                spans.append((name, at, weigh(node[name])))
+                at += weigh(node[name])
+        drawn = []
+        for name, start, w in reversed(spans):
+            draw = ((xxhash.xxh64_intdigest(f"{path}/{name}".encode(), xxhash.xxh64_intdigest(key.encode(), 42)) >> 11) + 0.5) / 2.0**53
+            held = entry is not None and entry > start
+            if not held:
+                drawn.append(name)
+            if held or draw < w / (start + w) or name == spans[0][0]:
+                break
+        entry = entry if held else start / (1 - draw)
+        node, path, before = node[name], f"{path}/{name}", start
+        used.append(drawn)
+    return (name, used) if trace else name
 
 
 def descend(key, tree):
@@ -228,8 +265,9 @@ def descend(key, tree):
 def test_op5_against_brute_force(spark):
     docs = table(spark, SF, "documents")
     tree = {"x": {"a": {0: 1.0, 1: 2.5}, "b": {2: 1.0}}, "y": {"c": {3: 0.0, 4: 4.0}}}
-    got = sharding.shard(docs, sharding.layout(8), tree).collect()
-    assert all(r.shard == descend(str(r.doc_id), sharding.layout(8)) and r.grown_shard == descend(str(r.doc_id), tree) for r in got)
+    got = sharding.shard(docs, sharding.layout(27), tree).collect()
+    assert all(r.shard == grown(str(r.doc_id), sharding.layout(27)) and r.grown_shard == grown(str(r.doc_id), tree) for r in got)
+    assert all(r.s == descend(str(r.doc_id), tree) for r in docs.select("doc_id", sharding.assign(F.col("doc_id"), tree).alias("s")).collect())
 
 
 def test_op5_changes_stay_in_their_subtrees(spark):
@@ -241,6 +279,23 @@ def test_op5_changes_stay_in_their_subtrees(spark):
     assert moved.where("b = 1").count() > 0
 
 
+def test_op9_components_of_a_tile_by_arrays():
+    rng = np.random.default_rng(4)
+    for n, m in ((50, 40), (300, 20_000), (200, 199)):
+        i, j = (np.arange(m), np.arange(1, m + 1)) if m == n - 1 else (rng.integers(0, n, m), rng.integers(0, n, m))
+        i, j = np.minimum(i, j)[i != j], np.maximum(i, j)[i != j]
+        counts = rng.integers(1, 5, n)
+        tile = vectors.Tile(counts)
+        for at in range(0, len(i), 1000):
+            tile.add(i[at : at + 1000], j[at : at + 1000])
+        label = list(range(n))
+        for _ in range(n):
+            for a, b in zip(i.tolist(), j.tolist()):
+                label[a] = label[b] = min(label[a], label[b])
+        assert tile.root.tolist() == label
+        assert tile.links.sum() == counts[i].sum() + counts[j].sum()
+
+
 def test_op6_round_trip(spark, docs, empty):
     out = jpeg.measure(jpeg.store(docs.select("doc_id", "text"))).collect()
     for r in out:

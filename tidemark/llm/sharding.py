@@ -15,17 +15,13 @@ RANGE, CELLS = 50_000, 256
 Tree = dict[str, dict[str, dict[int, float]]]
 
 
-def layout(shards: int, racks: int = 2, per_rack: int = 2, base: int = 8) -> Tree:
-    """A tree of equal shards as a cluster gets it: the first ``base`` stand in racks and regions,
-    ``per_rack`` to a rack, ``racks`` to a region; every shard that is added later is a region of its own, and so is
-    each shard of a cluster smaller than that. So one more shard never changes another subtree."""
+def layout(shards: int, racks: int = 2, per_rack: int = 2, weights: dict[int, float] | None = None) -> Tree:
+    """The tree of so many shards, in the order in which they join: ``per_rack`` fill a rack, ``racks`` a region. Shards
+    weigh 1 unless given."""
     tree: Tree = {}
     for s in range(shards):
-        rack, region = s // per_rack, s // per_rack // racks
-        if shards < base or s >= base:
-            tree[f"region of shard {s}"] = {f"rack of shard {s}": {s: 1.0}}
-        else:
-            tree.setdefault(f"region {region}", {}).setdefault(f"rack {rack}", {})[s] = 1.0
+        rack = s // per_rack
+        tree.setdefault(f"region {rack // racks}", {}).setdefault(f"rack {rack}", {})[s] = (weights or {}).get(s, 1.0)
     return tree
 
 
@@ -36,12 +32,11 @@ def _draw(key: Column, node: str, weight: float) -> Column:
 
 
 def assign(key: Column, tree: Tree) -> Column:
-    """The shard of a key, found by going down region, rack and shard: at each level every child makes
+    """The shard of a key in a tree whose weights may change anywhere: at each level every child makes
     one draw, scaled by its summed weight, and the least is followed; other branches draw nothing.
 
     A node's draw depends on its own name and weight alone. So a change of weights moves keys only
-    into or out of the subtrees whose weight changes (and within them), and a new region takes
-    keys only into itself. Nodes without weight get nothing. A null key is a key like any other.
+    into or out of the subtrees whose weight changes, and within them. For a tree that grows at its end ``place`` moves less. Nodes without weight get nothing. A null key is a key like any other.
     """
     k = F.coalesce(key.cast("string"), F.lit("~"))
 
@@ -64,6 +59,49 @@ def assign(key: Column, tree: Tree) -> Column:
     return down(tree, "")
 
 
+def place(key: Column, tree: Tree) -> Column:
+    """The shard of a key in a tree that grows at its end: region, then rack, then shard.
+
+    The children of a node stand in the order in which they joined. From the last on, a child takes the key if its draw, one for
+    each node, is below its weight's share of all weight up to its own end; so every shard gets its
+    weight's share. A region that takes a key took it when its weight first made the share exceed the draw: the rack and
+    the shard that held that piece of weight have the key, unless a later one of their siblings takes it by its own
+    draw. What joins at the end changes shares from there on only, so it takes keys only into itself, whatever the number of
+    shards, and the draws of all others stay. Nodes without weight get nothing. A null key is a key like any other.
+    """
+    k = F.coalesce(key.cast("string"), F.lit("~"))
+
+    def weight(node) -> float:
+        return sum(map(weight, node.values())) if isinstance(node, dict) else max(0.0, float(node))
+
+    def share(path: str) -> Column:
+        bits = F.shiftrightunsigned(F.xxhash64(k, F.lit(path)), 11)
+        return (bits.cast("double") + 0.5) / float(1 << 53)
+
+    def down(children: dict, path: str, before: float, entry: Column | None) -> Column:
+        """``before``: weight of all that joined before these children; ``entry``: the weight at which their parent took the key."""
+        live, at = [], before
+        for name, child in children.items():
+            if (w := weight(child)) > 0:
+                live.append((name, child, at, w))
+                at += w
+        out = None
+        for name, child, start, w in live:
+            draw = share(f"{path}/{name}")
+            held = F.lit(False) if entry is None else entry > start
+            if isinstance(child, dict):
+                own = F.lit(start) / (1.0 - draw)  # the weight at which the child's own draw takes the key
+                goal = down(child, f"{path}/{name}", start, own if entry is None else F.when(held, entry).otherwise(own))
+            else:
+                goal = F.lit(name)
+            out = goal if out is None else F.when(held | (draw < w / (start + w)), goal).otherwise(out)
+        return out
+
+    if weight(tree) <= 0:
+        raise ValueError("the tree has no shard with weight")
+    return down(tree, "", 0.0, None)
+
+
 def shard(docs: DataFrame, tree: Tree, grown: Tree | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``size, text_crc32, law, shard, slot, grown_shard``.
 
@@ -81,8 +119,8 @@ def shard(docs: DataFrame, tree: Tree, grown: Tree | None = None, key: str = "do
 def _shard(docs: DataFrame, tree: Tree, grown: Tree | None, key: str, text: str) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     d = docs.withColumn("size", (F.octet_length(body) + 1).cast("long")).withColumn("text_crc32", F.crc32(body.cast("binary")).cast("long"))
-    d = d.withColumn("law", F.lit("key")).withColumn("shard", assign(F.col(key), tree).cast("int"))
-    d = d.withColumn("grown_shard", (assign(F.col(key), grown) if grown else F.lit(None)).cast("int"))
+    d = d.withColumn("law", F.lit("key")).withColumn("shard", place(F.col(key), tree).cast("int"))
+    d = d.withColumn("grown_shard", (place(F.col(key), grown) if grown else F.lit(None)).cast("int"))
     return _numbered(d, key, max(CELLS, docs.count() // RANGE))
 
 

@@ -144,24 +144,26 @@ def near_pairs(x: np.ndarray, y: np.ndarray, bx: np.ndarray, by: np.ndarray, lea
 
 
 class Tile:
-    """Link counts and components of the vectors of one tile."""
+    """Link counts and components of the vectors of one tile, by array operations. ``root`` is each vector's label: the smallest number in its component."""
 
     def __init__(self, counts: np.ndarray):
-        self.counts, self.links, self.root = counts, np.zeros(len(counts), np.int64), list(range(len(counts)))
-
-    def find(self, i: int) -> int:
-        while self.root[i] != i:
-            self.root[i] = self.root[self.root[i]]
-            i = self.root[i]
-        return i
+        self.counts, self.links, self.root = counts, np.zeros(len(counts), np.int64), np.arange(len(counts))
 
     def add(self, i: np.ndarray, j: np.ndarray) -> None:
-        np.add.at(self.links, i, self.counts[j])
-        np.add.at(self.links, j, self.counts[i])
-        for a, b in zip(i.tolist(), j.tolist()):
-            a, b = self.find(a), self.find(b)
-            if a != b:
-                self.root[max(a, b)] = min(a, b)
+        """Counts linked pairs, and joins the components of those whose ends are not joined yet."""
+        n = len(self.counts)
+        for x, y in ((i, j), (j, i)):
+            self.links += np.bincount(x, self.counts[y], n).astype(np.int64)
+        a, b = self.root[i], self.root[j]
+        while (apart := a != b).any():
+            a, b = a[apart], b[apart]
+            low = np.arange(n)  # each label's smallest neighbour, then the end of that chain
+            np.minimum.at(low, a, b)
+            np.minimum.at(low, b, a)
+            while (low[low] != low).any():
+                low = low[low]
+            self.root = low[self.root]
+            a, b = low[a], low[b]
 
 
 def join_tiles(blocks: DataFrame, tiles: DataFrame, directions: np.ndarray, least: float, kind: str, tile: int) -> DataFrame:
@@ -196,7 +198,7 @@ def join_tiles(blocks: DataFrame, tiles: DataFrame, directions: np.ndarray, leas
                         p, q = p[p < q], q[p < q]
                     found.add(at[m] + p, at[n] + q)
         has = np.flatnonzero(found.links)
-        roots = np.array([found.find(int(k)) for k in has], dtype=np.int64)
+        roots = found.root[has]
         none = lambda v: pa.array([*([None] * len(has)), v], pa.int64())
         cols = [pa.array([*reps[has].tolist(), None], pa.int64()), pa.array([*found.links[has].tolist(), None], pa.int64()), pa.array([*reps[roots].tolist(), None], pa.int64()), none(tried), none(skipped)]
         return pa.table(cols, names=["rep", "links", "root", "tried", "skipped"])
