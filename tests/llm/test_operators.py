@@ -137,7 +137,7 @@ PAGE = "<html><head><title>t</title><script>var a='<p>x</p>';</script></head><bo
 
 
 def test_op4_blocks():
-    text = lambda h: [b for b, _ in html.dissect(h)[0]]
+    text = lambda h: [b for b, _, framed in html.dissect(h)[0] if not framed]
     assert text(PAGE.format("<article><h1>T &amp; U</h1><p>one\n  two<p><b>bold <i>x</i> y<br><p>z&nbsp;&eacute;<aside>no</aside></article>")) == ["T & U", "one two", "bold x y", "z é"]
     assert text(PAGE.format("<main><p>a</p><section class='comments'><p>b</p></section><form>c</form></main>")) == ["a"]
     assert text(PAGE.format("<p>plain</p>")) == ["plain"]
@@ -153,7 +153,7 @@ def test_op4_templates_and_edges(spark):
     rows += [(20, None, None, "n"), (21, "no address", "", "n"), (None, "http://h.example/z", PAGE.format("<article><p>kept</p></article>"), "n")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars string")
     got = {r.page_id: r for r in html.extract(pages).collect()}
-    assert [got[i].text for i in range(4)] == [f"text {i}" for i in range(4)] and got[0].n_templates == 1
+    assert [got[i].text for i in range(4)] == [f"text {i}" for i in range(4)] and got[0].n_templates == 4 and got[12].n_templates == 0
     assert got[12].text == "share this\n\nthe same" and got[20].text == got[21].text == "" and got[None].text == "kept"
     assert all(r.n_chars == len(r.text) for r in got.values())
     assert html.extract(pages.where("false")).count() == 0
@@ -172,17 +172,39 @@ def test_op4_forms_alone_find_the_frame(spark):
 
 
 def test_op4_recurrence_on_the_table(spark):
-    """Without any list of names recurrence finds the same text on most of the pages, the rest being
-    passages that a host repeats; and both ways of meeting the templates agree."""
-    pages = table(spark, SF.replace("0.001", "0.01"), "pages")
-    named = html.extract(pages).select("page_id", "url", "text", "n_recurring")
-    large = named.groupBy(html.host(F.col("url")).alias("h")).agg(F.count("*").alias("n"), F.count_if(F.col("n_recurring") > 0).alias("k")).where("n >= 8")
-    assert large.count() > 5 and large.where("k < n").count() == 0
+    """Recurrence alone decides on hosts with enough pages: with the lists of names or without, the text is the same."""
+    sf = SF.replace("0.001", "0.01")
+    pages = table(spark, sf, "pages")
+    named = html.extract(pages).select("page_id", "url", "text", "n_templates").cache()
     alone = html.extract(pages, names=False).select("page_id", F.col("text").alias("t"))
-    assert named.join(alone, "page_id").where("text = t").count() >= 0.5 * named.count()
+    hosts = named.withColumn("h", html.host(F.col("url"))).groupBy("h").agg(F.countDistinct("text").alias("texts"))
+    both = named.withColumn("h", html.host(F.col("url"))).join(hosts, "h").join(alone, "page_id").where(F.col("texts") >= html.PLENTY)
+    assert both.count() > 50 and both.where("n_templates = 0").count() == 0 and both.where("text <> t").count() == 0
     assert html.extract(pages, small=0).select(*named.columns).exceptAll(named).count() == 0
 
 
+def test_op4_templates_against_brute_force(spark):
+    """Counts, shares and places of all subtrees, in plain Python."""
+    pages = [(r.url, r.html) for r in table(spark, SF.replace("0.001", "0.01"), "pages").collect()]
+    mains, seen = defaultdict(set), defaultdict(lambda: defaultdict(list))
+    for url, page in pages:
+        h = re.sub("[/:?#].*", "", url.split("//", 1)[1]).lower()
+        blocks, trees = html.dissect(page)
+        main = "\n".join(t for t, _, framed in blocks if not framed)
+        mains[h].add(main)
+        for _, x, share, inside, exact, article in trees:
+            seen[h, x][main].append((np.float32(share), inside, exact, article))
+    want = set()
+    for (h, x), by in seen.items():
+        part, inside = (np.mean([float(max(t[i] for t in ts)) for ts in by.values()]) for i in (0, 1))
+        exact, article = (any(t[i] for ts in by.values() for t in ts) for i in (2, 3))
+        often = 0.5 * len(mains[h]) if inside >= 0.5 else min(0.02 * len(mains[h]), 50)
+        if len(by) >= max(3, often) and (exact or (part <= 0.2 and inside < 0.5)) and (len(mains[h]) >= html.PLENTY or not article):
+            want.add((h, x))
+    found = html.dissected(table(spark, SF.replace("0.001", "0.01"), "pages"))
+    assert {(r["_host"], r["hash"]) for r in html.templates(found).collect()} == want and len(want) > 100
+
+
 def test_op5_edges(spark, docs, empty):
     got = sharding.shard(docs, sharding.layout(8), sharding.layout(9)).collect()
     assert len(got) == len(ROWS)

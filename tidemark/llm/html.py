@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.batches import aside, chunks
-from tidemark.session import cut, table, written
+from tidemark.session import cut, scratch, table
 
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -156,8 +156,8 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd tr td th tbody th
 WHOLE = frozenset("html body".split())
 
 
-def measure(root: Node, names: bool) -> None:
-    """Gives every element the size of its text (frames by name and raw elements count nothing), the
+def measure(root: Node) -> None:
+    """Gives every element the size of its text (raw elements count nothing), the
     hash of its form, and that of its tags and texts."""
     order, todo = [], [root]
     while todo:
@@ -182,7 +182,7 @@ def measure(root: Node, names: bool) -> None:
                 forms.append(form)
         node.form = xxhash.xxh64_intdigest(f"{node.label}({','.join(forms)})".encode("utf-8", "surrogatepass"))
         node.exact = xxhash.xxh64_intdigest(" ".join(exact).encode("utf-8", "surrogatepass"))
-        node.size = 0 if node.name in RAW or (names and node.frame) else size
+        node.size = 0 if node.name in RAW else size
 
 
 def bulk(root: Node) -> Node:
@@ -199,81 +199,91 @@ def _signed(h: int) -> int:
     return h - (1 << 63)
 
 
-def dissect(page: str, names: bool = True) -> tuple[list[tuple[str, list[int]]], list[tuple[int, int, float, bool]]]:
-    """Blocks of the main parts in page order, and the subtrees that may be templates.
+def dissect(page: str, names: bool = True) -> tuple[list[tuple[str, list[int], bool]], list[tuple]]:
+    """All blocks of text in page order, and the subtrees that may be templates.
 
-    A block comes with the numbers of the candidate subtrees around it. A candidate is
-    ``(number, hash, share, inside)``: its share of the page's text and whether it lies in its bulk. Candidates are
-    block elements, frames included: by text (share 0, never inside), unless they are running text of
-    a marked article; and by form, unless they are running text at all. Without ``names`` the
-    lists of names mark nothing: only recurrence can tell the frame.
+    A block comes with the numbers of the candidate subtrees around it, and with whether the lists of names put it
+    in the frame (``framed``; never without ``names``). A candidate is ``(number, hash, share, inside, exact, article)``: its
+    share of the page's text, whether it lies in the page's bulk, whether the hash is of its texts or of its form, and whether it is part of
+    a named article. All block elements are candidates by their texts but the page itself, and by form those that are no running text.
     """
     root = parse(page)
-    measure(root, names)
+    measure(root)
     tops = mains(root) if names else [root]
     inside = {id(t) for t in tops}
     marked = tops[0] is not root
-    core = inside if marked else {id(bulk(root))}
+    core = bulk(root)
     around = set()
-    for t in tops if marked else [bulk(root)]:
-        up = t
-        while up is not None:
-            around.add(id(up))
-            up = up.parent
+    up: Node | None = core
+    while up is not None:
+        around.add(id(up))
+        up = up.parent
+    if marked:
+        for t in tops:
+            up = t
+            while up is not None:
+                inside.add(id(up)) if up is t else around.add(id(up))
+                up = up.parent
     total = max(root.size, 1)
-    out: list[tuple[str, list[int]]] = []
-    trees: list[tuple[int, int, float, bool]] = []
+    out: list[tuple[str, list[int], bool]] = []
+    trees: list[tuple] = []
     buffer: list[str] = []
     owners: list[int] = []
+    now = False  # whether the buffer's text is taken
 
     def flush() -> None:
         if buffer:
             text = " ".join("".join(buffer).split())
             buffer.clear()
             if text:
-                out.append((text, owners.copy()))
+                out.append((text, owners.copy(), not now))
 
-    # (node, whether its text is taken, whether it is in the bulk); None closes a block, an int closes a candidate
-    todo: list = [(root, False, False)]
+    # (node, whether the lists take its text, whether it is in the bulk); None closes a block, an int closes a candidate, a bool sets back what is taken
+    todo: list = [(root, not marked, False)]
     number = 0
     while todo:
         p = todo.pop()
         if p is None:
             flush()
             continue
+        if isinstance(p, bool):
+            now = p
+            continue
         if isinstance(p, int):
             flush()
             owners.pop()
             continue
         node, taken, held = p
         if isinstance(node, str):
+            now = taken
             buffer.append(node)
             continue
+        if node.name in RAW:
+            continue
         if node.name == "br":
-            if taken:
-                buffer.append(" ")
+            buffer.append(" ")
             continue
-        frame = node.frame if names else node.name in RAW
-        taken = id(node) in inside or (taken and not frame)
-        held = held or id(node) in core
+        framed = names and node.frame
+        if framed and node.name not in BLOCK:  # recurrence cannot tell what stands within a line
+            continue
+        taken = (taken or id(node) in inside) and not framed
+        held = held or node is core
         if node.name in BLOCK:
-            if taken:
-                flush()
-                todo.append(None)
+            flush()
+            todo.append(None)
             hashes = []
-            if id(node) not in inside and node.name not in (PROSE if marked and taken else WHOLE):
-                hashes.append((number, _signed(node.exact), 0.0, False))
+            article = marked and taken
+            if node.name not in WHOLE and node is not root:
+                hashes.append((number, _signed(node.exact), node.size / total, held or id(node) in around, True, article and node.name in PROSE))
             if id(node) not in inside and node.name not in PROSE:
-                hashes.append((number, _signed(xxhash.xxh64_intdigest(f"{node.path:x}{node.form:x}".encode())), node.size / total, held or id(node) in around))
+                hashes.append((number, _signed(xxhash.xxh64_intdigest(f"{node.path:x}{node.form:x}".encode())), node.size / total, held or id(node) in around, False, article))
             if hashes:
                 trees.extend(hashes)
-                if taken:
-                    owners.append(number)
-                    todo.append(number)
+                owners.append(number)
+                todo.append(number)
                 number += 1
         for part in reversed(node.parts):
-            if taken or isinstance(part, Node):
-                todo.append((part, taken, held))
+            todo.append((part, taken, held))
     flush()
     return out, trees
 
@@ -283,8 +293,8 @@ def host(url):
     return F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")))
 
 
-BLOCKS = pa.list_(pa.struct([("text", pa.string()), ("owners", pa.list_(pa.int32()))]))
-TREES = pa.list_(pa.struct([("place", pa.int32()), ("hash", pa.int64()), ("share", pa.float32()), ("inside", pa.bool_())]))
+BLOCKS = pa.list_(pa.struct([("text", pa.string()), ("owners", pa.list_(pa.int32())), ("framed", pa.bool_())]))
+TREES = pa.list_(pa.struct([("place", pa.int32()), ("hash", pa.int64()), ("share", pa.float32()), ("inside", pa.bool_()), ("exact", pa.bool_()), ("article", pa.bool_())]))
 
 
 def dissected(pages: DataFrame, names: bool = True) -> DataFrame:
@@ -293,7 +303,7 @@ def dissected(pages: DataFrame, names: bool = True) -> DataFrame:
     source = pages.withColumn("_host", host(F.col("url")))
     kept = [c for c in source.columns if c != "html"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*kept).schema)
-    schema += ", _page long, _main long, _blocks array<struct<text:string,owners:array<int>>>, _trees array<struct<place:int,hash:long,share:float,inside:boolean>>"
+    schema += ", _page long, _main long, _blocks array<struct<text:string,owners:array<int>,framed:boolean>>, _trees array<struct<place:int,hash:long,share:float,inside:boolean,exact:boolean,article:boolean>>"
     out_names = [*kept, "_page", "_main", "_blocks", "_trees"]
 
     def digest(t: str) -> int:
@@ -304,43 +314,57 @@ def dissected(pages: DataFrame, names: bool = True) -> DataFrame:
             found = [dissect(t, names) for t in texts]
             cols = [part.column(c) for c in kept]
             cols.append(pa.array([digest(t) for t in texts], pa.int64()))
-            cols.append(pa.array([digest("\n".join(b for b, _ in blocks)) for blocks, _ in found], pa.int64()))
-            cols.append(pa.array([[{"text": b, "owners": o} for b, o in blocks] for blocks, _ in found], BLOCKS))
-            cols.append(pa.array([[{"place": k, "hash": h, "share": x, "inside": i} for k, h, x, i in trees] for _, trees in found], TREES))
+            cols.append(pa.array([digest("\n".join(b for b, _, framed in blocks if not framed)) for blocks, _ in found], pa.int64()))
+            cols.append(pa.array([[{"text": b, "owners": o, "framed": f} for b, o, f in blocks] for blocks, _ in found], BLOCKS))
+            cols.append(pa.array([[dict(zip(("place", "hash", "share", "inside", "exact", "article"), t)) for t in trees] for _, trees in found], TREES))
             yield pa.RecordBatch.from_arrays(cols, names=out_names)
 
     return source.mapInArrow(run, schema)
 
 
-def templates(found: DataFrame, least: int = 3, share: float = 0.02, enough: int = 50, small: float = 0.2) -> DataFrame:
+#: Different main texts from which on a host's recurring subtrees alone decide; below, the lists of names help.
+PLENTY = 10
+
+
+def host_mains(found: DataFrame) -> DataFrame:
+    """``(_host, mains)``: how many different main texts a host has."""
+    return found.select("_host", "_main").distinct().groupBy("_host").agg(F.count("*").alias("mains"))
+
+
+def templates(found: DataFrame, total: DataFrame | None = None, least: int = 3, share: float = 0.02, enough: int = 50, small: float = 0.2, most: float = 0.5, plenty: int = PLENTY) -> DataFrame:
     """``(_host, hash, n)`` of subtrees around at least ``least`` different main texts of a host, and
-    a ``share`` of its different main texts or ``enough`` of them; forms also only if they are on average
-    at most ``small`` of the page and more often outside its bulk than inside. Trees without these two fields
-    are hashed by their texts alone.
+    a ``share`` of its different main texts or ``enough`` of them.
+
+    A form must be on average at most ``small`` of the page and more often outside its bulk than inside, as
+    articles are built alike. A text that is more often inside the bulk is a template only around ``most`` of
+    the host's main texts: a passage that some of its articles repeat is theirs. On a host of fewer than ``plenty`` main texts
+    what is in a named article is none. Trees without these fields are texts outside the bulk.
 
     Pages with the same main text count once on both sides, so copies of an article neither make
     a template of it nor hide one, and what recurs often enough goes however large the host is.
     Counts are combined before each shuffle: a large host is no large task.
     """
-    total = found.groupBy("_host", "_main").agg(F.lit(1).alias("one")).groupBy("_host").agg(F.count("*").alias("mains"))
     fields = found.schema["_trees"].dataType.elementType.fieldNames()
-    form = [F.col("t.share"), F.col("t.inside").cast("int").alias("inside")] if "share" in fields else [F.lit(0.0).alias("share"), F.lit(0).alias("inside")]
-    each = found.select("_host", "_main", F.explode("_trees").alias("t")).select("_host", "_main", "t.hash", *form)
-    each = each.groupBy("_host", "hash", "_main").agg(F.max("share").alias("part"), F.max("inside").alias("inside"))
-    n = each.groupBy("_host", "hash").agg(F.count("*").alias("n"), F.avg("part").alias("part"), F.avg("inside").alias("inside"))
-    n = n.where((F.col("n") >= least) & (F.col("part") <= small) & (F.col("inside") < 0.5))
-    return n.join(total, "_host").where(F.col("n") >= F.least(share * F.col("mains"), F.lit(enough))).select("_host", "hash", "n")
+    plain = {"share": F.lit(0.0), "inside": F.lit(False), "exact": F.lit(True), "article": F.lit(False)}
+    known = [(F.col(f"t.{c}") if c in fields else v).alias(c) for c, v in plain.items()]
+    each = found.select("_host", "_main", F.explode("_trees").alias("t")).select("_host", "_main", "t.hash", *known)
+    each = each.groupBy("_host", "hash", "_main").agg(F.max("share").alias("part"), F.max(F.col("inside").cast("int")).alias("inside"), F.max("exact").alias("exact"), F.max("article").alias("article"))
+    n = each.groupBy("_host", "hash").agg(F.count("*").alias("n"), F.avg("part").alias("part"), F.avg("inside").alias("inside"), F.max("exact").alias("exact"), F.max("article").alias("article"))
+    n = n.where((F.col("n") >= least) & (F.col("exact") | ((F.col("part") <= small) & (F.col("inside") < 0.5))))
+    n = n.join(total if total is not None else host_mains(found), "_host").where((F.col("mains") >= plenty) | ~F.col("article"))
+    often = F.when(F.col("inside") < 0.5, F.least(share * F.col("mains"), F.lit(enough))).otherwise(most * F.col("mains"))
+    return n.where(F.col("n") >= often).select("_host", "hash", "n")
 
 
 def extract(pages: DataFrame, names: bool = True, salt: int = 16, small: int = 100_000) -> DataFrame:
     """``pages`` (``page_id, url, html, ...``) with ``text`` (blocks joined by an empty line; empty if
-    none), ``n_chars``, ``n_templates`` (recurring subtrees cut out of the page's main part) and
-    ``n_recurring`` (all recurring subtrees of the page, most of them the frame around it).
+    none), ``n_chars``, ``n_templates`` (recurring subtrees cut out of the page around its text) and
+    ``n_recurring`` (all recurring subtrees of the page, those without text too).
 
-    Subtrees that recur across a host's pages with different main texts go, and so do frames named
-    by tags, roles, classes or ids (not without ``names``). Pages are parsed once. The
-    templates of each host meet its pages in a broadcast while they are at most ``small`` in all,
-    by count; beyond that in a join on (host, hash) that is dealt out by page, so that a large
+    Subtrees that recur across a host's pages with different main texts go. On hosts of ``PLENTY`` different main texts or more
+    that alone decides between blocks; on others, frames named by tags, roles, classes or ids go, too (not without
+    ``names``). Pages are parsed once. The templates of each host, and whether it has plenty, meet its pages in a broadcast while
+    both are at most ``small`` in all, by count; beyond that in a join on the host that is dealt out by page, so that a large
     host does not meet in one task: both give the same result. A null html counts as empty, a null
     url as a host of its own; ids may repeat or be null; an empty table gives an empty result; a
     very long page is one row like any other. Columns of those names are replaced, ``html`` is
@@ -351,21 +375,26 @@ def extract(pages: DataFrame, names: bool = True, salt: int = 16, small: int = 1
 
 
 def _extract(pages: DataFrame, names: bool, salt: int, small: int) -> DataFrame:
-    found = written(dissected(pages, names))
-    marked = cut(templates(found))
-    if marked.count() <= small:
+    path = scratch(pages.sparkSession)
+    dissected(pages, names).write.option("compression", "zstd").parquet(path)
+    found = pages.sparkSession.read.parquet(path)
+    total = cut(host_mains(found))
+    marked = cut(templates(found, total))
+    plenty = total.select("_host", (F.col("mains") >= (PLENTY if names else 0)).alias("_plenty"))
+    if max(marked.count(), total.count()) <= small:
         by_host = marked.groupBy("_host").agg(F.collect_set("hash").alias("_hashes"))
-        joined = found.join(F.broadcast(by_host), "_host", "left")
+        joined = found.join(F.broadcast(plenty), "_host").join(F.broadcast(by_host), "_host", "left")
         hit = F.filter("_trees", lambda t: F.coalesce(F.array_contains("_hashes", t["hash"]), F.lit(False)))
         joined = joined.withColumn("_drop", F.array_distinct(F.transform(hit, lambda t: t["place"])))
     else:
-        dealt = marked.select("_host", "hash", F.explode(F.array(*[F.lit(i) for i in range(salt)])).alias("_deal"))
+        every = F.explode(F.array(*[F.lit(i) for i in range(salt)])).alias("_deal")
+        deal = F.pmod("_page", F.lit(salt)).cast("int")
         tree = found.select("_host", "_page", F.explode("_trees").alias("t")).select("_host", "_page", "t.place", "t.hash")
-        tree = tree.distinct().withColumn("_deal", F.pmod("_page", F.lit(salt)).cast("int"))
-        drop = cut(tree.join(dealt, ["_host", "hash", "_deal"]).groupBy("_host", "_page").agg(F.collect_set("place").alias("_drop")))
-        joined = found.join(drop, ["_host", "_page"], "left")
+        tree = tree.distinct().withColumn("_deal", deal)
+        drop = cut(tree.join(marked.select("_host", "hash", every), ["_host", "hash", "_deal"]).groupBy("_host", "_page").agg(F.collect_set("place").alias("_drop")))
+        joined = found.withColumn("_deal", deal).join(plenty.select("_host", "_plenty", every), ["_host", "_deal"]).join(drop, ["_host", "_page"], "left")
     dropped = F.coalesce("_drop", F.array().cast("array<int>"))
-    kept = F.filter("_blocks", lambda b: ~F.arrays_overlap(b["owners"], dropped))
+    kept = F.filter("_blocks", lambda b: ~F.arrays_overlap(b["owners"], dropped) & (F.col("_plenty") | ~b["framed"]))
     joined = joined.withColumn("text", F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n"))
     cut_out = F.array_intersect(F.array_distinct(F.flatten(F.transform("_blocks", lambda b: b["owners"]))), dropped)
     joined = joined.withColumn("n_templates", F.size(cut_out).cast("long")).withColumn("n_recurring", F.size(dropped).cast("long"))
