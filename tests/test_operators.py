@@ -214,11 +214,11 @@ def test_entity_safe_coverage_against_brute_force(spark):
 def test_auroc_difference(spark):
     rng = np.random.default_rng(9)
     y = rng.integers(0, 2, size=600)
-    df = spark.createDataFrame([(float(k + rng.normal(scale=0.7)), float(rng.random()), int(k)) for k in y], "a double, b double, y int")
-    r = stats.bootstrap_auroc_difference(df, "a", "b", "y").first()
+    df = spark.createDataFrame([(i, float(k + rng.normal(scale=0.7)), float(rng.random()), int(k)) for i, k in enumerate(y)], "id long, a double, b double, y int")
+    r = stats.bootstrap_auroc_difference(df, "a", "b", "y", "id").first()
     exact = stats.auroc(df, "a", "y").first()["auroc"] - stats.auroc(df, "b", "y").first()["auroc"]
     assert abs(r.difference - exact) < 1e-12 and r.low < exact < r.high and r.passed and r.replicates == 1000
-    none = stats.bootstrap_auroc_difference(df.where("y = 1"), "a", "b", "y").first()
+    none = stats.bootstrap_auroc_difference(df.where("y = 1"), "a", "b", "y", "id").first()
     assert none.difference is None and none.replicates == 0 and not none.passed
 
 

@@ -19,6 +19,8 @@ CHECKS = {
     "j5_logistic_gate": lambda r: {x.name for x in r} == {"gate", "loss_base", "intercept"} and next(x.value for x in r if x.name == "gate") > 0,
     "j11_mandatory_baselines": lambda r: sum(x.method == "mean" for x in r) == sum(x.method == "forest" for x in r) > 0,
     "k7_bootstrap_ci": lambda r: len(r) == 5 and all(x.low < x["mean"] < x.high for x in r),
+    "k7_bootstrap_median": lambda r: len(r) == 5 and all(x.low <= x["median"] <= x.high for x in r),
+    "j9_coefficient_report": lambda r: {x.name for x in r} == {"gate", "loss_base", "intercept"} and all(x.low < x.value < x.high for x in r) and not next(x.flipped for x in r if x.name == "gate"),
     "k8_auroc_diff": lambda r: r[0].low < r[0].difference < r[0].high and r[0].replicates == 1000,
     "k12_h1_verdict": lambda r: len(r) == 3 and None not in {x.passed for x in r},
     "k14_h2_verdict": lambda r: len(r) == 4 and None not in {x.passed for x in r},

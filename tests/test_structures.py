@@ -89,3 +89,63 @@ def test_set_components_of_many_near_copies_make_few_pairs(spark):
     rows = [(i, [*range(i % 40), *range(41, 60), *range(100, 300), 1000 + i]) for i in range(400)]
     edges = set_components(spark.createDataFrame(rows, "node long, items array<long>"))
     assert edges.count() <= 2 * len(rows)
+
+
+def test_replicate_areas_equal_those_of_their_weights(spark):
+    """Ties within a range, across ranges and over whole ranges."""
+    from tidemark.operators import bootstrap
+
+    r = np.random.default_rng(5)
+    n, draws = 400, 150
+    for scores in (np.round(r.random(n), 2), np.where(r.random(n) < 0.7, 0.5, np.round(r.random(n), 1)), np.zeros(n)):
+        y = r.integers(0, 2, n)
+        df = spark.createDataFrame([(int(i), float(s), int(v)) for i, (s, v) in enumerate(zip(scores, y))] + [(None, 0.1, 1), (9999, None, 0)], "id long, s double, y int").repartition(5)
+        got = [a for x in sorted(bootstrap.replicate_aurocs(df, "id", "s", "y", draws).collect()) for a in x.auroc]
+        w = bootstrap.weights(np.arange(n), draws).astype(float)
+        higher = (scores[:, None] > scores[None, :]) + 0.5 * (scores[:, None] == scores[None, :])
+        for k in range(draws):
+            pos, neg = w[:, k] * (y == 1), w[:, k] * (y == 0)
+            assert abs(got[k] - pos @ higher @ neg / (pos.sum() * neg.sum())) < 1e-9
+    one = bootstrap.replicate_aurocs(df.where("y = 1"), "id", "s", "y", 3).first()
+    assert one.auroc == [None] * 3
+
+
+def test_replicate_medians_against_brute_force(spark):
+    from tidemark.operators import bootstrap, stats
+
+    r = np.random.default_rng(6)
+    rows = [(int(i), "xyz"[min(2, i % 5)], float(v)) for i, v in enumerate(np.round(r.normal(size=1000), 1))] + [(5000, "x", None), (5001, "lone", 2.0), (5002, None, 1.0)]
+    df = spark.createDataFrame(rows, "id long, g string, v double").repartition(6)
+    draws = 300
+    got = {x.g: sorted(x.medians) for x in bootstrap.replicate_medians(df, "id", "v", draws, group=df["g"]).collect()}
+    table = {x.g: x for x in stats.bootstrap_median(df, "id", "v", draws, by="g").collect()}
+    for g in ("x", "y", "z", "lone", ""):
+        ids, v = (np.array(a) for a in zip(*[(i, x) for i, k, x in rows if (k or "") == g and x is not None]))
+        w = bootstrap.weights(ids, draws)
+        want = sorted(float(np.median(np.repeat(v, w[:, k]))) for k in range(draws) if w[:, k].sum())
+        assert np.allclose(got[g], want)
+        assert table[g].n == len(v) and np.allclose([table[g]["median"], table[g].low, table[g].high], [np.median(v), *np.quantile(want, [0.025, 0.975])])
+
+
+def test_refits_equal_fits_of_each_replicate(spark):
+    from tidemark.operators import bootstrap, learn
+
+    r = np.random.default_rng(7)
+    n, draws = 300, 40
+    x = r.standard_normal((n, 2))
+    y = (r.random(n) < 1 / (1 + np.exp(-(x @ [1.5, -0.5] + 0.3)))).astype(int)
+    df = spark.createDataFrame([(int(i), float(a), float(b), int(c)) for i, ((a, b), c) in enumerate(zip(x, y))], "id long, a double, b double, y int").repartition(4)
+    got = bootstrap.logistic_refits(df, "id", ["a", "b"], "y", 0.01, draws)
+    w = bootstrap.weights(np.arange(n), draws).astype(float)
+    design = np.column_stack([x, np.ones(n)])
+    for k in range(draws):
+        b, v = np.zeros(3), w[:, k] / w[:, k].sum()
+        for _ in range(50):
+            q = 1 / (1 + np.exp(-design @ b))
+            b = b - np.linalg.solve((design * (v * q * (1 - q))[:, None]).T @ design + np.diag([0.02, 0.02, 0]), design.T @ (v * (q - y)) + [0.02 * b[0], 0.02 * b[1], 0])
+        assert np.allclose(got[k], b, atol=1e-6)
+    whole = spark.createDataFrame([("a", 1.4), ("b", 0.5), ("intercept", 0.0)], "name string, value double")
+    report = {x.name: x for x in learn.coefficient_report(whole, spark.createDataFrame([("a", 1), ("b", -1)], "name string, sign int"), got, ["a", "b", "intercept"]).collect()}
+    assert (report["a"].flipped, report["b"].flipped, report["intercept"].flipped) == (False, True, False)
+    assert np.allclose([report["b"].low, report["b"].high], np.quantile(got[:, 1], [0.025, 0.975]))
+    assert np.isnan(bootstrap.logistic_refits(df.where("y = 1"), "id", ["a", "b"], "y", 0.01, 3)).all()

@@ -168,7 +168,16 @@ def ensemble(scores: DataFrame, key: str, score: str) -> DataFrame:
     return scores.groupBy(key).agg(F.avg(score).alias("mean"), F.var_pop(score).alias("variance"))
 
 
-def coefficient_report(coefficients: DataFrame, prior: DataFrame) -> DataFrame:
-    """Coefficients against the signs expected; 0 is no flip."""
+def coefficient_report(coefficients: DataFrame, prior: DataFrame, refits: np.ndarray | None = None, names: list[str] | None = None, level: float = 0.95) -> DataFrame:
+    """Coefficients ``(name, value)`` against the signs expected (``name, sign``); 0 is no flip, nor is what has no expected sign.
+
+    With ``refits``, the coefficients of bootstrap replicates in the order of ``names``, also the percentile interval
+    ``low, high`` of each; replicates that could not be fitted are left out."""
     j = coefficients.join(prior, "name", "left")
-    return j.withColumn("flipped", F.coalesce((F.col("value") != 0) & (F.signum("value") != F.signum("sign")), F.lit(False)))
+    j = j.withColumn("flipped", F.coalesce((F.col("value") != 0) & (F.signum("value") != F.signum("sign")), F.lit(False)))
+    if refits is None:
+        return j
+    fitted = refits[np.isfinite(refits).all(axis=1)]
+    ends = np.quantile(fitted, [(1 - level) / 2, (1 + level) / 2], axis=0) if len(fitted) else np.full((2, refits.shape[1]), np.nan)
+    rows = [(n, float(a), float(b)) for n, a, b in zip(names, *ends)]
+    return j.join(coefficients.sparkSession.createDataFrame(rows, "name string, low double, high double"), "name", "left")

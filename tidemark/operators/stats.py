@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tidemark.operators import bootstrap as B
-from tidemark.operators.ranking import cumulative, cumulative_by
+from tidemark.operators.ranking import cumulative, cumulative_by, order_statistics
 
 
 class MissingBaselineError(ValueError):
@@ -67,48 +65,29 @@ def bootstrap_mean(df: DataFrame, key: str, value: str, draws: int = 10_000, see
     return rows.join(ci, "g").withColumnRenamed("g", by or "group")
 
 
-def bootstrap_auroc_difference(df: DataFrame, a: str, b: str, label: str, bins: int = 200, draws: int = 1_000, seed: int = 7) -> DataFrame:
+def bootstrap_median(df: DataFrame, key: str, value: str, draws: int = 10_000, seed: int = 7, level: float = 0.95, by: str | None = None) -> DataFrame:
+    """K7: median and percentile interval of ``value``, for each ``by``: weighted medians of all replicates, exact."""
+    g = F.coalesce(F.col(by).cast("string"), F.lit("")) if by else F.lit("")
+    found = B.replicate_medians(df, key, value, draws, seed, F.col(by) if by else None)
+    at = F.percentile("m", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
+    ci = found.select("g", F.explode("medians").alias("m")).groupBy("g").agg(at.alias("q")).select("g", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    rows = order_statistics(df.withColumn("g", g), ["g"], value, {"median": ("linear", 0.5)})
+    return rows.join(ci, "g").withColumnRenamed("g", by or "group")
+
+
+def bootstrap_auroc_difference(df: DataFrame, a: str, b: str, label: str, key: str, draws: int = 1_000, seed: int = 7) -> DataFrame:
     """K8: difference of two scores' AUROC over paired resamples; ``passed`` if the lower end is above 0.
 
-    The point estimate is exact (K5). For the interval rows are counted in cells of both scores'
-    quantile bins and the label, a number that does not grow with the rows; tasks give a cell of n rows
-    a Poisson(n) weight in each replicate and send sums by score, bin and label. Ties within a bin
-    count half, which moves a replicate's AUROC by at most half of the share of pairs in one bin.
+    Each replicate's areas are exact, ties included, and both scores weigh a row alike in it.
     One-class replicates are left out.
     """
-    cuts = {c: sorted(set(df.approxQuantile(c, [i / bins for i in range(1, bins)], 0.001))) for c in (a, b)}
-    place = lambda c: F.size(F.filter(F.array(*[F.lit(x) for x in cuts[c]]), lambda x: x <= F.col(c)))
-    cells = df.groupBy(place(a).alias("a"), place(b).alias("b"), (F.col(label) == 1).cast("int").alias("y")).agg(F.count("*").alias("n"))
-
-    def sums(batches):
-        held: dict = {}
-        for batch in batches:
-            for r in batch.to_pylist():
-                w = np.random.default_rng([seed, r["a"], r["b"], r["y"]]).poisson(r["n"], draws)
-                for score in ("a", "b"):
-                    held.setdefault((score, r[score], r["y"]), np.zeros(draws))[:] += w
-        for (score, at, y), w in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([score]), pa.array([at], pa.int32()), pa.array([y], pa.int32()), pa.array([w], pa.list_(pa.float64()))], names=["score", "bin", "y", "w"])
-
-    def add(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"score": part["score"].iloc[:1], "bin": part["bin"].iloc[:1], "y": part["y"].iloc[:1], "w": [np.sum(part["w"].to_list(), axis=0)]})
-
-    schema = "score string, bin int, y int, w array<double>"
-    found = cells.mapInArrow(sums, schema).groupBy("score", "bin", "y").applyInPandas(add, schema).collect()  # 4 * bins rows at most
-    areas = []
-    for score in ("a", "b"):
-        pos, neg = (np.zeros((len(cuts[a if score == "a" else b]) + 1, draws)) for _ in range(2))
-        for r in found:
-            if r["score"] == score:
-                (pos if r["y"] else neg)[r["bin"]] = r["w"]
-        with np.errstate(invalid="ignore", divide="ignore"):
-            areas.append((pos * (np.cumsum(neg, 0) - neg / 2)).sum(0) / (pos.sum(0) * neg.sum(0)))
-    d = areas[0] - areas[1]
-    kept = d[np.isfinite(d)]
-    low, high = (float(x) for x in np.quantile(kept, [0.025, 0.975])) if len(kept) else (None, None)
+    blocks = [B.replicate_aurocs(df, key, c, label, draws, seed).toDF("block", c_) for c, c_ in ((a, "a"), (b, "b"))]
+    pairs = blocks[0].join(blocks[1], "block").collect()  # two numbers a replicate
+    d = np.array([x - y for r in pairs for x, y in zip(r["a"], r["b"]) if x is not None and y is not None])
+    low, high = (float(x) for x in np.quantile(d, [0.025, 0.975])) if len(d) else (None, None)
     exact = [auroc(df, c, label).first()["auroc"] for c in (a, b)]
     point = None if None in exact else exact[0] - exact[1]
-    return df.sparkSession.createDataFrame([(point, low, high, len(kept), low is not None and low > 0)], "difference double, low double, high double, replicates long, passed boolean")
+    return df.sparkSession.createDataFrame([(point, low, high, len(d), low is not None and low > 0)], "difference double, low double, high double, replicates long, passed boolean")
 
 
 def spearman_by(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:

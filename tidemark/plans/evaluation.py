@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.operators import learn as L
+from tidemark.operators import bootstrap as B
 from tidemark.operators import ranking
 from tidemark.operators import risk as K
 from tidemark.operators import stats as T
@@ -62,7 +63,25 @@ def k7(spark, sf):
 
 
 def k8(spark, sf):
-    return T.bootstrap_auroc_difference(predictions(spark, sf), "gate", "other", "label")
+    return T.bootstrap_auroc_difference(predictions(spark, sf), "gate", "other", "label", "id")
+
+
+def k7_median(spark, sf):
+    return T.bootstrap_median(predictions(spark, sf).withColumn("d", F.col("loss_retr") - F.col("loss_base")), "id", "d", draws=2_000, by="entity_id")
+
+
+#: Signs that the gate's coefficients should have.
+PRIOR = {"gate": 1, "loss_base": -1}
+
+
+def report(spark, sf):
+    """The gate's coefficients with intervals over 1,000 refits."""
+    p = predictions(spark, sf).where("split in ('train', 'inner')").withColumn("u", S.utility_label(F.col("loss_base"), F.col("loss_retr")))
+    names = list(PRIOR)
+    best, coefficients = L.gate_crossfit(p, names, "u", "entity_id", [1e-4, 1e-3, 1e-2, 1e-1, 1.0])
+    refits = B.logistic_refits(p, "id", names, "u", best, 1_000)
+    prior = spark.createDataFrame(list(PRIOR.items()), "name string, sign int")
+    return L.coefficient_report(coefficients, prior, refits, [*names, "intercept"])
 
 
 def k9(spark, sf):
@@ -87,7 +106,8 @@ def k14(spark, sf):
     p = predictions(spark, sf)
     auc = lambda rows: T.auroc(rows, "gate", "label").first()["auroc"]
     cliffs = p.where("abs(y - pred) > 100")
-    return V.h2_verdict(T.bootstrap_auroc_difference(p, "gate", "other", "label"), auc(p.where("split = 'calib'")), auc(p.where("split = 'test'")), auc(cliffs), 1).select("criterion", "passed")
+    flips = report(spark, sf).where("flipped").count()
+    return V.h2_verdict(T.bootstrap_auroc_difference(p, "gate", "other", "label", "id"), auc(p.where("split = 'calib'")), auc(p.where("split = 'test'")), auc(cliffs), flips).select("criterion", "passed")
 
 
 def j11(spark, sf):
@@ -276,7 +296,7 @@ def j8(spark, sf):
 QUERIES = {
     "b11_gate_score": b11, "b12_clip_zscore": b12, "b13_tobit": b13, "b13_tobit_uncensored": b13_rows, "b17_utility_losses": b17, "b20_calibration_loss": b20, "b21_routed_prediction": b21,
     "j1_mean_predictor": j1, "j1_median_predictor": j1_median, "j10_select_backbones": j10, "j11_mandatory_baselines": j11, "b14_reduced_loss": b14, "b23_composed_loss": b23, "j2_whitening": j2, "j3_ridge": j3, "j4_forest": j4, "j5_logistic_gate": j5, "j7_ensemble": j7, "j8_standardizer": j8,
-    "k1_k2_errors": k1, "k3_average_rank": k3, "k4_spearman": k4, "k5_auroc": k5, "k6_cohens_d": k6, "k7_bootstrap_ci": k7, "k8_auroc_diff": k8, "k9_transfer_rates": k9, "k10_risk_coverage_area": k10, "k11_baseline_table": k11, "k11_lose_counts": k11_lost, "k14_h2_verdict": k14, "k17_shift_report": k17,
+    "k1_k2_errors": k1, "k3_average_rank": k3, "k4_spearman": k4, "k5_auroc": k5, "k6_cohens_d": k6, "k7_bootstrap_ci": k7, "k7_bootstrap_median": k7_median, "j9_coefficient_report": report, "k8_auroc_diff": k8, "k9_transfer_rates": k9, "k10_risk_coverage_area": k10, "k11_baseline_table": k11, "k11_lose_counts": k11_lost, "k14_h2_verdict": k14, "k17_shift_report": k17,
     "k16_ks": k16, "k18_route_diagnostic": k18, "l1_risk_curve": l1, "l4_pvalues": l4, "l5_learn_then_test": l5, "l5_fixed_sequence": l5_fixed, "l7_test_validation": l7, "l8_power": l8,
     "l9_risk_coverage": l9, "l10_safe_coverage": l10, "n3_global_rank": rank,
 }
