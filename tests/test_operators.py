@@ -150,7 +150,7 @@ def test_purge_of_passages(spark):
     words = [f"w{i}" for i in range(40)]
     pool = spark.createDataFrame([(1, " ".join(words)), (2, "x " + " ".join(words[5:13]) + " y"), (3, " ".join(words[5:12])), (4, None), (5, "")], "id int, text string")
     bad = spark.createDataFrame([(" ".join(words),), (None,)], "text string")
-    got = {r.id: (r.status, r.n_shared) for r in purge.purge_texts(pool, bad, "id").collect()}
+    got = {r.id: (r.status, r.n_shared) for r in purge.purge_texts(pool, bad).collect()}
     assert got == {1: ("exact", 33), 2: ("passage", 1), 3: ("kept", 0), 4: ("kept", 0), 5: ("kept", 0)}
     assert purge.shared_passages(pool, bad, "id", small=0).count() == 2
 

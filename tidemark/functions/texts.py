@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import md5_number
 
 
-_WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
-#: The same on texts without code points from U+0300 on, where no marks are: much faster.
-_PLAIN, _HIGH = re.compile(r"[^\W_]+"), re.compile("[\u0300-\U0010ffff]")
-
-
 def normal_key(text: Column) -> Column:
     """A hash of letters and digits alone, of any script, lower-cased: spellings of one item
     collapse. Null where nothing is left, so that such texts are no family."""
@@ -42,26 +36,70 @@ def windows(words: Column, width: int) -> Column:
     return _windows(words, width, lambda w: F.concat_ws(" ", *w))
 
 
-def hash_windows(texts: list[str | None], width: int, seen: dict[str, int]) -> list[np.ndarray]:
+#: Characters hashed at once; a longer text is hashed in parts.
+CHUNK = 1 << 19
+_P = 0x9E3779B97F4A7C15
+_P_INV = pow(_P, -1, 1 << 64)
+
+
+@lru_cache(1)
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter, a mark or a digit."""
+    return np.fromiter((unicodedata.category(chr(c))[0] in "LMN" for c in range(0x110000)), bool, 0x110000)
+
+
+@lru_cache(2)
+def _powers(base: int) -> np.ndarray:
+    p = np.full(CHUNK + 1, base, np.uint64)
+    p[0] = 1
+    return np.cumprod(p, dtype=np.uint64)
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return h ^ (h >> np.uint64(33))
+
+
+def hash_words(low: str) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of a text in lower case, and where they begin, by array operations over its characters."""
+    points = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+    edge = np.diff(_letters()[points].astype(np.int8), prepend=np.int8(0), append=np.int8(0))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    sums, back = np.zeros((2, len(start)), np.uint64), np.zeros(len(start), np.uint64)
+    total = np.uint64(0)
+    for at in range(0, len(points), CHUNK):  # sums of powers, a part at a time
+        part = points[at : at + CHUNK]
+        run = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_mix(part.astype(np.uint64) + np.uint64(_P)) * _powers(_P)[: len(part)], dtype=np.uint64, out=run[1:])
+        run = total + run * np.uint64(pow(_P, at, 1 << 64))
+        for places, out in ((start, sums[0]), (end, sums[1])):
+            i, j = np.searchsorted(places, [at, at + len(part)], "right" if places is end else "left")
+            out[i:j] = run[places[i:j] - at]
+            if places is start:
+                back[i:j] = _powers(_P_INV)[places[i:j] - at] * np.uint64(pow(_P_INV, at, 1 << 64))
+        total = run[-1]
+    return _mix(((sums[1] - sums[0]) * back) ^ (end - start).astype(np.uint64)), start
+
+
+def hash_windows(texts: list[str | None], width: int) -> list[np.ndarray]:
     """For each text the sorted distinct 64-bit hashes of its windows of ``width`` words (as ``words`` defines
-    them; fewer words and null give none). ``seen`` keeps hashes of words from call to call."""
-    out = []
-    for t in texts:
-        h = []
-        low = (t or "").lower()
-        for w in (_WORD if _HIGH.search(low) else _PLAIN).findall(low):
-            x = seen.get(w)
-            if x is None:
-                if len(seen) > 1 << 18:
-                    seen.clear()
-                x = seen[w] = xxhash.xxh64_intdigest(w)
-            h.append(x)
-        h = np.array(h, dtype=np.uint64)
+    them; fewer words and null give none). Texts are hashed together, up to ``CHUNK`` characters."""
+    out: list[np.ndarray] = []
+    first, held = 0, 0
+    low = [(t or "").lower() for t in texts]
+    for i, t in enumerate(low):
+        held += len(t) + 1
+        if held < CHUNK and i + 1 < len(low):
+            continue
+        some = low[first : i + 1]
+        h, start = hash_words("\n".join(some))
         g = np.zeros(max(0, len(h) - width + 1), np.uint64)
         for k in range(width if len(g) else 0):
-            g = (g ^ h[k : k + len(g)]) * np.uint64(0x9E3779B97F4A7C15)
+            g = (g ^ h[k : k + len(g)]) * np.uint64(_P)
             g ^= g >> np.uint64(29)
-        out.append(np.unique(g).view(np.int64))
+        bounds = np.searchsorted(start, np.cumsum([0, *[len(x) + 1 for x in some]])).tolist()
+        out += [np.unique(g[a : max(a, b - width + 1)]).view(np.int64) for a, b in zip(bounds, bounds[1:])]
+        first, held = i + 1, 0
     return out
 
 
@@ -72,11 +110,10 @@ def with_windows(df: DataFrame, text: str, width: int, name: str = "items") -> D
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*kept).schema) + f"`{name}` array<long>"
 
     def run(batches):
-        seen: dict[str, int] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                items = hash_windows(part.column(text).to_pylist(), width, seen)
+                items = hash_windows(part.column(text).to_pylist(), width)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(items, pa.list_(pa.int64()))], names=[*kept, name])
 
     return df.select(*kept, text).mapInArrow(run, schema)

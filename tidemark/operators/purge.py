@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tidemark.functions.filters import bloom, may_hold
 from tidemark.functions.texts import hash_windows, with_windows
 from tidemark.operators.ranking import cumulative
-from tidemark.session import cut
+from tidemark.session import cut, written
 
 KEYS = ["skeleton", "core", "normal", "family"]
 
@@ -33,38 +34,56 @@ def purge_status(pool: DataFrame, blacklist: DataFrame, exact: str = "exact_key"
     return marked.withColumn("status", F.when(F.col("_e"), "exact").when(F.col("_p"), "prefix").otherwise("kept")).drop("_e", "_p", f"_{exact}", f"_{prefix}")
 
 
-def shared_passages(pool: DataFrame, blacklist: DataFrame, key: str, text: str = "text", width: int = 8, small: int = 1_000_000) -> DataFrame:
-    """``(key, n_shared)``: how many distinct windows of ``width`` words a pool text shares with the
-    blacklist's texts; texts that share none have no row.
+def count_shared(pool: DataFrame, blacklist: DataFrame, text: str = "text", width: int = 8, small: int = 1_000_000) -> DataFrame:
+    """``pool`` with ``n_shared``: how many distinct windows of ``width`` words a row's text shares with the blacklist's
+    texts. It is counted row by row, so ids may repeat or be null; null texts share none.
 
     Windows are 64-bit hashes. Up to ``small`` distinct ones, counted first, go to the tasks that scan
-    the pool (8 bytes each), so that only hits leave them; more are met in a shuffle join.
+    the pool (8 bytes each), which count them there. Of a larger blacklist the tasks get a Bloom filter of bounded size: what it
+    lets through is kept with the row, and only these few hits are met with the blacklist in a shuffle join.
     """
     held = cut(with_windows(blacklist.select(text), text, width, "_w").select(F.explode("_w").alias("_w")).distinct())
-    if held.count() > small:
-        each = with_windows(pool.select(key, text), text, width, "_w").select(key, F.explode("_w").alias("_w"))
-        return each.join(held, "_w", "left_semi").groupBy(key).agg(F.count("*").alias("n_shared"))
-    listed = np.sort(held.toPandas()["_w"].to_numpy(np.int64))
+    n = held.count()
+    exact = n <= small
+    listed = np.sort(held.toPandas()["_w"].to_numpy(np.int64)) if exact else bloom(held, "_w", n)
+    names = [c for c in pool.columns if c != "n_shared"]
+    made = ("n_shared", "long") if exact else ("_hits", "array<long>")
 
     def run(batches):
-        seen: dict[str, int] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                n = np.array([int(np.isin(w, listed).sum()) for w in hash_windows(part.column(text).to_pylist(), width, seen)])
-                hit = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(hit)), pa.array(n[hit])], names=[key, "n"])
+                windows = hash_windows(part.column(text).to_pylist(), width)
+                if exact:
+                    of = np.repeat(np.arange(len(windows)), [len(w) for w in windows])
+                    every = np.concatenate([*windows, np.empty(0, np.int64)])
+                    place = np.minimum(np.searchsorted(listed, every), max(0, len(listed) - 1))
+                    hit = listed[place] == every if len(listed) else np.zeros(len(every), bool)
+                    found = pa.array(np.bincount(of[hit], minlength=len(windows)).astype(np.int64))
+                else:
+                    found = pa.array([w[may_hold(listed, w)] for w in windows], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], found], names=[*names, made[0]])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pool.select(*names).schema)
+    scanned = pool.select(*names).mapInArrow(run, f"{schema}, {made[0]} {made[1]}")
+    if exact:
+        return scanned
+    scanned = written(scanned.withColumn("_row", F.monotonically_increasing_id()))
+    hits = scanned.select("_row", F.explode("_hits").alias("_w")).join(held, "_w", "left_semi").groupBy("_row").agg(F.count("*").alias("n_shared"))
+    return scanned.drop("_hits").join(hits, "_row", "left").withColumn("n_shared", F.coalesce("n_shared", F.lit(0).cast("long"))).drop("_row")
+
 
-    kind = pool.schema[key].dataType.simpleString()
-    return pool.select(key, text).mapInArrow(run, f"`{key}` {kind}, n long").groupBy(key).agg(F.sum("n").alias("n_shared"))
+def shared_passages(pool: DataFrame, blacklist: DataFrame, key: str, text: str = "text", width: int = 8, small: int = 1_000_000) -> DataFrame:
+    """``(key, n_shared)`` by ``count_shared``; texts that share none have no row, and rows of one key are added up."""
+    return count_shared(pool.select(key, text), blacklist, text, width, small).where("n_shared > 0").groupBy(key).agg(F.sum("n_shared").alias("n_shared"))
 
 
-def purge_texts(pool: DataFrame, blacklist: DataFrame, key: str, text: str = "text", width: int = 8) -> DataFrame:
+def purge_texts(pool: DataFrame, blacklist: DataFrame, text: str = "text", width: int = 8, small: int = 1_000_000) -> DataFrame:
     """``pool`` with ``n_shared`` and ``status``: ``exact`` if the blacklist holds the whole text, ``passage`` if it
-    shares a window of ``width`` words, else ``kept``. Null texts match nothing."""
+    shares a window of ``width`` words, else ``kept``. Null texts match nothing; ids play no part."""
     exact = blacklist.select(F.md5(text).alias("_x")).where("_x is not null").distinct().withColumn("_e", F.lit(True))
-    marked = pool.withColumn("_x", F.md5(text)).join(exact, "_x", "left").join(shared_passages(pool, blacklist, key, text, width), key, "left")
-    return marked.withColumn("n_shared", F.coalesce("n_shared", F.lit(0))).withColumn("status", F.when(F.col("_e"), "exact").when(F.col("n_shared") > 0, "passage").otherwise("kept")).drop("_x", "_e")
+    marked = count_shared(pool, blacklist, text, width, small).withColumn("_x", F.md5(text)).join(exact, "_x", "left")
+    return marked.withColumn("status", F.when(F.col("_e"), "exact").when(F.col("n_shared") > 0, "passage").otherwise("kept")).drop("_x", "_e")
 
 
 def purge_report(status: DataFrame, universe: DataFrame, entity: str = "entity_id") -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tidemark.functions.scalars import md5_number
+from tidemark.operators import families as fam
+from tidemark.operators.guards import guarded
 from tidemark.operators.ranking import global_rank
 from tidemark.session import cut
 
@@ -99,6 +101,35 @@ def assign_units(sizes: DataFrame, unit: str, seed: int = 7, shares: dict[str, f
     return ranked.join(table, "_n").select(unit, split.alias("split"))
 
 
+def split_by_family(rows: DataFrame, key: str, columns: list[str], seed: int = 7, most_family: float = 0.20, most_unit: float = 0.80, least_nodes: int = 200, shares: dict[str, float] = SHARES) -> DataFrame:
+    """``rows`` with ``family_id`` (by shared keys in ``columns``) and ``split``, families as atoms.
+
+    The flow stops on what makes a split meaningless, by measures that are taken while its stages are written: rows without a key have
+    no unit (``MissingUnitError``), one key in two rows (``DuplicateNodeError``), a family of more than ``most_family`` of at
+    least ``least_nodes`` rows (``PercolationError``; 1.0 turns it off), and a unit of more than ``most_unit`` of all rows
+    (``DegenerateSplitError``). ``rows`` is materialised once, without other columns than are given.
+    """
+
+    def keyed(m: dict) -> None:
+        if m["missing"]:
+            raise MissingUnitError(f"{m['missing']} rows without {key}")
+
+    def sized(m: dict) -> None:
+        top, every = m["top"] or 0, m["every"] or 0
+        if (m["nodes"] or 0) != every:
+            raise fam.DuplicateNodeError(f"{key}: {every} rows of {m["nodes"]} keys")
+        if most_family < 1.0 and every >= least_nodes and top > most_family * every:
+            raise fam.PercolationError(f"largest family: {top} of {every}")
+        if every >= least_nodes and top > most_unit * every:
+            raise DegenerateSplitError(f"the largest unit has {top} of {every} rows")
+
+    held = guarded(rows, {"missing": F.count_if(F.col(key).isNull())}, keyed)
+    assigned = cut(fam.key_families(held, key, columns, check=False))
+    sizes = assigned.groupBy("family_id").agg(F.count("*").alias("n"), F.countDistinct(key).alias("_k"))
+    sizes = guarded(sizes, {"top": F.max("n"), "every": F.sum("n"), "nodes": F.sum("_k")}, sized)
+    return assigned.join(assign_units(sizes, "family_id", seed, shares), "family_id")
+
+
 def fingerprint(assigned: DataFrame, key: str, split: str = "split") -> DataFrame:
     """order-free: the number of rows and the sum of hashes of ``key=split``."""
     h = md5_number(F.concat(F.col(key).cast("string"), F.lit("="), F.col(split)))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tidemark.operators import bootstrap as B
-from tidemark.operators.ranking import cumulative, cumulative_by, order_statistics
+from tidemark.operators.ranking import cumulative, cumulative_by, join_groups, order_statistics
+from tidemark.session import cut
 
 
 class MissingBaselineError(ValueError):
@@ -91,27 +92,41 @@ def bootstrap_auroc_difference(df: DataFrame, a: str, b: str, label: str, key: s
 
 
 def spearman_by(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
-    """K4 within groups: ``(by, spearman)``; average ranks from ordered value counts, so no group meets in one task."""
-    out = df
-    for i, c in enumerate((a, b)):
-        n = df.groupBy(*by, c).agg(F.count("*").alias("_n"))
-        ranked = cumulative_by(n, by, c, ["_n"]).select(*by, F.col(c).alias(f"_v{i}"), (F.col("_n_upto") - (F.col("_n") - 1) / 2).alias(f"_r{i}"))
-        out = out.join(ranked.withColumnRenamed(f"_v{i}", c), [*by, c])
-    spread = F.nullif(F.stddev_pop("_r0") * F.stddev_pop("_r1"), F.lit(0.0))  # null without spread
-    return out.groupBy(*by).agg((F.covar_pop("_r0", "_r1") / spread).alias("spearman"))
-
-
-def baseline_table(predictions: DataFrame, required: list[str] = ("mean",)) -> DataFrame:
-    """Errors and rank correlation by method and entity, and a ``__macro__`` row: rmse averaged over
+    """K4 within groups: ``(by, spearman)``; average ranks from ordered value counts, so no group meets in one task. Both
+    columns' values are ordered in one go."""
+    rows = df.select(*by, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"))
+    each = F.explode(F.array(F.struct(F.lit(0).alias("w"), F.col("_a").alias("v")), F.struct(F.lit(1).alias("w"), F.col("_b").alias("v")))).alias("_x")
+    n = rows.select(*by, each).groupBy(*by, F.col("_x.w").alias("_w"), F.col("_x.v").alias("_v")).agg(F.count("*").alias("_n"))
+    ranked = cut(cumulative_by(n, [*by, "_w"], "_v", ["_n"]).select(*by, "_w", "_v", (F.col("_n_upto") - (F.col("_n") - 1) / 2).alias("_r")))
+    # pairs of values, counted, so that a common pair is one row of the joins
+    out = rows.groupBy(*by, "_a", "_b").agg(F.count("*").alias("_k"))
+    for i, c in enumerate(("_a", "_b")):
+        out = out.join(ranked.where(F.col("_w") == i).select(*by, F.col("_v").alias(c), F.col("_r").alias(f"_r{i}")), [*by, c])
+    k, x, y = F.col("_k").cast("double"), F.col("_r0"), F.col("_r1")
+    mean = lambda c: F.sum(k * c) / F.sum(k)
+    sums = out.groupBy(*by).agg(mean(x).alias("mx"), mean(y).alias("my"))
+    out = join_groups(out, sums, by)
+    dx, dy = x - F.col("mx"), y - F.col("my")
+    spread = F.nullif(F.sqrt(mean(dx * dx) * mean(dy * dy)), F.lit(0.0))  # null without spread
+    return out.groupBy(*by).agg((mean(dx * dy) / spread).alias("spearman"))
+
+
+def baseline_table(predictions: DataFrame, required: list[str] = ("mean",), ranks: bool = True) -> DataFrame:
+    """Errors and (with ``ranks``) rank correlation by method and entity, and a ``__macro__`` row: rmse averaged over
     entities, r2 and spearman pooled."""
     known = {r[0] for r in predictions.select("method").distinct().collect()}
     if missing := set(required) - known:
         raise MissingBaselineError(str(sorted(missing)))
     keys = ["method", "entity_id"]
-    each = predictions.groupBy(*keys).agg(F.count("*").alias("n"), *errors()).join(spearman_by(predictions, keys, "y", "pred"), keys)
-    pooled = predictions.groupBy("method").agg(F.count("*").alias("n"), errors()[1]).join(spearman_by(predictions, ["method"], "y", "pred"), "method")
-    macro = each.groupBy("method").agg(F.avg("rmse").alias("rmse")).join(pooled, "method").withColumn("entity_id", F.lit("__macro__"))
-    table = each.unionByName(macro.select("method", "entity_id", "n", "rmse", "r2", "spearman"))
+    rows = cut(predictions.select(*keys, "y", "pred"))
+    # every row also counts for all of its method
+    both = rows.select("method", F.explode(F.array("entity_id", F.lit("__macro__"))).alias("entity_id"), "y", "pred")
+    table = both.groupBy(*keys).agg(F.count("*").alias("n"), *errors())
+    if ranks:
+        table = table.join(spearman_by(both, keys, "y", "pred"), keys)
+    table = cut(table)
+    macro = table.where("entity_id <> '__macro__'").groupBy("method").agg(F.avg("rmse").alias("_rmse"))
+    table = table.join(macro, "method").withColumn("rmse", F.when(F.col("entity_id") == "__macro__", F.col("_rmse")).otherwise(F.col("rmse"))).drop("_rmse")
     mean = table.where("method = 'mean'").select("entity_id", F.col("rmse").alias("_m"))
     return table.join(mean, "entity_id").withColumn("delta_vs_mean", F.col("rmse") - F.col("_m")).drop("_m")
 

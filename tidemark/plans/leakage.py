@@ -9,7 +9,7 @@ from tidemark.functions import scalars as S
 from tidemark.functions import texts as T
 from tidemark.operators import annotate, purge, splits
 from tidemark.operators import families as fam
-from tidemark.session import table
+from tidemark.session import cut, table
 
 
 def keyed(spark, sf):
@@ -24,7 +24,7 @@ def keyed(spark, sf):
 
 def purged(spark, sf):
     """Documents with their status against the whole benchmark."""
-    return purge.purge_texts(keyed(spark, sf), table(spark, sf, "benchmark"), "doc_id")
+    return purge.purge_texts(keyed(spark, sf), table(spark, sf, "benchmark"))
 
 
 def c5(spark, sf):
@@ -39,12 +39,16 @@ def c6(spark, sf):
     return purge.membership(table(spark, sf, "documents").select("doc_id"), passages(spark, sf), "doc_id", "listed").select("doc_id", "listed")
 
 
+#: Keys that no two splits may share.
+SPLIT_KEYS = ["exact_key", "normal", "skeleton"]
+
+
 def split_documents(spark, sf):
-    """Purged documents, each with its family and split."""
-    kept = purged(spark, sf).where("status = 'kept'").select("doc_id", "lang", "source", "normal", "skeleton", "exact_key")
-    f = fam.key_families(kept, "doc_id", ["exact_key", "normal", "skeleton"], check=False)
-    s = splits.assign_units(f.groupBy("family_id").agg(F.count("*").alias("n")), "family_id")
-    return f.join(s, "family_id")
+    """Purged documents, each with its family and split; guards stop the flow. No key of the test split may stand in another."""
+    kept = purged(spark, sf).where("status = 'kept'").select("doc_id", "lang", "source", *SPLIT_KEYS)
+    out = cut(splits.split_by_family(kept, "doc_id", SPLIT_KEYS))
+    purge.assert_zero_overlap(out.where("split = 'test'"), out.where("split <> 'test'"), SPLIT_KEYS)
+    return out
 
 
 def c7(spark, sf):
