@@ -16,6 +16,8 @@ CHECKS = {
     "j2_whitening": lambda r: all(len(x.whitened) == 8 for x in r),
     "j3_ridge": lambda r: [x.name for x in r] == ["intercept", "gate", "loss_base"] and abs(r[2].value - 1) < 0.2,
     "j4_forest": lambda r: all(0 < x.forest_pred < 1.5 for x in r),
+    "j10_backbones_with_forest": lambda r: {(x.method, x.role, x.near_forest) for x in r} == {("rival", "A", True), ("constant", "rejected", False)},
+    "k20_refitted_ablations": lambda r: {x.method for x in r} == {"whole", "without_gate", "without_loss_base"} and len({x.loss for x in r}) > 1 and len({x.n for x in r}) == 1,
     "j5_logistic_gate": lambda r: {x.name for x in r} == {"gate", "loss_base", "intercept"} and next(x.value for x in r if x.name == "gate") > 0,
     "j11_mandatory_baselines": lambda r: sum(x.method == "mean" for x in r) == sum(x.method == "forest" for x in r) > 0,
     "k7_bootstrap_ci": lambda r: len(r) == 5 and all(x.low < x["mean"] < x.high for x in r),

@@ -149,3 +149,17 @@ def test_refits_equal_fits_of_each_replicate(spark):
     assert (report["a"].flipped, report["b"].flipped, report["intercept"].flipped) == (False, True, False)
     assert np.allclose([report["b"].low, report["b"].high], np.quantile(got[:, 1], [0.025, 0.975]))
     assert np.isnan(bootstrap.logistic_refits(df.where("y = 1"), "id", ["a", "b"], "y", 0.01, 3)).all()
+
+
+def test_minhash_pairs_find_what_the_exact_join_finds(spark):
+    from tidemark.operators.families import bands, minhash_pairs, similar_pairs
+    from tidemark.plans.leakage import sets
+
+    for least in (0.5, 0.75, 0.9):
+        rows, count = bands(least)
+        assert rows * count <= 128 and 1 - (1 - least**rows) ** count >= 0.95
+    s = sets(spark, SF.replace("0.001", "0.01"))
+    exact = {(r.a, r.b): r.similarity for r in similar_pairs(s).collect()}
+    found = {(r.a, r.b): r.similarity for r in minhash_pairs(s).collect()}
+    assert found.keys() <= exact.keys() and len(found) >= 0.9 * len(exact) and len(exact) > 50
+    assert minhash_pairs(s.where("false")).count() == 0

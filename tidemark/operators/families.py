@@ -190,6 +190,55 @@ def similar_across(left: DataFrame, right: DataFrame, least: float = 0.75, node:
     return out.select("a", "b", "similarity")
 
 
+def bands(least: float, recall: float = 0.95, hashes: int = 128) -> tuple[int, int]:
+    """Rows of a band and number of bands for minhashes: the longest bands, hence the fewest chance meetings, of which ``hashes`` hold
+    enough that two sets of similarity ``least`` agree in one with a probability of ``recall``."""
+    for rows in range(hashes, 0, -1):
+        count = math.ceil(math.log(1 - recall) / math.log1p(-(least**rows))) if least < 1 else 1
+        if count * rows <= hashes:
+            return rows, count
+    return 1, hashes
+
+
+def minhash_pairs(sets: DataFrame, least: float = 0.75, node: str = "node", items: str = "items", recall: float = 0.95, hashes: int = 128, seed: int = 7) -> DataFrame:
+    """C14's approximate twin: ``(a, b, similarity)``, a < b, of sets that agree in a band of minhashes and have Jaccard of at least ``least``.
+
+    Nothing below ``least`` is returned, and each pair at or above it is found with a probability of at least ``recall``, that of a pair at ``least``; ``bands``
+    chooses how many rows a band has. Equal sets are one, as in ``similar_pairs``. A task sends a row for each set and band, whatever the set's size.
+    """
+    one, others = set_classes(sets, node, items)
+    rows, count = bands(least, recall, hashes)
+    r = np.random.default_rng(seed)
+    a, b = (r.integers(1, 1 << 63, rows * count, dtype=np.uint64) | np.uint64(1) for _ in range(2))
+    kind = one.schema["rep"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                keys = []
+                for s in part.column("items").to_pylist():
+                    h = np.array(s, np.int64).view(np.uint64)
+                    low = np.full(rows * count, np.iinfo(np.uint64).max, np.uint64)
+                    for k in range(0, len(h), 1024):  # a part of a large set at a time
+                        x = h[k : k + 1024, None] * a + b
+                        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+                        low = np.minimum(low, (x ^ (x >> np.uint64(29))).min(axis=0))
+                    band = np.zeros(count, np.uint64)
+                    for column in low.reshape(count, rows).T:
+                        band = (band ^ column) * np.uint64(0xD6E8FEB86659FD93)
+                        band ^= band >> np.uint64(32)
+                    keys.append(band.view(np.int64))
+                whose = pa.array(np.repeat(np.arange(part.num_rows), count))
+                yield pa.RecordBatch.from_arrays([part.column("rep").take(whose), pa.array(np.tile(np.arange(count, dtype=np.int32), part.num_rows)), pa.array(np.concatenate(keys))], names=["rep", "band", "item"])
+
+    found = cut(one.select("rep", F.col("items").cast("array<long>").alias("items")).mapInArrow(run, f"rep {kind}, band int, item long"))
+    again = cut(found.groupBy("band", "item").agg(F.count("*").alias("_m")).where("_m > 1").select("band", "item"))
+    met = cut(found.join(again, ["band", "item"]))
+    pairs = met.withColumnRenamed("rep", "a").join(met.withColumnRenamed("rep", "b"), ["band", "item"]).where("a < b").select("a", "b").distinct()
+    return _verified(pairs, one, one, least).unionByName(others.select(F.col("rep").alias("a"), F.col("node").alias("b"), F.lit(1.0).alias("similarity")))
+
+
 def set_components(sets: DataFrame, least: float = 0.75, node: str = "node", items: str = "items", seen: int = 4) -> DataFrame:
     """Edges ``(src, dst)`` whose components are those of all similar pairs of sets (Jaccard of at least ``least``).
 

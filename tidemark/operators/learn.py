@@ -139,6 +139,14 @@ def logistic(features: list[str], y: str, l2: float) -> LogisticRegression:
     return LogisticRegression(featuresCol="_x", labelCol=y, regParam=2 * l2, elasticNetParam=0.0, standardization=False, tol=1e-9, maxIter=200)
 
 
+def gate_scores(train: DataFrame, test: DataFrame, features: list[str], y: str, l2: float) -> DataFrame:
+    """``test`` with ``score``, the probability of the gate that is fitted on ``train``."""
+    v = VectorAssembler(inputCols=features, outputCol="_x")
+    model = logistic(features, y, l2).fit(v.transform(train))
+    scored = model.transform(v.transform(test)).withColumn("score", vector_to_array("probability")[1])
+    return scored.select(*test.columns, "score")
+
+
 def gate_crossfit(rows: DataFrame, features: list[str], y: str, group: str, grid: list[float], folds: int = 5, seed: int = 7) -> tuple[float, DataFrame]:
     """The l2 with the best out-of-fold AUROC (the first on ties), and the refitted coefficients.
 

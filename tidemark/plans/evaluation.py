@@ -127,6 +127,26 @@ def j10(spark, sf):
     return V.select_backbones(table).select("method", F.round("rmse", 4).alias("rmse"), "beats_mean", "near_forest", "role")
 
 
+def j10_forest(spark, sf):
+    """J10 with all that J11 fits, the forest among them, and a method that follows the outcome."""
+    p = predictions(spark, sf)
+    fitted = j11(spark, sf).select("entity_id", "y", "method", "pred")
+    rival = p.where("split = 'test'").select("entity_id", "y", F.lit("rival").alias("method"), (F.col("y") + F.col("gate") * 10).alias("pred"))
+    constant = p.where("split = 'test'").select("entity_id", "y", F.lit("constant").alias("method"), "pred")
+    return V.select_backbones(T.baseline_table(fitted.unionByName(rival).unionByName(constant))).select("method", F.round("rmse", 4).alias("rmse"), "beats_mean", "near_forest", "role")
+
+
+def k20_refits(spark, sf):
+    """The gate fitted again without each of its features, on training rows, and measured on test rows."""
+    p = predictions(spark, sf).withColumn("u", S.utility_label(F.col("loss_base"), F.col("loss_retr")))
+    train, test, out = p.where("split in ('train', 'inner')"), p.where("split = 'test'"), None
+    for left in (None, *PRIOR):
+        names = [n for n in PRIOR if n != left]
+        rows = V.method_table(L.gate_scores(train, test, names, "u", 1e-3), {f"without_{left}" if left else "whole": F.col("score")}, required=())
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def b14(spark, sf):
     p = losses(spark, sf).where("flag = 'none'")
     loss = S.tobit_loss(F.col("mu"), F.col("log_var"), F.col("y"), F.col("flag"))
@@ -186,8 +206,13 @@ def l5_fixed(spark, sf):
     return K.learn_then_test(K.with_pvalues(curve(spark, sf)).join(order, "lam"), held_out=True, procedure="fixed_sequence", order="order")
 
 
+def certified(spark, sf):
+    """The threshold that L5 certifies on the calibration rows; none if none passes."""
+    return l5(spark, sf).first()["lam"]
+
+
 def l7(spark, sf):
-    return K.validate(predictions(spark, sf).where("split = 'test'"), 0.62).select("lam", F.round("risk", 6).alias("risk"), F.round("coverage", 6).alias("coverage"), "passed", "reason")
+    return K.validate(predictions(spark, sf).where("split = 'test'"), certified(spark, sf)).select("lam", F.round("risk", 6).alias("risk"), F.round("coverage", 6).alias("coverage"), "passed", "reason")
 
 
 def l8(spark, sf):
@@ -295,7 +320,7 @@ def j8(spark, sf):
 
 QUERIES = {
     "b11_gate_score": b11, "b12_clip_zscore": b12, "b13_tobit": b13, "b13_tobit_uncensored": b13_rows, "b17_utility_losses": b17, "b20_calibration_loss": b20, "b21_routed_prediction": b21,
-    "j1_mean_predictor": j1, "j1_median_predictor": j1_median, "j10_select_backbones": j10, "j11_mandatory_baselines": j11, "b14_reduced_loss": b14, "b23_composed_loss": b23, "j2_whitening": j2, "j3_ridge": j3, "j4_forest": j4, "j5_logistic_gate": j5, "j7_ensemble": j7, "j8_standardizer": j8,
+    "j1_mean_predictor": j1, "j1_median_predictor": j1_median, "j10_select_backbones": j10, "j10_backbones_with_forest": j10_forest, "k20_refitted_ablations": k20_refits, "j11_mandatory_baselines": j11, "b14_reduced_loss": b14, "b23_composed_loss": b23, "j2_whitening": j2, "j3_ridge": j3, "j4_forest": j4, "j5_logistic_gate": j5, "j7_ensemble": j7, "j8_standardizer": j8,
     "k1_k2_errors": k1, "k3_average_rank": k3, "k4_spearman": k4, "k5_auroc": k5, "k6_cohens_d": k6, "k7_bootstrap_ci": k7, "k7_bootstrap_median": k7_median, "j9_coefficient_report": report, "k8_auroc_diff": k8, "k9_transfer_rates": k9, "k10_risk_coverage_area": k10, "k11_baseline_table": k11, "k11_lose_counts": k11_lost, "k14_h2_verdict": k14, "k17_shift_report": k17,
     "k16_ks": k16, "k18_route_diagnostic": k18, "l1_risk_curve": l1, "l4_pvalues": l4, "l5_learn_then_test": l5, "l5_fixed_sequence": l5_fixed, "l7_test_validation": l7, "l8_power": l8,
     "l9_risk_coverage": l9, "l10_safe_coverage": l10, "n3_global_rank": rank,
@@ -372,8 +397,11 @@ ORACLE = {
     "l4_pvalues": _P + _CURVE.format(by="", split="calib") + _PV + " select lam, n_accepted, round(p_hoeffding, 6) as p_hoeffding, round(p_bentkus, 6) as p_bentkus, round(least(p_hoeffding, p_bentkus), 6) as p from pv",
     "l5_learn_then_test": _P + _CURVE.format(by="", split="calib") + _PV + ", k as (select *, n_accepted > 0 and least(p_hoeffding, p_bentkus) <= 0.05::double / 100 as ok from pv) select min(lam) filter (ok) as lam, count(*) filter (ok) as passed from k",
     "l7_test_validation": _P
-    + """, a as (select count(*) filter (gate >= 0.62::double) as n, count(*) filter (gate >= 0.62::double and loss_retr > loss_base + 0.01::double) as h, count(*) as t from p where split = 'test')
-      select 0.62::double as lam, round(case when n > 0 then h / n::double else 0 end, 6) as risk, round(n / t::double, 6) as coverage, case when n > 0 then h / n::double else 0 end <= 0.1::double as passed, case when case when n > 0 then h / n::double else 0 end <= 0.1::double then '' else 'risk' end as reason from a""",
+    + _CURVE.format(by="", split="calib")
+    + _PV
+    + """, k as (select *, n_accepted > 0 and least(p_hoeffding, p_bentkus) <= 0.05::double / 100 as ok from pv), ct as (select min(lam) filter (ok) as lam from k),
+      a as (select lam, count(*) filter (gate >= lam) as n, count(*) filter (gate >= lam and loss_retr > loss_base + 0.01::double) as h, count(*) as t from p, ct where split = 'test' group by lam), z as (select *, case when n > 0 then h / n::double else 0 end as risk from a)
+      select lam, case when lam is not null then round(risk, 6) end as risk, case when lam is not null then round(n / t::double, 6) end as coverage, lam is not null and risk <= 0.1::double as passed, case when lam is null then 'no_threshold' when risk <= 0.1::double then '' else 'risk' end as reason from z""",
     "l8_power": _P
     + _CURVE.format(by="", split="calib")
     + """, w as (select *, n_accepted > 0 and least(exp(-2 * n_accepted * 0.01::double), exp(1 + n_accepted * ln(0.9::double))) <= 0.05::double as reachable from r) select lam, n_accepted, reachable, 150 as min_n, (select not reachable from w where place = 1) as blocked_at_first from w""",

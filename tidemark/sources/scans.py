@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +15,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemark.functions.scalars import clean
 from tidemark.operators.measure import last_wins
+from tidemark.session import cut
 
 
 class MissingColumnsError(ValueError):
@@ -108,11 +113,74 @@ def table_counts(tables: dict[str, Callable[[], DataFrame]]) -> DataFrame:
 
 
 def write_report(df: DataFrame, path: str, partition_by: list[str] | None = None, fmt: str = "parquet") -> None:
-    """A result as parquet (dealt by columns) or as a tab-separated text table."""
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.option("header", True).option("sep", "\t").csv(path) if fmt == "tsv" else writer.parquet(path)
+    """A result as parquet (dealt by columns), as a tab-separated text table or as JSON lines, published by ``publish``."""
+
+    def write(to: str) -> None:
+        writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+        writer.option("header", True).option("sep", "\t").csv(to) if fmt == "tsv" else writer.json(to) if fmt == "json" else writer.parquet(to)
+
+    publish(df.sparkSession, path, write)
+
+
+def write_nested_report(metrics: DataFrame, path: str) -> None:
+    """Long rows ``(metric, key, value)`` as one JSON document, a dot in a key opening a level: a report is small, its rows
+    meet on the driver. A row without a key is the metric's own value; of repeated rows the last by value counts."""
+    out: dict = {}
+    for r in metrics.select("metric", "key", "value").orderBy("metric", F.col("key").asc_nulls_first(), "value").collect():
+        names = [r["metric"], *(r["key"].split(".") if r["key"] is not None else [])]
+        at = out
+        for n in names[:-1]:
+            at = at.setdefault(n, {}) if isinstance(at.get(n), (dict, type(None))) else at.update({n: {"": at[n]}}) or at[n]
+        at[names[-1]] = r["value"]
+    text = json.dumps(out, ensure_ascii=False, sort_keys=True)
+    frame = metrics.sparkSession.createDataFrame([(text,)], "value string").coalesce(1)
+    publish(metrics.sparkSession, path, lambda to: frame.write.text(to))
+
+
+def write_split(assigned: DataFrame, path: str, unit: str, split: str = "split") -> None:
+    """The split as JSON lines ``{unit}``, one folder a split, so that no list of units is ever built."""
+    write_report(assigned.select(F.col(unit).alias("unit"), F.col(split).alias("split")).distinct(), path, ["split"], "json")
+
+
+class UnpublishedError(ValueError):
+    """A folder has no manifest: its write was interrupted, or it is not one of these tables."""
+
+
+def _files(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def publish(spark: SparkSession, path: str, write: Callable[[str], None], keep: bool = False) -> bool:
+    """Writes beside ``path`` and renames the finished folder to it: readers see the old table or the whole new one, and what an
+    interrupted run leaves has another name. The manifest ``_SUCCESS`` goes with the folder.
+
+    With ``keep`` a table that is there already stays, and the new one is dropped; false says so.
+    """
+    target, fs = _files(spark, path)
+    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    write(staged)
+    made, _ = _files(spark, staged)
+    if keep and fs.exists(target):
+        fs.delete(made, True)
+        return False
+    if fs.exists(target):
+        fs.delete(target, True)
+    fs.mkdirs(target.getParent())
+    if not fs.rename(made, target) or fs.exists(spark._jvm.org.apache.hadoop.fs.Path(target, made.getName())):
+        inside = spark._jvm.org.apache.hadoop.fs.Path(target, made.getName())  # another run was first: rename went into its folder
+        for lost in (inside, made):
+            if fs.exists(lost):
+                fs.delete(lost, True)
+        return False
+    return True
+
+
+def assert_published(spark: SparkSession, path: str) -> None:
+    """Raises unless ``path`` is a finished table."""
+    mark, fs = _files(spark, f"{path.rstrip('/')}/_SUCCESS")
+    if not fs.exists(mark):
+        raise UnpublishedError(path)
 
 
 def missing_keys(wanted: DataFrame, cache: DataFrame, key: str) -> DataFrame:
@@ -120,9 +188,34 @@ def missing_keys(wanted: DataFrame, cache: DataFrame, key: str) -> DataFrame:
     return wanted.select(key).where(F.col(key).isNotNull()).distinct().join(cache.select(key), key, "left_anti")
 
 
+def read_cache(spark: SparkSession, path: str, key: str) -> DataFrame | None:
+    """The finished batches of a cache, each key once (from the first batch by name); none if there is none yet. A plain parquet
+    table in the folder counts as the first batch."""
+    folder, fs = _files(spark, path)
+    names = sorted(f.getPath().getName() for f in (fs.listStatus(folder) if fs.exists(folder) else []))
+    batches = ["part-*"] * any(n.startswith("part-") for n in names) + [n for n in names if n.startswith("batch-") and ".staged-" not in n]
+    if not batches:
+        return None
+    found = reduce(DataFrame.unionByName, [spark.read.parquet(f"{path}/{n}").withColumn("_batch", F.lit(i)) for i, n in enumerate(batches)])
+    if len(batches) == 1:
+        return found.drop("_batch")
+    rest = [c for c in found.columns if c not in (key, "_batch")]
+    return found.groupBy(key).agg(F.min_by(F.struct(*rest), "_batch").alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
 def extend_cache(wanted: DataFrame, path: str, key: str, annotate: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Annotates what a parquet cache lacks, appends it and reads the cache again."""
+    """Annotates the keys that a parquet cache lacks and reads the cache again.
+
+    A cache is a folder of batches. A batch is named by a digest of its keys and published by rename, so a run that is
+    interrupted leaves nothing that counts, one that is repeated adds nothing, and of two runs that overlap either may come
+    first; a key that two batches hold counts once.
+    """
     spark = wanted.sparkSession
-    missing = missing_keys(wanted, spark.read.parquet(path), key)
-    annotate(missing).write.mode("append").parquet(path)
-    return wanted.join(spark.read.parquet(path), key, "left")
+    cache = read_cache(spark, path, key)
+    keys = cut(wanted.select(key).where(F.col(key).isNotNull()).distinct() if cache is None else missing_keys(wanted, cache, key))
+    h = F.xxhash64(key).cast("decimal(38,0)")
+    n, total, other = keys.agg(F.count("*"), F.sum(h), F.sum(F.xxhash64(key, F.lit(1)).cast("decimal(38,0)"))).first()
+    if n or cache is None:
+        name = hashlib.sha256(f"{n} {total} {other}".encode()).hexdigest()[:32]
+        publish(spark, f"{path.rstrip('/')}/batch-{name}", lambda to: annotate(keys).write.parquet(to), keep=True)
+    return wanted.join(read_cache(spark, path, key), key, "left")
