@@ -88,3 +88,13 @@ def test_op11_on_the_tables(spark):
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.op11_super_kmer_dedup(spark, SF).collect()}
     assert got == {d: (n, k, hashlib.sha256(x.encode()).hexdigest()) for (d, _), (n, k, x) in zip(docs, brute(docs))}
     assert any(0 < k < n for n, k, _ in got.values())
+
+
+def test_hashes_of_longs_are_those_of_spark(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+    from tidemark.llm.batches import hash_longs
+
+    rows = [(0, 1, -1), (1 << 62, -(1 << 63), 7), (-5, 123456789, 0)]
+    got = hash_longs(*[np.array(c, np.int64) for c in zip(*rows)]).view(np.int64).tolist()
+    assert got == [r.h for r in spark.createDataFrame(rows, "a long, b long, c long").select(F.xxhash64("a", "b", "c").alias("h")).collect()]

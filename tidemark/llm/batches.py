@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: Characters of text handled at once; a longer text is handled alone.
 CHUNK = 250_000
@@ -157,19 +156,16 @@ def plain_table() -> np.ndarray:
     return t
 
 
-def bitmap(keys: DataFrame, column: str, rows: int, least: int = 20, most: int = 27) -> np.ndarray:
-    """A filter of the hashes in ``column``, as packed bits: 2^``least`` to 2^``most`` of them (16 MB), by the number of
-    ``rows``. Beyond that it lets more through, so what follows must not depend on it."""
-    size = min(most, max(least, (8 * max(1, rows)).bit_length()))
-    at = F.shiftrightunsigned(F.col(column), 64 - size)
-    placed = keys.select(at.alias("p")).select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("b"))
-    found = placed.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    bits = np.zeros(1 << max(0, size - 6), U64)
-    bits[found.column("w").to_numpy()] = found.column("b").to_numpy().view(U64)
-    return bits
-
-
-def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Whether the filter may hold these hashes."""
-    at = hashes >> U64(64 - (6 + len(bits).bit_length() - 1))
-    return (bits[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) != 0
+def hash_longs(*columns: np.ndarray) -> np.ndarray:
+    """What Spark's ``xxhash64`` gives for rows of non-null longs: the 64-bit XXH of each, seeded by the one before (the first by 42)."""
+    p1, p2, p3, p4, p5 = (U64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # fixed values
+    turn = lambda x, k: (x << U64(k)) | (x >> U64(64 - k))
+    h = np.full(len(columns[0]), 42, U64)
+    for c in columns:
+        h = h + p5 + U64(8)
+        h ^= turn(np.asarray(c, np.int64).view(U64) * p2, 31) * p1
+        h = turn(h, 27) * p1 + p4
+        h = (h ^ (h >> U64(33))) * p2
+        h = (h ^ (h >> U64(29))) * p3
+        h ^= h >> U64(32)
+    return h

@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tidemark.llm.batches import U64, Words, bitmap, chunks, in_bitmap, lower_table, mix64, pieces
+from tidemark.functions.filters import bloom, may_hold
+from tidemark.llm.batches import U64, Words, chunks, lower_table, mix64, pieces
 from tidemark.session import cut, release, scratch, table, written
 
 #: Frequencies at which a term gets one more entry in the signature.
@@ -138,7 +139,7 @@ def document_counts(indexed: DataFrame, wanted: np.ndarray) -> DataFrame:
         for batch in batches:
             for t, c in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist()):
                 h = np.frombuffer(t, U64)
-                keep = in_bitmap(wanted, h)
+                keep = may_hold(wanted, h)
                 yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(np.frombuffer(c, np.int64)[keep])], names=["term", "df"])
 
     parts = indexed.where("terms is not null").select("terms", "counts").mapInArrow(run, "term long, df long")
@@ -291,7 +292,7 @@ def search(indexed: DataFrame, items: DataFrame, k: int = 20, item: str = "item_
     named = written(items.select(F.col(item).alias("id"), F.col(text).alias("text")).distinct().withColumn("item", F.monotonically_increasing_id()))
     asked = written(_asked(named, "text"))
     wanted = asked.select("term").distinct()
-    df = document_counts(indexed, bitmap(wanted, "term", wanted.count()))
+    df = document_counts(indexed, bloom(wanted, "term", wanted.count()))
     weight = F.floor(F.lit(1000.0) * F.log(F.lit(float(2 * all_docs + 2)) / (2 * F.col("df") + 1))).cast("long")
     weighted = cut(asked.join(df, "term").withColumn("w", weight * F.col("q")).where("w > 0"))
     release(spark)

@@ -25,9 +25,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from tidemark.llm.batches import U64, Words, aside, bitmap, chunks, in_bitmap, mix64, pieces, plain_table
+from tidemark.functions.filters import bloom, may_hold
+from tidemark.llm.batches import U64, Words, aside, chunks, hash_longs, mix64, pieces, plain_table
 from tidemark.operators.ranking import global_rank
-from tidemark.session import cut, release, table, written
+from tidemark.session import cut, release, scratch, table
 
 #: Words of a window, and of the runs whose least hash is its minimiser.
 WINDOW, GRAM = 20, 8
@@ -160,7 +161,7 @@ def _occurrences(scanned: DataFrame, bits: np.ndarray) -> DataFrame:
                 ends = np.diff(part.column("m").offsets.to_numpy())
                 flat = {n: part.column(n).flatten() for n in _PARTS}
                 row = np.repeat(np.arange(part.num_rows), ends)
-                keep = np.flatnonzero(in_bitmap(bits, flat["m"].to_numpy().view(U64)))
+                keep = np.flatnonzero(may_hold(bits, flat["m"].to_numpy()))
                 if len(keep):
                     cols = [part.column(n).take(pa.array(row[keep])) for n in ("d", "t", "nw")] + [flat[n].take(pa.array(keep)) for n in _PARTS]
                     yield pa.RecordBatch.from_arrays(cols, names=["d", "t", "nw", *_PARTS])
@@ -169,12 +170,12 @@ def _occurrences(scanned: DataFrame, bits: np.ndarray) -> DataFrame:
 
 
 def _identity() -> Column:
-    """A hash of one occurrence of a super-k-mer."""
-    return F.xxhash64("s", "d", "a")
+    """A hash of one occurrence of a super-k-mer: that of ``hash_longs``."""
+    return F.xxhash64("s", "d", F.col("a").cast("long"))
 
 
 def _strings(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """Super-k-mers whose hash the filter lets through, with their words as one string."""
+    """The occurrences of super-k-mers that the filter lets through, with their words as one string."""
 
     def run(batches):
         cols = [[] for _ in range(8)]
@@ -186,7 +187,8 @@ def _strings(docs: DataFrame, bits: np.ndarray) -> DataFrame:
 
         for part, i, text, h in _texts(batches, "text"):
             m, s, a, w, _ = superkmers(h)
-            keep = np.flatnonzero(in_bitmap(bits, s))
+            d, t = part.column("d")[i].as_py(), part.column("t")[i].as_py()
+            keep = np.flatnonzero(may_hold(bits, hash_longs(s.view(np.int64), np.full(len(s), d), a)))
             if not len(keep):
                 continue
             plain = _plain(text)
@@ -194,7 +196,6 @@ def _strings(docs: DataFrame, bits: np.ndarray) -> DataFrame:
             begin, end = np.concatenate([[0], gaps + 1]), np.append(gaps, len(plain))
             stop = a[keep] + w[keep] + WINDOW - 2
             words = [plain[x:y] for x, y in zip(begin[a[keep]].tolist(), end[stop].tolist())]
-            d, t = part.column("d")[i].as_py(), part.column("t")[i].as_py()
             for c, v in zip(cols, (m.view(np.int64)[keep].tolist(), s.view(np.int64)[keep].tolist(), [d] * len(keep), [t] * len(keep), [len(h)] * len(keep), a[keep].tolist(), w[keep].tolist(), words)):
                 c.extend(v)
             held += sum(map(len, words))
@@ -327,7 +328,7 @@ def _texts_of(docs: DataFrame, bits: np.ndarray) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(in_bitmap(bits, batch.column("k").to_numpy().view(U64))))
+            yield batch.filter(pa.array(may_hold(bits, batch.column("k").to_numpy())))
 
     return docs.select("d", "t", "k", "text").mapInArrow(run, "d long, t long, k long, text string")
 
@@ -373,9 +374,10 @@ def _remove(docs: DataFrame, key: str, text: str, digest: bool) -> DataFrame:
     spark = docs.sparkSession
 
     def step(df: DataFrame) -> DataFrame:
-        out = written(df)
+        path = scratch(spark)
+        df.write.option("compression", "zstd").parquet(path)
         release(spark)
-        return out
+        return spark.read.parquet(path)
 
     if isinstance(docs.schema[key].dataType, IntegralType):
         placed = docs.withColumn("d", F.coalesce(F.col(key).cast("long"), F.lit(LAST)))
@@ -388,7 +390,7 @@ def _remove(docs: DataFrame, key: str, text: str, digest: bool) -> DataFrame:
     # minimisers that occur again, or have equal windows inside one super-k-mer
     pairs = F.explode(F.arrays_zip("m", "own")).alias("x")
     again = cut(scanned.select(pairs).groupBy(F.col("x.m").alias("m")).agg(F.count("*").alias("k"), F.max("x.own").alias("own")).where("k > 1 or own").select("m"))
-    places = step(_occurrences(scanned, bitmap(again, "m", again.count())))
+    places = step(_occurrences(scanned, bloom(again, "m", again.count())))
     strings = cut(places.groupBy("m", "s").agg(F.min(F.struct("d", "a")).alias("first"), F.count("*").alias("k"), F.max("own").alias("own")))
     release(spark)
     # what occurs again as a whole
@@ -397,13 +399,13 @@ def _remove(docs: DataFrame, key: str, text: str, digest: bool) -> DataFrame:
     # what meets others in the bucket of its minimiser
     size = strings.groupBy("m").agg(F.count("*").alias("c"), F.max("own").alias("any")).where("c > 1 or any").select("m", "c")
     travel = cut(strings.join(size, "m").where("c > 1 or own").select("s", F.col("first.d").alias("d"), F.col("first.a").alias("a"), "c"))
-    packed = _strings(source, bitmap(travel, "s", travel.count()))
+    packed = _strings(source, bloom(travel.select(_identity().alias("h")), "h", travel.count()))
     packed = step(packed.join(travel, ["s", "d", "a"]))
     spans = step(late.unionByName(_sorted_buckets(packed.where(F.col("c") <= HOT))).unionByName(_split_buckets(packed.where(F.col("c") > HOT))))
     covered = step(_covered(spans))
     some = covered.where("keep is not null")
     wanted = cut(some.select(F.xxhash64("d", "t").alias("k")))
-    texts = _texts_of(source.withColumn("k", F.xxhash64("d", "t")), bitmap(wanted, "k", wanted.count())).drop("k")
+    texts = _texts_of(source.withColumn("k", F.xxhash64("d", "t")), bloom(wanted, "k", wanted.count())).drop("k")
     left = _kept(texts.join(some, ["d", "t"]))
     if digest:
         left = step(left.select("d", "t", F.sha2("kept", 256).alias("kept")).dropDuplicates(["d", "t"]))
