@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tidemark.functions.scalars import jaccard
 from tidemark.operators.annotate import cosine, dot
 from tidemark.session import cut
 
@@ -213,12 +212,36 @@ def feature_matrix(rows: DataFrame, key: str = "query_id") -> DataFrame:
     return rows.select(key, F.array(*[F.col(c).cast("double") for c in FEATURES]).alias("features"))
 
 
+_PAIRS = "query_id long, pairwise_tanimoto_mean double, pairwise_tanimoto_std double, activity_cliff_score double"
+
+
+def _pair_features(part: pd.DataFrame, cliff_sim: float, cliff_gap: float) -> pd.DataFrame:
+    """Over all pairs of one query's pool: Jaccard among its top, and the share of activity cliffs times their mean gap."""
+    part = part.sort_values("memory_id")
+    sets = [np.unique(x) if x is not None else np.empty(0) for x in part["items"]]
+    known = np.unique(np.concatenate([*sets, np.empty(0)]))
+    held = np.zeros((len(sets), len(known)))
+    for row, s in zip(held, sets):
+        row[np.searchsorted(known, s)] = 1
+    inter, size = held @ held.T, held.sum(1)
+    union = size[:, None] + size[None, :] - inter
+    i, j = np.triu_indices(len(sets), 1)
+    sim = np.where(union > 0, inter / np.maximum(union, 1), 0.0)[i, j]
+    y, top = part["y"].to_numpy(float), part["is_topk"].fillna(False).to_numpy(bool)
+    gap = np.abs(y[i] - y[j])
+    near = sim >= cliff_sim
+    cliff, sure = near & (gap >= cliff_gap), ~(near & np.isnan(gap))
+    tops = sim[top[i] & top[j]]
+    score = cliff[sure].mean() * (gap[cliff].mean() if cliff.any() else 0.0) if sure.any() else None
+    return pd.DataFrame({"query_id": part["query_id"].iloc[:1], "pairwise_tanimoto_mean": [tops.mean() if len(tops) else None], "pairwise_tanimoto_std": [tops.std() if len(tops) else None], "activity_cliff_score": [score]})
+
+
 def support_features(pool: DataFrame, base: DataFrame, ensemble: bool = True, cliff_sim: float = 0.60, cliff_gap: float = 1.0, high: float = 0.70) -> DataFrame:
     """H1: the 28 support features of each query, and the names of those that are ``blocked``.
 
     ``pool``: ``query_id, memory_id, score, s_tan, s_emb, match_conf, alpha, y, family_id, assay_compatible,
     items, is_topk``; ``base``: ``query_id, base_ensemble_variance, base_aleatoric_sigma``. Conflict features
-    use the whole pool, support features its top. Pairs are made within a query only, whose pool
+    use the whole pool, support features its top. Pairs are looked at within a query only, in one call, as its pool
     is bounded by ``POOL``.
     """
     q = ["query_id"]
@@ -251,14 +274,8 @@ def support_features(pool: DataFrame, base: DataFrame, ensemble: bool = True, cl
     mad = pool.join(k0.select(*q, "_med"), q).groupBy(*q).agg(F.percentile(F.abs(F.col("y") - F.col("_med")), F.lit(0.5)).alias("neighbor_label_mad"))
 
 
-    def pairs(rows: DataFrame) -> DataFrame:
-        x, y = (rows.select("query_id", F.col("memory_id").alias(f"m{i}"), F.col("items").alias(f"i{i}"), F.col("y").alias(f"y{i}")) for i in (1, 2))
-        return x.join(y, "query_id").where("m1 < m2").select("query_id", jaccard(F.col("i1"), F.col("i2")).alias("j"), F.abs(F.col("y1") - F.col("y2")).alias("g"))
-
-    tops = pairs(top).groupBy(*q).agg(F.avg("j").alias("pairwise_tanimoto_mean"), F.stddev_pop("j").alias("pairwise_tanimoto_std"))
-    cliff = (F.col("j") >= cliff_sim) & (F.col("g") >= cliff_gap)
-    cliffs = pairs(pool).groupBy(*q).agg((F.avg(cliff.cast("double")) * F.coalesce(F.avg(F.when(cliff, F.col("g"))), F.lit(0.0))).alias("activity_cliff_score"))
-    out = k0.join(k, q).join(mad, q).join(tops, q, "left").join(cliffs, q, "left").join(base, q)
+    pairs = pool.select("query_id", "memory_id", "items", "y", "is_topk").groupBy("query_id").applyInPandas(lambda part: _pair_features(part, cliff_sim, cliff_gap), _PAIRS)  # POOL rows
+    out = k0.join(k, q).join(mad, q).join(pairs, q, "left").join(base, q)
     out = out.withColumn("var_ratio_k_over_k0", F.when(F.col("neighbor_label_variance") > 1e-12, F.col("_vk") / F.col("neighbor_label_variance")).otherwise(0.0))
     out = out.withColumn("dropped_high_tanimoto_cnt", F.greatest(F.col("_h0") - F.col("_hk"), F.lit(0)).cast("double"))
     if not ensemble:
