@@ -44,7 +44,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id.
 
-    Of repeated rows one stays. Documents without an id stay: no decision can name them.
+    Of repeated rows one stays. An id that has several texts stays with all of them if it is the smallest of any of their groups, as the
+    operator decides on ids. Documents without an id stay: no decision can name them.
     """
     bounded_batches(spark)
     found = ngrams.jaccard_components(docs)
