@@ -124,7 +124,9 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = 100_000, ridge: float = 1e-4,
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, folds: int = 3, held_out: int = 1) -> Ranking:
-    """Fits on a sample of at most about ``max_rows`` labelled documents outside the held-out fold."""
+    """Fits on a sample of at most about ``max_rows`` labelled documents outside the held-out fold. Ids may be of any type; of
+    several texts of one id one counts. Without labelled documents every score is 0.5."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
     chosen = sample(labels.where(fold(F.col("doc_id"), folds) != held_out), "quality", max_rows)
 
     def run(batches):
@@ -133,13 +135,15 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, folds: int
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), x], names=["doc_id", "y", "x"])
 
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
-    rows = texts.mapInArrow(run, "doc_id long, y int, x array<double>").groupBy("doc_id", "y").agg(F.min("x").alias("x")).collect()
+    rows = texts.mapInArrow(run, f"doc_id {kind}, y int, x array<double>").groupBy("doc_id", "y").agg(F.min("x").alias("x")).collect()
     rows.sort(key=lambda r: r.doc_id)  # bounded by the sample's size
     return fit(np.array([r.x for r in rows]).reshape(-1, len(FEATURES)), np.array([r.y for r in rows], dtype=int))
 
 
 def classify(docs: DataFrame, model: Ranking, text: str = "text") -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on); a null text counts as empty."""
+    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on); a null text counts as empty. Repeated rows are scored alike,
+    an empty table gives an empty result, a text of any length is read in parts where it has white space. Columns named
+    ``score`` and ``predicted`` are replaced, all others kept."""
     source = docs.drop(*[c for c in ("score", "predicted") if c != text])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema) + ", score double, predicted int"
     names = [*source.columns, "score", "predicted"]

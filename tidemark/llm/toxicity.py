@@ -240,7 +240,8 @@ def classify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1), ``predicted`` (1 from 0.5 on) and ``hits`` (counts by kind).
 
     A null text counts as empty and has no hits. Without labels of both kinds the lexicon is
-    empty and every text gets the labels' share as its score (0 without labels).
+    empty and every text gets the labels' share as its score (0 without labels). Repeated rows are scored alike, an empty table
+    gives an empty result, a very long text is read in parts where it has white space. Columns named as the three are replaced, all others kept.
     """
     made = ["score", "predicted", "hits"]
     source = docs.drop(*[c for c in made if c != text])
