@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
+from tidemark.operators.ranking import join_groups, order_statistics
+from tidemark.session import cut
 
 
 def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -25,13 +27,19 @@ def spread_status(n: Column, low: Column, high: Column, most: float = 1.5) -> Co
 
 
 def robust_aggregate(df: DataFrame, keys: list[str], value: str = "p", method: str = "median", most: float = 1.5) -> DataFrame:
-    """Median (or mean) of repeats, null with status ``high_spread`` if they lie too far apart."""
-    centre = F.percentile(value, F.lit(0.5)) if method == "median" else F.avg(value)
-    agg = df.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), centre.alias("centre"))
-    agg = agg.where("n > 0").withColumn("status", spread_status(F.col("n"), F.col("low"), F.col("high"), most))
+    """Median (or mean) of repeats, null with status ``high_spread`` if they lie too far apart. Medians come from ordered value
+    counts, so a key with very many repeats meets in no task."""
+    agg = df.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("centre")).where("n > 0")
+    if method == "median":
+        agg = join_groups(agg.drop("centre"), _medians(df, keys, value), keys)
+    agg = agg.withColumn("status", spread_status(F.col("n"), F.col("low"), F.col("high"), most))
     return agg.select(*keys, "n", F.when(F.col("status") == "ok", F.col("centre")).alias("p"), "status")
 
 
+def _medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    return order_statistics(df, keys, value, {"centre": ("linear", 0.5)}).select(*keys, "centre")
+
+
 def reconcile_flag(flag: str) -> Column:
     """D2, as an aggregate: the flag if all rows have it, else none."""
     return F.when(F.min(flag) == F.max(flag), F.min(flag)).otherwise("none")
@@ -50,16 +58,17 @@ def merge(measurements: DataFrame, entities: DataFrame, annotations: DataFrame,
     m = convert_units(m).withColumnRenamed("status", "_unit")
     m = m.withColumn("_flag", S.censor_flag(F.col("relation")))
     status = F.when(F.col("_known").isNull(), "no_annotation").when(F.col("entity_id").isNull(), "entity_or_tax_mismatch").when(F.col("_unit") != "ok", F.col("_unit")).otherwise("ok")
-    m = m.withColumn("status", status)
-    good = m.where("status = 'ok'").groupBy("entity_id", "exact_key").agg(
+    m = cut(m.withColumn("status", status).select("entity_id", "exact_key", "p", "_flag", "source", "ingest_order", "status"))
+    ok = m.where("status = 'ok'")
+    good = ok.groupBy("entity_id", "exact_key").agg(
         F.count("*").alias("n_source_records"),
         F.min("p").alias("low"),
         F.max("p").alias("high"),
-        F.percentile("p", F.lit(0.5)).alias("centre"),
         reconcile_flag("_flag").alias("flag"),
         (F.min("_flag") != F.max("_flag")).alias("mixed"),
         F.min_by("source", "ingest_order").alias("source"),
     )
+    good = join_groups(good, _medians(ok, ["entity_id", "exact_key"], "p"), ["entity_id", "exact_key"])
     good = good.withColumn("status", spread_status(F.col("n_source_records"), F.col("low"), F.col("high"), most))
     good = good.select("entity_id", "exact_key", F.when(F.col("status") == "ok", F.col("centre")).alias("p"), "flag", "mixed", "n_source_records", "source", "status")
     none = lambda t: F.lit(None).cast(t)
