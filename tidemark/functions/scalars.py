@@ -36,6 +36,11 @@ RIGHT, LEFT, EXACT = [">", ">=", ">>"], ["<", "<=", "<<"], ["=", "~"]
 # Species named at the end of an entity's name.
 SPECIES = r"human|rat|mouse|bovine|sheep|ovine|electric\s+\w+|torpedo|mushroom|yeast|rabbit|porcine|pig|chicken|dog|canine|zebrafish|drosophila|e\.?\s*coli"
 
+# What goes from an entity's name, in this order, and what stands for a space.
+NAME_SPECIES = rf"(?i)\s*\((?:{SPECIES})[^)]*\)\s*$"
+NAME_ORIGIN = r"(?i)\s*(?:from|of)\s+[a-z]+\s+[a-z]+\s*$"
+NAME_OTHER = r"[^a-zA-Z0-9\s\-]"
+
 
 def clean(c: Column, null: str = "n.a.") -> Column:
     """B1: trimmed, with blanks and the null token as null."""
@@ -93,9 +98,10 @@ def relation_known(relation: Column) -> Column:
 
 def normalize_name(name: Column) -> Column:
     """Without species at the end, other than letters, digits and hyphens as single spaces, lower case."""
-    t = F.regexp_replace(F.coalesce(name, F.lit("")), rf"(?i)\s*\((?:{SPECIES})[^)]*\)\s*$", "")
-    t = F.regexp_replace(t, r"(?i)\s*(?:from|of)\s+[a-z]+\s+[a-z]+\s*$", "")
-    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(t, r"[^a-zA-Z0-9\s\-]", " "), r"\s+", " ")))
+    t = F.coalesce(name, F.lit(""))
+    for pattern, by in ((NAME_SPECIES, ""), (NAME_ORIGIN, ""), (NAME_OTHER, " "), (r"\s+", " ")):
+        t = F.regexp_replace(t, pattern, by)
+    return F.lower(F.trim(t))
 
 
 def prefix_key(key: Column, length: int = 14) -> Column:
