@@ -30,8 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
+from tidemark.functions.filters import bloom, may_hold
 from tidemark.llm.batches import U64, Words, chunks, lower_table, mix64, pieces
 from tidemark.operators.components import connected_components
 from tidemark.session import cut, release, table
@@ -170,9 +170,9 @@ def global_order(found: DataFrame) -> Order:
     return Order(g[place], (len(g) - place).astype(np.int32))
 
 
-def postings(docs: DataFrame, text: str, order: Order) -> DataFrame:
-    """``(g, c, n, p)``: the prefix of every class in the global order, with the places from 0. A task
-    skips classes it had."""
+def postings(docs: DataFrame, text: str, order: Order, only: np.ndarray | None = None) -> DataFrame:
+    """``(g, c, n, p)``: the prefix of every class in the global order, with the places from 0, or of it what the filter
+    ``only`` lets through. A task skips classes it had."""
 
     def run(batches):
         had: set[int] = set()
@@ -185,11 +185,13 @@ def postings(docs: DataFrame, text: str, order: Order) -> DataFrame:
                 if len(had) < REMEMBERED:
                     had.add(c)
                 s, _ = order.sort(sets.grams(i))
-                p = prefix(len(s))
-                out.append(s[:p])
-                which.append(np.full(p, c, U64))
-                size.append(np.full(p, len(s), np.int32))
-                place.append(np.arange(p, dtype=np.int32))
+                at = np.arange(prefix(len(s)), dtype=np.int32)
+                if only is not None:
+                    at = at[may_hold(only, s[at])]
+                out.append(s[at])
+                which.append(np.full(len(at), c, U64))
+                size.append(np.full(len(at), len(s), np.int32))
+                place.append(at)
             if out:
                 cols = [pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(which).view(np.int64)), pa.array(np.concatenate(size)), pa.array(np.concatenate(place))]
                 yield pa.RecordBatch.from_arrays(cols, names=["g", "c", "n", "p"])
@@ -330,10 +332,11 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     narrow = docs.select(text)
     number = max(FRAGMENTS, -(-(found.agg(F.max("n")).first()[0] or 0) // PART))
     order = global_order(found)
-    # n-grams that several classes have in their prefixes
-    every = Window.partitionBy("g")
-    lists = postings(narrow, text, order).withColumn("_a", F.min("c").over(every)).withColumn("_b", F.max("c").over(every))
-    lists = step(lists.withColumn("m", F.count("*").over(every)).where("_a <> _b").select("g", "c", "n", "p", "m").distinct())
+    # n-grams that several classes have in their prefixes: counted with sums in the tasks, then their rows alone are sent
+    met = postings(narrow, text, order).groupBy("g").agg(F.min("c").alias("_a"), F.max("c").alias("_b"), F.count("*").alias("m"))
+    met = step(met.where("_a <> _b").select("g", "m"))
+    rows = step(postings(narrow, text, order, bloom(met, "g", met.count())).distinct())
+    lists = step(rows.join(met, "g").select("g", "c", "n", "p", "m"))
     held = step(lists.groupBy("c").agg(F.collect_list("g").alias("held")))  # a prefix at most
     # near copies to their most typical class
     stars = step(narrowed(cut(star_pairs(lists)), held))
