@@ -24,6 +24,12 @@ def test_units(spark):
     assert [round(r.p, 5) for r in got[:3]] == [9.0, 6.0, 4.69897]
 
 
+def test_zero_of_unconvertible_unit(spark):
+    rows = [(0.0, "%", None), (0.0, "nM", None), (-1.0, "", 100.0), (0.0, "mm", None), (0.0, "ug.mL-1", None)]
+    got = measure.convert_units(spark.createDataFrame(rows, "value double, unit string, mw double")).collect()
+    assert [r.status for r in got] == ["bad_unit", "nonpositive", "bad_unit", "ambiguous", "nonpositive"]
+
+
 def test_spread(spark):
     rows = [("a", 5.0), ("a", 7.0), ("b", 6.0), ("b", 6.5), ("b", 7.0)]
     got = {r.k: (r.p, r.status) for r in measure.robust_aggregate(spark.createDataFrame(rows, "k string, p double"), ["k"]).collect()}
