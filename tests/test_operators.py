@@ -30,6 +30,14 @@ def test_zero_of_unconvertible_unit(spark):
     assert [r.status for r in got] == ["bad_unit", "nonpositive", "bad_unit", "ambiguous", "nonpositive"]
 
 
+def test_merge_counts_a_zero_of_unconvertible_unit_once(spark):
+    rows = [("a", 1, 0, 0.0, "%", "=", None, "s", 1), ("a", 1, 0, 10.0, "nM", "=", None, "s", 2)]
+    m = spark.createDataFrame(rows, "exact_key string, accession long, tax_id long, value double, unit string, relation string, mw double, source string, ingest_order long")
+    e = spark.createDataFrame([(1, 0, "x")], "accession long, tax_id long, entity_id string")
+    got = measure.merge(m, e, spark.createDataFrame([("a", "p")], "exact_key string, prefix string")).collect()
+    assert sorted((r.status, r.p, r.n_source_records) for r in got) == [("bad_unit", None, 1), ("ok", 8.0, 1)]
+
+
 def test_spread(spark):
     rows = [("a", 5.0), ("a", 7.0), ("b", 6.0), ("b", 6.5), ("b", 7.0)]
     got = {r.k: (r.p, r.status) for r in measure.robust_aggregate(spark.createDataFrame(rows, "k string, p double"), ["k"]).collect()}
