@@ -38,6 +38,13 @@ def test_merge_counts_a_zero_of_unconvertible_unit_once(spark):
     assert sorted((r.status, r.p, r.n_source_records) for r in got) == [("bad_unit", None, 1), ("ok", 8.0, 1)]
 
 
+def test_conversion_report_counts_zeros_of_unconvertible_units(spark):
+    rows = [(0.0, "%", None), (1.0, "%", None), (0.0, "nM", None), (1.0, "nM", None)]
+    converted = measure.convert_units(spark.createDataFrame(rows, "value double, unit string, mw double"))
+    got = {(r.metric, r.key): r.value for r in measure.conversion_report(converted).collect()}
+    assert got == {("status", "bad_unit"): 2, ("status", "nonpositive"): 1, ("status", "ok"): 1, ("convert_rate", ""): 0.25, ("dropped_unit", "%"): 2}
+
+
 def test_spread(spark):
     rows = [("a", 5.0), ("a", 7.0), ("b", 6.0), ("b", 6.5), ("b", 7.0)]
     got = {r.k: (r.p, r.status) for r in measure.robust_aggregate(spark.createDataFrame(rows, "k string, p double"), ["k"]).collect()}
