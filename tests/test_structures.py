@@ -163,3 +163,34 @@ def test_minhash_pairs_find_what_the_exact_join_finds(spark):
     found = {(r.a, r.b): r.similarity for r in minhash_pairs(s).collect()}
     assert found.keys() <= exact.keys() and len(found) >= 0.9 * len(exact) and len(exact) > 50
     assert minhash_pairs(s.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["cosine", "jaccard", "hamming"])
+def test_block_holds_a_slab_of_similarities(kind):
+    import tracemalloc
+
+    import pandas as pd
+
+    r = np.random.default_rng(5)
+    bits = r.random((5_000, 16)) < 0.5
+    vectors = [v.tobytes() for v in np.packbits(bits, axis=1)] if kind == "hamming" else list(bits.astype(float))
+    left = pd.DataFrame({"query_id": np.arange(1_000), "vector": vectors[:1_000]})
+    right = pd.DataFrame({"memory_id": np.arange(5_000), "vector": vectors})
+    tracemalloc.start()
+    got = retrieve._best_of_block(left, right, 3, kind)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held < 1_000 * 5_000 * 8  # all similarities of the block at once took several times that
+    assert len(got) == 3_000 and (got["query_id"] != got["memory_id"]).all()
+    x = bits.astype(float)
+    for q in (0, 999):
+        inter, n = x[q] @ x.T, x.sum(1)
+        if kind == "cosine":
+            s = inter / np.maximum(np.sqrt(n[q] * n), 1e-12)
+        elif kind == "jaccard":
+            s = inter / np.maximum(n[q] + n - inter, 1)
+        else:
+            s = -(bits[q] != bits).mean(1)
+        s = np.round(s, 12)
+        s[q] = -np.inf
+        assert got.loc[got["query_id"] == q, "memory_id"].tolist() == np.argsort(-s, kind="stable")[:3].tolist()
