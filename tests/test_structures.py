@@ -194,3 +194,25 @@ def test_block_holds_a_slab_of_similarities(kind):
         s = np.round(s, 12)
         s[q] = -np.inf
         assert got.loc[got["query_id"] == q, "memory_id"].tolist() == np.argsort(-s, kind="stable")[:3].tolist()
+
+
+@pytest.mark.parametrize("name", [None, "name"])
+def test_tasks_of_an_overlap_follow_its_pairs(spark, name):
+    from tidemark.operators import selection
+
+    r = np.random.default_rng(11)
+    facts = [(int(e), int(i), "xy "[e % 3]) for e in range(40) for i in r.choice(60, 10 + e % 7, replace=False)] + [(1, None, "x"), (None, 3, "x")]
+    got = selection.overlap(spark.createDataFrame(facts, "entity_id long, item long, name string"), 12, 0.25, name=name, rows=50)
+    held: dict = {}
+    for e, i, _ in facts:
+        held.setdefault(e, set()).add(i)
+    want = []
+    for a in range(40):
+        for b in range(a + 1, 40):
+            x, y = len(held[a]), len(held[b])  # a null item counts in a size and is shared with none
+            n = len((held[a] & held[b]) - {None})
+            if min(x, y) >= 12 and n and n / min(x, y) >= 0.25 and (not name or (a % 3 == b % 3 and a % 3 < 2)):
+                want.append((a, b, x, y, n, round(n / min(x, y), 4)))
+    assert sorted(tuple(x) for x in got.select("a", "b", "n_a", "n_b", "shared", "overlap").collect()) == want
+    tasks = max(int(x) for x in __import__("re").findall(r"hashpartitioning\(e#\d+L?, (\d+)\)", got._jdf.queryExecution().executedPlan().toString()))
+    assert tasks > int(spark.conf.get("spark.sql.shuffle.partitions"))

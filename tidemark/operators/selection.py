@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranking import join_groups, order_statistics
+from tidemark.session import written
+
+#: Rows or pairs that a task of a counted step gets, about.
+ROWS = 2_000_000
+
 
 class UnknownPolicyError(ValueError):
     """A size policy other than ``exclude`` and ``downgrade``."""
@@ -71,16 +78,31 @@ def scale_audit(facts: DataFrame, cuts: list[int], entity: str = "entity_id", it
     return at.groupBy("least").agg(F.countDistinct(entity).alias("entities"), F.count("*").alias("pairs"), F.countDistinct(item).alias("items"))
 
 
-def overlap(facts: DataFrame, least_items: int, least_share: float, entity: str = "entity_id", item: str = "item", name: str | None = None) -> DataFrame:
+def overlap(facts: DataFrame, least_items: int, least_share: float, entity: str = "entity_id", item: str = "item", name: str | None = None, rows: int = ROWS) -> DataFrame:
     """Pairs of entities by shared items over the smaller one's items. Only pairs that share an item are made;
-    with ``name``, only those of entities that have the same non-blank name."""
+    with ``name``, only those of entities that have the same non-blank name.
+
+    An item's entities stand in a list by size; each of them is sent with those after it, to the task that counts all its pairs. So that no
+    task counts more than about ``rows`` pairs, the number of tasks follows the counted pairs.
+    """
+    few = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = lambda n: max(few, math.ceil((n or 0) / rows))
     keys = [entity, item] + ([name] if name else [])
-    pairs = facts.select(*keys).distinct()
+    n = tasks(facts.count())
+    pairs = facts.select(*keys).repartition(n, entity, item).distinct()
     size = pairs.groupBy(entity).agg(F.count("*").alias("n")).where(F.col("n") >= least_items)
-    held = pairs.join(size, entity)
-    a, b = (held.select(F.col(entity).alias(x), F.col("n").alias(f"n_{x}"), item, *([F.nullif(F.trim(name), F.lit("")).alias("_name")] if name else [])) for x in ("a", "b"))
-    shared = a.join(b, [item] + (["_name"] if name else [])).where("a < b").groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
-    return shared.withColumn("overlap", F.col("shared") / F.least("n_a", "n_b")).where(F.col("overlap") >= least_share).withColumn("overlap", F.round("overlap", 4))
+    held = pairs.join(size, entity).select(F.col("n"), F.col(entity).alias("e"), F.col(item).alias("i"), *([F.nullif(F.trim(name), F.lit("")).alias("_name")] if name else []))
+    by = ["i"] + (["_name"] if name else [])
+    held = held.dropna(subset=["e", *by]).repartition(n, *by)
+    lists = written(held.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("l")).where(F.size("l") > 1).select("l"))
+    made = tasks(lists.agg(F.sum(F.size("l").cast("long") * (F.size("l") - 1) / 2)).first()[0])
+    each = lists.select(F.posexplode("l").alias("at", "x"), "l").where(F.col("at") + 1 < F.size("l"))
+    each = each.select("x.e", "x.n", F.slice(F.col("l.e"), F.col("at") + 2, F.size("l")).alias("others")).repartition(made, "e")
+    shared = each.select("e", "n", F.explode("others").alias("o")).groupBy("e", "n", "o").agg(F.count("*").alias("shared")).where(F.col("shared") / F.col("n") >= least_share)
+    shared = shared.join(size.select(F.col(entity).alias("o"), F.col("n").alias("n_o")), "o")
+    first, share = F.col("e") < F.col("o"), F.round(F.col("shared") / F.col("n"), 4)
+    ends = [F.when(first, x).otherwise(y).alias(c) for c, x, y in (("a", F.col("e"), F.col("o")), ("b", F.col("o"), F.col("e")), ("n_a", F.col("n"), F.col("n_o")), ("n_b", F.col("n_o"), F.col("n")))]
+    return shared.select(*ends, "shared", share.alias("overlap"))
 
 
 def describe(df: DataFrame, side: str, columns: list[str]) -> DataFrame:
