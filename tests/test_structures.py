@@ -216,3 +216,26 @@ def test_tasks_of_an_overlap_follow_its_pairs(spark, name):
     assert sorted(tuple(x) for x in got.select("a", "b", "n_a", "n_b", "shared", "overlap").collect()) == want
     tasks = max(int(x) for x in __import__("re").findall(r"hashpartitioning\(e#\d+L?, (\d+)\)", got._jdf.queryExecution().executedPlan().toString()))
     assert tasks > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_bootstrap_weights_are_hashed_in_parts():
+    import tracemalloc
+
+    from tidemark.operators import bootstrap
+
+    ids = np.arange(-500, 500) * 7919
+    tracemalloc.start()
+    got = bootstrap.weights(ids, 1_000, 5)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held < 4 * got.size  # whole matrices of 64-bit hashes took 16 bytes a cell and more
+    mask = (1 << 64) - 1
+
+    def mix(h):
+        h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        h = (h ^ (h >> 27)) * 0x94D049BB133111EB & mask
+        return h ^ (h >> 31)
+
+    for i, draw in ((0, 0), (7, 999), (999, 3), (640, 512)):
+        h = mix(mix((int(ids[i]) + 5 * 0x9E3779B97F4A7C15) & mask) ^ mix((draw + 1) * 0x9E3779B97F4A7C15 & mask))
+        assert got[i, draw] == bootstrap._TABLE[h >> 48]
