@@ -91,6 +91,34 @@ def test_set_components_of_many_near_copies_make_few_pairs(spark):
     assert edges.count() <= 2 * len(rows)
 
 
+def test_sets_that_share_too_little_of_their_prefixes_are_not_compared(spark, monkeypatch):
+    """Ten pairs of sets share an item in twenty, one pair all but one item in a hundred; equal sets are one."""
+    from tidemark.operators import families
+
+    rows = [(i, sorted([*range(i // 2 * 1000, i // 2 * 1000 + 5), *range(10**6 + i * 1000, 10**6 + i * 1000 + 95)])) for i in range(20)]
+    rows += [(100, [*range(10**8, 10**8 + 100)]), (101, [*range(10**8 + 1, 10**8 + 101)]), (102, [*range(10**8, 10**8 + 100)])]
+    compared, verified = [], families._verified
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(families, "_verified", counted)
+    got = families.similar_pairs(spark.createDataFrame(rows, "node long, items array<long>").repartition(3), 0.75).collect()
+    assert sorted((r.a, r.b, round(r.similarity, 4)) for r in got) == [(100, 101, 0.9802), (100, 102, 1.0)]
+    assert compared == [1]
+
+
+def test_joint_families_take_the_sets_of_a_keys_first_row(spark):
+    from tidemark.operators.families import joint_families
+
+    a, b, c = ([*range(k, k + 20)] for k in (0, 100, 200))
+    q = spark.createDataFrame([(1, "x", "m", a), (2, "y", "n", b)], "id long, key string, form string, items array<long>")
+    p = spark.createDataFrame([(1, "x", "o", c), (2, "z", "r", a), (3, "w", "s", c), (4, None, "t", b)], q.schema)
+    got = [sorted((r.id, r.family_id) for r in side.collect()) for side in joint_families(q, p, "id", "key", ["form"], items="items")]
+    assert got == [[(1, "p:2"), (2, "p:4")], [(1, "p:2"), (2, "p:2"), (3, "p:3"), (4, "p:4")]]
+
+
 def test_replicate_areas_equal_those_of_their_weights(spark):
     """Ties within a range, across ranges and over whole ranges."""
     from tidemark.operators import bootstrap

@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.filters import bloom, may_hold
 from tidemark.operators.components import connected_components
-from tidemark.session import cut
+from tidemark.session import cut, written
 
 
 class DuplicateNodeError(ValueError):
@@ -75,13 +76,36 @@ def set_classes(sets: DataFrame, node: str = "node", items: str = "items") -> tu
     """Equal sets as one class: ``(rep, n, items)`` by class, and ``(rep, node)`` for all others.
 
     A class is found by 128 bits of its sorted items; members meet their representative by that
-    key, so no list of members is ever built. Sets without items belong to no class.
+    key, so no list of members is ever built, and no items are shuffled: representatives' sets are
+    written where they are scanned. Sets without items belong to no class.
     """
-    keyed = sets.where(F.size(items) > 0).select(F.col(node).alias("node"), F.array_sort(F.array_distinct(F.col(items))).alias("items"))
+    keyed = sets.where((F.size(items) > 0) & F.col(node).isNotNull()).select(F.col(node).alias("node"), F.array_sort(F.array_distinct(F.col(items))).alias("items"))
     keyed = keyed.withColumn("_a", F.xxhash64("items")).withColumn("_b", F.xxhash64("items", F.lit(1)))
-    low = cut(keyed.groupBy("_a", "_b").agg(F.min("node").alias("rep")))
-    members = cut(keyed.join(low, ["_a", "_b"]).select("rep", "node", F.when(F.col("rep") == F.col("node"), F.col("items")).alias("items")))
-    return members.where("items is not null").select("rep", F.size("items").alias("n"), "items"), members.where("rep <> node").select("rep", "node")
+    by = ["node", "_a", "_b"]
+    narrow = cut(keyed.select(*by))
+    members = cut(narrow.join(cut(narrow.groupBy("_a", "_b").agg(F.min("node").alias("rep"))), ["_a", "_b"]))
+    others = members.where("rep <> node")
+    one = written(among(keyed, by, members.where("rep = node"), others).select(F.col("node").alias("rep"), F.size("items").alias("n"), "items"))
+    return one, others.select("rep", "node")
+
+
+def may_be(rows: DataFrame, by: list[str], keys: DataFrame) -> DataFrame:
+    """The rows whose columns ``by`` may be those of a row of ``keys`` (materialised): a Bloom filter drops nearly all others where
+    they are scanned, so that wide rows are not shuffled to find this out."""
+    bits, names = bloom(keys.select(F.xxhash64(*by).alias("_h")), "_h", keys.count()), rows.columns
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(may_hold(bits, batch.column("_h").to_numpy()))).select(names)
+
+    return rows.withColumn("_h", F.xxhash64(*by)).mapInArrow(run, rows.schema)
+
+
+def among(rows: DataFrame, by: list[str], keys: DataFrame, rest: DataFrame, most: int = 100_000) -> DataFrame:
+    """The rows whose columns ``by`` are those of a row of ``keys``, if those of all others are in ``rest`` (both materialised). What the
+    filter lets through of ``rest`` is taken out by a join, broadcast up to ``most`` rows."""
+    wrong = cut(may_be(rest.select(*by), by, keys))
+    return may_be(rows, by, keys).join(F.broadcast(wrong) if wrong.count() <= most else wrong, by, "left_anti")
 
 
 @dataclass(frozen=True)
@@ -137,13 +161,25 @@ def _fits(least: float) -> Column:
     return near & (F.col("pa") + o <= F.col("na")) & (F.col("pb") + o <= F.col("nb"))
 
 
+def _may_suffice(met: DataFrame, least: float) -> DataFrame:
+    """Pairs ``(a, b)``, a < b, of meetings by item (each once) whose places leave room and whose number allows similarity.
+
+    Items that two sets share and that are not in both prefixes stand behind the prefix that ends first in the order, so there are
+    fewer of them than the longer of the two rests; the prefixes must share what the required overlap has beyond that."""
+    rest = F.greatest(*[F.ceil(F.col(n) * least - 1e-9) - 1 for n in ("na", "nb")])
+    need = F.ceil((F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9) - rest
+    pairs = met.select(F.least("repa", "repb").alias("a"), F.greatest("repa", "repb").alias("b"), need.alias("need"), _fits(least).alias("fits"))
+    return pairs.groupBy("a", "b", "need").agg(F.count("*").alias("k"), F.max("fits").alias("fits")).where("fits and k >= need").select("a", "b")
+
+
 def _sides(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tuple(x.toDF(*[f"{c}{i}" if c != "item" else c for c in x.columns]) for x, i in ((a, "a"), (b, "b")))
 
 
 def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets are similar, with their ``similarity``."""
-    both = pairs.join(left.select("rep", "items").toDF("a", "sa"), "a").join(right.select("rep", "items").toDF("b", "sb"), "b")
+    """The pairs ``(a, b)`` (materialised) whose sets are similar, with their ``similarity``. Only sets that a pair names are shuffled."""
+    sides = [may_be(x.select("rep", "items").toDF(c, f"s{c}"), [c], pairs.select(c)) for x, c in ((left, "a"), (right, "b"))]
+    both = pairs.join(sides[0], "a").join(sides[1], "b")
     inter = F.size(F.array_intersect("sa", "sb"))
     return both.select("a", "b", (inter / (F.size("sa") + F.size("sb") - inter)).alias("similarity")).where(F.col("similarity") >= least - 1e-12)
 
@@ -158,15 +194,16 @@ def similar_pairs(sets: DataFrame, least: float = 0.75, node: str = "node", item
     one, others = set_classes(sets, node, items)
     head = _shared(prefixes(one, item_order([one], common, seen, sample), least))
     a, b = _sides(head, head)
-    pairs = a.join(b, "item").where("repa < repb").where(_fits(least)).select(F.col("repa").alias("a"), F.col("repb").alias("b")).distinct()
-    return _verified(pairs, one, one, least).unionByName(others.select(F.col("rep").alias("a"), F.col("node").alias("b"), F.lit(1.0).alias("similarity")))
+    pairs = _may_suffice(a.join(b, "item").where("repa < repb"), least)
+    return _verified(cut(pairs), one, one, least).unionByName(others.select(F.col("rep").alias("a"), F.col("node").alias("b"), F.lit(1.0).alias("similarity")))
 
 
 def _shared(head: DataFrame) -> DataFrame:
-    """Prefix rows whose item other sets have, too. Counts are combined before the shuffle, and both sides of the join are written, so
-    that adaptive execution can split a hot item."""
-    head = cut(head)
-    return cut(head.join(cut(head.groupBy("item").agg(F.count("*").alias("_m")).where("_m > 1").select("item")), "item").select("rep", "n", "p", "item"))
+    """Prefix rows whose item other sets have, too, with the number ``m`` of those sets. Counts are combined before the shuffle, rows that
+    a filter of the counted items drops are not shuffled, and both sides of the join are written, so that adaptive execution can split a hot item."""
+    head = written(head)
+    often = written(head.groupBy("item").agg(F.count("*").alias("m")).where("m > 1"))
+    return written(written(may_be(head, ["item"], often)).join(often, "item").select("rep", "n", "p", "item", "m"))
 
 
 def similar_across(left: DataFrame, right: DataFrame, least: float = 0.75, node: str = "node", items: str = "items") -> DataFrame:
@@ -179,9 +216,11 @@ def similar_across(left: DataFrame, right: DataFrame, least: float = 0.75, node:
     """
     (one, more), (two, others) = set_classes(left, node, items), set_classes(right, node, items)
     order = item_order([one, two])
-    heads = [cut(prefixes(x, order, least)) for x in (one, two)]
-    shared = cut(heads[0].select("item").distinct().join(heads[1].select("item").distinct(), "item", "left_semi"))
-    a, b = _sides(*[cut(h.join(shared.select(F.col("item").alias("_i")), F.col("item") == F.col("_i")).select("rep", "n", "p", "item")) for h in heads])
+    heads = [written(prefixes(x, order, least)) for x in (one, two)]
+    few, many = [h.select("item").distinct() for h in heads]
+    few = cut(few)
+    shared = cut(few.join(may_be(many, ["item"], few), "item", "left_semi"))
+    a, b = _sides(*[cut(written(may_be(h, ["item"], shared)).join(shared.select(F.col("item").alias("_i")), F.col("item") == F.col("_i")).select("rep", "n", "p", "item")) for h in heads])
     pairs = a.join(b, "item").where(_fits(least)).select(F.col("repa").alias("a"), F.col("repb").alias("b")).distinct()
     same = one.select(F.col("rep").alias("a"), "items").join(two.select(F.col("rep").alias("b"), "items"), "items").select("a", "b")
     found = cut(_verified(cut(pairs.join(same, ["a", "b"], "left_anti")), one, two, least).unionByName(same.select("a", "b", F.lit(1.0).alias("similarity"))))
@@ -236,7 +275,7 @@ def minhash_pairs(sets: DataFrame, least: float = 0.75, node: str = "node", item
     again = cut(found.groupBy("band", "item").agg(F.count("*").alias("_m")).where("_m > 1").select("band", "item"))
     met = cut(found.join(again, ["band", "item"]))
     pairs = met.withColumnRenamed("rep", "a").join(met.withColumnRenamed("rep", "b"), ["band", "item"]).where("a < b").select("a", "b").distinct()
-    return _verified(pairs, one, one, least).unionByName(others.select(F.col("rep").alias("a"), F.col("node").alias("b"), F.lit(1.0).alias("similarity")))
+    return _verified(cut(pairs), one, one, least).unionByName(others.select(F.col("rep").alias("a"), F.col("node").alias("b"), F.lit(1.0).alias("similarity")))
 
 
 def set_components(sets: DataFrame, least: float = 0.75, node: str = "node", items: str = "items", seen: int = 4) -> DataFrame:
@@ -249,19 +288,19 @@ def set_components(sets: DataFrame, least: float = 0.75, node: str = "node", ite
     """
     one, others = set_classes(sets, node, items)
     head = _shared(prefixes(one, item_order([one], seen=seen), least))
-    weight = cut(head.join(head.groupBy("item").agg(F.count("*").alias("m")), "item").groupBy("rep").agg(F.sum("m").alias("w")))
-    each = cut(head.join(weight, "rep"))
+    weight = cut(head.groupBy("rep").agg(F.sum("m").alias("w")))
+    each = written(head.join(weight, "rep").drop("m"))
     centre = cut(each.groupBy("item").agg(F.max(F.struct("w", "rep", "n", "p")).alias("t")).select("item", F.col("t.w").alias("w"), F.col("t.rep").alias("repb"), F.col("t.n").alias("nb"), F.col("t.p").alias("pb")))
     met = each.select("item", F.col("rep").alias("repa"), F.col("n").alias("na"), F.col("p").alias("pa")).join(centre, "item").where("repa <> repb").where(_fits(least))
     best = met.groupBy("repa", "repb", "w").agg(F.count("*").alias("k")).groupBy("repa").agg(F.max(F.struct("k", "w", "repb")).alias("t"))
-    links = cut(_verified(best.select(F.col("repa").alias("a"), F.col("t.repb").alias("b")), one, one, least).select("a", "b"))
+    links = cut(_verified(cut(best.select(F.col("repa").alias("a"), F.col("t.repb").alias("b"))), one, one, least).select("a", "b"))
     found = cut(connected_components(links, "a", "b"))
-    rows = head.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
+    rows = head.drop("m").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
     by = rows.groupBy("item", "c").agg(F.count("*").alias("m")).groupBy("item").agg(F.max(F.struct("m", "c")).alias("t"), F.count("*").alias("parts"))
     open_ = cut(rows.join(by.where("parts > 1").select("item", F.col("t.c").alias("d")), "item"))
     a, b = _sides(open_.where("c <> d"), open_)
     # pairs outside the largest component are made once, those with it from the other side
-    pairs = a.join(b, "item").where("ca <> cb and (cb = db or repa < repb)").where(_fits(least)).select(F.col("repa").alias("a"), F.col("repb").alias("b")).distinct()
+    pairs = _may_suffice(a.join(b, "item").where("ca <> cb and (cb = db or repa < repb)"), least)
     more = _verified(cut(pairs), one, one, least).select("a", "b")
     return links.unionByName(more).unionByName(others.select(F.col("rep").alias("a"), F.col("node").alias("b"))).toDF("dst", "src").select("src", "dst")
 
@@ -271,19 +310,25 @@ def similarity_families(keys: DataFrame, node: str, columns: list[str], sets: Da
     return families(keys, node, star_edges(keys, node, columns).select("src", "dst").unionByName(set_components(sets, least)))
 
 
-def joint_families(queries: DataFrame, pool: DataFrame, node: str, exact: str, columns: list[str], items: str | None = None, least: float = 0.75) -> tuple[DataFrame, DataFrame]:
+def joint_families(queries: DataFrame, pool: DataFrame, node: str, exact: str, columns: list[str], items: str | None = None, least: float = 0.75, sets: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """Families over queries and pool together, one node for each exact key; both sides with ``family_id``.
 
     A key's node is its first row, queries before pool, then by id. A row without an exact key
-    is a node of its own. Nodes are linked by equal keys in ``columns`` and, with ``items`` (an array column), by sets of Jaccard ``least`` or
-    more, within a table as across the two. Family ids are the node ids ``q:<id>`` and ``p:<id>``.
+    is a node of its own. Nodes are linked by equal keys in ``columns`` and, with ``items`` (an array column) or ``sets`` (``node, items``
+    of either side), by sets of Jaccard ``least`` or more, within a table as across the two. Family ids are the node ids ``q:<id>`` and ``p:<id>``.
     """
-    rows = [side.withColumn("_n", F.concat(F.lit(f"{mark}:"), F.col(node).cast("string"))).withColumn("_x", F.coalesce(F.nullif(F.trim(exact), F.lit("")), F.concat(F.lit("~"), "_n"))).withColumn("_side", F.lit(i)) for i, (side, mark) in enumerate(((queries, "q"), (pool, "p")))]
-    held = [*columns, *([items] if items else [])]
-    both = rows[0].select("_side", "_x", "_n", node, *held).unionByName(rows[1].select("_side", "_x", "_n", node, *held))
-    first = cut(both.groupBy("_x").agg(F.min_by(F.struct("_n", *held), F.struct("_side", node)).alias("f")).select("_x", "f.*"))
-    edges = star_edges(first, "_n", columns).select("src", "dst")
     if items:
-        edges = edges.unionByName(set_components(first.select(F.col("_n").alias("node"), F.col(items).alias("items")), least))
+        queries, pool = written(queries), written(pool)  # what makes the sets runs once
+        sets = tuple(side.select(F.col(node).alias("node"), F.col(items).alias("items")) for side in (queries, pool))
+        queries, pool = queries.drop(items), pool.drop(items)
+    name = lambda mark, column: F.concat(F.lit(f"{mark}:"), F.col(column).cast("string"))
+    rows = [side.withColumn("_n", name(mark, node)).withColumn("_x", F.coalesce(F.nullif(F.trim(exact), F.lit("")), F.concat(F.lit("~"), "_n"))).withColumn("_side", F.lit(i)) for i, (side, mark) in enumerate(((queries, "q"), (pool, "p")))]
+    both = rows[0].select("_side", "_x", "_n", node, *columns).unionByName(rows[1].select("_side", "_x", "_n", node, *columns))
+    first = cut(both.groupBy("_x").agg(F.min_by(F.struct("_n", *columns), F.struct("_side", node)).alias("f")).select("_x", "f.*"))
+    edges = star_edges(first, "_n", columns).select("src", "dst")
+    if sets:
+        rest = cut(both.select("_n").join(first.select("_n"), "_n", "left_anti"))
+        named = reduce(DataFrame.unionByName, [side.select(name(mark, "node").alias("_n"), "items") for side, mark in zip(sets, "qp")])
+        edges = edges.unionByName(set_components(among(named, ["_n"], first, rest), least, "_n"))
     assigned = cut(families(first, "_n", edges).select("_x", "family_id"))
-    return tuple(side.join(assigned, "_x").drop("_x", "_n", "_side", *([items] if items else [])) for side in rows)
+    return tuple(side.join(assigned, "_x").drop("_x", "_n", "_side") for side in rows)

@@ -138,8 +138,10 @@ def e6(spark, sf):
 
 def e6_similar(spark, sf):
     """E6 over key and similarity edges."""
-    d = keyed(spark, sf).select("doc_id", "exact_key", "normal").join(sets(spark, sf).withColumnRenamed("node", "doc_id"), "doc_id")
-    q, p = fam.joint_families(d.where("doc_id % 5 = 0"), d.where("doc_id % 5 <> 0"), "doc_id", "exact_key", ["normal"], items="items")
+    d = cut(keyed(spark, sf).select("doc_id", "exact_key", "normal"))
+    texts, sides = table(spark, sf, "documents").select(F.col("doc_id").alias("node"), "text"), ("{} % 5 = 0", "{} % 5 <> 0")
+    own = tuple(T.with_windows(texts.where(side.format("node")), "text", 5) for side in sides)
+    q, p = fam.joint_families(*[d.where(side.format("doc_id")) for side in sides], "doc_id", "exact_key", ["normal"], sets=own)
     return q.select("doc_id", "family_id").unionByName(p.select("doc_id", "family_id"))
 
 
