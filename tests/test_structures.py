@@ -119,6 +119,21 @@ def test_joint_families_take_the_sets_of_a_keys_first_row(spark):
     assert got == [[(1, "p:2"), (2, "p:4")], [(1, "p:2"), (2, "p:2"), (3, "p:3"), (4, "p:4")]]
 
 
+def test_forest_of_few_cells_is_that_of_its_rows(spark, monkeypatch):
+    """Any layout gives the same trees; with more cells than a task may hold, Spark ML's forest is about as far off."""
+    from tidemark.operators import learn
+
+    rows = spark.createDataFrame([(i, float(i % 20), float(i * 7 % 31), float(i % 20 // 5) + i % 3 * 0.01) for i in range(1500)], "id long, x double, z double, y double")
+    train, test = rows.where("id % 4 <> 0"), rows.where("id % 4 = 0")
+    read = lambda n: {r.id: r.forest_pred for r in learn.forest(train.repartition(n), test, ["x", "z"], "y", 60).collect()}
+    one, other = read(2), read(5)
+    assert len(one) == 375 and one.keys() == other.keys() and all(abs(one[k] - other[k]) < 1e-9 for k in one)
+    monkeypatch.setattr(learn, "CELL_SUMS", 0)
+    plain = read(2)
+    far = [sum(abs(x[k] - k % 20 // 5) for k in x) / len(x) for x in (one, plain)]
+    assert max(far) < 0.6 and abs(far[0] - far[1]) < 0.25, far
+
+
 def test_replicate_areas_equal_those_of_their_weights(spark):
     """Ties within a range, across ranges and over whole ranges."""
     from tidemark.operators import bootstrap

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import clip_zscore
+from tidemark.operators.bootstrap import replicate_sums
 from tidemark.operators.splits import group_folds, out_of_fold
 from tidemark.operators.ranking import order_statistics
 from tidemark.operators.stats import auroc
@@ -127,13 +130,93 @@ def ridge(train: DataFrame, features: list[str], y: str, l2: float = 1.0) -> Dat
     return train.sparkSession.createDataFrame(list(zip(names, w.tolist())), "name string, value double")
 
 
+#: Of a forest, as Spark ML has them: bins of a feature, depth of a tree. Sums of cells by tree that a task may hold.
+BINS, DEPTH, CELL_SUMS = 32, 5, 1 << 21
+
+
 def forest(train: DataFrame, test: DataFrame, features: list[str], y: str, trees: int = 500, seed: int = 7) -> DataFrame:
-    """``test`` with ``forest_pred``."""
+    """``test`` with ``forest_pred``, the mean of ``trees`` regression trees on bootstrap samples, a third of the features at a node.
+
+    Trees see features only as bins, so rows of equal bins, a cell, count by their weights' sums alone: where cells are few, tasks sum each
+    tree's Poisson weights in one pass, and trees grow from cells. Else Spark ML's forest reads the rows for each level of the trees.
+    """
+    edges = [_edges(train, f) for f in features]
+    if not all(len(e) for e in edges):
+        raise TooFewRowsError("no rows to grow trees from")
+    shape = [len(e) - 1 for e in edges]
+    if math.prod(shape) < 1 << 31:
+        known, asked = (_cells(rows, features, edges) for rows in (train, test))
+        most = CELL_SUMS // trees
+        cells = [r["_c"] for r in known.select("_c").unionByName(asked.select("_c")).distinct().limit(most + 1).collect()]
+        if len(cells) <= most:
+            # runs of a cell are summed at once
+            rows = known.withColumn("_k", F.xxhash64(*train.columns)).select("_k", "_c", _known(y).alias("_y")).sortWithinPartitions("_c")
+            sums = replicate_sums(rows, F.col("_k"), F.col("_c"), F.col("_y"), trees, seed)
+            means = _grown(sums, np.array(sorted(cells)), shape, seed).groupBy("_c").agg(F.avg("p").alias("forest_pred"))
+            return asked.join(F.broadcast(means), "_c", "left").select(*test.columns, "forest_pred")
     v = VectorAssembler(inputCols=features, outputCol="_x")
     model = RandomForestRegressor(featuresCol="_x", labelCol=y, numTrees=trees, seed=seed, predictionCol="forest_pred").fit(v.transform(train))
     return model.transform(v.transform(test)).drop("_x")
 
 
+def _known(name: str) -> Column:
+    """A column as doubles; a missing value is an error."""
+    x = F.col(name).cast("double")
+    return F.when(x.isNull() | F.isnan(x), F.raise_error(F.lit(f"{name}: missing value"))).otherwise(x)
+
+
+def _edges(train: DataFrame, feature: str) -> list[float]:
+    """Edges of a feature's bins: all its values if these are no more than bins, else quantiles. A bin holds its upper end."""
+    x = train.select(_known(feature).alias("x"))
+    values: list[float] = []
+    if x.agg(F.approx_count_distinct("x")).first()[0] <= 2 * BINS:
+        values = sorted(r["x"] for r in x.distinct().limit(BINS + 1).collect())
+        if not values:
+            return []
+    if not 0 < len(values) <= BINS:
+        values = [*sorted(set(x.approxQuantile("x", [k / BINS for k in range(1, BINS)], 0.001))), math.inf]
+    return [-math.inf, *np.nextafter(values[:-1], math.inf).tolist(), math.inf]
+
+
+def _cells(rows: DataFrame, features: list[str], edges: list[list[float]]) -> DataFrame:
+    """``rows`` with ``_c``, the number of their bins, the last feature's running fastest."""
+    names, c = [f"_b{i}" for i in range(len(features))], F.lit(0)
+    given = rows.select("*", *[_known(f).alias(f"_v{i}") for i, f in enumerate(features)])
+    for i, (n, e) in enumerate(zip(names, edges)):
+        if len(e) > 2:
+            given = Bucketizer(splits=e, inputCol=f"_v{i}", outputCol=n).transform(given)
+            c = c * (len(e) - 1) + F.col(n).cast("int")
+    return given.select(*rows.columns, c.alias("_c"))
+
+
+def _grown(sums: DataFrame, cells: np.ndarray, shape: list[int], seed: int) -> DataFrame:
+    """``(_c, p)``: what each tree predicts for each of ``cells``; a group is a tree, with a row for each cell that it may hold."""
+    bins, take = np.stack(np.unravel_index(cells, shape), 1), math.ceil(len(shape) / 3)
+
+    def grow(part: pd.DataFrame) -> pd.DataFrame:
+        n, s, p = np.zeros((3, len(cells)))
+        at = np.searchsorted(cells, part["c"].to_numpy())
+        n[at], s[at] = part["n"].to_numpy(), part["s"].to_numpy()
+        r = np.random.default_rng([seed, int(part["tree"].iloc[0])])
+        nodes = [(np.arange(len(cells)), 0)] if n.sum() else []
+        while nodes:
+            node, level = nodes.pop()
+            best, total, value = (0.0, None), n[node].sum(), s[node].sum()
+            p[node] = value / total
+            for f in r.choice(len(shape), take, replace=False) if level < DEPTH else ():
+                a, b = (np.bincount(bins[node, f], x[node], shape[f]).cumsum()[:-1] for x in (n, s))
+                ok = (a >= 1) & (total - a >= 1)
+                gain = np.where(ok, b**2 / np.where(ok, a, 1) + (value - b) ** 2 / np.where(ok, total - a, 1) - value**2 / total, 0)
+                if len(gain) and gain.max() > best[0]:
+                    best = (gain.max(), bins[node, f] <= gain.argmax())
+            if best[1] is not None:
+                nodes += [(node[best[1]], level + 1), (node[~best[1]], level + 1)]
+        return pd.DataFrame({"_c": cells, "p": p} if n.sum() else {"_c": [], "p": []})
+
+    trees = sums.select("c", F.posexplode(F.arrays_zip("n", "s")).alias("tree", "x")).select("tree", "c", "x.n", "x.s")
+    return trees.groupBy("tree").applyInPandas(grow, "_c int, p double")
+
+
 def logistic(features: list[str], y: str, l2: float) -> LogisticRegression:
     """Mean cross-entropy plus l2 times the squared norm, intercept free."""
     return LogisticRegression(featuresCol="_x", labelCol=y, regParam=2 * l2, elasticNetParam=0.0, standardization=False, tol=1e-9, maxIter=200)
