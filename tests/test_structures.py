@@ -109,6 +109,24 @@ def test_sets_that_share_too_little_of_their_prefixes_are_not_compared(spark, mo
     assert compared == [1]
 
 
+def test_sets_that_share_little_with_any_other_are_not_compared_with_a_centre(spark, monkeypatch):
+    """Ten pairs of sets share an item in twenty, and nothing else with any set; one pair shares all but one item in a hundred."""
+    from tidemark.operators import families
+
+    rows = [(i, sorted([*range(i // 2 * 1000, i // 2 * 1000 + 5), *range(10**6 + i * 1000, 10**6 + i * 1000 + 95)])) for i in range(20)]
+    rows += [(100, [*range(10**8, 10**8 + 100)]), (101, [*range(10**8 + 1, 10**8 + 101)]), (102, [*range(10**8, 10**8 + 100)])]
+    compared, verified = [], families._verified
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(families, "_verified", counted)
+    edges = families.set_components(spark.createDataFrame(rows, "node long, items array<long>").repartition(3), 0.75).collect()
+    assert {frozenset(e) for e in edges} == {frozenset((100, 101)), frozenset((100, 102))}
+    assert compared == [1, 0]
+
+
 def test_joint_families_take_the_sets_of_a_keys_first_row(spark):
     from tidemark.operators.families import joint_families
 

@@ -161,14 +161,18 @@ def _fits(least: float) -> Column:
     return near & (F.col("pa") + o <= F.col("na")) & (F.col("pb") + o <= F.col("nb"))
 
 
-def _may_suffice(met: DataFrame, least: float) -> DataFrame:
-    """Pairs ``(a, b)``, a < b, of meetings by item (each once) whose places leave room and whose number allows similarity.
+def _need(least: float) -> Column:
+    """How many items the prefixes of similar sets of these sizes share, at least.
 
     Items that two sets share and that are not in both prefixes stand behind the prefix that ends first in the order, so there are
     fewer of them than the longer of the two rests; the prefixes must share what the required overlap has beyond that."""
     rest = F.greatest(*[F.ceil(F.col(n) * least - 1e-9) - 1 for n in ("na", "nb")])
-    need = F.ceil((F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9) - rest
-    pairs = met.select(F.least("repa", "repb").alias("a"), F.greatest("repa", "repb").alias("b"), need.alias("need"), _fits(least).alias("fits"))
+    return F.ceil((F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9) - rest
+
+
+def _may_suffice(met: DataFrame, least: float) -> DataFrame:
+    """Pairs ``(a, b)``, a < b, of meetings by item (each once) whose places leave room and whose number allows similarity."""
+    pairs = met.select(F.least("repa", "repb").alias("a"), F.greatest("repa", "repb").alias("b"), _need(least).alias("need"), _fits(least).alias("fits"))
     return pairs.groupBy("a", "b", "need").agg(F.count("*").alias("k"), F.max("fits").alias("fits")).where("fits and k >= need").select("a", "b")
 
 
@@ -288,10 +292,12 @@ def set_components(sets: DataFrame, least: float = 0.75, node: str = "node", ite
     """
     one, others = set_classes(sets, node, items)
     head = _shared(prefixes(one, item_order([one], seen=seen), least))
-    weight = cut(head.groupBy("rep").agg(F.sum("m").alias("w")))
+    weight = cut(head.groupBy("rep").agg(F.sum("m").alias("w"), F.count("*").alias("k")))
     each = written(head.join(weight, "rep").drop("m"))
-    centre = cut(each.groupBy("item").agg(F.max(F.struct("w", "rep", "n", "p")).alias("t")).select("item", F.col("t.w").alias("w"), F.col("t.rep").alias("repb"), F.col("t.n").alias("nb"), F.col("t.p").alias("pb")))
-    met = each.select("item", F.col("rep").alias("repa"), F.col("n").alias("na"), F.col("p").alias("pa")).join(centre, "item").where("repa <> repb").where(_fits(least))
+    centre = cut(each.groupBy("item").agg(F.max(F.struct("w", "rep", "n", "p", "k")).alias("t")).select("item", F.col("t.w").alias("w"), F.col("t.rep").alias("repb"), F.col("t.n").alias("nb"), F.col("t.p").alias("pb"), F.col("t.k").alias("kb")))
+    met = each.select("item", F.col("rep").alias("repa"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("k").alias("ka")).join(centre, "item").where("repa <> repb")
+    # two sets share no more of their prefixes than either shares with any other set
+    met = met.where(_fits(least) & (F.least("ka", "kb") >= _need(least)))
     best = met.groupBy("repa", "repb", "w").agg(F.count("*").alias("k")).groupBy("repa").agg(F.max(F.struct("k", "w", "repb")).alias("t"))
     links = cut(_verified(cut(best.select(F.col("repa").alias("a"), F.col("t.repb").alias("b"))), one, one, least).select("a", "b"))
     found = cut(connected_components(links, "a", "b"))
