@@ -300,3 +300,40 @@ def test_bootstrap_weights_are_hashed_in_parts():
     for i, draw in ((0, 0), (7, 999), (999, 3), (640, 512)):
         h = mix(mix((int(ids[i]) + 5 * 0x9E3779B97F4A7C15) & mask) ^ mix((draw + 1) * 0x9E3779B97F4A7C15 & mask))
         assert got[i, draw] == bootstrap._TABLE[h >> 48]
+
+
+def test_baselines_and_their_table_read_the_rows_once(spark):
+    """The join, the edges, the cells, the trees and the table without ranks once made the rows anew for each."""
+    from pyspark.sql import functions as F
+    from tidemark.operators import learn, stats
+
+    seen, n = spark.sparkContext.accumulator(0), 300
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.range(n).select("id", F.concat(F.lit("e"), F.col("id") % 3).alias("e"), (F.col("id") % 100).cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("y")).mapInArrow(count, "id long, e string, x double, y double")
+    held = spark.range(n).select("id", F.when(F.col("id") % 4 == 0, "test").otherwise("train").alias("split"))
+    fitted = learn.mandatory_baselines(rows, held, "id", "e", "y", ["x"], trees=20)
+    got = {(r.method, r.entity_id): r for r in stats.baseline_table(fitted, ranks=False).collect()}
+    assert seen.value == n
+    assert got.keys() == {(m, e) for m in ("mean", "forest") for e in ("e0", "e1", "e2", "__macro__")}
+    ranked = stats.baseline_table(fitted).drop("spearman").collect()
+    assert len(ranked) == len(got) and all(r.n == (o := got[r.method, r.entity_id]).n and abs(r.rmse - o.rmse) < 1e-9 and abs(r.r2 - o.r2) < 1e-9 for r in ranked)
+    with pytest.raises(stats.MissingBaselineError):
+        stats.baseline_table(fitted.where("method = 'forest'"), ranks=False)
+
+
+def test_a_choice_of_backbones_ranks_nothing(spark, monkeypatch):
+    """J10 reads errors only; ranks of all methods' rows were once made for it and dropped."""
+    from tidemark import plans
+    from tidemark.operators import stats
+
+    def ranks(*_):
+        raise AssertionError("ranks")
+
+    monkeypatch.setattr(stats, "spearman_by", ranks)
+    assert {r.method for r in plans.queries()["j10_select_backbones"](spark, SF).collect()} == {"model", "rival", "constant"}
+    assert {r.method for r in plans.queries()["j10_backbones_with_forest"](spark, SF).collect()} == {"rival", "constant"}

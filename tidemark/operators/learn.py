@@ -20,6 +20,7 @@ from tidemark.operators.bootstrap import replicate_sums
 from tidemark.operators.splits import group_folds, out_of_fold
 from tidemark.operators.ranking import order_statistics
 from tidemark.operators.stats import auroc
+from tidemark.session import written
 
 
 class TooFewRowsError(ValueError):
@@ -41,11 +42,13 @@ def median_predictor(train: DataFrame, entity: str, y: str) -> DataFrame:
 
 def mandatory_baselines(rows: DataFrame, splits: DataFrame, key: str, entity: str, y: str, features: list[str], trees: int = 500, seed: int = 7) -> DataFrame:
     """``(entity_id, y, method, pred)`` on the test rows, of the entity mean and of a random forest, both fitted on
-    all rows that are not test. The split column is joined by key, never taken from the rows."""
+    all rows that are not test. The split column is joined by key, never taken from the rows. The joined rows are written, as the fits read
+    them many times; a row's bootstrap weights go by a hash of all its columns."""
     joined = rows.drop("split").join(splits.select(key, "split"), key)
+    joined = written(joined.select(F.xxhash64(*joined.columns).alias("_k"), *dict.fromkeys([entity, y, *features]), "split"))
     train, test = joined.where("split <> 'test'"), joined.where("split = 'test'")
     mean = apply_mean(test, mean_predictor(train, entity, y), entity).select(F.col(entity).alias("entity_id"), y, F.lit("mean").alias("method"), F.col("mean_pred").alias("pred"))
-    grown = forest(train, test, features, y, trees, seed).select(F.col(entity).alias("entity_id"), y, F.lit("forest").alias("method"), F.col("forest_pred").alias("pred"))
+    grown = forest(train, test, features, y, trees, seed, "_k").select(F.col(entity).alias("entity_id"), y, F.lit("forest").alias("method"), F.col("forest_pred").alias("pred"))
     return mean.unionByName(grown)
 
 
@@ -134,11 +137,13 @@ def ridge(train: DataFrame, features: list[str], y: str, l2: float = 1.0) -> Dat
 BINS, DEPTH, CELL_SUMS = 32, 5, 1 << 21
 
 
-def forest(train: DataFrame, test: DataFrame, features: list[str], y: str, trees: int = 500, seed: int = 7) -> DataFrame:
+def forest(train: DataFrame, test: DataFrame, features: list[str], y: str, trees: int = 500, seed: int = 7, key: str | None = None) -> DataFrame:
     """``test`` with ``forest_pred``, the mean of ``trees`` regression trees on bootstrap samples, a third of the features at a node.
 
     Trees see features only as bins, so rows of equal bins, a cell, count by their weights' sums alone: where cells are few, tasks sum each
     tree's Poisson weights in one pass, and trees grow from cells. Else Spark ML's forest reads the rows for each level of the trees.
+    A row's weights go by its ``key``, else by a hash of all its columns. Edges and cells are looked for first, so rows that are dear
+    to make should be written.
     """
     edges = [_edges(train, f) for f in features]
     if not all(len(e) for e in edges):
@@ -150,7 +155,7 @@ def forest(train: DataFrame, test: DataFrame, features: list[str], y: str, trees
         cells = [r["_c"] for r in known.select("_c").unionByName(asked.select("_c")).distinct().limit(most + 1).collect()]
         if len(cells) <= most:
             # runs of a cell are summed at once
-            rows = known.withColumn("_k", F.xxhash64(*train.columns)).select("_k", "_c", _known(y).alias("_y")).sortWithinPartitions("_c")
+            rows = known.select((F.col(key) if key else F.xxhash64(*train.columns)).alias("_k"), "_c", _known(y).alias("_y")).sortWithinPartitions("_c")
             sums = replicate_sums(rows, F.col("_k"), F.col("_c"), F.col("_y"), trees, seed)
             means = _grown(sums, np.array(sorted(cells)), shape, seed).groupBy("_c").agg(F.avg("p").alias("forest_pred"))
             return asked.join(F.broadcast(means), "_c", "left").select(*test.columns, "forest_pred")

@@ -114,17 +114,17 @@ def spearman_by(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
 def baseline_table(predictions: DataFrame, required: list[str] = ("mean",), ranks: bool = True) -> DataFrame:
     """Errors and (with ``ranks``) rank correlation by method and entity, and a ``__macro__`` row: rmse averaged over
     entities, r2 and spearman pooled."""
-    known = {r[0] for r in predictions.select("method").distinct().collect()}
-    if missing := set(required) - known:
-        raise MissingBaselineError(str(sorted(missing)))
     keys = ["method", "entity_id"]
-    rows = cut(predictions.select(*keys, "y", "pred"))
+    rows = predictions.select(*keys, "y", "pred")
+    if ranks:
+        rows = cut(rows)  # else they are read once
     # every row also counts for all of its method
     both = rows.select("method", F.explode(F.array("entity_id", F.lit("__macro__"))).alias("entity_id"), "y", "pred")
-    table = both.groupBy(*keys).agg(F.count("*").alias("n"), *errors())
+    table = cut(both.groupBy(*keys).agg(F.count("*").alias("n"), *errors()))
+    if missing := set(required) - {r[0] for r in table.select("method").distinct().collect()}:
+        raise MissingBaselineError(str(sorted(missing)))
     if ranks:
-        table = table.join(spearman_by(both, keys, "y", "pred"), keys)
-    table = cut(table)
+        table = cut(table.join(spearman_by(both, keys, "y", "pred"), keys))
     macro = table.where("entity_id <> '__macro__'").groupBy("method").agg(F.avg("rmse").alias("_rmse"))
     table = table.join(macro, "method").withColumn("rmse", F.when(F.col("entity_id") == "__macro__", F.col("_rmse")).otherwise(F.col("rmse"))).drop("_rmse")
     mean = table.where("method = 'mean'").select("entity_id", F.col("rmse").alias("_m"))

@@ -11,7 +11,7 @@ from tidemark.operators import ranking
 from tidemark.operators import risk as K
 from tidemark.operators import stats as T
 from tidemark.operators import verdicts as V
-from tidemark.session import table
+from tidemark.session import table, written
 
 
 def predictions(spark, sf):
@@ -123,7 +123,7 @@ def j10(spark, sf):
     m = L.mean_predictor(p.where("split <> 'test'"), "entity_id", "y")
     mean = L.apply_mean(p.where("split = 'test'"), m, "entity_id").select("entity_id", "y", F.lit("mean").alias("method"), F.col("mean_pred").alias("pred"))
     worst = p.where("split = 'test'").select("entity_id", "y", F.lit("constant").alias("method"), "pred")
-    table = T.baseline_table(own.unionByName(rival).unionByName(mean).unionByName(worst))
+    table = T.baseline_table(own.unionByName(rival).unionByName(mean).unionByName(worst), ranks=False)
     return V.select_backbones(table).select("method", F.round("rmse", 4).alias("rmse"), "beats_mean", "near_forest", "role")
 
 
@@ -133,7 +133,7 @@ def j10_forest(spark, sf):
     fitted = j11(spark, sf).select("entity_id", "y", "method", "pred")
     rival = p.where("split = 'test'").select("entity_id", "y", F.lit("rival").alias("method"), (F.col("y") + F.col("gate") * 10).alias("pred"))
     constant = p.where("split = 'test'").select("entity_id", "y", F.lit("constant").alias("method"), "pred")
-    return V.select_backbones(T.baseline_table(fitted.unionByName(rival).unionByName(constant))).select("method", F.round("rmse", 4).alias("rmse"), "beats_mean", "near_forest", "role")
+    return V.select_backbones(T.baseline_table(fitted.unionByName(rival).unionByName(constant), ranks=False)).select("method", F.round("rmse", 4).alias("rmse"), "beats_mean", "near_forest", "role")
 
 
 def k20_refits(spark, sf):
@@ -298,7 +298,7 @@ def j3(spark, sf):
 
 
 def j4(spark, sf):
-    p = predictions(spark, sf)
+    p = written(predictions(spark, sf).where("split in ('train', 'test')"))
     return L.forest(p.where("split = 'train'"), p.where("split = 'test'"), ["gate", "loss_base"], "loss_retr").select("id", "forest_pred")
 
 
