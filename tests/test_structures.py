@@ -337,3 +337,18 @@ def test_a_choice_of_backbones_ranks_nothing(spark, monkeypatch):
     monkeypatch.setattr(stats, "spearman_by", ranks)
     assert {r.method for r in plans.queries()["j10_select_backbones"](spark, SF).collect()} == {"model", "rival", "constant"}
     assert {r.method for r in plans.queries()["j10_backbones_with_forest"](spark, SF).collect()} == {"rival", "constant"}
+
+
+def test_places_follow_the_ranks_where_rounded_similarities_tie(spark, tmp_path):
+    """G10 once ranked again by six digits, so that neighbours that differ beyond them stood by their ids."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from tests.oracle import assert_same
+    from tidemark import plans
+
+    vectors = [[1.0, 0.0]] + [[1.0, i % 2 + (21 - i) * 1e-5] for i in range(1, 21)]  # the larger the id, the nearer to row 0
+    embeddings = pa.table({"vec_id": pa.array(range(21), pa.int64()), "embedding": pa.array(vectors, pa.list_(pa.float32())), "label": pa.array([i % 10 for i in range(21)], pa.int32())})
+    pq.write_table(embeddings, tmp_path / "embeddings.parquet")
+    got = plans.queries()["g10_rank_scalars"](spark, str(tmp_path))
+    assert [r.memory_id for r in got.sort("rank_norm").collect()] == [*range(20, 0, -2), *range(19, 8, -2)]
+    assert_same(got, plans.oracle_sql()["g10_rank_scalars"], str(tmp_path))
